@@ -83,8 +83,7 @@ def day_path(prefix: str, c) -> Column:
 
 def parse_date(c, fmt: str = "yyyy-MM-dd") -> Column:
     """String to DATE by pattern; unparseable text gives NULL (F-01)."""
-    return F.try_to_date(F.col(c) if isinstance(c, str) else c, F.lit(fmt)) \
-        if hasattr(F, "try_to_date") else F.to_date(c, fmt)
+    return F.try_to_date(F.col(c) if isinstance(c, str) else c, fmt)
 
 
 def parse_timestamp(c, fmt: str = "yyyy-MM-dd HH:mm:ss") -> Column:
