@@ -74,8 +74,16 @@ def mapping_frame(spark: SparkSession, database: str, schema: str, table: str, c
                   created: str, fold: bool = True) -> DataFrame:
     """N-04: registry rows for one table (source_database, source_schema,
     source_table, original_column_name, avro_compatible_name, created_date)."""
-    fwd, _ = name_mapping(columns, fold)
-    rows = [(database, schema, table, c, fwd[c], created) for c in columns]
+    return mapping_frames(spark, database, schema, {table: columns}, created, fold)
+
+
+def mapping_frames(spark: SparkSession, database: str, schema: str, tables: dict[str, list[str]],
+                   created: str, fold: bool = True) -> DataFrame:
+    """N-04 for many tables at once: one small frame (names, not data)."""
+    rows = []
+    for table, columns in tables.items():
+        fwd, _ = name_mapping(columns, fold)
+        rows += [(database, schema, table, c, fwd[c], created) for c in columns]
     return spark.createDataFrame(rows, "source_database string, source_schema string, source_table string, "
                                        "original_column_name string, avro_compatible_name string, "
                                        "created_date string").withColumn("created_date", F.to_date("created_date"))

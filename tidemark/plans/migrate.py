@@ -20,19 +20,22 @@ def migrate_tables(spark: SparkSession, tables: dict[str, DataFrame], target_roo
                    fmt: str = "parquet") -> tuple[DataFrame, DataFrame]:
     """Returns (status rows, updated mapping registry)."""
     status = []
+    registered: dict[str, list[str]] = {}
     for name, df in tables.items():
         try:
             fwd, rev = nm.name_mapping(df.columns)
             safe = nm.mapped_select(df, fwd)
             path = f"{target_root.rstrip('/')}/{nm.safe_name(name)}"
             io.export_table(safe, path, "replace", fmt)
-            rows = nm.mapping_frame(spark, database, schema, name, df.columns, created.isoformat())
-            registry = nm.register_mappings(registry, rows)
+            registered[name] = df.columns
             nm.original_view(spark.read.format(fmt).load(path), rev, f"vw_{nm.safe_name(name)}")
             changed = sum(1 for o, s in fwd.items() if o != s)
             status.append((name, path, "success", len(df.columns), changed, None))
         except Exception as e:
             status.append((name, None, "failed", len(df.columns), None, f"{type(e).__name__}: {e}"[:2000]))
+    if registered:
+        rows = nm.mapping_frames(spark, database, schema, registered, created.isoformat())
+        registry = nm.register_mappings(registry, rows)
     out = spark.createDataFrame(status, "table_name string, target string, status string, columns int, "
                                         "renamed int, error string")
     return out, registry

@@ -205,14 +205,17 @@ def write_replace_where(spark: SparkSession, path: str, new: DataFrame, pred: Co
     inside = F.coalesce(pred, F.lit(False))
     touched = (target.where(inside).select(*partition_by)
                .unionByName(new.select(*partition_by)).distinct())
+    # The touched partition values are few (one per partition, never rows);
+    # they are fixed before the target's files are replaced.
+    touched_keys = [tuple(r) for r in touched.collect()]
     result = replace_where(target.join(touched, partition_by, "left_semi"), new, pred)
     staged = stage(result.select(*target.columns))
+    remaining = {tuple(r) for r in staged.select(*partition_by).distinct().collect()}
     overwrite_partitions(staged, path, partition_by)
-    remaining = staged.select(*partition_by).distinct()
-    emptied = touched.join(remaining, partition_by, "left_anti").collect()  # bounded: partitions touched
-    for r in emptied:
-        sub = "/".join(f"{c}={r[c]}" for c in partition_by)
-        delete_path(spark, f"{path.rstrip('/')}/{sub}")
+    for key in touched_keys:
+        if key not in remaining:
+            sub = "/".join(f"{c}={v}" for c, v in zip(partition_by, key))
+            delete_path(spark, f"{path.rstrip('/')}/{sub}")
     return staged.count()
 
 
