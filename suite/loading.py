@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from suite import register
 from suite.fixtures import (SILVER_KEYS, batch_log, daily_events, late_events, silver, with_views)
-from suite.repair import ORDER, SLICE, SLICE_SQL
+from suite.repair import order, SLICE, SLICE_SQL
 from tidemark.operators import names as nm
 from tidemark.operators import repair as rp
 from tidemark.plans import bronze, loader, repair as rplan
@@ -345,7 +345,7 @@ def q09(spark, d):
     path = scratch(spark, "q09")
     (silver(spark, d).withColumn("business_month", F.date_format("business_date", "yyyy-MM"))
      .write.partitionBy("business_month").parquet(path))
-    rplan.dedup_and_replace(spark, path, "business_date", *SLICE, SILVER_KEYS, ORDER, ["business_month"])
+    rplan.dedup_and_replace(spark, path, "business_date", *SLICE, SILVER_KEYS, order(), ["business_month"])
     return spark.read.parquet(path)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from suite import register
 from suite.fixtures import SILVER_KEYS, daily_events, silver, typed_text, with_views
-from suite.repair import DEDUP_SLICE_SQL, ORDER, SLICE, SLICE_SQL
+from suite.repair import DEDUP_SLICE_SQL, order, SLICE, SLICE_SQL
 from tidemark.operators import quality as qa
 from tidemark.operators import repair as rp
 from tidemark.sources.tables import read_table
@@ -15,7 +15,7 @@ from tidemark.sources.tables import read_table
 def _slices(spark, d):
     s = silver(spark, d)
     cur = s.where(rp.in_range("business_date", *SLICE))
-    new, _ = rp.dedup_slice(s, "business_date", *SLICE, SILVER_KEYS, ORDER)
+    new, _ = rp.dedup_slice(s, "business_date", *SLICE, SILVER_KEYS, order())
     return cur, new
 
 
@@ -74,7 +74,7 @@ _GATE_DAY = "1998-09-15"
 
 def _q08(spark, d):
     s = silver(spark, d).where(F.col("business_date") == F.lit(_GATE_DAY).cast("date"))
-    dd = rp.latest_per_key(s, SILVER_KEYS, ORDER)
+    dd = rp.latest_per_key(s, SILVER_KEYS, order())
     return qa.silver_gate(dd, SILVER_KEYS, "business_date", _GATE_DAY, 1, 10_000_000)
 
 

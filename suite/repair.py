@@ -11,7 +11,12 @@ from suite.fixtures import SILVER_KEYS, daily_events, silver, with_views
 from tidemark.operators import repair as rp
 from tidemark.sources.tables import read_table
 
-ORDER = [F.col("l_shipdate").desc(), F.col("l_partkey").desc(), F.col("l_suppkey").desc()]
+
+def order():
+    """Newest first; a total order inside a key (W-01 needs a full tie-break)."""
+    return [F.col("l_shipdate").desc(), F.col("l_partkey").desc(), F.col("l_suppkey").desc()]
+
+
 ORDER_SQL = "l_shipdate DESC, l_partkey DESC, l_suppkey DESC"
 SLICE = ("1998-09-01", "1998-09-30")
 SLICE_SQL = "business_date BETWEEN DATE '1998-09-01' AND DATE '1998-09-30'"
@@ -28,11 +33,11 @@ DEDUP_SLICE_SQL = ("SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PAR
 
 
 def _dedup_slice(spark, d):
-    return rp.dedup_slice(silver(spark, d), "business_date", *SLICE, SILVER_KEYS, ORDER)
+    return rp.dedup_slice(silver(spark, d), "business_date", *SLICE, SILVER_KEYS, order())
 
 
 register("w01_latest_per_key", S(DEDUP_ALL_SQL))(
-    lambda spark, d: rp.latest_per_key(silver(spark, d), SILVER_KEYS, ORDER))
+    lambda spark, d: rp.latest_per_key(silver(spark, d), SILVER_KEYS, order()))
 
 register("w02_dedup_slice", S(DEDUP_SLICE_SQL))(lambda spark, d: _dedup_slice(spark, d)[0])
 
@@ -57,7 +62,7 @@ register("a19_duplicate_detail", S(
 def _coverage(spark, d):
     s = silver(spark, d)
     bronze = rp.date_coverage(s, "business_date", *SLICE, layer="bronze")
-    dedup = rp.date_coverage(rp.latest_per_key(s, SILVER_KEYS, ORDER), "business_date", *SLICE, layer="silver")
+    dedup = rp.date_coverage(rp.latest_per_key(s, SILVER_KEYS, order()), "business_date", *SLICE, layer="silver")
     return bronze.unionByName(dedup)
 
 

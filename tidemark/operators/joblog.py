@@ -59,7 +59,8 @@ LOG_SCHEMA = T.StructType([
     T.StructField("yearmonth", T.StringType(), False),
 ])
 
-_STATUS = F.col("batch_status")
+def _st() -> Column:
+    return F.col("batch_status")
 
 
 def _month(df: DataFrame, yearmonth: str | None) -> DataFrame:
@@ -92,7 +93,7 @@ def unique_by_key(df: DataFrame, keys: list[str], what: str = "change set") -> D
 
 def non_terminal(log: DataFrame, yearmonth: str | None = None, limit: int | None = None) -> DataFrame:
     """P-03: PENDING/PROCESSING rows, oldest first, optional month and limit."""
-    out = _month(log, yearmonth).where(_STATUS.isin(NON_TERMINAL)).orderBy("created_at", "batch_id")
+    out = _month(log, yearmonth).where(_st().isin(NON_TERMINAL)).orderBy("created_at", "batch_id")
     return out.limit(limit) if limit else out
 
 
@@ -104,13 +105,13 @@ def batch_by_id(log: DataFrame, batch_id: str) -> DataFrame:
 def stuck_batches(log: DataFrame, as_of, hours: float = 24, yearmonth: str | None = None) -> DataFrame:
     """P-05: non-terminal and not updated for more than ``hours`` before ``as_of``."""
     return (_month(log, yearmonth)
-            .where(_STATUS.isin(NON_TERMINAL) & (F.col("updated_at") < hours_before(as_of, hours)))
+            .where(_st().isin(NON_TERMINAL) & (F.col("updated_at") < hours_before(as_of, hours)))
             .orderBy("updated_at", "batch_id"))
 
 
 def failed_for_resubmit(log: DataFrame, yearmonth: str) -> DataFrame:
     """P-06: FAILED rows of one month."""
-    return _month(log, yearmonth).where(_STATUS == FAILED)
+    return _month(log, yearmonth).where(_st() == FAILED)
 
 
 def retry_eligibility(log: DataFrame, ids: DataFrame) -> DataFrame:
@@ -123,7 +124,7 @@ def retry_eligibility(log: DataFrame, ids: DataFrame) -> DataFrame:
 
 def results_export(log: DataFrame, yearmonth: str | None = None) -> DataFrame:
     """P-13: export projection of finished batches, newest completion first."""
-    return (_month(log, yearmonth).where(_STATUS.isin(COMPLETED, FAILED))
+    return (_month(log, yearmonth).where(_st().isin(COMPLETED, FAILED))
             .select("batch_id", "jsonl_file_path", "batch_status", "total_prompts",
                     "completed_prompts", "failed_prompts", "model_id", "output_s3_uri", "yearmonth",
                     F.to_date("submitted_at").alias("submission_date"),
@@ -201,7 +202,7 @@ def retention_split(log: DataFrame, as_of, days_to_keep: int = 90, yearmonth: st
                     statuses=tuple(RETENTION_STATUSES)) -> tuple[DataFrame, DataFrame]:
     """J-05: (kept, removed). Removed = finished in ``statuses`` with
     ``completed_at`` older than ``days_to_keep`` days (month filter honoured)."""
-    pred = (F.col("completed_at") < days_before(as_of, days_to_keep)) & _STATUS.isin(list(statuses))
+    pred = (F.col("completed_at") < days_before(as_of, days_to_keep)) & _st().isin(list(statuses))
     if yearmonth:
         pred = pred & (F.col("yearmonth") == F.lit(yearmonth))
     pred = F.coalesce(pred, F.lit(False))
@@ -234,12 +235,12 @@ def increment_retry(log: DataFrame, ids: DataFrame, as_of) -> DataFrame:
 def fail_stuck(log: DataFrame, as_of, hours: float = 24, yearmonth: str | None = None) -> DataFrame:
     """J-07: mark stuck rows FAILED with a message naming the old status and
     the threshold; one projection over the log."""
-    stuck = _STATUS.isin(NON_TERMINAL) & (F.col("updated_at") < hours_before(as_of, hours))
+    stuck = _st().isin(NON_TERMINAL) & (F.col("updated_at") < hours_before(as_of, hours))
     if yearmonth:
         stuck = stuck & (F.col("yearmonth") == F.lit(yearmonth))
     stuck = F.coalesce(stuck, F.lit(False))
     h = int(hours) if float(hours).is_integer() else hours
-    msg = F.concat(F.lit("Batch stuck in "), _STATUS, F.lit(f" status for over {h} hours"))
+    msg = F.concat(F.lit("Batch stuck in "), _st(), F.lit(f" status for over {h} hours"))
     now = ts_lit(as_of)
     repl = {"batch_status": F.lit(FAILED), "error_message": msg, "updated_at": now, "completed_at": now}
     return log.select(*[F.when(stuck, repl[c]).otherwise(F.col(c)).alias(c) if c in repl else F.col(c)
@@ -280,10 +281,10 @@ def apply_status_snapshot(log: DataFrame, snapshot: DataFrame, as_of) -> DataFra
     hit = F.coalesce(F.col("__hit"), F.lit(False))
     err = hit & F.col("__err").isNotNull()
     mapped = map_source_state(F.col("__state"))
-    changed = hit & ~err & mapped.isNotNull() & (mapped != _STATUS)
+    changed = hit & ~err & mapped.isNotNull() & (mapped != _st())
     can_retry = F.col("retry_count") < F.col("max_retries")
     give_up = err & ~can_retry
-    new_status = F.when(changed, mapped).when(give_up, F.lit(FAILED)).otherwise(_STATUS)
+    new_status = F.when(changed, mapped).when(give_up, F.lit(FAILED)).otherwise(_st())
     out = []
     for c in log.columns:
         if c == "batch_status":
@@ -387,7 +388,7 @@ def status_statistics(log: DataFrame, yearmonth: str | None = None) -> DataFrame
 
 def _rate(status: str) -> Column:
     total = F.count(F.lit(1))
-    return F.when(total > 0, F.count(F.when(_STATUS == status, 1)) * 100.0 / total).otherwise(F.lit(0.0))
+    return F.when(total > 0, F.count(F.when(_st() == status, 1)) * 100.0 / total).otherwise(F.lit(0.0))
 
 
 def completion_rate(log: DataFrame, yearmonth: str | None = None) -> DataFrame:
@@ -404,7 +405,7 @@ def average_processing_hours(log: DataFrame, yearmonth: str | None = None) -> Da
     """A-04: mean submitted->completed hours over COMPLETED rows with both times."""
     return (_month(log, yearmonth)
             .where(F.col("completed_at").isNotNull() & F.col("submitted_at").isNotNull()
-                   & (_STATUS == COMPLETED))
+                   & (_st() == COMPLETED))
             .agg(F.avg(hours_between("submitted_at", "completed_at")).alias("avg_hours")))
 
 
@@ -444,7 +445,7 @@ def error_summary(log: DataFrame, limit: int = 10) -> DataFrame:
 
 def active_batches(log: DataFrame) -> DataFrame:
     """A-08: dashboard of PENDING/PROCESSING rows."""
-    return (log.where(_STATUS.isin(NON_TERMINAL)).groupBy("batch_status")
+    return (log.where(_st().isin(NON_TERMINAL)).groupBy("batch_status")
             .agg(F.count(F.lit(1)).alias("count"), _bigint_sum("total_prompts").alias("total_prompts"),
                  _bigint_sum("completed_prompts").alias("completed_prompts"),
                  F.round(F.avg("retry_count"), 2).alias("avg_retries")))
@@ -453,7 +454,7 @@ def active_batches(log: DataFrame) -> DataFrame:
 def completion_trend(log: DataFrame, as_of, days: int = 30) -> DataFrame:
     """A-09: completions per day over the last ``days`` days."""
     start = F.date_sub(F.to_date(ts_lit(as_of)), days)
-    return (log.where((F.col("completed_at") >= start) & (_STATUS == COMPLETED))
+    return (log.where((F.col("completed_at") >= start) & (_st() == COMPLETED))
             .groupBy(F.to_date("completed_at").alias("date"))
             .agg(F.count(F.lit(1)).alias("batches_completed"),
                  _bigint_sum("total_prompts").alias("prompts_processed"),
@@ -469,7 +470,7 @@ def failure_analysis(log: DataFrame, top: int = 20) -> DataFrame:
     would have to sit in one task. The top-k side is tiny and fixed in size
     (``top`` rows), so it is broadcast into a semi-join with the log.
     """
-    failed = log.where((_STATUS == FAILED) & F.col("error_message").isNotNull())
+    failed = log.where((_st() == FAILED) & F.col("error_message").isNotNull())
     head = (failed.groupBy("error_message")
             .agg(F.count(F.lit(1)).alias("count"), F.max("updated_at").alias("last_occurrence"))
             .orderBy(F.col("count").desc(), "error_message").limit(top))
@@ -481,9 +482,9 @@ def efficiency_by_model(log: DataFrame) -> DataFrame:
     """A-11: per model: batches, completed, failed, mean hours of completed, mean retries."""
     return (log.groupBy("model_id")
             .agg(F.count(F.lit(1)).alias("total_batches"),
-                 F.count(F.when(_STATUS == COMPLETED, 1)).alias("completed"),
-                 F.count(F.when(_STATUS == FAILED, 1)).alias("failed"),
-                 F.round(F.avg(F.when(_STATUS == COMPLETED, hours_between("submitted_at", "completed_at"))), 2)
+                 F.count(F.when(_st() == COMPLETED, 1)).alias("completed"),
+                 F.count(F.when(_st() == FAILED, 1)).alias("failed"),
+                 F.round(F.avg(F.when(_st() == COMPLETED, hours_between("submitted_at", "completed_at"))), 2)
                  .alias("avg_completion_hours"),
                  F.round(F.avg("retry_count"), 2).alias("avg_retries")))
 
@@ -500,9 +501,9 @@ def monthly_summary(log: DataFrame) -> DataFrame:
     """A-13: one row per month, newest first."""
     return (log.groupBy("yearmonth")
             .agg(F.count(F.lit(1)).alias("total_batches"),
-                 F.count(F.when(_STATUS == COMPLETED, 1)).alias("completed"),
-                 F.count(F.when(_STATUS == FAILED, 1)).alias("failed"),
-                 F.count(F.when(_STATUS.isin(NON_TERMINAL), 1)).alias("in_progress"),
+                 F.count(F.when(_st() == COMPLETED, 1)).alias("completed"),
+                 F.count(F.when(_st() == FAILED, 1)).alias("failed"),
+                 F.count(F.when(_st().isin(NON_TERMINAL), 1)).alias("in_progress"),
                  _bigint_sum("total_prompts").alias("total_prompts"),
                  _bigint_sum("completed_prompts").alias("completed_prompts"),
                  F.min("created_at").alias("first_batch_date"),
@@ -511,7 +512,7 @@ def monthly_summary(log: DataFrame) -> DataFrame:
 
 
 def _stuck_pred(as_of, hours) -> Column:
-    return _STATUS.isin(NON_TERMINAL) & (F.col("updated_at") < hours_before(as_of, hours))
+    return _st().isin(NON_TERMINAL) & (F.col("updated_at") < hours_before(as_of, hours))
 
 
 def system_health(log: DataFrame, as_of, yearmonth: str | None = None, hours: float = 24,
@@ -519,10 +520,10 @@ def system_health(log: DataFrame, as_of, yearmonth: str | None = None, hours: fl
     """A-14: one pass: stuck, pending, processing, failed, completed, healthy."""
     h = _month(log, yearmonth).agg(
         F.count(F.when(_stuck_pred(as_of, hours), 1)).alias("stuck_batches"),
-        F.count(F.when(_STATUS == PENDING, 1)).alias("pending"),
-        F.count(F.when(_STATUS == PROCESSING, 1)).alias("processing"),
-        F.count(F.when(_STATUS == FAILED, 1)).alias("failed"),
-        F.count(F.when(_STATUS == COMPLETED, 1)).alias("completed"))
+        F.count(F.when(_st() == PENDING, 1)).alias("pending"),
+        F.count(F.when(_st() == PROCESSING, 1)).alias("processing"),
+        F.count(F.when(_st() == FAILED, 1)).alias("failed"),
+        F.count(F.when(_st() == COMPLETED, 1)).alias("completed"))
     return h.withColumn("is_healthy", (F.col("stuck_batches") == 0)
                         & (F.col("failed") < F.col("completed") * F.lit(max_failed_share)))
 
@@ -533,7 +534,7 @@ def month_dashboard(log: DataFrame, as_of, yearmonth: str, hours: float = 24) ->
     return _month(log, yearmonth).agg(
         F.lit(yearmonth).alias("yearmonth"),
         total.alias("total_batches"),
-        F.when(total > 0, F.count(F.when(_STATUS == COMPLETED, 1)) * 100.0 / total)
+        F.when(total > 0, F.count(F.when(_st() == COMPLETED, 1)) * 100.0 / total)
         .otherwise(F.lit(0.0)).alias("progress_pct"),
         F.count(F.when(_stuck_pred(as_of, hours), 1)).alias("stuck_count"))
 
@@ -557,13 +558,13 @@ def status_report(log: DataFrame, as_of, yearmonth: str | None = None, top_error
     overall = m.agg(
         total.alias("total_batches"), _bigint_sum("total_prompts").alias("total_prompts"),
         _bigint_sum("completed_prompts").alias("completed_prompts"),
-        F.when(total > 0, F.count(F.when(_STATUS == COMPLETED, 1)) * 100.0 / total).otherwise(0.0)
+        F.when(total > 0, F.count(F.when(_st() == COMPLETED, 1)) * 100.0 / total).otherwise(0.0)
         .alias("completion_rate"),
-        F.when(total > 0, F.count(F.when(_STATUS == FAILED, 1)) * 100.0 / total).otherwise(0.0)
+        F.when(total > 0, F.count(F.when(_st() == FAILED, 1)) * 100.0 / total).otherwise(0.0)
         .alias("failure_rate"),
-        F.avg(F.when((_STATUS == COMPLETED) & F.col("submitted_at").isNotNull(),
+        F.avg(F.when((_st() == COMPLETED) & F.col("submitted_at").isNotNull(),
                      hours_between("submitted_at", "completed_at"))).alias("avg_processing_hours"),
-        F.count(F.when(_STATUS.isin(NON_TERMINAL), 1)).alias("open_batches"))
+        F.count(F.when(_st().isin(NON_TERMINAL), 1)).alias("open_batches"))
     parts = [longify(overall, "overall", F.lit(None), ["total_batches", "total_prompts",
                                                         "completed_prompts", "completion_rate",
                                                         "failure_rate", "avg_processing_hours",

@@ -39,11 +39,12 @@ def token_count_udf(count_fn):
     built-in :func:`estimate_tokens` stays the default (JVM-side)."""
     import pandas as pd
 
-    @F.pandas_udf(T.LongType())
-    def count(s: pd.Series) -> pd.Series:
+    def count(s):
         return s.map(lambda x: 0 if x is None else int(count_fn(x))).astype("int64")
 
-    return count
+    # real (not string) hints, so the Series -> Series form is recognised
+    count.__annotations__ = {"s": pd.Series, "return": pd.Series}
+    return F.pandas_udf(count, T.LongType())
 
 
 def hash_bucket(id_col, buckets: int) -> Column:
