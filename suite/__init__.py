@@ -12,7 +12,8 @@ import importlib
 QUERIES: dict = {}
 SQL: dict = {}
 _MODULES = ["suite.joblog", "suite.repair", "suite.merge", "suite.quality", "suite.drift",
-            "suite.names", "suite.requests", "suite.loading", "suite.scalars"]
+            "suite.names", "suite.requests", "suite.loading", "suite.scalars", "suite.schema",
+            "suite.ingest"]
 
 
 def register(name: str, sql: str | None = None):

@@ -164,6 +164,18 @@ def type_category(dt: T.DataType) -> str:
     return "other"
 
 
+def type_category_expr(type_name) -> Column:
+    """T-04 over type *names* (``simpleString`` form, e.g. column metadata)."""
+    t = F.lower(F.trim(F.col(type_name) if isinstance(type_name, str) else type_name))
+    return (F.when(t.rlike(r"^(string|varchar|char)"), "string")
+            .when(t == "date", "date")
+            .when(t.rlike(r"^timestamp"), "timestamp")
+            .when(t.isin("tinyint", "smallint", "int", "bigint"), "integer")
+            .when(t.isin("float", "double") | t.startswith("decimal"), "decimal")
+            .when(t == "boolean", "boolean")
+            .otherwise("other"))
+
+
 def convert_expr(c: Column, current: T.DataType, target: T.DataType, fmt: str | None = None) -> Column:
     """T-05: expression converting ``c`` from ``current`` to ``target``.
 

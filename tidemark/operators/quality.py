@@ -61,6 +61,23 @@ def schemas_equal(expected: T.StructType, actual: T.StructType) -> bool:
     return all(s == "PASS" for *_, s in schema_diff(expected, actual))
 
 
+def schema_check(spark: SparkSession, expected: T.StructType, actual: T.StructType) -> DataFrame:
+    """Q-02 as data: one row per column (column_name, expected_type,
+    actual_type, status)."""
+    return spark.createDataFrame(schema_diff(expected, actual),
+                                 "column_name string, expected_type string, actual_type string, status string")
+
+
+def type_preservation(source: DataFrame, target: DataFrame) -> DataFrame:
+    """Q-14: per source column, its type on both sides and whether the
+    target kept it (exact type, nullability ignored)."""
+    tt = {f.name: f.dataType for f in target.schema.fields}
+    rows = [(f.name, f.dataType.simpleString(), tt[f.name].simpleString() if f.name in tt else None,
+             f.name in tt and tt[f.name] == f.dataType) for f in source.schema.fields]
+    return source.sparkSession.createDataFrame(
+        rows, "column_name string, source_type string, target_type string, preserved boolean")
+
+
 def null_checks(df: DataFrame, cols: list[str]) -> DataFrame:
     """Q-03: one pass; per column ``no_nulls:<col>`` with the null count."""
     agg = df.agg(*[F.count(F.when(F.col(c).isNull(), 1)).alias(c) for c in cols])

@@ -71,3 +71,18 @@ def incremental_load(spark: SparkSession, source: str, partition_col: str, mappi
     staged = io.stage(add_load_metadata(df, as_of, source, version))
     io.append(staged, target, [partition_col])
     return partition_counts(staged, partition_col)
+
+
+def partition_status(parts: DataFrame, failed: DataFrame, partition_col: str) -> DataFrame:
+    """A-29: records and status per partition: ``loaded`` with the count
+    read back from the target, ``failed`` with 0 and the error text."""
+    # partition values compare as strings (D-19): a read-back infers types
+    parts = parts.withColumn(partition_col, F.col(partition_col).cast("string"))
+    failed = failed.withColumn(partition_col, F.col(partition_col).cast("string"))
+    ok = parts.select(partition_col, "record_count", F.lit("loaded").alias("status"),
+                      F.lit(None).cast("string").alias("error"))
+    bad = (failed.join(parts.select(partition_col), partition_col, "left_anti")
+           .groupBy(partition_col).agg(F.min("error").alias("error"))
+           .select(partition_col, F.lit(0).cast("long").alias("record_count"), F.lit("failed").alias("status"),
+                   "error"))
+    return ok.unionByName(bad)

@@ -21,7 +21,7 @@ from tidemark.sources import io
 RESULT_SCHEMA = ("table_name string, partition_loaded string, status string, rows long, "
                  "columns int, error string")
 LOG_SCHEMA = ("job_run_id string, run_date date, partition_loaded string, tables_processed int, "
-              "run_timestamp timestamp_ntz")
+              "rows_loaded long, run_timestamp timestamp_ntz")
 DAY_COLS = ["year", "month", "day"]
 
 
@@ -142,10 +142,11 @@ def load_today(spark: SparkSession, tables: list[TableLoad], as_of: dt.datetime,
 
 
 def log_execution(spark: SparkSession, log_path: str, job_run_id: str, run_date: dt.date,
-                  partition_loaded: str, tables_processed: int, run_timestamp: dt.datetime) -> DataFrame:
+                  partition_loaded: str, tables_processed: int, run_timestamp: dt.datetime,
+                  rows_loaded: int | None = None) -> DataFrame:
     """A-30: append one load-log row with an explicit schema."""
-    row = spark.createDataFrame([(job_run_id, run_date, partition_loaded, tables_processed, run_timestamp)],
-                                LOG_SCHEMA)
+    row = spark.createDataFrame([(job_run_id, run_date, partition_loaded, tables_processed, rows_loaded,
+                                  run_timestamp)], LOG_SCHEMA)
     row.write.mode("append").parquet(log_path)
     return row
 

@@ -103,6 +103,15 @@ def column_metadata(tables: dict[str, DataFrame]) -> DataFrame:
                                        "nullable boolean, ordinal_position int")
 
 
+def read_catalog(spark: SparkSession, table: str | None = None, query: str | None = None,
+                 args: dict | None = None) -> DataFrame:
+    """S-03: a catalog table (``spark.table``) or a query over the catalog;
+    values are bound as named parameters, never pasted into the text."""
+    if (table is None) == (query is None):
+        raise ValueError("give exactly one of table or query")
+    return spark.table(table) if table is not None else spark.sql(query, args=args or {})
+
+
 def table_work_list(spark: SparkSession, database: str | None = None) -> DataFrame:
     """S-08: catalog tables as a work list (name, database, type, temporary)."""
     rows = [(t.name, t.database, t.tableType, t.isTemporary) for t in spark.catalog.listTables(database)]
