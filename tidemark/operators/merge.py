@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.hashing import row_hash
+from tidemark.functions.hashing import row_hash, row_hash64
 
 
 def _key_cond(left: DataFrame, right: DataFrame, keys: list[str], null_safe: bool) -> Column:
@@ -135,30 +135,47 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
     return F.broadcast(df) if n <= max_rows else df
 
 
+def _join_null_safe(left: DataFrame, right: DataFrame, cols: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``cols`` where NULL matches NULL; keeps ``left``'s copy."""
+    r = right.select(*[F.col(c).alias(f"__r_{c}") for c in right.columns])
+    cond = reduce(lambda a, b: a & b, [left[c].eqNullSafe(r[f"__r_{c}"]) for c in cols])
+    rest = [F.col(f"__r_{c}").alias(c) for c in right.columns if c not in cols]
+    return left.join(r, cond, how).select(*[left[c] for c in left.columns], *rest)
+
+
 def change_feed(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """J-16: row-level changes from ``old`` to ``new`` as one full outer join.
+    """J-16: row-level changes from ``old`` to ``new``.
 
     Output: the new table's columns plus ``_change_type`` in insert / delete
     / update_preimage / update_postimage. Unchanged rows are omitted.
+
+    Plan: only (keys, 64-bit row fingerprint) of both sides are shuffled and
+    compared in one partial aggregation, so unchanged rows never move whole
+    and a key repeated on many rows is combined per task before the shuffle.
+    The changed (key, fingerprint) pairs -- usually a small set that AQE
+    broadcasts at runtime -- then select the full rows of each side. There
+    is no full outer join (AQE cannot split skew in one, and it pairs every
+    row of a repeated key). Keys are expected unique per side, as for MERGE.
     """
     values = [c for c in new.columns if c not in keys]
-    o = old.select(*keys, *[F.col(c).alias(f"__o_{c}") for c in values],
-                   row_hash(values).alias("__oh"))
-    n = new.select(*keys, *[F.col(c).alias(f"__n_{c}") for c in values],
-                   row_hash(values).alias("__nh"))
-    j = o.join(n, keys, "full")
-
-    def image(prefix, kind):
-        return F.struct(*[F.col(k) for k in keys], *[F.col(f"{prefix}{c}").alias(c) for c in values],
-                        F.lit(kind).alias("_change_type"))
-
-    ins = F.col("__oh").isNull()
-    dele = F.col("__nh").isNull()
-    upd = ~ins & ~dele & (F.col("__oh") != F.col("__nh"))
-    changes = (F.when(ins, F.array(image("__n_", "insert")))
-               .when(dele, F.array(image("__o_", "delete")))
-               .when(upd, F.array(image("__o_", "update_preimage"), image("__n_", "update_postimage"))))
-    return j.where(ins | dele | upd).select(F.explode(changes).alias("r")).select("r.*")
+    h = row_hash64(values).alias("__h")
+    sides = (old.select(*keys, h, F.lit(1).alias("__o"), F.lit(0).alias("__n"))
+             .unionByName(new.select(*keys, h, F.lit(0).alias("__o"), F.lit(1).alias("__n"))))
+    diff = (sides.groupBy(*keys, "__h").agg(F.sum("__o").alias("__o"), F.sum("__n").alias("__n"))
+            .where(F.col("__o") != F.col("__n")))
+    kinds = diff.groupBy(*keys).agg(F.max(F.col("__o") > F.col("__n")).alias("__has_old"),
+                                   F.max(F.col("__n") > F.col("__o")).alias("__has_new"))
+    typed = _join_null_safe(diff, kinds, keys)
+    old_kind = F.when(F.col("__has_new"), F.lit("update_preimage")).otherwise(F.lit("delete"))
+    new_kind = F.when(F.col("__has_old"), F.lit("update_postimage")).otherwise(F.lit("insert"))
+    out = [*keys, *values, "_change_type"]
+    gone = _join_null_safe(old.select(*keys, *values, h),
+                           typed.where(F.col("__o") > F.col("__n")).select(*keys, "__h", old_kind.alias("_change_type")),
+                           keys + ["__h"])
+    came = _join_null_safe(new.select(*keys, *values, h),
+                           typed.where(F.col("__n") > F.col("__o")).select(*keys, "__h", new_kind.alias("_change_type")),
+                           keys + ["__h"])
+    return gone.select(*out).unionByName(came.select(*out))
 
 
 def apply_change_feed(old: DataFrame, feed: DataFrame, keys: list[str]) -> DataFrame:
