@@ -155,3 +155,10 @@ def test_manifest_and_interchange(spark, tmp_dir):
     assert set(back.columns) == {"Customer-ID", "Nhóm_B", "B_T-1"}       # NULL field kept
     m = io.extraction_manifest(df, "sys", "db", "t", "v1", dt.datetime(2024, 1, 1)).collect()[0]
     assert m.row_count == 1 and "Nhóm_B" in m.data_types_mapping
+
+
+def test_bucket_count_sizes_from_bytes(spark):
+    df = spark.createDataFrame([(i, 100) for i in range(50)], "rid int, request_bytes long")
+    assert rq.bucket_count(df, bytes_per_bucket=1000) == 5
+    assert rq.bucket_count(df, bytes_per_bucket=1001) == 5
+    assert rq.bucket_count(df.limit(0), bytes_per_bucket=10) == 1

@@ -80,10 +80,19 @@ def token_limit_split(df: DataFrame, max_tokens: int, token_col: str = "prompt_t
     return df.where(ok), df.where(~ok)
 
 
+def bucket_count(df: DataFrame, bytes_col: str = "request_bytes", bytes_per_bucket: int = 1 << 30) -> int:
+    """How many hash buckets M-03/M-04 should use so that one bucket -- one
+    window task -- holds about ``bytes_per_bucket`` of requests. One
+    aggregation (a partial sum per task, one row to the driver)."""
+    total = df.agg(F.coalesce(F.sum(bytes_col), F.lit(0)).cast("bigint")).first()[0]
+    return max(1, -(-int(total) // int(bytes_per_bucket)))
+
+
 def shard_by_count(df: DataFrame, id_col: str, per_shard: int, buckets: int) -> DataFrame:
     """M-03: shards of at most ``per_shard`` records. ``shard`` =
     ``BBBB-SSSSS`` (bucket, sequence inside the bucket), stable for a given
-    id set and bucket count."""
+    id set and bucket count. Record ids are unique, so the md5 buckets are
+    balanced; size ``buckets`` with :func:`bucket_count` at scale."""
     b = hash_bucket(id_col, buckets)
     w = Window.partitionBy("shard_bucket").orderBy(id_col)
     x = df.withColumn("shard_bucket", b).withColumn("__rn", F.row_number().over(w))
@@ -104,7 +113,8 @@ def shard_by_budget(df: DataFrame, id_col: str, buckets: int, token_col: str = "
     a record is ``floor((running - own) / budget)`` per measure, and a new
     shard starts whenever either index moves. Every shard therefore holds less
     than ``budget + one record`` of each measure; pass ``budget = cap -
-    largest record`` for a hard cap.
+    largest record`` for a hard cap. Each bucket is one window partition;
+    :func:`bucket_count` sizes ``buckets`` from the data.
     """
     if token_budget is None and byte_budget is None:
         raise ValueError("give token_budget and/or byte_budget")
