@@ -68,19 +68,30 @@ def delete_where(target: DataFrame, pred: Column) -> DataFrame:
 
 def column_compare(src: DataFrame, dst: DataFrame, id_col: str, cols: list[str]) -> DataFrame:
     """J-11: per compared column: matches, mismatches (NULL = NULL is a match,
-    D-22), ids only in source, ids only in destination; one row per column."""
-    s = src.select(id_col, *[F.col(c).alias(f"__s_{c}") for c in cols], F.lit(True).alias("__in_s"))
-    d = dst.select(id_col, *[F.col(c).alias(f"__d_{c}") for c in cols], F.lit(True).alias("__in_d"))
-    j = s.join(d, id_col, "full")
-    both = F.col("__in_s").isNotNull() & F.col("__in_d").isNotNull()
+    D-22), ids only in source, ids only in destination; one row per column.
+
+    Both sides are tagged and unioned, then grouped by id (a partial
+    aggregation: a repeated id is combined per task before the shuffle) --
+    no full outer join, which AQE cannot split when one id is hot. Ids are
+    expected unique per side."""
+    def side(df, mine, other, flag):
+        return df.select(id_col, *[F.col(c).alias(f"__{mine}_{c}") for c in cols],
+                         *[F.lit(None).cast(df.schema[c].dataType).alias(f"__{other}_{c}") for c in cols],
+                         *[F.lit(int(flag == f)).alias(f) for f in ("__in_s", "__in_d")])
+    d_side = side(dst, "d", "s", "__in_d")
+    s_side = side(src, "s", "d", "__in_s").select(*d_side.columns)
+    per_id = (s_side.unionByName(d_side).groupBy(id_col)
+              .agg(*[F.max(f"__{p}_{c}").alias(f"__{p}_{c}") for c in cols for p in ("s", "d")],
+                   F.max("__in_s").alias("__in_s"), F.max("__in_d").alias("__in_d")))
+    both = (F.col("__in_s") == 1) & (F.col("__in_d") == 1)
     aggs = []
     for c in cols:
         eq = F.col(f"__s_{c}").eqNullSafe(F.col(f"__d_{c}"))
         aggs += [F.count(F.when(both & eq, 1)).alias(f"{c}__match"),
                  F.count(F.when(both & ~eq, 1)).alias(f"{c}__mismatch")]
-    aggs += [F.count(F.when(F.col("__in_d").isNull(), 1)).alias("__only_s"),
-             F.count(F.when(F.col("__in_s").isNull(), 1)).alias("__only_d")]
-    wide = j.agg(*aggs)
+    aggs += [F.count(F.when(F.col("__in_d") == 0, 1)).alias("__only_s"),
+             F.count(F.when(F.col("__in_s") == 0, 1)).alias("__only_d")]
+    wide = per_id.agg(*aggs)
     return wide.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column_name"), F.col(f"{c}__match").alias("matches"),
                  F.col(f"{c}__mismatch").alias("mismatches"),
@@ -109,19 +120,20 @@ def reuse_split(current: DataFrame, previous: DataFrame, keys: list[str],
 
 def reconcile_results(requests: DataFrame, results: DataFrame, id_col: str,
                       error_col: str | None = None) -> DataFrame:
-    """J-14: join results back to requests on the record id: each id gets
-    ``ok``, ``failed`` (result carries an error), ``missing`` (no result) or
-    ``extra`` (result without request)."""
-    r = requests.select(id_col, F.lit(True).alias("__req"))
-    cols = [id_col, F.lit(True).alias("__res")]
-    if error_col:
-        cols.append(F.col(error_col).alias("__err"))
-    o = results.select(*cols)
-    j = r.join(o, id_col, "full")
-    status = (F.when(F.col("__res").isNull(), "missing").when(F.col("__req").isNull(), "extra"))
-    if error_col:
-        status = status.when(F.col("__err").isNotNull(), "failed")
-    return j.select(id_col, status.otherwise("ok").alias("status"))
+    """J-14: reconcile results with requests on the record id: each id gets
+    ``ok``, ``failed`` (a result carries an error), ``missing`` (no result)
+    or ``extra`` (result without request). One row per id, from a union
+    grouped by id (partial aggregation; an id retried many times is combined
+    per task), not a full outer join."""
+    err = F.col(error_col).isNotNull().cast("int") if error_col else F.lit(0)
+    tagged = (requests.select(id_col, F.lit(1).alias("__req"), F.lit(0).alias("__res"), F.lit(0).alias("__err"))
+              .unionByName(results.select(id_col, F.lit(0).alias("__req"), F.lit(1).alias("__res"),
+                                          err.alias("__err"))))
+    g = tagged.groupBy(id_col).agg(F.max("__req").alias("__req"), F.max("__res").alias("__res"),
+                                   F.max("__err").alias("__err"))
+    status = (F.when(F.col("__res") == 0, "missing").when(F.col("__req") == 0, "extra")
+              .when(F.col("__err") == 1, "failed").otherwise("ok"))
+    return g.select(id_col, status.alias("status"))
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
