@@ -82,7 +82,9 @@ def _by_budget(spark, d):
 
 register("m04_shard_by_budget", M04_SQL)(_by_budget)
 
-register("m05_hash_prefix")(
+register("m05_hash_prefix",
+         "SELECT doc_id, lang, lpad(CAST(CAST(('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8)) AS BIGINT) % 100 "
+         f"AS VARCHAR), 2, '0') AS hash_prefix, '{RUN}' AS run_id FROM documents")(
     lambda spark, d: read_table(spark, d, "documents").select(
         "doc_id", "lang", rq.hash_prefix("doc_id").alias("hash_prefix"), F.lit(RUN).alias("run_id")))
 

@@ -137,8 +137,9 @@ def shard_by_budget(df: DataFrame, id_col: str, buckets: int, token_col: str = "
 
 
 def hash_prefix(id_col, width: int = 2) -> Column:
-    """M-05: ``00``..``99`` prefix of a record id (xxhash64, JVM-side)."""
-    return F.lpad(F.pmod(F.xxhash64(_c(id_col)), F.lit(10 ** width)).cast("string"), width, "0")
+    """M-05: ``00``..``99`` prefix of a record id, from the same md5 bucket
+    as the shards (JVM-side, reproducible in any engine that has md5)."""
+    return F.lpad(hash_bucket(id_col, 10 ** width).cast("string"), width, "0")
 
 
 def shard_manifest(sharded: DataFrame, run_id: str, input_prefix: str, output_prefix: str,
