@@ -136,7 +136,8 @@ def i05(spark, d):
 
 # ------------------------------------------------------------------- S-*
 
-@register("s02_read_by_format")
+@register("s02_read_by_format", " UNION ALL ".join(
+    f"SELECT '{f}' AS format, COUNT(*) AS rows FROM customer" for f in ("csv", "json", "orc", "parquet")))
 def s02(spark, d):
     base = scratch(spark, "s02")
     c = read_table(spark, d, "customer")
@@ -311,7 +312,12 @@ def s22(spark, d):
     return spark.read.parquet(path).groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("lines"))
 
 
-register("s23_manifest")(
+register("s23_manifest",
+         "SELECT 'orders_db' AS source_system, 'sales' AS source_database, 'orders' AS source_table, "
+         "'2024-02-01T00:00:00Z' AS extraction_timestamp, COUNT(*) AS row_count, 'v1' AS schema_version, "
+         "'{\"o_orderkey\": \"bigint\", \"o_custkey\": \"bigint\", \"o_orderstatus\": \"string\", "
+         "\"o_totalprice\": \"double\", \"o_orderdate\": \"timestamp_ntz\", \"o_orderpriority\": \"string\"}' "
+         "AS data_types_mapping FROM orders")(
     lambda spark, d: io.extraction_manifest(read_table(spark, d, "orders"), "orders_db", "sales", "orders", "v1",
                                             dt.datetime(2024, 2, 1)))
 
@@ -357,7 +363,9 @@ def t10(spark, d):
     return out["summary"]
 
 
-@register("t11_incremental_load")
+@register("t11_incremental_load",
+          "SELECT CAST(year(o_orderdate) AS VARCHAR) AS report_date, COUNT(*) AS record_count FROM orders "
+          "WHERE year(o_orderdate) > 1998 GROUP BY 1")
 def t11(spark, d):
     from suite.drift import FORMATS, MAPPING, PART, write_drifting_source
     src = write_drifting_source(spark, d)
