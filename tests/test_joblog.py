@@ -137,3 +137,24 @@ def test_failure_analysis_is_long_form(spark):
                        for i in range(9)])
     out = jl.failure_analysis(log, top=1).collect()
     assert {r.error_message for r in out} == {"e1"} and len(out) == 6
+
+
+def test_status_cycle_persists_and_summarises_from_staged_poll(spark, tmp_dir):
+    import os
+    from tidemark.plans.status_cycle import status_cycle
+    path = os.path.join(tmp_dir, "log")
+    _log(spark, [
+        {"batch_id": "a", "batch_status": "PENDING", "updated_at": AS_OF - dt.timedelta(hours=1)},
+        {"batch_id": "b", "batch_status": "PROCESSING", "updated_at": AS_OF - dt.timedelta(hours=1)},
+        {"batch_id": "c", "batch_status": "PROCESSING", "updated_at": AS_OF - dt.timedelta(hours=30)},
+        {"batch_id": "d", "batch_status": "COMPLETED", "updated_at": AS_OF - dt.timedelta(days=2)},
+    ]).write.partitionBy("yearmonth").parquet(path)
+    snap = spark.createDataFrame([("a", "Completed", None), ("b", None, "Throttled")],
+                                 "batch_id string, source_status string, poll_error string")
+    out = status_cycle(spark, path, snap, AS_OF, "202403", 24)
+    got = {r.batch_id: (r.batch_status, r.retry_count) for r in spark.read.parquet(path).collect()}
+    assert got == {"a": ("COMPLETED", 0), "b": ("PROCESSING", 1), "c": ("FAILED", 0), "d": ("COMPLETED", 0)}
+    summary = {(r.metric, r.status): r.value for r in out["poll_summary"].collect()}
+    assert summary[("updated", None)] == 1 and summary[("errors", None)] == 1
+    stats = {r.batch_status: r["count"] for r in out["statistics"].collect()}
+    assert stats == {"COMPLETED": 2, "PROCESSING": 1, "FAILED": 1}

@@ -22,7 +22,9 @@ def status_cycle(spark: SparkSession, log_path: str, snapshot: DataFrame, as_of:
                  yearmonth: str | None = None, stuck_hours: float = 24) -> dict:
     log = spark.read.parquet(log_path)
     scope = log.where(F.col("yearmonth") == yearmonth) if yearmonth else log
-    applied = jl.apply_status_snapshot(scope, snapshot, as_of)
+    # Staged before the log is overwritten: the summary must not re-read the
+    # replaced files (it would see the new log, or files that are gone).
+    applied = io.stage(jl.apply_status_snapshot(scope, snapshot, as_of))
     swept = jl.fail_stuck(applied.drop("poll_outcome"), as_of, stuck_hours, yearmonth)
     staged = io.stage(swept.select(*log.columns))
     io.overwrite_partitions(staged, log_path, ["yearmonth"])

@@ -6,6 +6,11 @@ drains what is there and stops, so the job can run on the same schedule as
 the batch loader. Each micro-batch is appended or upserted with the batch
 writers; the checkpoint lives in the shared checkpoint folder so a restarted
 driver resumes where it stopped.
+
+Delivery: ``foreachBatch`` replays a micro-batch whose commit was not
+recorded. Upserts are idempotent (replaying a batch gives the same table);
+appends are at-least-once, like any file append -- use ``mode="upsert"`` on a
+key when a replay must not duplicate rows.
 """
 
 from __future__ import annotations
