@@ -348,12 +348,21 @@ def extraction_manifest(df: DataFrame, source_system: str, source_database: str,
 
 
 def compact(spark: SparkSession, path: str, pred: Column, partition_by: list[str], keys: list[str],
-            files_per_partition: int = 1) -> int:
+            target_file_bytes: int = 512 * 1024 * 1024) -> int:
     """S-25: rewrite the partitions selected by ``pred`` clustered by
-    ``keys``: range-partitioned and sorted, fewer and larger files, same rows."""
+    ``keys``: range-partitioned and sorted, fewer and larger files, same rows.
+
+    The file count follows the slice's size on disk (``_metadata.file_size``
+    of the files it reads, aggregated on the executors): about
+    ``target_file_bytes`` per file and at least one per partition, so a
+    large day is never funnelled into one writer task."""
     target = spark.read.parquet(path)
     sl = target.where(F.coalesce(pred, F.lit(False)))
-    n = max(1, sl.select(*partition_by).distinct().count() * files_per_partition)
+    files = (sl.select(*partition_by, F.col("_metadata.file_path").alias("__f"),
+                       F.col("_metadata.file_size").alias("__s")).distinct())
+    st = files.agg(F.countDistinct(*partition_by).alias("parts"),
+                   F.coalesce(F.sum("__s"), F.lit(0)).alias("bytes")).first()
+    n = max(1, int(st["parts"]), -(-int(st["bytes"]) // int(target_file_bytes)))
     clustered = sl.repartitionByRange(n, *partition_by, *keys).sortWithinPartitions(*partition_by, *keys)
     staged = stage(clustered)
     overwrite_partitions(staged.repartitionByRange(n, *partition_by, *keys)
