@@ -162,3 +162,13 @@ def test_bucket_count_sizes_from_bytes(spark):
     assert rq.bucket_count(df, bytes_per_bucket=1000) == 5
     assert rq.bucket_count(df, bytes_per_bucket=1001) == 5
     assert rq.bucket_count(df.limit(0), bytes_per_bucket=10) == 1
+
+
+def test_single_file_csv_only_under_the_bound(spark, tmp_dir):
+    import glob
+    df = spark.range(0, 500, numPartitions=4)
+    assert io.export_csv(df, f"{tmp_dir}/one", single_file=True, single_file_max_rows=500)
+    assert len(glob.glob(f"{tmp_dir}/one/part-*.csv")) == 1
+    assert not io.export_csv(df, f"{tmp_dir}/many", single_file=True, single_file_max_rows=499)
+    assert len(glob.glob(f"{tmp_dir}/many/part-*.csv")) == 4
+    assert spark.read.option("header", "true").csv(f"{tmp_dir}/many").count() == 500

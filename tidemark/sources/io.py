@@ -248,11 +248,15 @@ def write_upsert(spark: SparkSession, path: str, source: DataFrame, keys: list[s
     return staged.count()
 
 
-def export_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
-    """S-14: CSV with header. ``single_file`` funnels through one task --
-    meant for small reports only."""
-    out = df.coalesce(1) if single_file else df
+def export_csv(df: DataFrame, path: str, single_file: bool = False, single_file_max_rows: int = 1_000_000) -> bool:
+    """S-14: CSV with header. ``single_file`` writes one file through one
+    task, so it is taken only after a bounded row check (``limit(n+1)``);
+    a larger result is written as parallel part files. Returns whether one
+    file was written."""
+    one = single_file and df.limit(single_file_max_rows + 1).count() <= single_file_max_rows
+    out = df.coalesce(1) if one else df
     out.write.mode("overwrite").option("header", "true").csv(path)
+    return one
 
 
 def create_backup(spark: SparkSession, source: DataFrame, pred: Column, base_path: str,
