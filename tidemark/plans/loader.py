@@ -61,6 +61,9 @@ def _apply(spark: SparkSession, cfg: TableLoad, df: DataFrame, newest_first: boo
         # several days in one batch: the newest partition wins per key (W-01)
         order = [F.make_date("year", "month", "day").desc()] + [F.col(c).desc() for c in cfg.order_by]
         src = latest_per_key(df, cfg.merge_keys, order)
+    # The upsert reads its source three times (touched partitions, key check,
+    # union) and the count once more: stage it once in the shared folder.
+    src = io.stage(src)
     io.write_upsert(spark, cfg.target, src, cfg.merge_keys, cfg.partition_by)
     return src.count()
 
