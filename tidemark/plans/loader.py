@@ -52,8 +52,7 @@ def _result(spark: SparkSession, rows: list[tuple]) -> DataFrame:
 
 def _apply(spark: SparkSession, cfg: TableLoad, df: DataFrame, newest_first: bool = False) -> int:
     if cfg.mode == "append":
-        io.append(df, cfg.target, cfg.partition_by)
-        return df.count()
+        return io.append(df, cfg.target, cfg.partition_by)
     if cfg.mode != "upsert":
         raise ValueError(f"unknown mode {cfg.mode}")
     src = df
@@ -134,8 +133,7 @@ def load_today(spark: SparkSession, tables: list[TableLoad], as_of: dt.datetime,
                 if io.path_exists(spark, cfg.target):
                     n = io.write_replace_where(spark, cfg.target, df, pred, cfg.partition_by)
                 else:
-                    io.append(df, cfg.target, cfg.partition_by)
-                    n = df.count()
+                    n = io.append(df, cfg.target, cfg.partition_by)
             else:
                 n = _apply(spark, cfg, df)
             out.append((cfg.table_name, part, "ok", n, len(df.columns), None))

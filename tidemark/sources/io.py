@@ -152,13 +152,17 @@ def parquet_options(compression: str = "snappy", block_size: int = PARQUET_BLOCK
 
 
 def append(df: DataFrame, path: str, partition_by: list[str] | None = None,
-           options: dict | None = None) -> None:
+           options: dict | None = None) -> int:
     """S-10: append; readers use ``mergeSchema`` so new columns show up (old
-    rows read them as NULL)."""
-    w = df.write.mode("append").options(**(options or {}))
+    rows read them as NULL). Returns the rows written, observed during the
+    write itself (no second pass over the source)."""
+    from pyspark.sql import Observation
+    obs = Observation()
+    w = df.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode("append").options(**(options or {}))
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
+    return int(obs.get["rows"])
 
 
 def read_merged(spark: SparkSession, path: str) -> DataFrame:
