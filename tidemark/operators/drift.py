@@ -265,9 +265,11 @@ def failed_partitions(schemas: DataFrame, partition_col: str) -> DataFrame:
 
 def load_aligned(spark: SparkSession, base: str, partition_col: str, mapping: dict[str, T.DataType],
                  formats: dict[str, str] | None = None, only_partitions: DataFrame | None = None,
-                 flag_failures: bool = False) -> DataFrame:
-    """T-08: align and union all partitions -- one scan per distinct schema."""
-    schemas = partition_schemas(spark, base, partition_col)
+                 flag_failures: bool = False, schemas: DataFrame | None = None) -> DataFrame:
+    """T-08: align and union all partitions -- one scan per distinct schema.
+    ``schemas`` (T-01 output) may be passed when the caller already has it."""
+    if schemas is None:
+        schemas = partition_schemas(spark, base, partition_col)
     if only_partitions is not None:
         schemas = schemas.join(only_partitions.select(F.col(partition_col).cast("string").alias(partition_col)),
                                partition_col, "left_semi")

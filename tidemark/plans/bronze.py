@@ -35,19 +35,21 @@ def full_load(spark: SparkSession, source: str, partition_col: str, mapping: dic
     partitioned by ``partition_col``, verify from the written data.
 
     Returns ``{"summary", "validation", "partitions", "nulls"}`` DataFrames."""
-    schemas = dr.partition_schemas(spark, source, partition_col)
+    # footers are read once; the small (partition, column, type) table is
+    # staged and shared by the failure list, the drift report and the load
+    schemas = io.stage(dr.partition_schemas(spark, source, partition_col))
     failed = dr.failed_partitions(schemas, partition_col)
     report = dr.drift_report(schemas, partition_col)
-    df = dr.load_aligned(spark, source, partition_col, mapping, formats)
+    df = dr.load_aligned(spark, source, partition_col, mapping, formats, schemas=schemas)
     validation = dr.validate_target(df, mapping)
     io.overwrite(add_load_metadata(df, as_of, source, version), target, [partition_col])
     written = spark.read.parquet(target)
     parts = partition_counts(written, partition_col)
     nulls = qa.null_profile(written, [c for c in mapping if c in written.columns])
-    n_ok = parts.count()
+    tot = parts.agg(F.count(F.lit(1)).alias("n"), F.sum("record_count").alias("rows")).first()
+    n_ok, rows = tot["n"], tot["rows"] or 0
     n_failed = failed.select(partition_col).distinct().count()
     drifted = sorted({r["column_name"] for r in report.select("column_name").distinct().collect()})
-    rows = parts.agg(F.sum("record_count")).collect()[0][0] or 0
     summary = dr.load_summary(spark, n_ok, n_failed, int(rows), drifted)
     return {"summary": summary, "validation": validation, "partitions": parts, "nulls": nulls,
             "failed": failed}
