@@ -103,6 +103,11 @@ register("l02_custom_order", with_views(
         daily_events(spark, d).groupBy("event_type").agg(F.count(F.lit(1)).alias("events")),
         "event_type", CATS))
 
+register("l03_sample_rows", "SELECT doc_id, lang, n_chars FROM documents "
+         "ORDER BY md5('s1' || CAST(doc_id AS VARCHAR)), doc_id LIMIT 20")(
+    lambda spark, d: rp.sample_rows(read_table(spark, d, "documents").select("doc_id", "lang", "n_chars"),
+                                    20, ["doc_id"], "s1"))
+
 register("l03_top_k", "SELECT c_custkey, c_name, c_acctbal FROM customer "
          "ORDER BY c_acctbal DESC, c_custkey LIMIT 10")(
     lambda spark, d: read_table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal")

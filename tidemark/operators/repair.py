@@ -109,6 +109,14 @@ def with_row_index(df: DataFrame, order: list[str], name: str = "row_index") ->
     return srt.sparkSession.createDataFrame(rdd, schema)
 
 
+def sample_rows(df: DataFrame, n: int, key: list[str], seed: str = "") -> DataFrame:
+    """L-03 (sample): ``n`` rows chosen by an md5 of ``seed`` and the key --
+    reproducible in any engine, and a TakeOrdered (top-k per task, then
+    merged), so no global sort and no full shuffle."""
+    h = F.md5(F.concat(F.lit(seed), F.concat_ws("|", *[F.col(k).cast("string") for k in key])))
+    return df.withColumn("__h", h).orderBy("__h", *key).limit(n).drop("__h")
+
+
 def stride_sample(values: DataFrame, col: str, size: int) -> DataFrame:
     """L-04: every k-th value in sorted order, k = max(1, n // size); the
     first and the last value are always kept (D-23)."""
