@@ -100,6 +100,9 @@ def _schemas(spark, d):
 register("t01_partition_schemas")(
     lambda spark, d: _schemas(spark, d).drop("partition_dir"))
 register("t02_drift_map")(lambda spark, d: dr.drift_map(_schemas(spark, d), PART))
+# T-02 with sampling: footers of every k-th partition only (first and last kept, L-04)
+register("t02_drift_map_sampled")(lambda spark, d: dr.drift_map(
+    dr.partition_schemas(spark, write_drifting_source(spark, d), PART, sample_size=3), PART))
 register("t03_drift_report")(lambda spark, d: dr.drift_report(_schemas(spark, d), PART, 3))
 register("t09_validate_target")(lambda spark, d: dr.validate_target(aligned(spark, d), MAPPING))
 
