@@ -90,3 +90,12 @@ def test_drifting_source_loads_like_its_clean_twin(spark, tmp_dir):
     b = dr.load_aligned(spark, clean_path, "p", mapping)
     cols = ["id", "biz_date", "amount", "customer_id", "p"]
     assert sorted(a.select(*cols).collect()) == sorted(b.select(*cols).collect())
+
+
+def test_row_index_is_consecutive_across_ranges_without_python(spark):
+    from tidemark.operators import repair as rp
+    df = spark.range(0, 1000).select((F.col("id") * 7 % 1000).alias("v"))
+    idx = rp.with_row_index(df, ["v"], "i", partitions=7)
+    assert "Python" not in _plan(idx)
+    got = sorted((r.v, r.i) for r in idx.collect())
+    assert got == [(v, v) for v in range(1000)]

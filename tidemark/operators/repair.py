@@ -99,14 +99,26 @@ def rollup(df: DataFrame, keys: list[str], date_col: str, start, end, aggs: list
     return df.where(in_range(date_col, start, end)).groupBy(*keys, date_col).agg(*aggs)
 
 
-def with_row_index(df: DataFrame, order: list[str], name: str = "row_index") -> DataFrame:
+def with_row_index(df: DataFrame, order: list[str], name: str = "row_index",
+                   partitions: int | None = None) -> DataFrame:
     """Consecutive 0-based index under a global order, computed distributedly
-    (range-partitioned sort, then per-partition offsets) rather than with an
-    un-partitioned window that would pull every row into one task."""
-    srt = df.orderBy(*order)
-    schema = srt.schema.add(name, "long", False)
-    rdd = srt.rdd.zipWithIndex().map(lambda t: tuple(t[0]) + (t[1],))
-    return srt.sparkSession.createDataFrame(rdd, schema)
+    and without leaving the JVM: range-partition on the order, number rows
+    inside each range, prefix-sum the per-range counts (one row per range,
+    broadcast back) and add the offset. No un-partitioned window pulls every
+    row into one task. Equal order values stay in one range, so the order
+    should be (nearly) unique -- as for the distinct values L-04 samples."""
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cols = [F.col(c) for c in order]
+    r = df.repartitionByRange(n, *cols).withColumn("__p", F.spark_partition_id())
+    r = r.withColumn("__rn", F.row_number().over(Window.partitionBy("__p").orderBy(*cols)))
+    offs = (r.groupBy("__p").agg(F.count(F.lit(1)).alias("__c"))
+            .withColumn("__off", F.coalesce(F.sum("__c").over(
+                Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long"))
+            .drop("__c"))
+    return (r.join(F.broadcast(offs), "__p")
+            .withColumn(name, (F.col("__off") + F.col("__rn") - 1).cast("long"))
+            .drop("__p", "__rn", "__off"))
 
 
 def sample_rows(df: DataFrame, n: int, key: list[str], seed: str = "") -> DataFrame:
