@@ -62,9 +62,11 @@ def _apply(spark: SparkSession, cfg: TableLoad, df: DataFrame, newest_first: boo
         src = latest_per_key(df, cfg.merge_keys, order)
     # The upsert reads its source three times (touched partitions, key check,
     # union) and the count once more: stage it once in the shared folder.
-    src = io.stage(src)
+    src, tmp = io.stage_with_path(src)
     io.write_upsert(spark, cfg.target, src, cfg.merge_keys, cfg.partition_by)
-    return src.count()
+    n = src.count()
+    io.delete_path(spark, tmp)
+    return n
 
 
 def load_day(spark: SparkSession, tables: list[TableLoad], day: dt.date) -> DataFrame:

@@ -42,7 +42,7 @@ def safe_replace(spark: SparkSession, path: str, new: DataFrame, pred: Column, p
     """Q-09: replace the slice ``pred`` of the table at ``path`` with ``new``."""
     current = spark.read.parquet(path)
     backup_path, backup_rows = io.create_backup(spark, current, pred, path, backup_suffix)
-    staged = io.stage(new.select(*current.columns))
+    staged, tmp = io.stage_with_path(new.select(*current.columns))
     try:
         checks = qa.raise_on_failure(qa.replacement_gate(current.where(F.coalesce(pred, F.lit(False))),
                                                          staged, critical, tolerance_pct))
@@ -53,6 +53,7 @@ def safe_replace(spark: SparkSession, path: str, new: DataFrame, pred: Column, p
             raise ValueError(f"post-replacement verification failed: {written} != {expected}")
         if compact_keys:
             io.compact(spark, path, pred, partition_by, compact_keys)
+        io.delete_path(spark, tmp)   # the backup stays; the staged copy is no longer needed
         return ReplaceResult(backup_path, backup_rows, expected, written, checks)
     except Exception as e:
         raise ReplaceFailed(str(e), backup_path) from e

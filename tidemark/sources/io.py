@@ -192,10 +192,17 @@ def stage(df: DataFrame, name: str | None = None) -> DataFrame:
     The written copy cuts lineage (a lost executor re-reads files instead of
     recomputing the mutation) and lets a target be overwritten from data
     that no longer depends on it."""
+    return stage_with_path(df, name)[0]
+
+
+def stage_with_path(df: DataFrame, name: str | None = None) -> tuple[DataFrame, str]:
+    """:func:`stage`, also returning the folder so that a writer can remove
+    its intermediate copy once the target is replaced (staged copies of
+    rewritten partitions would otherwise pile up in shared storage)."""
     spark = df.sparkSession
     path = os.path.join(checkpoint_dir(spark), "staging", name or f"stage-{uuid.uuid4().hex}")
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.parquet(path), path
 
 
 def replace_where(target: DataFrame, new: DataFrame, pred: Column) -> DataFrame:
@@ -222,14 +229,16 @@ def write_replace_where(spark: SparkSession, path: str, new: DataFrame, pred: Co
     # they are fixed before the target's files are replaced.
     touched_keys = [tuple(r) for r in touched.collect()]
     result = replace_where(target.join(touched, partition_by, "left_semi"), new, pred)
-    staged = stage(result.select(*target.columns))
+    staged, tmp = stage_with_path(result.select(*target.columns))
     remaining = {tuple(r) for r in staged.select(*partition_by).distinct().collect()}
     overwrite_partitions(staged, path, partition_by)
     for key in touched_keys:
         if key not in remaining:
             sub = "/".join(f"{c}={v}" for c, v in zip(partition_by, key))
             delete_path(spark, f"{path.rstrip('/')}/{sub}")
-    return staged.count()
+    n = staged.count()
+    delete_path(spark, tmp)
+    return n
 
 
 def write_upsert(spark: SparkSession, path: str, source: DataFrame, keys: list[str],
@@ -247,9 +256,11 @@ def write_upsert(spark: SparkSession, path: str, source: DataFrame, keys: list[s
     touched = (target.join(source.select(*keys).distinct(), keys, "left_semi").select(*partition_by)
                .unionByName(source.select(*partition_by)).distinct())
     affected = target.join(touched, partition_by, "left_semi")
-    staged = stage(upsert(affected, source, keys).select(*target.columns))
+    staged, tmp = stage_with_path(upsert(affected, source, keys).select(*target.columns))
     overwrite_partitions(staged, path, partition_by)
-    return staged.count()
+    n = staged.count()
+    delete_path(spark, tmp)
+    return n
 
 
 def export_csv(df: DataFrame, path: str, single_file: bool = False, single_file_max_rows: int = 1_000_000) -> bool:
@@ -372,10 +383,12 @@ def compact(spark: SparkSession, path: str, pred: Column, partition_by: list[str
                    F.coalesce(F.sum("__s"), F.lit(0)).alias("bytes")).first()
     n = max(1, int(st["parts"]), -(-int(st["bytes"]) // int(target_file_bytes)))
     clustered = sl.repartitionByRange(n, *partition_by, *keys).sortWithinPartitions(*partition_by, *keys)
-    staged = stage(clustered)
+    staged, tmp = stage_with_path(clustered)
     overwrite_partitions(staged.repartitionByRange(n, *partition_by, *keys)
                          .sortWithinPartitions(*partition_by, *keys), path, partition_by)
-    return staged.count()
+    rows = staged.count()
+    delete_path(spark, tmp)
+    return rows
 
 
 def union_all(dfs: list[DataFrame]) -> DataFrame:
