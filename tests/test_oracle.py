@@ -11,7 +11,9 @@ SAMPLE = ["a01_status_statistics", "a05_batches_by_age", "a10_failure_analysis",
           "w01_latest_per_key", "w02_dedup_proof", "a19_duplicate_detail", "j02_upsert", "j16_change_feed",
           "j11_column_compare", "q08_silver_gate", "q11_validate_records", "m04_shard_by_budget",
           "m08_waves", "m09_validate_output", "t08_align_partitions", "i03_lookback_upsert",
-          "s12_replace_where", "f13_path_parts", "l04_stride_sample"]
+          "s12_replace_where", "f13_path_parts", "l04_stride_sample", "x01_token_count_udf", "t12_source_types",
+          "n07_original_view", "q12_backfill_month", "j14_reconcile_results", "m05_hash_prefix", "l03_sample_rows",
+          "x03_caller_schema", "a29_partition_status"]
 
 
 @pytest.fixture(scope="module")
