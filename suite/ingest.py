@@ -9,7 +9,7 @@ import re
 from pyspark.sql import functions as F
 
 from suite import register
-from suite.fixtures import SILVER_KEYS, silver, with_views
+from suite.fixtures import silver, with_views
 from suite.joblog import L, SNAPSHOT_APPLY_SQL, _applied
 from suite.loading import _layout, scratch
 from tidemark.operators import repair as rp

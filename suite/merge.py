@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from suite import register
 from suite.fixtures import (customer_v2, daily_events, late_events, requests, with_views)
-from tidemark.functions.hashing import row_hash
 from tidemark.operators import merge as mg
 from tidemark.sources.tables import read_table
 
