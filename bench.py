@@ -5,7 +5,7 @@ Each query is executed to completion with the ``noop`` sink (the whole plan
 runs, nothing is collected to the driver). Fixture preparation that the
 reference would not time (writing the drifting source or the day layout) is
 done before the clock starts. Every query runs ``BENCH_REPEAT`` times (default
-3) and the median is reported; ``first`` keeps the cold first run of each.
+5) and the median is reported; ``first`` keeps the cold first run of each.
 """
 
 from __future__ import annotations
@@ -50,7 +50,7 @@ def main() -> None:
     run(Q["a01_status_statistics"](spark, sf_dir))
 
     timings, first = {}, {}
-    repeat = max(1, int(os.environ.get("BENCH_REPEAT", "3")))
+    repeat = max(1, int(os.environ.get("BENCH_REPEAT", "5")))
 
     def timed(name, fn, setup=None):
         runs = []
