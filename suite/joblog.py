@@ -346,3 +346,22 @@ _REPORT_SQL = (
 
 register("a16_status_report", L(_REPORT_SQL))(
     lambda spark, d: jl.status_report(_log(spark, d), AS_OF))
+
+
+# The hourly cycle (SURVEY §3 (1)): poll applied (J-08/J-09) and stuck rows
+# swept (J-07) in one plan, written once, statistics (A-01) from the result.
+@register("j08_status_cycle", L(
+    "WITH applied AS (" + SNAPSHOT_APPLY_SQL + "), swept AS (SELECT CASE WHEN " + STUCK_SQL +
+    " THEN 'FAILED' ELSE batch_status END AS batch_status, total_prompts, completed_prompts, failed_prompts, "
+    "retry_count FROM applied) "
+    "SELECT batch_status, COUNT(*) AS count, CAST(SUM(total_prompts) AS BIGINT) AS total_prompts, "
+    "CAST(SUM(completed_prompts) AS BIGINT) AS completed_prompts, "
+    "CAST(SUM(failed_prompts) AS BIGINT) AS failed_prompts, AVG(retry_count) AS avg_retry_count "
+    "FROM swept GROUP BY batch_status", "status_snapshot"))
+def j08_cycle(spark, d):
+    from suite.loading import scratch
+    from tidemark.plans.status_cycle import status_cycle
+    path = scratch(spark, "status-cycle")
+    _log(spark, d).write.partitionBy("yearmonth").parquet(path)
+    status_cycle(spark, path, status_snapshot(spark, d), AS_OF, None, 24)
+    return jl.status_statistics(spark.read.parquet(path))
