@@ -49,17 +49,23 @@ def main() -> None:
     # warm-up: JVM, codegen caches, file listing
     run(Q["a01_status_statistics"](spark, sf_dir))
 
-    timings, first = {}, {}
+    timings, first, jobs = {}, {}, {}
     repeat = max(1, int(os.environ.get("BENCH_REPEAT", "5")))
+    sc = spark.sparkContext
 
     def timed(name, fn, setup=None):
         runs = []
-        for _ in range(repeat):
+        for i in range(repeat):
             if setup is not None:
                 setup()
+            group = f"bench-{name}-{i}"
+            sc.setJobGroup(group, name)
             t0 = time.perf_counter()
             fn()
             runs.append(time.perf_counter() - t0)
+            sc.setLocalProperty("spark.jobGroup.id", None)
+        # Spark jobs of the last run
+        jobs[name] = len(sc.statusTracker().getJobIdsForGroup(group))
         first[name] = round(runs[0], 3)
         timings[name] = round(sorted(runs)[len(runs) // 2], 3)
 
@@ -105,7 +111,7 @@ def main() -> None:
     total = round(sum(timings.values()), 3)
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
     print(json.dumps({"metric": "headline_total", "value": total, "unit": "sec", "queries": timings,
-                      "sf": sf, "cpus": cpus, "repeat": repeat, "first": first}))
+                      "sf": sf, "cpus": cpus, "repeat": repeat, "first": first, "jobs": jobs}))
     spark.stop()
 
 
