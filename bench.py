@@ -102,9 +102,27 @@ def main() -> None:
         cfgs[:] = [loader.TableLoad(source=late, target=target, mode="upsert", merge_keys=["event_id"],
                                     name="events")]
 
-    timed("i03_lookback_upsert",
-          lambda: loader.load_with_lookback(spark, cfgs, dt.datetime(2024, 1, 31, 6), 3).collect(),
-          setup=fresh_target)
+    def lookback():
+        res = loader.load_with_lookback(spark, cfgs, dt.datetime(2024, 1, 31, 6), 3).collect()
+        assert all(r["status"] == "ok" for r in res), res
+
+    timed("i03_lookback_upsert", lookback, setup=fresh_target)
+    # I-01: one day appended vs the same day upserted (the append-vs-upsert claim)
+    day_cfg = []
+
+    def fresh_day_target(mode):
+        def setup():
+            target = loading._copy_layout(spark, sf_dir, "events")
+            day_cfg[:] = [loader.TableLoad(source=loading._layout(spark, sf_dir, "events"), target=target,
+                                           mode=mode, merge_keys=["event_id"], name="events")]
+        return setup
+
+    def daily():
+        res = loader.load_daily(spark, day_cfg, dt.datetime(2024, 1, 16, 6)).collect()
+        assert all(r["status"] == "ok" for r in res), res
+
+    timed("i01_daily_append", daily, setup=fresh_day_target("append"))
+    timed("i01_daily_upsert", daily, setup=fresh_day_target("upsert"))
     # M-12: gold features
     timed("m12_gold_features", lambda: run(Q["m12_gold_features"](spark, sf_dir)))
 
