@@ -172,3 +172,15 @@ def test_single_file_csv_only_under_the_bound(spark, tmp_dir):
     assert not io.export_csv(df, f"{tmp_dir}/many", single_file=True, single_file_max_rows=499)
     assert len(glob.glob(f"{tmp_dir}/many/part-*.csv")) == 4
     assert spark.read.option("header", "true").csv(f"{tmp_dir}/many").count() == 500
+
+
+def test_write_upsert_within_source_partitions(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "u2")
+    _events(spark, [dt.date(2024, 1, 1), dt.date(2024, 1, 2)]).write.partitionBy(*DAY).parquet(path)
+    untouched = sorted(os.listdir(os.path.join(path, "year=2024/month=1/day=1")))
+    src = spark.createDataFrame([(4, 2024, 1, 2, 9.0), (100, 2024, 1, 3, 7.0)],
+                                "event_id long, year int, month int, day int, value double")
+    io.write_upsert(spark, path, src, ["event_id"], DAY, within_source_partitions=True)
+    got = dict(_rows(spark.read.parquet(path)))
+    assert got[4] == 9.0 and got[100] == 7.0 and len(got) == 7
+    assert sorted(os.listdir(os.path.join(path, "year=2024/month=1/day=1"))) == untouched

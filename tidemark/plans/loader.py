@@ -34,6 +34,7 @@ class TableLoad:
     merge_keys: list[str] = field(default_factory=list)
     partition_by: list[str] = field(default_factory=lambda: list(DAY_COLS))
     order_by: list[str] = field(default_factory=list)   # newest-first tie-break inside a key
+    merge_within_partitions: bool = False                # keys never move between partitions
     name: str | None = None
 
     @property
@@ -63,7 +64,7 @@ def _apply(spark: SparkSession, cfg: TableLoad, df: DataFrame, newest_first: boo
     # The upsert reads its source three times (touched partitions, key check,
     # union) and the count once more: stage it once in the shared folder.
     src, tmp = io.stage_with_path(src)
-    io.write_upsert(spark, cfg.target, src, cfg.merge_keys, cfg.partition_by)
+    io.write_upsert(spark, cfg.target, src, cfg.merge_keys, cfg.partition_by, cfg.merge_within_partitions)
     n = src.count()
     io.delete_path(spark, tmp)
     return n

@@ -242,19 +242,28 @@ def write_replace_where(spark: SparkSession, path: str, new: DataFrame, pred: Co
 
 
 def write_upsert(spark: SparkSession, path: str, source: DataFrame, keys: list[str],
-                 partition_by: list[str]) -> int:
+                 partition_by: list[str], within_source_partitions: bool = False) -> int:
     """J-02 persisted (copy-on-write MERGE): only partitions that hold a
     matching key or receive a source row are rewritten. The touched
     partitions are found by a semi-join on the key columns alone (column
     pruning keeps that shuffle narrow). Returns the rows of the rewritten
-    partitions. A missing target is created from the source."""
+    partitions. A missing target is created from the source.
+
+    ``within_source_partitions``: the caller guarantees that a key never
+    lives outside the partition its source row names (e.g. an event stays
+    on its day). Then the key scan of the whole target is skipped: only the
+    source's partitions are read (a semi-join on the partition columns,
+    which dynamic partition pruning turns into a directory filter)."""
     from tidemark.operators.merge import upsert
     if not path_exists(spark, path):
         overwrite_partitions(source, path, partition_by)
         return spark.read.parquet(path).count()
     target = spark.read.parquet(path)
-    touched = (target.join(source.select(*keys).distinct(), keys, "left_semi").select(*partition_by)
-               .unionByName(source.select(*partition_by)).distinct())
+    if within_source_partitions:
+        touched = source.select(*partition_by).distinct()
+    else:
+        touched = (target.join(source.select(*keys).distinct(), keys, "left_semi").select(*partition_by)
+                   .unionByName(source.select(*partition_by)).distinct())
     affected = target.join(touched, partition_by, "left_semi")
     staged, tmp = stage_with_path(upsert(affected, source, keys).select(*target.columns))
     overwrite_partitions(staged, path, partition_by)
