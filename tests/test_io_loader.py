@@ -184,3 +184,18 @@ def test_write_upsert_within_source_partitions(spark, tmp_dir):
     got = dict(_rows(spark.read.parquet(path)))
     assert got[4] == 9.0 and got[100] == 7.0 and len(got) == 7
     assert sorted(os.listdir(os.path.join(path, "year=2024/month=1/day=1"))) == untouched
+
+
+def test_write_shards_one_file_per_shard(spark, tmp_dir):
+    import glob
+    df = spark.range(0, 600, numPartitions=6).select(
+        F.lit("202402").alias("yearmonth"), (F.col("id") % 5).cast("string").alias("shard"),
+        F.to_json(F.struct("id")).alias("request"))
+    io.write_shards_jsonl(df, f"{tmp_dir}/shards")
+    dirs = glob.glob(f"{tmp_dir}/shards/yearmonth=202402/shard=*")
+    assert len(dirs) == 5
+    for d_ in dirs:
+        files = [f for f in os.listdir(d_) if not f.startswith((".", "_"))]
+        assert len(files) == 1
+        with open(os.path.join(d_, files[0])) as fh:
+            assert sum(1 for _ in fh) == 120
