@@ -199,3 +199,27 @@ def test_write_shards_one_file_per_shard(spark, tmp_dir):
         assert len(files) == 1
         with open(os.path.join(d_, files[0])) as fh:
             assert sum(1 for _ in fh) == 120
+
+
+def test_stream_load_append_then_upsert(spark, tmp_dir):
+    from pyspark.sql import types as T
+    from tidemark.streaming.daily_stream import stream_load
+    src = os.path.join(tmp_dir, "stream_src")
+    _events(spark, [dt.date(2024, 1, 1), dt.date(2024, 1, 2)]).write.partitionBy(*DAY).parquet(src)
+    schema = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("value", T.DoubleType()),
+                           T.StructField("year", T.IntegerType()), T.StructField("month", T.IntegerType()),
+                           T.StructField("day", T.IntegerType())])
+    tgt = os.path.join(tmp_dir, "stream_tgt")
+    name_a = f"t-{os.urandom(3).hex()}"
+    stream_load(spark, src, schema, tgt, mode="append", name=name_a)
+    assert spark.read.parquet(tgt).count() == 6
+    # a new day arrives: the checkpoint makes the next run process only the new files
+    _events(spark, [dt.date(2024, 1, 3)], start_id=2, value=5.0).write.mode("append").partitionBy(*DAY).parquet(src)
+    stream_load(spark, src, schema, tgt, mode="append", name=name_a)
+    assert spark.read.parquet(tgt).count() == 9
+    up = os.path.join(tmp_dir, "stream_up")
+    name = f"u-{os.urandom(3).hex()}"
+    stream_load(spark, src, schema, up, mode="upsert", merge_keys=["event_id"],
+                order_by=[F.col("day").desc()], name=name)
+    got = dict(_rows(spark.read.parquet(up)))
+    assert len(got) == 6 and got[2] == got[3] == got[4] == 5.0 and got[5] == 1.0
