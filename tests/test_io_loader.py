@@ -223,3 +223,19 @@ def test_stream_load_append_then_upsert(spark, tmp_dir):
                 order_by=[F.col("day").desc()], name=name)
     got = dict(_rows(spark.read.parquet(up)))
     assert len(got) == 6 and got[2] == got[3] == got[4] == 5.0 and got[5] == 1.0
+
+
+def test_compact_sizes_files_from_bytes(spark, tmp_dir):
+    import glob
+    path = os.path.join(tmp_dir, "c")
+    df = spark.range(0, 20000, numPartitions=8).select(
+        F.col("id").alias("event_id"), F.sha2(F.col("id").cast("string"), 256).alias("pad"),
+        F.lit(2024).alias("year"), F.lit(1).alias("month"), (F.col("id") % 2 + 1).cast("int").alias("day"))
+    df.write.partitionBy(*DAY).parquet(path)
+    day1 = F.col("day") == 1
+    n = io.compact(spark, path, day1, DAY, ["event_id"], target_file_bytes=128 * 1024)
+    assert n == 10000
+    files1 = glob.glob(f"{path}/year=2024/month=1/day=1/*.parquet")
+    assert 2 <= len(files1) < 8          # split by size, fewer than before
+    assert len(glob.glob(f"{path}/year=2024/month=1/day=2/*.parquet")) == 8   # untouched
+    assert spark.read.parquet(path).count() == 20000
