@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, packing
+from tidemark.llm import bpe, exact_dedup, licenses, packing, url_filter
 from tidemark.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,3 +40,47 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                           public_tokenizers.PATTERN)
     return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@register("op4_exact_dedup", """
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept,
+       sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""")
+def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_dedup(read_table(spark, sf_dir, "documents"))
+
+
+_HOST = r"translate(regexp_extract(regexp_extract({u}, '(?s)^.*?://(.*)$', 1), '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_PATH = r"regexp_extract(regexp_extract({u}, '(?s)^.*?://[^/?#]*(.*)$', 1), '^[^?#]*', 0)"
+
+
+def _op6_sql() -> str:
+    q = lambda s: "'" + s.replace("'", "''") + "'"
+    rules = ", ".join(f"({q(v)}, {q(h)}, {q(p)})" for v, h, p in url_filter.RULES)
+    links = " UNION ".join(f"SELECT url AS a, regexp_extract(html, {q(p)}, 1) AS b FROM pages"
+                           for p in (url_filter.CANONICAL, url_filter.CANONICAL_REV, url_filter.REFRESH))
+    return f"""
+WITH RECURSIVE rules(v, h, p) AS (VALUES {rules}),
+edges AS (SELECT a, b FROM ({links} UNION SELECT url, split_part(url, '#', 1) FROM pages)
+          WHERE a IS NOT NULL AND b LIKE '%://%' AND a <> b),
+both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
+reach(a, b) AS (SELECT a, a FROM both_ways UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON r.b = e.a),
+urls AS (SELECT DISTINCT url AS u FROM pages WHERE url IS NOT NULL UNION SELECT a FROM both_ways),
+hp AS (SELECT u, {_HOST.format(u='u')} AS host, {_PATH.format(u='u')} AS path FROM urls),
+best AS (SELECT u, v, h || p AS rule FROM hp JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+         QUALIFY row_number() OVER (PARTITION BY u ORDER BY length(h || p) DESC) = 1),
+spread AS (SELECT r.a AS u, bool_or(v = 'block') AS blocked, bool_or(v = 'allow') AS allowed, min(r.b) AS component
+           FROM reach r LEFT JOIN best ON best.u = r.b GROUP BY 1)
+SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule, component,
+       coalesce(v, CASE WHEN coalesce(blocked, false) AND NOT coalesce(allowed, false) THEN 'block' ELSE 'allow' END) AS verdict
+FROM pages LEFT JOIN hp ON hp.u = pages.url LEFT JOIN best ON best.u = pages.url LEFT JOIN spread ON spread.u = pages.url"""
+
+
+@register("op6_url_filter", _op6_sql())
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(read_table(spark, sf_dir, "pages"))
+
+
+@register("op10_license_scan", licenses.sql())
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read_table(spark, sf_dir, "documents"))
