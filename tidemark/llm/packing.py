@@ -9,6 +9,7 @@ first; then gaps are closed by cutting the emptiest sequences. Only the last seq
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,25 +26,54 @@ DEPTH, BIN = 3, 32
 #: Tokens of a block; a block's ids are what a task holds in memory.
 BLOCK_TOKENS = 1 << 22
 #: Text units whose ids a worker remembers; when full it starts anew.
-CACHED_UNITS, CACHED_CHARS = 400_000, 48
-
-_ODD = regex.compile(r"\s ")
+CACHED_UNITS, CACHED_CHARS = 700_000, 48
+
+#: Splits units of characters below LATIN_END as the tokenizer does itself; other units go to its own splitter.
+_SPLIT = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
+LATIN_END = "\u0250"
+#: Marks cuts; a text that holds it, or a space after a space, or a stop after other than a letter or digit, is cut by _CUT.
+_HERE = "\ue000"
+_ODD = re.compile(r"\ue000|\s |(?<![^\W_])[.,]")
 _CUT = regex.compile(r"(?<=\S)(?= )")
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter by which byte-level vocabularies write each byte: itself if printable, else the next free one."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(sorted({*range(256)} - {*plain}))}
+
+
+_LETTERS = _byte_letters()
+
+
 class UnitEncoder:
     """Ids of whole texts by the tokenizers library, which sees every distinct unit of text once.
 
-    A unit reaches from a space that follows a non-space to the next such space. No match of the byte-level split
-    pattern spans that boundary, so the ids of the units, joined, are those of the whole text.
+    Units are cut before a space that follows a non-space, and before a stop or comma that follows a letter or digit. No
+    match of the byte-level split pattern spans such a place, so the ids of the units, joined, are those of the text.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
+        self.model = self.tok.model
         self.reset()
 
+    def _ids(self, units: list[str]) -> list[list[int]]:
+        """Ids of units: the model's own merges on each match of the split pattern, or the whole tokenizer."""
+        out: list[list[int]] = [[]] * len(units)
+        rest = []
+        for i, u in enumerate(units):
+            if len(u) <= CACHED_CHARS and (u.isascii() or max(u) < LATIN_END):
+                out[i] = [t.id for m in _SPLIT.findall(u)
+                          for t in self.model.tokenize(m.encode().decode("latin-1").translate(_LETTERS))]
+            else:
+                rest.append(i)
+        for i, e in zip(rest, self.tok.encode_batch_fast([units[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = e.ids
+        return out
+
     def reset(self) -> None:
         self.known: dict[str, int] = {}
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
@@ -51,7 +81,7 @@ class UnitEncoder:
 
     def _put(self, units: list[str]) -> list[int]:
         """Store the ids of new units; their places."""
-        ids = [e.ids for e in self.tok.encode_batch_fast(units, add_special_tokens=False)]
+        ids = self._ids(units)
         n = sum(map(len, ids))
         while self.used + n > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
@@ -76,11 +106,7 @@ class UnitEncoder:
             if _ODD.search(t):
                 units += _CUT.split(t)
             elif t:
-                head, *rest = t.split(" ")
-                # a leading space belongs to the first word
-                if head or not rest:
-                    units.append(head)
-                units += [" " + x for x in rest]
+                units += t.replace(" ", _HERE + " ").replace(".", _HERE + ".").replace(",", _HERE + ",").split(_HERE)
             ends.append(len(units))
         place = np.fromiter((self.known.get(u, -1) for u in units), np.int64, len(units))
         if (miss := np.flatnonzero(place < 0)).size:

@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, exact_dedup, licenses, packing, url_filter
+from tidemark.llm import bpe, exact_dedup, language_id, licenses, packing, url_filter
 from tidemark.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,12 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op10_license_scan", licenses.sql())
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read_table(spark, sf_dir, "documents"))
+
+
+@register("op5_language_id")
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    pieces = public_tokenizers.path("piece_bpe_32k.model")
+    model = language_id.fit(docs.where(language_id.fold(F.col("doc_id")) != 0), pieces)
+    held = docs.select("doc_id", "text", F.coalesce(language_id.fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"))
+    return language_id.predict(held, model, pieces, keep=("held_out",))
