@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, exact_dedup, language_id, licenses, packing, url_filter
+from tidemark.llm import bpe, exact_dedup, language_id, licenses, ngram_join, packing, url_filter
 from tidemark.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +93,8 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language_id.fit(docs.where(language_id.fold(F.col("doc_id")) != 0), pieces)
     held = docs.select("doc_id", "text", F.coalesce(language_id.fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"))
     return language_id.predict(held, model, pieces, keep=("held_out",))
+
+
+@register("op3_ngram_join")
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(read_table(spark, sf_dir, "documents"))
