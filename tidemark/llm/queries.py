@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, exact_dedup, language_id, licenses, ngram_join, packing, suffix_dedup, url_filter
+from tidemark.llm import bpe, brown, exact_dedup, language_id, licenses, ngram_join, packing, prefix_forest, suffix_dedup, url_filter
 from tidemark.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,3 +104,14 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@register("op2_brown_classes")
+def op2_brown_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return brown.class_scores(docs.withColumn("held_out", language_id.fold(F.col("doc_id")) == 1))
+
+
+@register("op7_prefix_forest")
+def op7_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_forest.search(read_table(spark, sf_dir, "embeddings"))
