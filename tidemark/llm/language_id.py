@@ -208,8 +208,8 @@ def fit(docs: DataFrame, model_file: str, sample: int = SAMPLE_PER_LANGUAGE, rou
     return Model(langs, p)
 
 
-def predict(docs: DataFrame, model: Model, model_file: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, lang_pred, score and the ``keep`` columns, one row per document, from its text alone.
+def predict(docs: DataFrame, model: Model, model_file: str, keep: tuple[str, ...] = (), with_text: bool = False) -> DataFrame:
+    """doc_id, lang_pred, score and the ``keep`` columns (and the text, if asked), one row per document, from its text alone.
 
     score is the posterior of the predicted language, all being equally likely before. ``und`` with score 0 where the text
     is null or has no letter, or where no language was learned. Equal posteriors go to the first language by name.
@@ -218,7 +218,7 @@ def predict(docs: DataFrame, model: Model, model_file: str, keep: tuple[str, ...
     langs = model.langs
     p = docs.sparkSession.sparkContext.broadcast(model.probability)  # pieces x languages
     base = texts_of(docs, *keep)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema if f.name != "text"),
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema if with_text or f.name != "text"),
                         "lang_pred string", "score double"])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,8 +245,7 @@ def predict(docs: DataFrame, model: Model, model_file: str, keep: tuple[str, ...
                     best = int(np.argmax(post))
                     pred.append(langs[best])
                     prob.append(float(1.0 / post.sum()))
-                cols = [part.column(i) for i in range(part.num_columns) if part.schema.names[i] != "text"]
-                names = [n for n in part.schema.names if n != "text"]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(pred, pa.string()), pa.array(prob, pa.float64())],
+                names = [n for n in part.schema.names if with_text or n != "text"]
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(pred, pa.string()), pa.array(prob, pa.float64())],
                                                  names=[*names, "lang_pred", "score"])
     return base.mapInArrow(score, schema)

@@ -221,11 +221,13 @@ def _grams(docs: DataFrame, words: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """One row per document: doc_id, class_id, set_id, set_size, n_links.
+    """One row per document: doc_id, class_id, set_id, set_size, n_links, n_grams, group_key, mark.
 
     n_links counts the other documents whose n-gram sets have a Jaccard similarity of ``threshold`` or more, copies
     included; class_id is the least doc_id among the documents linked directly or over others, set_id the least doc_id with
-    the same set, set_size the number of documents with it. Documents without words link to none and are their own class.
+    the same set, set_size the number of documents with it, n_grams the set's size. group_key is the same for the documents of
+    a class (null without words), mark the hash that tells texts of one doc_id apart. Documents without words link to none and
+    are their own class.
     Repeated rows count as copies; a null id is never the least unless alone (class null). Null texts count as empty; an
     empty table gives no rows; extra columns are left behind.
     """
@@ -265,8 +267,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRE
     least = named.where("component is not null").groupBy("component").agg(F.min("set_id").alias("class_id"))
     info = (named.join(least, "component", "left")
             .select("key1", "key2", "n", "set_id", F.coalesce("class_id", "set_id").alias("class_id"),
+                    F.coalesce("component", "cid").alias("group_key"),
                     F.col("copies").alias("set_size"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
-    return (signed.select("doc_id", "n", "key1", "key2").join(info, ["key1", "key2", "n"], "left")
+    return (signed.select("doc_id", "mark", "n", "key1", "key2").join(info, ["key1", "key2", "n"], "left")
             .select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("set_id", "doc_id").alias("set_id"),
                     F.coalesce("set_size", F.lit(1).cast("long")).alias("set_size"),
-                    F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")))
+                    F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.col("n").alias("n_grams"), "group_key",
+                    "mark"))

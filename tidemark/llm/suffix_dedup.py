@@ -303,8 +303,12 @@ def _window_hashes(segments: DataFrame, length: int) -> DataFrame:
             .mapInArrow(run, "fp long, seg long, place long, h1 long, h2 long"))
 
 
-def _cut(rows: DataFrame, length: int) -> DataFrame:
+def _cut(rows: DataFrame, length: int, keep: list[str]) -> DataFrame:
     """Texts (doc_id, text, spans of (lo, hi) window places) without the bytes their repeated windows cover."""
+    rows = rows.select("doc_id", "text", "spans", *keep)
+    ddl = ", ".join(["doc_id long, n_bytes long, n_removed long, n_spans long, kept binary",
+                     *(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[3:])])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
@@ -323,13 +327,14 @@ def _cut(rows: DataFrame, length: int) -> DataFrame:
                     for n, v in zip(cols, (doc_id, len(raw), int(gone.sum()), len(_runs(gone)) // 2, raw[~gone].tobytes()),
                                     strict=True):
                         cols[n].append(v)
-                yield pa.RecordBatch.from_pydict(cols, schema=_OUT)
-    return rows.select("doc_id", "text", "spans").mapInArrow(
-        run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+                made = pa.RecordBatch.from_pydict(cols, schema=_OUT)
+                yield pa.RecordBatch.from_arrays([*made.columns, *(part.column(n) for n in keep)], names=[*_OUT.names, *keep])
+    return rows.mapInArrow(run, ddl)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, step: int = STEP, group_bytes: int = GROUP_BYTES) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes).
+def remove_repeats(docs: DataFrame, length: int = LENGTH, step: int = STEP, group_bytes: int = GROUP_BYTES,
+                   keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes), and the ``keep`` columns.
 
     A byte goes if a string of ``length`` bytes that covers it also starts anywhere else in the texts' UTF-8 bytes, the same
     text included; strings never cross texts. Repeated rows are texts of their own, so each repeats the other. Null texts
@@ -365,5 +370,21 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, step: int = STEP, grou
     spans = (seen.select("doc_id", "mark", "lo", "fp", "seg").join(hits, ["fp", "seg"])
              .select("doc_id", "mark", pairs.alias("pairs")).groupBy("doc_id", "mark")
              .agg(F.flatten(F.collect_list("pairs")).alias("spans")))
-    rows = base.alias("t").join(spans.alias("k"), same, "left").select("t.doc_id", "t.text", "k.spans")
-    return _cut(rows, length)
+    whole = texts_of(docs, *keep).withColumn("mark", F.xxhash64("text"))
+    rows = (whole.alias("t").join(spans.alias("k"), same, "left")
+            .select("t.doc_id", "t.text", "k.spans", *(f"t.{c}" for c in keep)))
+    return _cut(rows, length, list(keep))
+
+
+def whole_characters(done: DataFrame) -> DataFrame:
+    """``done`` with ``kept`` as column text: bytes of characters that were cut through are left out."""
+    ddl = ", ".join(f"`{'text' if f.name == 'kept' else f.name}` {'string' if f.name == 'kept' else f.dataType.simpleString()}"
+                    for f in done.schema)
+    names = ["text" if n == "kept" else n for n in done.columns]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x.decode("utf-8", "ignore") for x in b.column(n).to_pylist()], pa.string()) if n == "kept" else b.column(n)
+                 for n in b.schema.names], names=names)
+    return done.mapInArrow(run, ddl)
