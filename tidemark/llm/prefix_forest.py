@@ -226,7 +226,8 @@ def _levels(entries: DataFrame, probes: DataFrame, ranges: DataFrame, depth: int
         for x in range(depth, BITS + 1):
             lo, hi = _interval(codes, code, np.full(len(code), x))
             held.append(hi - lo)
-        return pd.DataFrame({"query_id": asked["query_id"], "held": list(np.array(held).T.astype(np.int64))})
+        return pd.DataFrame({"query_id": asked["query_id"].to_numpy(),
+                             "held": pd.Series(list(np.array(held).T.astype(np.int64)), dtype=object)})
     deep = (left.groupBy(*KEYS).cogroup(right.groupBy(*KEYS)).applyInPandas(count, "query_id long, held array<long>")
             .select("query_id", F.posexplode("held").alias("level", "held"))
             .select("query_id", (F.col("level") + depth).alias("level"), "held"))
@@ -249,7 +250,7 @@ def _visit(entries: DataFrame, routed: DataFrame, ranges: DataFrame, dim: int, k
 
     def score(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if not len(rows) or not len(asked):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
         codes = rows["code"].to_numpy().view(np.uint64)
         order = np.argsort(codes, kind="stable")
         x = np.stack(rows["v"].to_numpy()[order])
