@@ -1,11 +1,12 @@
 """Schema drift across partitions and type alignment (S-05, T-01..T-12).
 
-Stock Spark cannot read partitions whose files disagree on a column's type
-in one scan (``CANNOT_MERGE_SCHEMAS``), so the load works per *schema
-group*: partitions with identical schemas are read by one scan (with
-``basePath`` so the partition column is kept), each group is aligned to the
-target types with ``try_*`` expressions (ANSI mode raises on bad casts),
-and the groups are unioned by name.
+Stock Spark cannot read files that disagree on a column's type in one scan
+(``CANNOT_MERGE_SCHEMAS``), so the load works per *schema group*: files with
+identical schemas are read by one scan (with ``basePath`` so the partition
+column is kept), each group is aligned to the target types with ``try_*``
+expressions (ANSI mode raises on bad casts), and the groups are unioned by
+name. A file whose footer cannot be read is listed and left out; the rest of
+its partition loads.
 
 Scale notes:
 * File listing uses the ``binaryFile`` source with only ``path`` selected --
@@ -14,14 +15,14 @@ Scale notes:
   task per batch of files; a cluster with 10^5 partitions does not loop on
   the driver.
 * The number of scans equals the number of distinct schemas, not the
-  number of partitions.
+  number of partitions. The driver holds the list of file paths, as Spark's
+  own file index does; it grows with files, not rows.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,10 +60,30 @@ def partition_values(spark: SparkSession, base: str, partition_col: str) -> Data
             .distinct().orderBy(partition_col))
 
 
-def _local_or_uri(path: str):
+#: Hadoop settings of the object store that the footer readers on the executors need as well.
+_STORE_KEYS = ("fs.s3a.access.key", "fs.s3a.secret.key", "fs.s3a.session.token", "fs.s3a.endpoint", "fs.s3a.endpoint.region",
+               "fs.s3a.connection.ssl.enabled")
+
+
+def store_settings(spark: SparkSession) -> dict[str, str]:
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    return {k: v for k in _STORE_KEYS if (v := conf.get(k)) is not None}
+
+
+def open_filesystem(path: str, settings: dict[str, str]):
+    """(file system, path in it) of a Hadoop path: local files, ``s3``/``s3a``/``s3n`` with the session's own settings, and
+    what the Arrow library knows by its scheme."""
     import pyarrow.fs as pafs
-    if path.startswith("file:"):
-        return pafs.LocalFileSystem(), re.sub(r"^file:/*", "/", path)
+    scheme, rest = re.match(r"^(?:([a-z0-9]+):)?(.*)$", path, re.S).groups()
+    if scheme in (None, "file"):
+        return pafs.LocalFileSystem(), re.sub(r"^/*", "/", rest)
+    if scheme in ("s3", "s3a", "s3n"):
+        get = settings.get
+        kw = {"access_key": get("fs.s3a.access.key"), "secret_key": get("fs.s3a.secret.key"),
+              "session_token": get("fs.s3a.session.token"), "region": get("fs.s3a.endpoint.region"),
+              "endpoint_override": get("fs.s3a.endpoint"),
+              "scheme": "http" if get("fs.s3a.connection.ssl.enabled") == "false" else "https"}
+        return pafs.S3FileSystem(**{k: v for k, v in kw.items() if v is not None}), rest.lstrip("/")
     return pafs.FileSystem.from_uri(path)
 
 
@@ -72,7 +93,7 @@ _SCHEMA_OUT = T.StructType([
     T.StructField("error", T.StringType())])
 
 
-def _read_footers(batches):
+def _read_footers(batches, settings):
     """Executor side: read each file's footer and emit one row per column."""
     import pandas as pd
     import pyarrow as pa
@@ -83,7 +104,7 @@ def _read_footers(batches):
         rows = []
         for p in pdf["path"]:
             try:
-                fs, local = _local_or_uri(p)
+                fs, local = open_filesystem(p, settings)
                 with fs.open_input_file(local) as fh:
                     sch = pq.read_schema(fh)
                 meta = sch.metadata or {}
@@ -101,20 +122,29 @@ def _read_footers(batches):
         yield pd.DataFrame(rows, columns=["path", "column_name", "data_type", "nullable", "error"])
 
 
-def partition_schemas(spark: SparkSession, base: str, partition_col: str,
-                      sample_size: int | None = None) -> DataFrame:
-    """T-01: (partition, column_name, data_type, nullable, error) per partition,
-    from file footers read on the executors. ``sample_size`` keeps every k-th
-    partition (L-04; first and last always kept)."""
+def file_schemas(spark: SparkSession, base: str, partition_col: str, sample_size: int | None = None,
+                 only_partitions: DataFrame | None = None) -> DataFrame:
+    """(partition, partition_dir, path, column_name, data_type, nullable, error) per file, from footers read on the executors.
+
+    ``sample_size`` keeps every k-th partition (L-04; first and last always
+    kept), ``only_partitions`` the named ones; footers of other partitions
+    are not opened."""
     files = list_partition_files(spark, base, partition_col)
     if sample_size:
-        keep = stride_sample(files, partition_col, sample_size)
-        files = files.join(keep, partition_col, "left_semi")
+        files = files.join(stride_sample(files, partition_col, sample_size), partition_col, "left_semi")
+    if only_partitions is not None:
+        files = files.join(only_partitions.select(F.col(partition_col).cast("string").alias(partition_col)),
+                           partition_col, "left_semi")
     cols = files.select("path", partition_col, "partition_dir")
-    schemas = cols.select("path").mapInPandas(_read_footers, _SCHEMA_OUT)
-    return (schemas.join(cols, "path")
-            .select(partition_col, "partition_dir", "column_name", "data_type", "nullable", "error")
-            .distinct())
+    settings = store_settings(spark)
+    schemas = cols.select("path").mapInPandas(lambda batches: _read_footers(batches, settings), _SCHEMA_OUT)
+    return schemas.join(cols, "path").select(partition_col, "partition_dir", "path", "column_name", "data_type", "nullable",
+                                             "error")
+
+
+def partition_schemas(spark: SparkSession, base: str, partition_col: str, sample_size: int | None = None) -> DataFrame:
+    """T-01: (partition, column_name, data_type, nullable, error) per partition (a mixed partition has a row per type)."""
+    return file_schemas(spark, base, partition_col, sample_size).drop("path").distinct()
 
 
 def drift_map(schemas: DataFrame, partition_col: str) -> DataFrame:
@@ -229,54 +259,47 @@ def standardize(df: DataFrame, mapping: dict[str, T.DataType], formats: dict[str
     return df.select(*out)
 
 
-def read_partition_group(spark: SparkSession, base: str, partition_dirs: list[str],
-                         partition_col: str) -> DataFrame:
-    """T-07: one scan over partitions that share a schema; the partition
-    column comes back from the paths as a string."""
+def read_file_group(spark: SparkSession, base: str, files: list[str], partition_col: str) -> DataFrame:
+    """T-07: one scan over files that share a schema; the partition column comes back from the paths as a string, spelled as
+    in the folder (``01`` stays ``01``)."""
     key = "spark.sql.sources.partitionColumnTypeInference.enabled"
     old = spark.conf.get(key)
     spark.conf.set(key, "false")
     try:
-        df = spark.read.option("basePath", base).parquet(*partition_dirs)
+        df = spark.read.option("basePath", base).parquet(*files)
     finally:
         spark.conf.set(key, old)
     return df.withColumn(partition_col, F.col(partition_col).cast("string"))
 
 
-def schema_groups(schemas: DataFrame, partition_col: str) -> list[list[str]]:
-    """Partition directories grouped by identical schema signature.
-
-    The signature is computed on the executors; the driver receives one path
-    per partition -- the same list Spark's file index already holds."""
-    sig = (schemas.where(F.col("error").isNull())
-           .groupBy(partition_col, "partition_dir")
+def schema_groups(schemas: DataFrame) -> list[list[str]]:
+    """Files grouped by identical schema, failed files left out. The signature is computed on the executors."""
+    sig = (schemas.where(F.col("error").isNull()).groupBy("path")
            .agg(F.sha2(F.concat_ws(",", F.sort_array(F.collect_set(
                F.concat_ws(":", "column_name", "data_type")))), 256).alias("sig")))
     groups: dict[str, list[str]] = {}
-    for r in sig.select("sig", "partition_dir").collect():
-        groups.setdefault(r["sig"], []).append(r["partition_dir"])
+    for r in sig.select("sig", "path").collect():
+        groups.setdefault(r["sig"], []).append(r["path"])
     return [sorted(v) for _, v in sorted(groups.items(), key=lambda kv: min(kv[1]))]
 
 
 def failed_partitions(schemas: DataFrame, partition_col: str) -> DataFrame:
-    """Partitions whose files could not be read, with the error text (D-18)."""
+    """Partitions with files that could not be read, with the error text (D-18)."""
     return schemas.where(F.col("error").isNotNull()).select(partition_col, "error").distinct()
 
 
 def load_aligned(spark: SparkSession, base: str, partition_col: str, mapping: dict[str, T.DataType],
                  formats: dict[str, str] | None = None, only_partitions: DataFrame | None = None,
                  flag_failures: bool = False, schemas: DataFrame | None = None) -> DataFrame:
-    """T-08: align and union all partitions -- one scan per distinct schema.
-    ``schemas`` (T-01 output) may be passed when the caller already has it."""
+    """T-08: align and union all files -- one scan per distinct schema.
+    ``schemas`` (:func:`file_schemas` output) may be passed when the caller
+    already has it."""
     if schemas is None:
-        schemas = partition_schemas(spark, base, partition_col)
-    if only_partitions is not None:
-        schemas = schemas.join(only_partitions.select(F.col(partition_col).cast("string").alias(partition_col)),
-                               partition_col, "left_semi")
-    groups = schema_groups(schemas, partition_col)
+        schemas = file_schemas(spark, base, partition_col, only_partitions=only_partitions)
+    groups = schema_groups(schemas)
     if not groups:
         raise ValueError(f"no readable partitions under {base}")
-    parts = [standardize(read_partition_group(spark, base, g, partition_col), mapping, formats, flag_failures)
+    parts = [standardize(read_file_group(spark, base, g, partition_col), mapping, formats, flag_failures)
              for g in groups]
     return union_by_name(parts)
 
@@ -348,7 +371,3 @@ def load_summary(spark: SparkSession, partitions_ok: int, partitions_failed: int
     schema = ("partitions_ok long, partitions_failed long, total_rows long, "
               "drifted_columns array<string>")
     return spark.createDataFrame([(partitions_ok, partitions_failed, rows, drifted_columns)], schema)
-
-
-def reduce_union(dfs):
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), dfs)

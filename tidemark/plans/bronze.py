@@ -35,22 +35,22 @@ def full_load(spark: SparkSession, source: str, partition_col: str, mapping: dic
     partitioned by ``partition_col``, verify from the written data.
 
     Returns ``{"summary", "validation", "partitions", "nulls"}`` DataFrames."""
-    # footers are read once; the small (partition, column, type) table is
-    # staged and shared by the failure list, the drift report and the load
-    schemas = io.stage(dr.partition_schemas(spark, source, partition_col))
-    failed = dr.failed_partitions(schemas, partition_col)
-    report = dr.drift_report(schemas, partition_col)
-    df = dr.load_aligned(spark, source, partition_col, mapping, formats, schemas=schemas)
+    # footers are read once; the small (file, column, type) table is staged
+    # and shared by the failure list, the drift report and the load
+    with io.staged(dr.file_schemas(spark, source, partition_col)) as schemas:
+        failed = dr.failed_partitions(schemas, partition_col)
+        failed = spark.createDataFrame(failed.collect(), failed.schema)   # one row per unreadable file
+        report = dr.drift_report(schemas, partition_col)
+        drifted = sorted({r["column_name"] for r in report.select("column_name").distinct().collect()})
+        df = dr.load_aligned(spark, source, partition_col, mapping, formats, schemas=schemas)
     validation = dr.validate_target(df, mapping)
     io.overwrite(add_load_metadata(df, as_of, source, version), target, [partition_col])
-    written = spark.read.parquet(target)
+    written = io.read_merged(spark, target)
     parts = partition_counts(written, partition_col)
     nulls = qa.null_profile(written, [c for c in mapping if c in written.columns])
     tot = parts.agg(F.count(F.lit(1)).alias("n"), F.sum("record_count").alias("rows")).first()
-    n_ok, rows = tot["n"], tot["rows"] or 0
     n_failed = failed.select(partition_col).distinct().count()
-    drifted = sorted({r["column_name"] for r in report.select("column_name").distinct().collect()})
-    summary = dr.load_summary(spark, n_ok, n_failed, int(rows), drifted)
+    summary = dr.load_summary(spark, tot["n"], n_failed, int(tot["rows"] or 0), drifted)
     return {"summary": summary, "validation": validation, "partitions": parts, "nulls": nulls,
             "failed": failed}
 
@@ -58,21 +58,22 @@ def full_load(spark: SparkSession, source: str, partition_col: str, mapping: dic
 def incremental_load(spark: SparkSession, source: str, partition_col: str, mapping: dict[str, T.DataType],
                      target: str, as_of: dt.datetime, version: str = "1",
                      formats: dict[str, str] | None = None) -> DataFrame:
-    """T-11: load only partitions not yet in the target (compared as
-    strings, D-19), aligned, with metadata, appended. Returns the rows
-    appended per partition."""
-    src_parts = dr.partition_values(spark, source, partition_col)
+    """T-11: load only partitions not yet in the target, aligned, with
+    metadata, appended. Loaded values come from the target's folder names, as
+    the source's do (S-05), so ``01`` and ``1`` are told apart and compared as
+    spelled (D-19). Footers of other partitions are not opened. Returns the
+    rows appended per partition."""
+    todo = dr.partition_values(spark, source, partition_col)
     if io.path_exists(spark, target):
-        loaded = spark.read.parquet(target).select(partition_col).distinct()
-        todo = new_partitions(src_parts, loaded, partition_col)
-    else:
-        todo = src_parts
+        todo = new_partitions(todo, dr.partition_values(spark, target, partition_col), partition_col)
     if todo.isEmpty():
         return spark.createDataFrame([], f"{partition_col} string, record_count long")
     df = dr.load_aligned(spark, source, partition_col, mapping, formats, only_partitions=todo)
-    staged = io.stage(add_load_metadata(df, as_of, source, version))
-    io.append(staged, target, [partition_col])
-    return partition_counts(staged, partition_col)
+    with io.staged(add_load_metadata(df, as_of, source, version)) as staged:
+        counts = partition_counts(staged, partition_col)
+        counts = spark.createDataFrame(counts.collect(), counts.schema)   # one row per new partition
+        io.append(staged, target, [partition_col])
+    return counts
 
 
 def partition_status(parts: DataFrame, failed: DataFrame, partition_col: str) -> DataFrame:

@@ -9,7 +9,6 @@ parameters.
 from __future__ import annotations
 
 import datetime as dt
-import traceback
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -61,13 +60,11 @@ def _apply(spark: SparkSession, cfg: TableLoad, df: DataFrame, newest_first: boo
         # several days in one batch: the newest partition wins per key (W-01)
         order = [F.make_date("year", "month", "day").desc()] + [F.col(c).desc() for c in cfg.order_by]
         src = latest_per_key(df, cfg.merge_keys, order)
-    # The upsert reads its source three times (touched partitions, key check,
-    # union) and the count once more: stage it once in the shared folder.
-    src, tmp = io.stage_with_path(src)
-    io.write_upsert(spark, cfg.target, src, cfg.merge_keys, cfg.partition_by, cfg.merge_within_partitions)
-    n = src.count()
-    io.delete_path(spark, tmp)
-    return n
+    # The upsert reads its source for the touched partitions, the key check
+    # and the union: stage it once in the shared folder.
+    with io.staged(src) as src:
+        io.write_upsert(spark, cfg.target, src, cfg.merge_keys, cfg.partition_by, cfg.merge_within_partitions)
+        return src.count()
 
 
 def load_day(spark: SparkSession, tables: list[TableLoad], day: dt.date) -> DataFrame:
@@ -83,7 +80,7 @@ def load_day(spark: SparkSession, tables: list[TableLoad], day: dt.date) -> Data
             n = _apply(spark, cfg, df)
             out.append((cfg.table_name, part, "ok", n, len(df.columns), None))
         except Exception as e:  # one table failing does not stop the others
-            out.append((cfg.table_name, part, "failed", 0, None, f"{type(e).__name__}: {e}"[:2000]))
+            out.append((cfg.table_name, part, "failed", 0, None, f"{type(e).__name__}: {e}"))
     return _result(spark, out)
 
 
@@ -94,16 +91,27 @@ def load_daily(spark: SparkSession, tables: list[TableLoad], as_of: dt.datetime)
 
 def load_range(spark: SparkSession, tables: list[TableLoad], start: dt.date, end: dt.date) -> DataFrame:
     """I-02: backfill an inclusive day range with one scan per table; the
-    table's mode is honoured (upsert tables merge, newest day wins, D-11)."""
+    table's mode is honoured: upsert tables merge (newest day wins, D-11),
+    append tables have the range's days replaced, so a second run adds
+    nothing. A source without rows in the range is skipped."""
     out = []
     label = f"{day_partition(start)}..{day_partition(end)}"
     for cfg in tables:
         try:
             df = io.read_days(spark, cfg.source, start, end)
-            n = _apply(spark, cfg, df, newest_first=True)
+            if df is None:
+                out.append((cfg.table_name, label, "skipped", 0, None, "no data in the range"))
+                continue
+            if cfg.mode == "append" and io.path_exists(spark, cfg.target):
+                days = F.make_date("year", "month", "day").between(F.lit(start.isoformat()).cast("date"),
+                                                                   F.lit(end.isoformat()).cast("date"))
+                io.write_replace_where(spark, cfg.target, df, days, cfg.partition_by)
+                n = df.count()
+            else:
+                n = _apply(spark, cfg, df, newest_first=True)
             out.append((cfg.table_name, label, "ok", n, len(df.columns), None))
         except Exception as e:
-            out.append((cfg.table_name, label, "failed", 0, None, f"{type(e).__name__}: {e}"[:2000]))
+            out.append((cfg.table_name, label, "failed", 0, None, f"{type(e).__name__}: {e}"))
     return _result(spark, out)
 
 
@@ -141,7 +149,7 @@ def load_today(spark: SparkSession, tables: list[TableLoad], as_of: dt.datetime,
                 n = _apply(spark, cfg, df)
             out.append((cfg.table_name, part, "ok", n, len(df.columns), None))
         except Exception as e:
-            out.append((cfg.table_name, part, "failed", 0, None, f"{type(e).__name__}: {e}"[:2000]))
+            out.append((cfg.table_name, part, "failed", 0, None, f"{type(e).__name__}: {e}"))
     return _result(spark, out)
 
 
@@ -186,9 +194,5 @@ def batch_ingest(spark: SparkSession, specs: list[IngestSpec]) -> DataFrame:
             written = spark.read.parquet(s.target)
             out.append((name, s.source, "success", written.count(), len(written.columns), None))
         except Exception as e:
-            out.append((name, s.source, "failed", 0, None, f"{type(e).__name__}: {e}"[:2000]))
+            out.append((name, s.source, "failed", 0, None, f"{type(e).__name__}: {e}"))
     return _result(spark, out).withColumnRenamed("partition_loaded", "source")
-
-
-def format_error(e: BaseException) -> str:
-    return "".join(traceback.format_exception_only(type(e), e)).strip()

@@ -32,7 +32,7 @@ def migrate_tables(spark: SparkSession, tables: dict[str, DataFrame], target_roo
             changed = sum(1 for o, s in fwd.items() if o != s)
             status.append((name, path, "success", len(df.columns), changed, None))
         except Exception as e:
-            status.append((name, None, "failed", len(df.columns), None, f"{type(e).__name__}: {e}"[:2000]))
+            status.append((name, None, "failed", len(df.columns), None, f"{type(e).__name__}: {e}"))
     if registered:
         rows = nm.mapping_frames(spark, database, schema, registered, created.isoformat())
         registry = nm.register_mappings(registry, rows)

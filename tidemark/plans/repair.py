@@ -40,20 +40,19 @@ def safe_replace(spark: SparkSession, path: str, new: DataFrame, pred: Column, p
                  critical: list[str], tolerance_pct: float = 20.0, backup_suffix: str | None = None,
                  compact_keys: list[str] | None = None) -> ReplaceResult:
     """Q-09: replace the slice ``pred`` of the table at ``path`` with ``new``."""
-    current = spark.read.parquet(path)
+    current = io.read_merged(spark, path)
+    inside = F.coalesce(pred, F.lit(False))
     backup_path, backup_rows = io.create_backup(spark, current, pred, path, backup_suffix)
-    staged, tmp = io.stage_with_path(new.select(*current.columns))
     try:
-        checks = qa.raise_on_failure(qa.replacement_gate(current.where(F.coalesce(pred, F.lit(False))),
-                                                         staged, critical, tolerance_pct))
-        io.write_replace_where(spark, path, staged, pred, partition_by)
-        written = spark.read.parquet(path).where(F.coalesce(pred, F.lit(False))).count()
-        expected = staged.count()
+        with io.staged(new) as staged:
+            checks = qa.raise_on_failure(qa.replacement_gate(current.where(inside), staged, critical, tolerance_pct))
+            io.write_replace_where(spark, path, staged, pred, partition_by)
+            written = io.read_merged(spark, path).where(inside).count()
+            expected = staged.count()
         if written != expected:
             raise ValueError(f"post-replacement verification failed: {written} != {expected}")
         if compact_keys:
-            io.compact(spark, path, pred, partition_by, compact_keys)
-        io.delete_path(spark, tmp)   # the backup stays; the staged copy is no longer needed
+            io.compact(spark, path, pred, partition_by, compact_keys)  # counts whole partitions itself
         return ReplaceResult(backup_path, backup_rows, expected, written, checks)
     except Exception as e:
         raise ReplaceFailed(str(e), backup_path) from e
@@ -64,7 +63,7 @@ def dedup_and_replace(spark: SparkSession, path: str, date_col: str, start, end,
     """W-02 persisted: dedup the slice, require rows after = distinct keys
     before, then Q-09. A dedup legitimately shrinks a slice (2x duplicates =
     -50 %), so the tolerance is a parameter (D-13)."""
-    table = spark.read.parquet(path)
+    table = io.read_merged(spark, path)
     deduped, proof = dedup_slice(table, date_col, start, end, keys, order)
     p = proof.collect()[0]
     if not p["ok"]:

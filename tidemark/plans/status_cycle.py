@@ -1,10 +1,10 @@
 """The hourly status update as one plan (query lifecycle (1)).
 
-The reference polls, then runs one MERGE job per changed row and another per
-stuck row. Here the poll result is a DataFrame; mapping (J-08), error
-handling (J-09) and the stuck sweep (J-07) are composed into one plan over
-the log, staged once, written once (dynamic overwrite of the touched months)
-and summarised (A-17, A-01) from the staged copy.
+The poll result is a DataFrame; mapping (J-08), error handling (J-09) and
+the stuck sweep (J-07) are composed into one plan over the log and staged
+once. Only the months that hold a changed row are rewritten (in one write,
+moved in place), and the summary (A-17) comes from the staged copy, which is
+removed at the end.
 """
 
 from __future__ import annotations
@@ -20,13 +20,17 @@ from tidemark.sources import io
 
 def status_cycle(spark: SparkSession, log_path: str, snapshot: DataFrame, as_of: dt.datetime,
                  yearmonth: str | None = None, stuck_hours: float = 24) -> dict:
-    log = spark.read.parquet(log_path)
+    log = io.read_merged(spark, log_path)
     scope = log.where(F.col("yearmonth") == yearmonth) if yearmonth else log
-    # Staged before the log is overwritten: the summary must not re-read the
-    # replaced files (it would see the new log, or files that are gone).
-    applied = io.stage(jl.apply_status_snapshot(scope, snapshot, as_of))
-    swept = jl.fail_stuck(applied.drop("poll_outcome"), as_of, stuck_hours, yearmonth)
-    staged = io.stage(swept.select(*log.columns))
-    io.overwrite_partitions(staged, log_path, ["yearmonth"])
-    summary = jl.poll_summary(applied)
-    return {"poll_summary": summary, "statistics": jl.status_statistics(staged, yearmonth)}
+    with io.staged(jl.apply_status_snapshot(scope, snapshot, as_of)) as applied:
+        stuck = jl.stuck(as_of, stuck_hours)
+        polled = F.coalesce(F.col("poll_outcome").isin("updated", "retry", "gave_up"), F.lit(False))
+        months = [r[0] for r in applied.where(polled | stuck).select("yearmonth").distinct().collect()]
+        if months:  # one value per changed month
+            swept = jl.fail_stuck(applied.where(F.col("yearmonth").isin(months)).drop("poll_outcome"), as_of, stuck_hours)
+            held = io.with_folder(io.read_merged(spark, log_path)).where(F.col("yearmonth").isin(months))
+            io.publish(spark, log_path, swept.select(*log.columns), ["yearmonth"], io.touched_folders(spark, log_path, held))
+        summary = jl.poll_summary(applied)
+        # a metric or a status per row
+        summary = spark.createDataFrame(summary.collect(), summary.schema)
+    return {"poll_summary": summary, "statistics": jl.status_statistics(io.read_merged(spark, log_path), yearmonth)}

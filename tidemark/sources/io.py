@@ -2,26 +2,27 @@
 
 Writes go to Parquet paths or catalog tables. Stock Spark has no MERGE /
 UPDATE / DELETE for file tables, so a mutation is computed as a DataFrame
-(``tidemark.operators.merge``), **staged** as a written table in the shared
-checkpoint folder (this also cuts lineage, so a lost executor never forces
-a recompute of the whole mutation), and then published with dynamic
-partition overwrite. Partitions that end up empty are removed explicitly,
-because dynamic overwrite only replaces partitions present in the data.
+(``tidemark.operators.merge``) over the whole partitions it touches, written
+once beside the table and moved in place folder by folder
+(``tidemark.sources.publish``).
 """
 
 from __future__ import annotations
 
+import contextlib
 import datetime as dt
 import json
 import os
 import uuid
-from functools import reduce
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.session import checkpoint_dir
+from tidemark.sources.publish import (FOLDER, append_once, delete_path, leaf_folders, path_exists, publish, read_folders,
+                                      read_merged, same_values, touched_folders, with_folder)
 
 SUPPORTED_FORMATS = ("parquet", "csv", "json", "orc", "text", "avro", "delta")
 
@@ -60,37 +61,36 @@ def read_jsonl_results(spark: SparkSession, path: str, schema: T.StructType,
             .option("columnNameOfCorruptRecord", corrupt_col).json(path))
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(p)
-
-
-def delete_path(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.delete(p, True)
+def _day_folders(spark: SparkSession, base: str, start: dt.date, end: dt.date) -> list[str]:
+    """Folders of the ``year=/month=/day=`` layout under ``base`` for the days from ``start`` to ``end``, zero-padded or not."""
+    out = []
+    for folder in leaf_folders(spark, base, 3):
+        parts = dict(p.split("=", 1) for p in folder.split("/"))
+        try:
+            day = dt.date(int(parts["year"]), int(parts["month"]), int(parts["day"]))
+        except (KeyError, ValueError):
+            continue
+        if start <= day <= end:
+            out.append(folder)
+    return out
 
 
 def read_day(spark: SparkSession, base: str, day: dt.date, fmt: str = "parquet") -> DataFrame | None:
-    """S-06: one day of a ``year=/month=/day=`` layout. The filter is on
-    partition columns only, so Spark prunes to that one directory. A missing
-    or empty day returns ``None`` (skipped, not an error)."""
-    if not path_exists(spark, base):
-        return None
-    df = spark.read.format(fmt).load(base)
-    out = df.where((F.col("year") == day.year) & (F.col("month") == day.month) & (F.col("day") == day.day))
-    return None if out.isEmpty() else out
+    """S-06: one day of a ``year=/month=/day=`` layout, read from the day's own folder with the columns of all its files (a
+    column that is new that day included). A missing or empty day returns ``None`` (skipped, not an error)."""
+    return read_days(spark, base, day, day, fmt)
 
 
-def read_days(spark: SparkSession, base: str, start: dt.date, end: dt.date, fmt: str = "parquet") -> DataFrame:
-    """I-02: an inclusive day range of a ``year=/month=/day=`` layout in one
-    scan; the predicate uses only partition columns (pruned at planning)."""
-    df = spark.read.format(fmt).load(base)
-    d = F.make_date("year", "month", "day")
-    return df.where(d.between(F.lit(start.isoformat()).cast("date"), F.lit(end.isoformat()).cast("date")))
+def read_days(spark: SparkSession, base: str, start: dt.date, end: dt.date, fmt: str = "parquet") -> DataFrame | None:
+    """I-02: an inclusive day range in one scan of the days' folders, with the columns of all their files; ``None`` if there
+    is no row."""
+    folders = _day_folders(spark, base, start, end)
+    if not folders:
+        return None
+    root = base.rstrip("/")
+    df = (spark.read.format(fmt).option("basePath", root).option("mergeSchema", "true")
+          .load([f"{root}/{f}" for f in folders]))
+    return None if df.isEmpty() else df
 
 
 def column_metadata(tables: dict[str, DataFrame]) -> DataFrame:
@@ -165,10 +165,6 @@ def append(df: DataFrame, path: str, partition_by: list[str] | None = None,
     return int(obs.get["rows"])
 
 
-def read_merged(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("mergeSchema", "true").parquet(path)
-
-
 def overwrite(df: DataFrame, path: str, partition_by: list[str] | None = None,
               options: dict | None = None) -> None:
     """S-11: full overwrite (static mode: the whole path is replaced, the
@@ -191,18 +187,26 @@ def stage(df: DataFrame, name: str | None = None) -> DataFrame:
 
     The written copy cuts lineage (a lost executor re-reads files instead of
     recomputing the mutation) and lets a target be overwritten from data
-    that no longer depends on it."""
-    return stage_with_path(df, name)[0]
+    that no longer depends on it. It lives as long as its reader needs it;
+    :func:`staged` removes it at the end of a block."""
+    return _staged_copy(df, name)[0]
 
 
-def stage_with_path(df: DataFrame, name: str | None = None) -> tuple[DataFrame, str]:
-    """:func:`stage`, also returning the folder so that a writer can remove
-    its intermediate copy once the target is replaced (staged copies of
-    rewritten partitions would otherwise pile up in shared storage)."""
+def _staged_copy(df: DataFrame, name: str | None = None) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = os.path.join(checkpoint_dir(spark), "staging", name or f"stage-{uuid.uuid4().hex}")
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path), path
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+@contextlib.contextmanager
+def staged(df: DataFrame) -> Iterator[DataFrame]:
+    """:func:`stage` for the length of a ``with`` block; the copy is removed when it ends, also on an error."""
+    copy, path = _staged_copy(df)
+    try:
+        yield copy
+    finally:
+        delete_path(df.sparkSession, path)
 
 
 def replace_where(target: DataFrame, new: DataFrame, pred: Column) -> DataFrame:
@@ -215,72 +219,81 @@ def replace_where(target: DataFrame, new: DataFrame, pred: Column) -> DataFrame:
     return target.where(~inside).unionByName(checked)
 
 
+def _check_columns(target: DataFrame, source: DataFrame) -> None:
+    """A source must bring every column of the target, as for MERGE; columns the target lacks are added to it."""
+    missing = [c for c in target.columns if c not in source.columns]
+    if missing:
+        raise ValueError(f"source lacks the target's columns: {', '.join(missing)}")
+
+
+def _affected(spark: SparkSession, path: str, target: DataFrame, folders: list[str]) -> DataFrame:
+    """The rows of whole partitions, under the table's full schema."""
+    if not folders:
+        return target.limit(0)
+    rows = read_folders(spark, path, folders)
+    return rows.select(*[(F.col(c) if c in rows.columns else F.lit(None)).cast(target.schema[c].dataType).alias(c)
+                         for c in target.columns])
+
+
 def write_replace_where(spark: SparkSession, path: str, new: DataFrame, pred: Column,
                         partition_by: list[str]) -> int:
     """S-12 persisted: replace the rows matching ``pred`` in the partitioned
-    Parquet table at ``path`` with ``new``. Only partitions touched by
-    ``pred`` or ``new`` are rewritten (dynamic overwrite from a staged copy);
-    partitions left empty are deleted. Returns the rows written."""
-    target = spark.read.parquet(path)
+    Parquet table at ``path`` with ``new``. The partitions that ``pred`` or
+    ``new`` touches are rewritten whole: their other rows stay, whatever
+    their folders are called (NULL and zero-padded values included), and
+    partitions left empty are deleted. New columns of ``new`` are added.
+    Returns the rows of the rewritten partitions."""
+    target = read_merged(spark, path)
+    _check_columns(target, new)
+    rows = with_folder(target)
+    parts = new.select(*partition_by).distinct()
+    hit = (rows.where(F.coalesce(pred, F.lit(False))).select(FOLDER)
+           .union(rows.join(parts, same_values(rows, parts, partition_by), "left_semi").select(FOLDER)))
+    folders = touched_folders(spark, path, hit)
     inside = F.coalesce(pred, F.lit(False))
-    touched = (target.where(inside).select(*partition_by)
-               .unionByName(new.select(*partition_by)).distinct())
-    # The touched partition values are few (one per partition, never rows);
-    # they are fixed before the target's files are replaced.
-    touched_keys = [tuple(r) for r in touched.collect()]
-    result = replace_where(target.join(touched, partition_by, "left_semi"), new, pred)
-    staged, tmp = stage_with_path(result.select(*target.columns))
-    remaining = {tuple(r) for r in staged.select(*partition_by).distinct().collect()}
-    overwrite_partitions(staged, path, partition_by)
-    for key in touched_keys:
-        if key not in remaining:
-            sub = "/".join(f"{c}={v}" for c, v in zip(partition_by, key))
-            delete_path(spark, f"{path.rstrip('/')}/{sub}")
-    n = staged.count()
-    delete_path(spark, tmp)
-    return n
+    kept = _affected(spark, path, target, folders).where(~inside)
+    checked = new.where(F.when(~inside, F.raise_error(F.lit("new data outside the replace predicate")))
+                        .otherwise(F.lit(True)).cast("boolean"))
+    return publish(spark, path, kept.unionByName(checked, allowMissingColumns=True), partition_by, folders)
 
 
 def write_upsert(spark: SparkSession, path: str, source: DataFrame, keys: list[str],
                  partition_by: list[str], within_source_partitions: bool = False) -> int:
-    """J-02 persisted (copy-on-write MERGE): only partitions that hold a
-    matching key or receive a source row are rewritten. The touched
-    partitions are found by a semi-join on the key columns alone (column
-    pruning keeps that shuffle narrow). Returns the rows of the rewritten
-    partitions. A missing target is created from the source.
+    """J-02 persisted (copy-on-write MERGE): the partitions that hold a
+    matching key or receive a source row are rewritten whole, in one write;
+    a partition whose last row moved away is deleted. The touched partitions
+    are found by a semi-join on the key columns alone (column pruning keeps
+    that shuffle narrow). Returns the rows of the rewritten partitions. A
+    missing target is created from the source; a source column that the
+    target lacks is added, a missing one is an error.
 
     ``within_source_partitions``: the caller guarantees that a key never
     lives outside the partition its source row names (e.g. an event stays
     on its day). Then the key scan of the whole target is skipped: only the
-    source's partitions are read (a semi-join on the partition columns,
-    which dynamic partition pruning turns into a directory filter)."""
-    from tidemark.operators.merge import upsert
+    source's partitions are looked up (partition columns and file names, no
+    data columns)."""
+    from tidemark.operators.merge import assert_unique_keys, upsert
+    source = assert_unique_keys(source, keys, "upsert source")
     if not path_exists(spark, path):
-        overwrite_partitions(source, path, partition_by)
-        return spark.read.parquet(path).count()
-    target = spark.read.parquet(path)
-    if within_source_partitions:
-        touched = source.select(*partition_by).distinct()
-    else:
-        touched = (target.join(source.select(*keys).distinct(), keys, "left_semi").select(*partition_by)
-                   .unionByName(source.select(*partition_by)).distinct())
-    affected = target.join(touched, partition_by, "left_semi")
-    staged, tmp = stage_with_path(upsert(affected, source, keys).select(*target.columns))
-    overwrite_partitions(staged, path, partition_by)
-    n = staged.count()
-    delete_path(spark, tmp)
-    return n
-
-
-def export_csv(df: DataFrame, path: str, single_file: bool = False, single_file_max_rows: int = 1_000_000) -> bool:
-    """S-14: CSV with header. ``single_file`` writes one file through one
-    task, so it is taken only after a bounded row check (``limit(n+1)``);
-    a larger result is written as parallel part files. Returns whether one
-    file was written."""
-    one = single_file and df.limit(single_file_max_rows + 1).count() <= single_file_max_rows
-    out = df.coalesce(1) if one else df
+        return publish(spark, path, source, partition_by, [])
+    target = read_merged(spark, path)
+    _check_columns(target, source)
+    rows = with_folder(target)
+    parts = source.select(*partition_by).distinct()
+    hit = rows.join(parts, same_values(rows, parts, partition_by), "left_semi").select(FOLDER)
+    if not within_source_partitions:
+        hit = hit.union(rows.join(source.select(*keys), keys, "left_semi").select(FOLDER))
+    folders = touched_folders(spark, path, hit)
+    result = upsert(_affected(spark, path, target, folders), source, keys, check_unique=False)
+    return publish(spark, path, result, partition_by, folders)
+
+
+def export_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
+    """S-14: CSV with header, as parallel part files, or through one task as
+    one file if the caller asks for that (a choice of the caller, who knows
+    that the result is small)."""
+    out = df.coalesce(1) if single_file else df
     out.write.mode("overwrite").option("header", "true").csv(path)
-    return one
 
 
 def create_backup(spark: SparkSession, source: DataFrame, pred: Column, base_path: str,
@@ -297,7 +310,7 @@ def create_backup(spark: SparkSession, source: DataFrame, pred: Column, base_pat
 def restore_backup(spark: SparkSession, path: str, backup_path: str, pred: Column,
                    partition_by: list[str]) -> int:
     """S-24: put the backed-up slice back (replace-where with the backup)."""
-    backup = spark.read.parquet(backup_path)
+    backup = read_merged(spark, backup_path)
     return write_replace_where(spark, path, backup, pred, partition_by)
 
 
@@ -331,7 +344,7 @@ def create_table(spark: SparkSession, name: str, schema: T.StructType, **kw) ->
 def export_table(df: DataFrame, path: str, if_exists: str = "fail", fmt: str = "parquet",
                  max_records_per_file: int | None = None) -> None:
     """S-17: distributed export with ``replace`` / ``append`` / ``fail``;
-    the reference's row chunks become ``maxRecordsPerFile``."""
+    row chunks become ``maxRecordsPerFile``."""
     mode = {"replace": "overwrite", "append": "append", "fail": "errorifexists"}[if_exists]
     w = df.write.mode(mode).format(fmt)
     if max_records_per_file:
@@ -339,14 +352,34 @@ def export_table(df: DataFrame, path: str, if_exists: str = "fail", fmt: str = "
     w.save(path)
 
 
-def write_shards_jsonl(sharded: DataFrame, base: str, value_col: str = "request",
-                       month_col: str = "yearmonth", shard_col: str = "shard") -> None:
-    """S-18: request shards as JSON lines, ``<base>/yearmonth=YYYYMM/shard=S/``
-    with exactly one file per shard: ``repartition`` by shard puts each
-    shard's (bounded) records in one task."""
-    (sharded.repartition(month_col, shard_col).select(month_col, shard_col, value_col)
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy(month_col, shard_col).text(base))
+def write_shards_jsonl(sharded: DataFrame, base: str, yearmonth: str, value_col: str = "request",
+                       shard_col: str = "shard") -> int:
+    """S-18: request shards as JSON lines, ``<base>/<yearmonth>/shard_<name>.jsonl``, one file per shard: the files M-06 lists.
+
+    ``repartition`` by shard puts each shard's (bounded) records in one task;
+    the files are written beside the month's folder and then take their
+    names, one move each. Shards of an earlier run of the month are replaced.
+    Returns the number of files."""
+    spark = sharded.sparkSession
+    root = f"{base.rstrip('/')}/{yearmonth}"
+    tmp = f"{base.rstrip('/')}/_staged-{uuid.uuid4().hex}"
+    try:
+        (sharded.repartition(shard_col).select(shard_col, value_col).write.partitionBy(shard_col).text(tmp))
+        jvm = spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path
+        fs = path(tmp).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs.delete(path(root), True)
+        fs.mkdirs(path(root))
+        folders = leaf_folders(spark, tmp, 1)
+        for folder in folders:
+            files = [st.getPath() for st in fs.listStatus(path(f"{tmp}/{folder}")) if st.getPath().getName().startswith("part-")]
+            if len(files) != 1:
+                raise ValueError(f"{folder} has {len(files)} files")
+            if not fs.rename(files[0], path(f"{root}/shard_{folder.split('=', 1)[1]}.jsonl")):
+                raise OSError(f"could not move {folder}")
+        return len(folders)
+    finally:
+        delete_path(spark, tmp)
 
 
 def write_interchange(df: DataFrame, path: str, fmt: str) -> None:
@@ -377,28 +410,21 @@ def extraction_manifest(df: DataFrame, source_system: str, source_database: str,
 
 def compact(spark: SparkSession, path: str, pred: Column, partition_by: list[str], keys: list[str],
             target_file_bytes: int = 512 * 1024 * 1024) -> int:
-    """S-25: rewrite the partitions selected by ``pred`` clustered by
-    ``keys``: range-partitioned and sorted, fewer and larger files, same rows.
+    """S-25: rewrite every partition that holds a row matching ``pred``,
+    clustered by ``keys``: range-partitioned and sorted, fewer and larger
+    files. The predicate only chooses partitions; all their rows are
+    rewritten, and counted before the old files go.
 
-    The file count follows the slice's size on disk (``_metadata.file_size``
-    of the files it reads, aggregated on the executors): about
+    The file count follows the size on disk (``_metadata.file_size`` of the
+    files it reads, aggregated on the executors): about
     ``target_file_bytes`` per file and at least one per partition, so a
     large day is never funnelled into one writer task."""
-    target = spark.read.parquet(path)
-    sl = target.where(F.coalesce(pred, F.lit(False)))
-    files = (sl.select(*partition_by, F.col("_metadata.file_path").alias("__f"),
-                       F.col("_metadata.file_size").alias("__s")).distinct())
-    st = files.agg(F.countDistinct(*partition_by).alias("parts"),
-                   F.coalesce(F.sum("__s"), F.lit(0)).alias("bytes")).first()
-    n = max(1, int(st["parts"]), -(-int(st["bytes"]) // int(target_file_bytes)))
-    clustered = sl.repartitionByRange(n, *partition_by, *keys).sortWithinPartitions(*partition_by, *keys)
-    staged, tmp = stage_with_path(clustered)
-    overwrite_partitions(staged.repartitionByRange(n, *partition_by, *keys)
-                         .sortWithinPartitions(*partition_by, *keys), path, partition_by)
-    rows = staged.count()
-    delete_path(spark, tmp)
-    return rows
-
-
-def union_all(dfs: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), dfs)
+    folders = touched_folders(spark, path, with_folder(read_merged(spark, path)).where(F.coalesce(pred, F.lit(False))))
+    if not folders:
+        return 0
+    rows = read_folders(spark, path, folders)
+    files = rows.select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_size").alias("s")).distinct()
+    size = int(files.agg(F.coalesce(F.sum("s"), F.lit(0))).first()[0])
+    n = max(len(folders), -(-size // int(target_file_bytes)))
+    clustered = rows.repartitionByRange(n, *partition_by, *keys).sortWithinPartitions(*partition_by, *keys)
+    return publish(spark, path, clustered, partition_by, folders, expect=rows.count())

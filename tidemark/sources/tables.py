@@ -6,6 +6,8 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.sources.publish import path_exists
+
 DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders",
                  "lineitem", "events", "documents", "embeddings", "pages",
                  "benchmark", "labels", "conversations")
@@ -22,5 +24,5 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def register_tables(spark: SparkSession, sf_dir: str, names=DRIVER_TABLES) -> None:
     for n in names:
-        if os.path.exists(table_path(sf_dir, n)):
+        if path_exists(spark, table_path(sf_dir, n)):
             read_table(spark, sf_dir, n).createOrReplaceTempView(n)

@@ -9,8 +9,8 @@ driver resumes where it stopped.
 
 Delivery: ``foreachBatch`` replays a micro-batch whose commit was not
 recorded. Upserts are idempotent (replaying a batch gives the same table);
-appends are at-least-once, like any file append -- use ``mode="upsert"`` on a
-key when a replay must not duplicate rows.
+an appended batch is named after the stream and its epoch, and a replay
+replaces the files of that name, so it is appended once.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ def stream_load(spark: SparkSession, source: str, schema: T.StructType, target:
 
     def write_batch(batch: DataFrame, epoch_id: int) -> None:
         if mode == "append":
-            io.append(batch, target, partition_by)
+            io.append_once(batch.sparkSession, batch, target, partition_by, f"{name}-{epoch_id:09d}")
         else:
             src = latest_per_key(batch, merge_keys, order_by) if order_by else batch
             io.write_upsert(batch.sparkSession, target, src, merge_keys, partition_by)
