@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.timefn import hours_before, days_before, hours_between, ts_lit
+from tidemark.operators.merge import assert_unique_keys
 
 # The status domain of the log.
 PENDING, PROCESSING = "PENDING", "PROCESSING"
@@ -56,6 +57,7 @@ LOG_SCHEMA = T.StructType([
     T.StructField("max_retries", T.IntegerType()),
     T.StructField("job_name", T.StringType()),
     T.StructField("job_run_id", T.StringType()),
+    T.StructField("created_date", T.DateType()),   # the day of created_at, computed on write
     T.StructField("yearmonth", T.StringType(), False),
 ])
 
@@ -76,17 +78,11 @@ def unique_by_key(df: DataFrame, keys: list[str], what: str = "change set") -> D
     """Rows of ``df`` with ``keys`` asserted unique, inside the plan.
 
     MERGE refuses a source in which one target row matches several source
-    rows; this does the same without a separate action: a group-by on the
-    keys raises at execution when a key occurs twice. The group-by's hash
-    partitioning is reused by a following join on the same keys.
+    rows; this does the same without a separate action: a count per key
+    (numbers only, pre-aggregated) is joined back and raises at execution
+    when a key occurs twice.
     """
-    others = [c for c in df.columns if c not in keys]
-    g = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"),
-                              *[F.first(c).alias(c) for c in others])
-    msg = F.concat(F.lit(f"duplicate key in {what}: "),
-                   F.to_json(F.struct(*[F.col(k) for k in keys])))
-    check = F.when(F.col("__n") > 1, F.raise_error(msg)).otherwise(F.lit(True))
-    return g.where(check.cast("boolean")).drop("__n")
+    return assert_unique_keys(df, keys, what)
 
 
 # ---------------------------------------------------------------- lookups
@@ -212,24 +208,22 @@ def retention_split(log: DataFrame, as_of, days_to_keep: int = 90, yearmonth: st
 def increment_retry(log: DataFrame, ids: DataFrame, as_of) -> DataFrame:
     """J-06: ``retry_count + 1`` and ``updated_at = as_of`` for each id in ``ids``.
 
-    An id absent from the log raises at execution (one full outer join, no
-    separate lookup per id).
+    An id absent from the log raises at execution: a left join marks the rows
+    (AQE can split it), and the ids joined to the log are unioned behind a
+    check that no row passes.
     """
-    u = unique_by_key(ids.select("batch_id"), ["batch_id"], "retry ids").withColumn("__hit", F.lit(True))
-    j = log.withColumn("__in_log", F.lit(True)).join(u, "batch_id", "full")
-    j = j.where(F.when(F.col("__in_log").isNull(),
-                       F.raise_error(F.concat(F.lit("Batch not found: "), F.col("batch_id"))).cast("boolean"))
-                .otherwise(F.lit(True)))
+    u = unique_by_key(ids.select("batch_id"), ["batch_id"], "retry ids")
+    j = log.join(u.withColumn("__hit", F.lit(True)), "batch_id", "left")
     hit = F.coalesce(F.col("__hit"), F.lit(False))
-    out = []
-    for c in log.columns:
-        if c == "retry_count":
-            out.append(F.when(hit, F.col(c) + 1).otherwise(F.col(c)).alias(c))
-        elif c == "updated_at":
-            out.append(F.when(hit, ts_lit(as_of)).otherwise(F.col(c)).alias(c))
-        else:
-            out.append(F.col(c))
-    return j.select(*out)
+    over = {"retry_count": F.when(hit, F.coalesce(F.col("retry_count"), F.lit(0)) + 1).otherwise(F.col("retry_count")),
+            "updated_at": F.when(hit, ts_lit(as_of)).otherwise(F.col("updated_at"))}
+    done = j.select(*[over.get(c, F.col(c)).alias(c) for c in log.columns])
+    message = F.concat(F.lit("Batch not found: "), F.coalesce(F.col("batch_id"), F.lit("null")))
+    known = log.select("batch_id", F.lit(True).alias("__known"))
+    absent = u.join(known, "batch_id", "left").where(
+        F.when(F.col("__known").isNull(), F.raise_error(message).cast("boolean")).otherwise(F.lit(False)))
+    return done.unionByName(absent.select(*[(F.col(c) if c == "batch_id" else F.lit(None)).cast(log.schema[c].dataType).alias(c)
+                                            for c in log.columns]))
 
 
 def fail_stuck(log: DataFrame, as_of, hours: float = 24, yearmonth: str | None = None) -> DataFrame:
@@ -282,7 +276,9 @@ def apply_status_snapshot(log: DataFrame, snapshot: DataFrame, as_of) -> DataFra
     err = hit & F.col("__err").isNotNull()
     mapped = map_source_state(F.col("__state"))
     changed = hit & ~err & mapped.isNotNull() & (mapped != _st())
-    can_retry = F.col("retry_count") < F.col("max_retries")
+    # NULL counts as the column's default: no retry so far, three at most
+    retries = F.coalesce(F.col("retry_count"), F.lit(0))
+    can_retry = retries < F.coalesce(F.col("max_retries"), F.lit(3))
     give_up = err & ~can_retry
     new_status = F.when(changed, mapped).when(give_up, F.lit(FAILED)).otherwise(_st())
     out = []
@@ -294,7 +290,7 @@ def apply_status_snapshot(log: DataFrame, snapshot: DataFrame, as_of) -> DataFra
         elif c == "completed_at":
             e = F.when(changed | give_up, _terminal_time(new_status, now, F.col(c))).otherwise(F.col(c))
         elif c == "retry_count":
-            e = F.when(err & can_retry, F.col(c) + 1).otherwise(F.col(c))
+            e = F.when(err & can_retry, retries + 1).otherwise(F.col(c))
         elif c == "error_message":
             e = F.when(give_up, F.concat(F.lit("Max retries exceeded. Last error: "), F.col("__err")))
             if "failure_message" in present:
@@ -368,6 +364,7 @@ def new_log_rows(batches: DataFrame, as_of, model_id: str | None = None,
         "max_retries": F.lit(3),
         "job_name": opt("job_name", job_name),
         "job_run_id": opt("job_run_id", job_run_id),
+        "created_date": F.to_date(now),
         "yearmonth": opt("yearmonth", ym),
     }
     return batches.select(*[cols[f.name].cast(f.dataType).alias(f.name) for f in LOG_SCHEMA.fields])
@@ -511,6 +508,11 @@ def monthly_summary(log: DataFrame) -> DataFrame:
             .orderBy(F.col("yearmonth").desc()))
 
 
+def stuck(as_of, hours) -> Column:
+    """Open rows not updated for ``hours`` (false where the time is NULL)."""
+    return F.coalesce(_stuck_pred(as_of, hours), F.lit(False))
+
+
 def _stuck_pred(as_of, hours) -> Column:
     return _st().isin(NON_TERMINAL) & (F.col("updated_at") < hours_before(as_of, hours))
 
@@ -542,9 +544,9 @@ def month_dashboard(log: DataFrame, as_of, yearmonth: str, hours: float = 24) ->
 def status_report(log: DataFrame, as_of, yearmonth: str | None = None, top_errors: int = 5) -> DataFrame:
     """A-16: the status report as a tidy DataFrame (section, key, metric, value).
 
-    Sections: overall, status, age, error (top messages cut to 100 chars),
-    open_work (pending + processing of the month). Rendering text is the
-    caller's job.
+    Sections: overall, status, age, error (the top messages, whole),
+    open_work (pending + processing of the month). Rendering text, and
+    shortening it, is the caller's job.
     """
     m = _month(log, yearmonth)
 
@@ -574,7 +576,7 @@ def status_report(log: DataFrame, as_of, yearmonth: str | None = None, top_error
                          ["count", "total_prompts", "completed_prompts", "failed_prompts"]))
     age = batches_by_age(m, as_of)
     parts.append(longify(age, "age", F.col("age_category"), ["count"]))
-    err = error_summary(m, top_errors).withColumn("error_message", F.substring("error_message", 1, 100))
+    err = error_summary(m, top_errors)
     parts.append(longify(err, "error", F.col("error_message"), ["occurrence_count"]))
     out = parts[0]
     for p in parts[1:]:

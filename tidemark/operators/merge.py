@@ -8,7 +8,7 @@ Scale notes:
 * Upsert = ``target ANTI source UNION source``: one shuffle of each side on
   the keys; the source's duplicate check reuses the same partitioning.
 * Joins are equi-joins on keys; Spark/AQE choose sort-merge vs broadcast at
-  runtime. ``broadcast_if_small`` broadcasts only after a bounded row check.
+  runtime by size in bytes; no hints.
 * Null keys follow MERGE semantics (never match) unless ``null_safe``.
 """
 
@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.hashing import row_hash, row_hash64
@@ -70,23 +70,26 @@ def column_compare(src: DataFrame, dst: DataFrame, id_col: str, cols: list[str])
     """J-11: per compared column: matches, mismatches (NULL = NULL is a match,
     D-22), ids only in source, ids only in destination; one row per column.
 
-    Both sides are tagged and unioned, then grouped by id (a partial
-    aggregation: a repeated id is combined per task before the shuffle) --
-    no full outer join, which AQE cannot split when one id is hot. Ids are
-    expected unique per side."""
-    def side(df, mine, other, flag):
-        return df.select(id_col, *[F.col(c).alias(f"__{mine}_{c}") for c in cols],
-                         *[F.lit(None).cast(df.schema[c].dataType).alias(f"__{other}_{c}") for c in cols],
-                         *[F.lit(int(flag == f)).alias(f) for f in ("__in_s", "__in_d")])
-    d_side = side(dst, "d", "s", "__in_d")
-    s_side = side(src, "s", "d", "__in_s").select(*d_side.columns)
-    per_id = (s_side.unionByName(d_side).groupBy(id_col)
-              .agg(*[F.max(f"__{p}_{c}").alias(f"__{p}_{c}") for c in cols for p in ("s", "d")],
-                   F.max("__in_s").alias("__in_s"), F.max("__in_d").alias("__in_d")))
+    Both sides are reduced to (id, one 64-bit hash per column), tagged and
+    unioned, then grouped by id: only numbers are shuffled and aggregated, and
+    a repeated id is combined per task before the shuffle. An id that repeats
+    on a side raises at execution, as an upsert source does: its rows could
+    not be told apart."""
+    def side(df, mine):
+        hashes = [F.xxhash64(F.col(c).isNull(), F.col(c)) for c in cols]
+        return df.select(id_col, *[h.alias(f"__{p}_{i}") if p == mine else F.lit(None).cast("long").alias(f"__{p}_{i}")
+                                   for p in ("s", "d") for i, h in enumerate(hashes)],
+                         *[F.lit(int(p == mine)).alias(f"__in_{p}") for p in ("s", "d")])
+    per_id = (side(src, "s").unionByName(side(dst, "d")).groupBy(id_col)
+              .agg(*[F.max(f"__{p}_{i}").alias(f"__{p}_{i}") for p in ("s", "d") for i in range(len(cols))],
+                   F.sum("__in_s").alias("__in_s"), F.sum("__in_d").alias("__in_d")))
+    repeated = F.greatest("__in_s", "__in_d") > 1
+    message = F.concat(F.lit("duplicate id in column compare: "), F.to_json(F.struct(F.col(id_col))))
+    per_id = per_id.where(F.when(repeated, F.raise_error(message)).otherwise(F.lit(True)).cast("boolean"))
     both = (F.col("__in_s") == 1) & (F.col("__in_d") == 1)
     aggs = []
-    for c in cols:
-        eq = F.col(f"__s_{c}").eqNullSafe(F.col(f"__d_{c}"))
+    for i, c in enumerate(cols):
+        eq = F.col(f"__s_{i}") == F.col(f"__d_{i}")
         aggs += [F.count(F.when(both & eq, 1)).alias(f"{c}__match"),
                  F.count(F.when(both & ~eq, 1)).alias(f"{c}__mismatch")]
     aggs += [F.count(F.when(F.col("__in_d") == 0, 1)).alias("__only_s"),
@@ -136,23 +139,10 @@ def reconcile_results(requests: DataFrame, results: DataFrame, id_col: str,
     return g.select(id_col, status.alias("status"))
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
-    """J-15: broadcast hint only behind a size check.
-
-    ``limit(max_rows + 1).count()`` stops after ``max_rows + 1`` rows, so the
-    check is bounded; above the bound the DataFrame is returned unhinted and
-    Spark keeps a shuffle join.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
-def _join_null_safe(left: DataFrame, right: DataFrame, cols: list[str], how: str = "inner") -> DataFrame:
-    """Equi-join on ``cols`` where NULL matches NULL; keeps ``left``'s copy."""
-    r = right.select(*[F.col(c).alias(f"__r_{c}") for c in right.columns])
-    cond = reduce(lambda a, b: a & b, [left[c].eqNullSafe(r[f"__r_{c}"]) for c in cols])
-    rest = [F.col(f"__r_{c}").alias(c) for c in right.columns if c not in cols]
-    return left.join(r, cond, how).select(*[left[c] for c in left.columns], *rest)
+def lookup_join(facts: DataFrame, lookup: DataFrame, on: Column | list[str], how: str = "inner") -> DataFrame:
+    """J-15: an equi-join with a lookup table. No hint: the planner broadcasts the lookup where its size in bytes, estimated
+    or seen at run time, is under ``spark.sql.autoBroadcastJoinThreshold``, and shuffles beyond."""
+    return facts.join(lookup, on, how)
 
 
 def change_feed(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -161,33 +151,27 @@ def change_feed(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     Output: the new table's columns plus ``_change_type`` in insert / delete
     / update_preimage / update_postimage. Unchanged rows are omitted.
 
-    Plan: only (keys, 64-bit row fingerprint) of both sides are shuffled and
-    compared in one partial aggregation, so unchanged rows never move whole
-    and a key repeated on many rows is combined per task before the shuffle.
-    The changed (key, fingerprint) pairs -- usually a small set that AQE
-    broadcasts at runtime -- then select the full rows of each side. There
-    is no full outer join (AQE cannot split skew in one, and it pairs every
-    row of a repeated key). Keys are expected unique per side, as for MERGE.
+    Plan: one read of each side and one exchange. Both sides, with a 64-bit
+    row fingerprint, are dealt out by key once; counts per (key, fingerprint)
+    and per key over that same dealing say which rows changed. No join, so a
+    repeated key never pairs its rows; keys are expected unique per side, as
+    for MERGE, and the rows of one that is not are compared as multisets.
     """
     values = [c for c in new.columns if c not in keys]
     h = row_hash64(values).alias("__h")
-    sides = (old.select(*keys, h, F.lit(1).alias("__o"), F.lit(0).alias("__n"))
-             .unionByName(new.select(*keys, h, F.lit(0).alias("__o"), F.lit(1).alias("__n"))))
-    diff = (sides.groupBy(*keys, "__h").agg(F.sum("__o").alias("__o"), F.sum("__n").alias("__n"))
-            .where(F.col("__o") != F.col("__n")))
-    kinds = diff.groupBy(*keys).agg(F.max(F.col("__o") > F.col("__n")).alias("__has_old"),
-                                   F.max(F.col("__n") > F.col("__o")).alias("__has_new"))
-    typed = _join_null_safe(diff, kinds, keys)
-    old_kind = F.when(F.col("__has_new"), F.lit("update_preimage")).otherwise(F.lit("delete"))
-    new_kind = F.when(F.col("__has_old"), F.lit("update_postimage")).otherwise(F.lit("insert"))
-    out = [*keys, *values, "_change_type"]
-    gone = _join_null_safe(old.select(*keys, *values, h),
-                           typed.where(F.col("__o") > F.col("__n")).select(*keys, "__h", old_kind.alias("_change_type")),
-                           keys + ["__h"])
-    came = _join_null_safe(new.select(*keys, *values, h),
-                           typed.where(F.col("__n") > F.col("__o")).select(*keys, "__h", new_kind.alias("_change_type")),
-                           keys + ["__h"])
-    return gone.select(*out).unionByName(came.select(*out))
+    sides = (old.select(*keys, *values, h, F.lit(1).alias("__o"), F.lit(0).alias("__n"))
+             .unionByName(new.select(*keys, *values, h, F.lit(0).alias("__o"), F.lit(1).alias("__n"))))
+    same, key = Window.partitionBy(*keys, "__h"), Window.partitionBy(*keys)
+    surplus = F.sum(F.col("__n") - F.col("__o")).over(same)
+    x = (sides.repartition(*[F.col(k) for k in keys]).withColumn("__d", surplus)
+         .withColumn("__has_old", F.max(F.col("__d") < 0).over(key))
+         .withColumn("__has_new", F.max(F.col("__d") > 0).over(key)))
+    kind = (F.when((F.col("__d") < 0) & (F.col("__o") == 1),
+                   F.when(F.col("__has_new"), F.lit("update_preimage")).otherwise(F.lit("delete")))
+            .when((F.col("__d") > 0) & (F.col("__n") == 1),
+                  F.when(F.col("__has_old"), F.lit("update_postimage")).otherwise(F.lit("insert"))))
+    return (x.withColumn("_change_type", kind).where(F.col("_change_type").isNotNull())
+            .select(*keys, *values, "_change_type"))
 
 
 def apply_change_feed(old: DataFrame, feed: DataFrame, keys: list[str]) -> DataFrame:

@@ -35,8 +35,9 @@ def estimate_tokens(text, chars_per_token: float = CHARS_PER_TOKEN) -> Column:
 def token_count_udf(count_fn):
     """X-01: a vectorised token counter from a caller's tokenizer function.
 
-    ``count_fn(str) -> int`` runs inside an Arrow-batched pandas UDF; the
-    built-in :func:`estimate_tokens` stays the default (JVM-side)."""
+    ``count_fn(str) -> int`` runs inside an Arrow-batched pandas UDF, for a
+    function that has no built-in twin; :func:`estimate_tokens` and
+    :func:`count_matches` stay in the JVM."""
     import pandas as pd
 
     def count(s):
@@ -47,6 +48,11 @@ def token_count_udf(count_fn):
     return F.pandas_udf(count, T.LongType())
 
 
+def count_matches(text, pattern: str) -> Column:
+    """X-01 for a tokenizer that is a pattern: matches of ``pattern`` as BIGINT (0 for NULL text), without leaving the JVM."""
+    return F.coalesce(F.size(F.regexp_extract_all(_c(text), F.lit(pattern), F.lit(0))), F.lit(0)).cast("bigint")
+
+
 def hash_bucket(id_col, buckets: int) -> Column:
     """Stable bucket of a record id: first 32 bits of md5, modulo ``buckets``.
 
@@ -80,18 +86,19 @@ def token_limit_split(df: DataFrame, max_tokens: int, token_col: str = "prompt_t
     return df.where(ok), df.where(~ok)
 
 
-def bucket_count(df: DataFrame, bytes_col: str = "request_bytes", bytes_per_bucket: int = 1 << 30) -> int:
+def bucket_count(df: DataFrame, bytes_col: str | None = "request_bytes", per_bucket: int = 1 << 30) -> int:
     """How many hash buckets M-03/M-04 should use so that one bucket -- one
-    window task -- holds about ``bytes_per_bucket`` of requests. One
-    aggregation (a partial sum per task, one row to the driver)."""
-    total = df.agg(F.coalesce(F.sum(bytes_col), F.lit(0)).cast("bigint")).first()[0]
-    return max(1, -(-int(total) // int(bytes_per_bucket)))
+    window task -- holds about ``per_bucket`` bytes of requests, or rows
+    where no bytes column is named. One aggregation (a partial sum per task,
+    one row to the driver)."""
+    size = F.count(F.lit(1)) if bytes_col is None else F.coalesce(F.sum(bytes_col), F.lit(0))
+    return max(1, -(-int(df.agg(size.cast("bigint")).first()[0]) // int(per_bucket)))
 
 
 def shard_by_count(df: DataFrame, id_col: str, per_shard: int, buckets: int) -> DataFrame:
     """M-03: shards of at most ``per_shard`` records. ``shard`` =
-    ``BBBB-SSSSS`` (bucket, sequence inside the bucket), stable for a given
-    id set and bucket count. Record ids are unique, so the md5 buckets are
+    ``BBBB-SSSSS`` (bucket and sequence inside the bucket, padded, never
+    cut), stable for a given id set and bucket count. Record ids are unique, so the md5 buckets are
     balanced; size ``buckets`` with :func:`bucket_count` at scale."""
     b = hash_bucket(id_col, buckets)
     w = Window.partitionBy("shard_bucket").orderBy(id_col)
@@ -101,7 +108,8 @@ def shard_by_count(df: DataFrame, id_col: str, per_shard: int, buckets: int) ->
 
 
 def _shard_name(bucket, seq) -> Column:
-    return F.concat(F.lpad(_c(bucket).cast("string"), 4, "0"), F.lit("-"), F.lpad(_c(seq).cast("string"), 5, "0"))
+    # pads to at least 4 and 5 digits; longer numbers keep all their digits
+    return F.format_string("%04d-%05d", _c(bucket).cast("int"), _c(seq).cast("int"))
 
 
 def shard_by_budget(df: DataFrame, id_col: str, buckets: int, token_col: str = "prompt_tokens",
@@ -142,22 +150,28 @@ def hash_prefix(id_col, width: int = 2) -> Column:
     return F.lpad(hash_bucket(id_col, 10 ** width).cast("string"), width, "0")
 
 
-def shard_manifest(sharded: DataFrame, run_id: str, input_prefix: str, output_prefix: str,
+def shard_manifest(sharded: DataFrame, run_id: str, input_prefix: str, output_prefix: str, yearmonth: str,
                    token_col: str = "prompt_tokens", bytes_col: str = "request_bytes") -> DataFrame:
-    """M-06: control table, one row per shard: input/output file, run, status,
-    records, tokens in, bytes; tokens out and duration start NULL."""
-    g = sharded.groupBy("shard").agg(F.count(F.lit(1)).alias("records"),
-                                     F.sum(token_col).cast("bigint").alias("token_in"),
-                                     F.sum(bytes_col).cast("bigint").alias("shard_bytes"))
+    """M-06: control table, one row per shard: input/output file (the names
+    S-18 gives under ``<prefix>/<yearmonth>/``), run, status, records, tokens
+    in, bytes; tokens out and duration start NULL."""
+    g = sharded.groupBy("shard_bucket", "shard_seq", "shard").agg(
+        F.count(F.lit(1)).alias("records"), F.sum(token_col).cast("bigint").alias("token_in"),
+        F.sum(bytes_col).cast("bigint").alias("shard_bytes"))
+    folder = F.lit(input_prefix.rstrip("/") + f"/{yearmonth}/"), F.lit(output_prefix.rstrip("/") + f"/{yearmonth}/")
     return g.select(
-        F.col("shard").alias("shard_id"),
-        F.concat(F.lit(input_prefix.rstrip("/") + "/shard_"), F.col("shard"), F.lit(".jsonl")).alias("input_file"),
-        F.concat(F.lit(output_prefix.rstrip("/") + "/shard_"), F.col("shard"), F.lit(".jsonl.out"))
-        .alias("output_file"),
+        F.col("shard").alias("shard_id"), "shard_bucket", "shard_seq",
+        F.concat(folder[0], shard_file("shard")).alias("input_file"),
+        F.concat(folder[1], shard_file("shard"), F.lit(".out")).alias("output_file"),
         F.lit(run_id).alias("run_id"), F.lit("PENDING").alias("status"), "records", "token_in", "shard_bytes",
         F.lit(None).cast("bigint").alias("token_out"), F.lit(None).cast("double").alias("batch_duration"))
 
 
+def shard_file(shard) -> Column:
+    """The file name of a shard; S-18 writes it and M-06 lists it."""
+    return F.concat(F.lit("shard_"), _c(shard), F.lit(".jsonl"))
+
+
 def limit_check(manifest: DataFrame, active_jobs: DataFrame, max_shard_bytes: int = 50 * 1024 * 1024,
                 max_files: int = 5000, max_active_jobs: int = 10) -> DataFrame:
     """M-07: per run: shards, largest shard, and the three limit flags.
@@ -203,10 +217,9 @@ def token_plan(manifest: DataFrame, output_tokens_per_record: int, window_minute
 def assign_waves(manifest: DataFrame, output_tokens_per_record: int, daily_quota: int) -> DataFrame:
     """M-08: day (wave) of each shard so that a day's tokens stay under the
     quota plus one shard: ``floor((cumulative - own) / quota)`` over shards in
-    id order, as a two-level prefix sum."""
-    m = manifest.withColumn("__tok", F.col("token_in") + F.col("records") * F.lit(output_tokens_per_record)) \
-                .withColumn("__b", F.substring("shard_id", 1, 4))
-    c = two_level_cumsum(m, "__b", "shard_id", "__tok", "__cum")
+    (bucket, sequence) order, as a two-level prefix sum."""
+    m = manifest.withColumn("__tok", F.col("token_in") + F.col("records") * F.lit(output_tokens_per_record))
+    c = two_level_cumsum(m, "shard_bucket", "shard_seq", "__tok", "__cum")
     return c.select("shard_id", "__tok", F.floor((F.col("__cum") - F.col("__tok")) / F.lit(daily_quota))
                     .cast("int").alias("wave")).withColumnRenamed("__tok", "shard_tokens")
 
