@@ -18,7 +18,7 @@ def hours_sql(a: str, b: str) -> str:
     return f"(CAST(floor(epoch({b})) - floor(epoch({a})) AS DOUBLE) / 3600.0)"
 
 
-LOG_COLS = [f.name for f in jl.LOG_SCHEMA.fields if f.name not in ("job_name", "job_run_id")]
+LOG_COLS = [f.name for f in jl.LOG_SCHEMA.fields if f.name not in ("job_name", "job_run_id", "created_date")]
 LOG_STAR = ", ".join(LOG_COLS)
 
 
@@ -331,7 +331,7 @@ _REPORT_SQL = (
     f"a AS (SELECT CASE WHEN {_AGE} = 0 THEN 'Today' WHEN {_AGE} = 1 THEN 'Yesterday' WHEN {_AGE} <= 7 "
     f"THEN 'This Week' WHEN {_AGE} <= 30 THEN 'This Month' ELSE 'Older' END AS age_category, COUNT(*) AS count "
     "FROM batch_log GROUP BY 1), "
-    "e AS (SELECT substring(error_message, 1, 100) AS error_message, COUNT(*) AS occurrence_count "
+    "e AS (SELECT error_message, COUNT(*) AS occurrence_count "
     "FROM batch_log WHERE error_message IS NOT NULL GROUP BY batch_log.error_message "
     "ORDER BY occurrence_count DESC, batch_log.error_message LIMIT 5) "
     + " UNION ALL ".join(

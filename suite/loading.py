@@ -166,21 +166,6 @@ def s04(spark, d):
                     .alias("quality"), F.col("_corrupt_record").isNotNull().alias("is_corrupt"))
 
 
-register("s07_column_metadata",
-         "SELECT table_name, column_name, CAST(ordinal_position AS INT) AS ordinal_position "
-         "FROM information_schema.columns WHERE table_name IN (" +
-         ", ".join(f"'{t}'" for t in DRIVER_TABLES) + ")")(
-    lambda spark, d: io.column_metadata({t: read_table(spark, d, t) for t in DRIVER_TABLES})
-    .select("table_name", "column_name", "ordinal_position"))
-
-
-@register("s08_table_work_list")
-def s08(spark, d):
-    for t in ("orders", "customer"):
-        read_table(spark, d, t).createOrReplaceTempView(f"src_{t}")
-    return io.table_work_list(spark).where(F.col("table_name").startswith("src_"))
-
-
 @register("s10_append_merge_schema",
           "SELECT c_custkey, c_name, c_acctbal, CAST(NULL AS INT) AS c_nationkey FROM customer UNION ALL "
           "SELECT s_suppkey + 1000000000, s_name, s_acctbal, s_nationkey FROM supplier")
@@ -231,7 +216,7 @@ def s13(spark, d):
 def s14(spark, d):
     from tidemark.operators import joblog as jl
     path = scratch(spark, "s14")
-    io.export_csv(jl.results_export(batch_log(spark, d)), path, single_file=False)
+    io.export_csv(jl.results_export(batch_log(spark, d)), path)
     return io.read_source(spark, path, "csv")
 
 
@@ -251,6 +236,7 @@ def s16(spark, d):
     io.create_table(spark, name, jl.LOG_SCHEMA, partition_by=["yearmonth"], location=scratch(spark, "s16"),
                     properties={"tidemark.kind": "batch_log"})
     log = batch_log(spark, d)
+    log = log.withColumn("created_date", F.to_date("created_at"))
     full = log.select(*[(F.col(f.name) if f.name in log.columns else F.lit(None)).cast(f.dataType).alias(f.name)
                         for f in jl.LOG_SCHEMA.fields])
     full.write.insertInto(name)
@@ -275,20 +261,16 @@ def s17(spark, d):
     return spark.read.parquet(path).groupBy("doc_id", "lang").agg(F.count(F.lit(1)).alias("copies"))
 
 
-@register("s18_write_shards")
+from suite.requests import M04_SQL, MONTH, sharded  # noqa: E402
+
+
+@register("s18_write_shards", f"SELECT shard, COUNT(*) AS records, CAST(1 AS BIGINT) AS files FROM ({M04_SQL}) GROUP BY shard")
 def s18(spark, d):
-    from suite.requests import _built, BUCKETS, TOKEN_BUDGET, BYTE_BUDGET
-    from tidemark.operators import requests as rq
     path = scratch(spark, "s18")
-    sh = rq.shard_by_budget(_built(spark, d), "record_id", BUCKETS, token_budget=TOKEN_BUDGET,
-                            byte_budget=BYTE_BUDGET).withColumn("yearmonth", F.lit("202402"))
-    io.write_shards_jsonl(sh, path)
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-             .where(~F.col("path").contains("/_")).select("path"))
-    per_shard_files = files.groupBy(F.regexp_extract("path", r"shard=([^/]+)", 1).alias("shard")) \
-        .agg(F.count(F.lit(1)).alias("files"))
-    lines = spark.read.text(path).groupBy("shard").agg(F.count(F.lit(1)).alias("records"))
-    return lines.join(per_shard_files, "shard")
+    io.write_shards_jsonl(sharded(spark, d), path, MONTH)
+    name = F.regexp_extract(F.col("_metadata.file_path"), r"shard_([^/]+)[.]jsonl$", 1).alias("shard")
+    return (spark.read.text(f"{path}/{MONTH}").select(name, F.col("_metadata.file_path").alias("f")).groupBy("shard")
+            .agg(F.count(F.lit(1)).alias("records"), F.countDistinct("f").alias("files")))
 
 
 @register("s19_interchange")
@@ -326,7 +308,7 @@ register("s23_manifest",
 def s24(spark, d):
     target = _copy_layout(spark, d, "events")
     pred = F.make_date(*DAY) == F.lit("2024-01-20").cast("date")
-    bpath, _ = io.create_backup(spark, spark.read.parquet(target), pred, target, "restore")
+    bpath, _ = io.create_backup(spark, io.read_merged(spark, target), pred, target, "restore")
     io.write_replace_where(spark, target, spark.read.parquet(target).limit(0), pred, DAY)   # slice deleted
     io.restore_backup(spark, target, bpath, pred, DAY)
     return _read(spark, target)
@@ -340,6 +322,94 @@ def s25(spark, d):
     return _read(spark, target)
 
 
+# --------------------------------------------- awkward partitions and columns
+
+@register("s25_compact_part_of_partition", EV(f"SELECT {EV_SQL} FROM daily_events"))
+def s25_part(spark, d):
+    """Compaction of ten days of a table partitioned by month: the month's other days stay."""
+    target = scratch(spark, "s25-part")
+    spark.read.parquet(_layout(spark, d, "events")).write.partitionBy("year", "month").parquet(target)
+    io.compact(spark, target, F.col("day") <= 10, ["year", "month"], ["user_id", "ts"])
+    return _read(spark, target)
+
+
+@register("j02_write_upsert_moved_key", EV(
+    "SELECT event_id, CASE WHEN user_id % 2 = 0 THEN 'moved' ELSE event_type END AS event_type, "
+    "CASE WHEN user_id % 2 = 0 THEN 99 ELSE CAST(user_id % 7 AS INT) END AS part FROM daily_events"))
+def j02_moved(spark, d):
+    """Every second user's events move to partition 99; partitions 0 to 6 keep the others, or go where none is left."""
+    target = scratch(spark, "j02-moved")
+    ev = daily_events(spark, d).select("event_id", "event_type", "user_id")
+    part = (F.col("user_id") % 7).cast("int")
+    ev.select("event_id", "event_type", part.alias("part")).write.partitionBy("part").parquet(target)
+    moved = ev.where(F.col("user_id") % 2 == 0).select("event_id", F.lit("moved").alias("event_type"), F.lit(99).alias("part"))
+    io.write_upsert(spark, target, moved, ["event_id"], ["part"])
+    return spark.read.parquet(target)
+
+
+@register("j02_write_upsert_all_moved", EV("SELECT event_id, 'x y/z' AS part FROM daily_events"))
+def j02_all_moved(spark, d):
+    """All rows move, from odd folder names into another: the emptied partitions must be gone."""
+    target = scratch(spark, "j02-all")
+    ev = daily_events(spark, d).select("event_id", F.concat(F.lit("a b/"), F.col("event_type")).alias("part"))
+    ev.write.partitionBy("part").parquet(target)
+    io.write_upsert(spark, target, ev.withColumn("part", F.lit("x y/z")), ["event_id"], ["part"])
+    return spark.read.parquet(target)
+
+
+@register("s12_null_partition", EV(
+    "SELECT event_id, CASE WHEN event_type <> 'error' THEN event_type END AS part, "
+    "CASE WHEN event_type = 'error' AND event_id % 2 = 0 THEN -1.0 ELSE value END AS value FROM daily_events"))
+def s12_null(spark, d):
+    """Half the rows of the NULL partition are replaced; its other rows stay."""
+    target = scratch(spark, "s12-null")
+    ev = daily_events(spark, d).select(
+        "event_id", F.when(F.col("event_type") != "error", F.col("event_type")).alias("part"), "value")
+    ev.write.partitionBy("part").parquet(target)
+    pred = F.col("part").isNull() & (F.col("event_id") % 2 == 0)
+    io.write_replace_where(spark, target, ev.where(pred).withColumn("value", F.lit(-1.0)), pred, ["part"])
+    return spark.read.parquet(target)
+
+
+@register("i03_zero_padded_target", UPSERT_SQL)
+def i03_padded(spark, d):
+    """The lookback upsert into a target whose folders are spelled ``month=01/day=05``."""
+    target = scratch(spark, "i03-padded")
+    ev = spark.read.parquet(_layout(spark, d, "events"))
+    padded = ev.withColumns({c: F.lpad(F.col(c).cast("string"), 2, "0") for c in ("month", "day")})
+    padded.write.partitionBy(*DAY).parquet(target)
+    cfg = loader.TableLoad(source=_layout(spark, d, "late"), target=target, mode="upsert", merge_keys=["event_id"], name="events")
+    res = loader.load_with_lookback(spark, [cfg], dt.datetime(2024, 1, 31, 6, 0), lookback_days=3)
+    assert res.collect()[0]["status"] == "ok", res.collect()
+    return _read(spark, target)
+
+
+@register("i01_schema_evolution", EV(
+    "SELECT event_id, day, CASE WHEN day = 29 THEN 'first' WHEN day = 30 THEN 'second' END AS extra, "
+    "CASE WHEN day = 30 THEN value + 1 ELSE value END AS value FROM daily_events WHERE day >= 27"))
+def evolve(spark, d):
+    """A day with a new column is appended, the next is upserted, a slice is backed up, deleted and restored, and a day is
+    compacted: the column and its values stay."""
+    src, target = scratch(spark, "evolve-src"), scratch(spark, "evolve")
+    ev = spark.read.parquet(_layout(spark, d, "events")).select("event_id", "value", *DAY)
+    ev.where("day in (27, 28)").write.partitionBy(*DAY).parquet(target)
+    ev.where("day = 29").withColumn("extra", F.lit("first")).write.partitionBy(*DAY).parquet(src)
+    ev.where("day = 30").withColumn("extra", F.lit("old")).write.mode("append").partitionBy(*DAY).parquet(src)
+    # day 31's file lacks the column: the source as a whole has two schemas
+    ev.where("day = 31").write.mode("append").partitionBy(*DAY).parquet(src)
+    cfg = loader.TableLoad(source=src, target=target, mode="append", name="events")
+    for day in (29, 30, 31):
+        loader.load_day(spark, [cfg], dt.date(2024, 1, day))
+    late = (ev.where("day = 30").withColumn("value", F.col("value") + 1).withColumn("extra", F.lit("second")))
+    io.write_upsert(spark, target, late, ["event_id"], DAY)
+    pred = F.col("day").isin(28, 29)
+    bpath, _ = io.create_backup(spark, io.read_merged(spark, target), pred, target, "evolve")
+    io.write_replace_where(spark, target, io.read_merged(spark, target).limit(0), pred, DAY)
+    io.restore_backup(spark, target, bpath, pred, DAY)
+    io.compact(spark, target, F.col("day") == 29, DAY, ["event_id"])
+    return io.read_merged(spark, target).select("event_id", "day", "extra", "value")
+
+
 # ------------------------------------------------------------------- plans
 
 @register("q09_safe_replace_dedup", with_views(
@@ -355,14 +425,6 @@ def q09(spark, d):
     return spark.read.parquet(path)
 
 
-@register("t10_full_load_summary")
-def t10(spark, d):
-    from suite.drift import FORMATS, MAPPING, PART, write_drifting_source
-    out = bronze.full_load(spark, write_drifting_source(spark, d), PART, MAPPING, scratch(spark, "t10"),
-                           dt.datetime(2024, 2, 1), "1", FORMATS)
-    return out["summary"]
-
-
 @register("t11_incremental_load",
           "SELECT CAST(year(o_orderdate) AS VARCHAR) AS report_date, COUNT(*) AS record_count FROM orders "
           "WHERE year(o_orderdate) > 1998 GROUP BY 1")
@@ -388,11 +450,22 @@ _REG_SQL = ("SELECT 'warehouse' AS source_database, 'main' AS source_schema, tab
             "DATE '2024-02-01' AS created_date FROM information_schema.columns WHERE table_name IN (" +
             ", ".join(f"'{t}'" for t in DRIVER_TABLES) + ")")
 
-register("n04_mapping_registry", _REG_SQL)(_registry)
+_ROWS_SQL = " UNION ALL ".join(f"SELECT '{t}' AS source_table, COUNT(*) AS source_rows FROM {t}" for t in DRIVER_TABLES)
+
+
+def _source_rows(spark, d):
+    return rp.union_by_name([read_table(spark, d, t).agg(F.count(F.lit(1)).alias("source_rows"))
+                             .select(F.lit(t).alias("source_table"), "source_rows") for t in DRIVER_TABLES])
+
+
+# The registry and its summary beside the rows of each registered table.
+register("n04_mapping_registry", f"SELECT * FROM ({_REG_SQL}) JOIN ({_ROWS_SQL}) USING (source_table)")(
+    lambda spark, d: _registry(spark, d).join(_source_rows(spark, d), "source_table"))
 register("a24_mapping_summary",
-         f"SELECT source_table, COUNT(*) AS column_count, COUNT(*) FILTER (WHERE original_column_name <> "
-         f"avro_compatible_name) AS transformed_count FROM ({_REG_SQL}) GROUP BY source_table")(
-    lambda spark, d: nm.mapping_summary(_registry(spark, d)))
+         f"SELECT * FROM (SELECT source_table, COUNT(*) AS column_count, COUNT(*) FILTER (WHERE original_column_name <> "
+         f"avro_compatible_name) AS transformed_count FROM ({_REG_SQL}) GROUP BY source_table) JOIN ({_ROWS_SQL}) "
+         "USING (source_table)")(
+    lambda spark, d: nm.mapping_summary(_registry(spark, d)).join(_source_rows(spark, d), "source_table"))
 
 
 @register("n08_migrate_tables")

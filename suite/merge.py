@@ -120,9 +120,10 @@ register("j14_reconcile_results", with_views(
 
 def _j15(spark, d):
     li = read_table(spark, d, "lineitem")
-    sup = mg.broadcast_if_small(read_table(spark, d, "supplier").select("s_suppkey", "s_nationkey"), 5_000_000)
-    nat = mg.broadcast_if_small(read_table(spark, d, "nation").select("n_nationkey", "n_name"), 5_000_000)
-    j = li.join(sup, li.l_suppkey == sup.s_suppkey).join(nat, F.col("s_nationkey") == F.col("n_nationkey"))
+    sup = read_table(spark, d, "supplier").select("s_suppkey", "s_nationkey")
+    nat = read_table(spark, d, "nation").select("n_nationkey", "n_name")
+    j = mg.lookup_join(mg.lookup_join(li, sup, li.l_suppkey == sup.s_suppkey), nat,
+                       F.col("s_nationkey") == F.col("n_nationkey"))
     return j.groupBy("n_name").agg(
         F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).alias("revenue"),
         F.count(F.lit(1)).alias("lines"))

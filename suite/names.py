@@ -55,7 +55,7 @@ def n07(spark, d):
     meta = [{"name": f.name, "type": {"bigint": "BIGINT", "int": "INT", "double": "FLOAT"}
              .get(f.dataType.simpleString(), "NVARCHAR"), "length": 25 if f.dataType.simpleString() == "string"
              else None, "nullable": True} for f in df.schema.fields]
-    table = f"customer_safe_{spark.sparkContext.applicationId.replace('-', '_')}"[:60]
+    table = f"customer_safe_{spark.sparkContext.applicationId.replace('-', '_')}"
     spark.sql(f"DROP TABLE IF EXISTS {table}")
     spark.sql(nm.create_table_ddl(table, meta, forward) + f" LOCATION '{scratch(spark, 'n07')}'")
     nm.mapped_select(df, forward).write.insertInto(table)

@@ -6,17 +6,16 @@ from pyspark.sql import functions as F
 
 from suite import register
 from suite.fixtures import SILVER_KEYS, daily_events, silver, typed_text, with_views
-from suite.repair import DEDUP_SLICE_SQL, order, SLICE, SLICE_SQL
+from suite.repair import DEDUP_ALL_SQL, order
 from tidemark.operators import quality as qa
 from tidemark.operators import repair as rp
 from tidemark.sources.tables import read_table
 
 
 def _slices(spark, d):
+    """The whole table and its rows without repeated keys."""
     s = silver(spark, d)
-    cur = s.where(rp.in_range("business_date", *SLICE))
-    new, _ = rp.dedup_slice(s, "business_date", *SLICE, SILVER_KEYS, order())
-    return cur, new
+    return s, rp.latest_per_key(s, SILVER_KEYS, order())
 
 
 def _q01(spark, d):
@@ -25,8 +24,8 @@ def _q01(spark, d):
 
 
 register("q01_row_count_change", with_views(
-    f"WITH c AS (SELECT COUNT(*) AS n FROM silver WHERE {SLICE_SQL}), x AS (SELECT COUNT(*) AS n FROM "
-    f"({DEDUP_SLICE_SQL})) SELECT c.n AS current_count, x.n AS new_count, "
+    f"WITH c AS (SELECT COUNT(*) AS n FROM silver), x AS (SELECT COUNT(*) AS n FROM "
+    f"({DEDUP_ALL_SQL})) SELECT c.n AS current_count, x.n AS new_count, "
     "CASE WHEN c.n > 0 THEN abs(x.n - c.n) * CAST(100 AS DOUBLE) / c.n END AS pct_change, "
     "COALESCE(CASE WHEN c.n > 0 THEN abs(x.n - c.n) * CAST(100 AS DOUBLE) / c.n END <= 20.0, true) AS passed "
     "FROM c, x", "silver"))(_q01)
@@ -39,7 +38,7 @@ register("q03_null_checks", "SELECT * FROM (" + " UNION ALL ".join(
 
 register("q04_no_duplicate_keys", with_views(
     f"SELECT COUNT(*) AS total_records, COUNT(DISTINCT (l_orderkey, l_linenumber)) AS unique_records, "
-    f"COUNT(*) - COUNT(DISTINCT (l_orderkey, l_linenumber)) AS duplicate_count FROM ({DEDUP_SLICE_SQL})",
+    f"COUNT(*) - COUNT(DISTINCT (l_orderkey, l_linenumber)) AS duplicate_count FROM ({DEDUP_ALL_SQL})",
     "silver"))(lambda spark, d: rp.duplicate_totals(_slices(spark, d)[1], SILVER_KEYS))
 
 DAY_LOAD_SQL = "event_date BETWEEN DATE '2024-01-14' AND DATE '2024-01-15'"
@@ -97,8 +96,8 @@ def _q08r(spark, d):
 
 
 register("q08_replacement_gate", with_views(
-    f"WITH c AS (SELECT COUNT(*) AS n FROM silver WHERE {SLICE_SQL}), x AS (SELECT COUNT(*) AS n FROM "
-    f"({DEDUP_SLICE_SQL})), nw AS ({DEDUP_SLICE_SQL}) "
+    f"WITH c AS (SELECT COUNT(*) AS n FROM silver), x AS (SELECT COUNT(*) AS n FROM "
+    f"({DEDUP_ALL_SQL})), nw AS ({DEDUP_ALL_SQL}) "
     "SELECT 'row_count_change' AS check, COALESCE(CASE WHEN c.n > 0 THEN abs(x.n - c.n) * CAST(100 AS DOUBLE) "
     "/ c.n END <= 20.0, true) AS passed, CASE WHEN c.n > 0 THEN abs(x.n - c.n) * CAST(100 AS DOUBLE) / c.n END "
     "AS value FROM c, x UNION ALL SELECT 'schema_equal', true, 1.0 UNION ALL " + " UNION ALL ".join(
@@ -155,8 +154,8 @@ def _a26(spark, d):
 
 register("a26_decimal_sums", with_views(
     f"SELECT 'bronze' AS side, SUM(CAST(l_extendedprice AS DECIMAL(18,2))) AS total FROM silver "
-    f"WHERE {SLICE_SQL} UNION ALL SELECT 'silver', SUM(CAST(l_extendedprice AS DECIMAL(18,2))) "
-    f"FROM ({DEDUP_SLICE_SQL})", "silver"))(_a26)
+    f"UNION ALL SELECT 'silver', SUM(CAST(l_extendedprice AS DECIMAL(18,2))) "
+    f"FROM ({DEDUP_ALL_SQL})", "silver"))(_a26)
 
 # P-07 .. P-11, P-14: predicates and projections as stand-alone queries.
 register("p07_date_range", "SELECT * FROM lineitem WHERE CAST(l_shipdate AS DATE) "

@@ -13,12 +13,16 @@ from suite.fixtures import batch_log, requests, with_views
 from tidemark.operators import joblog as jl
 from tidemark.operators import merge as mg
 from tidemark.operators import requests as rq
+from tidemark.sources import io
 from tidemark.sources.tables import read_table
 
 TEMPLATE = "Summarize the following %s text from %s:\n%s"
 FIELDS = ["lang", "source", "text"]
 MAX_OUT = 2048
-BUCKETS = 8
+ROWS_PER_BUCKET = 200            # M-03 buckets follow the row count, M-04 buckets the bytes
+BYTES_PER_BUCKET = 400_000
+MANY_BUCKETS = 20_000
+MONTH = "202402"
 PER_SHARD = 50
 TOKEN_BUDGET = 20_000
 BYTE_BUDGET = 80_000
@@ -45,27 +49,42 @@ register("m02_over_token_limit", f"SELECT record_id, prompt_tokens FROM ({M01_SQ
          "WHERE NOT COALESCE(prompt_tokens <= 4000, false)")(
     lambda spark, d: rq.token_limit_split(_built(spark, d), 4000)[1].select("record_id", "prompt_tokens"))
 
-_BUCKET_SQL = f"CAST(CAST(('0x' || substr(md5(CAST({{id}} AS VARCHAR)), 1, 8)) AS BIGINT) % {BUCKETS} AS INT)"
+def _bucket_sql(id_col: str, buckets: str) -> str:
+    return (f"CAST(CAST(('0x' || substr(md5(CAST({id_col} AS VARCHAR)), 1, 8)) AS BIGINT) % ({buckets}) AS INT)")
+
+
+_BY_ROWS = f"(SELECT greatest(1, CAST(ceil(COUNT(*) / {ROWS_PER_BUCKET}.0) AS BIGINT)) FROM documents)"
+_BY_BYTES = (f"(SELECT greatest(1, CAST(ceil(COALESCE(SUM(request_bytes), 0) / {BYTES_PER_BUCKET}.0) AS BIGINT)) "
+             f"FROM ({M01_SQL}))")
 
 
 def _name_sql(b, s):
-    return f"lpad(CAST({b} AS VARCHAR), 4, '0') || '-' || lpad(CAST({s} AS VARCHAR), 5, '0')"
+    return f"printf('%04d-%05d', {b}, {s})"
+
+
+def _m03_sql(buckets: str, per_shard: int) -> str:
+    return ("SELECT doc_id, shard_bucket, shard_seq, " + _name_sql("shard_bucket", "shard_seq") + " AS shard FROM ("
+            "SELECT doc_id, shard_bucket, CAST(floor((row_number() OVER (PARTITION BY shard_bucket ORDER BY doc_id) - 1)"
+            f" / {per_shard}) AS INT) AS shard_seq FROM (SELECT doc_id, " + _bucket_sql("doc_id", buckets) +
+            " AS shard_bucket FROM documents))")
 
 
-M03_SQL = ("SELECT doc_id, shard_bucket, shard_seq, " + _name_sql("shard_bucket", "shard_seq") + " AS shard FROM ("
-           "SELECT doc_id, shard_bucket, CAST(floor((row_number() OVER (PARTITION BY shard_bucket ORDER BY doc_id) - 1)"
-           f" / {PER_SHARD}) AS INT) AS shard_seq FROM (SELECT doc_id, " + _BUCKET_SQL.format(id="doc_id") +
-           " AS shard_bucket FROM documents))")
+M03_SQL = _m03_sql(_BY_ROWS, PER_SHARD)
 
 
 def _by_count(spark, d):
-    return rq.shard_by_count(read_table(spark, d, "documents").select("doc_id"), "doc_id", PER_SHARD, BUCKETS)
+    ids = read_table(spark, d, "documents").select("doc_id")
+    return rq.shard_by_count(ids, "doc_id", PER_SHARD, rq.bucket_count(ids, None, ROWS_PER_BUCKET))
 
 
 register("m03_shard_by_count", M03_SQL)(_by_count)
 
+# More buckets than four digits name, and one record per shard: every (bucket, sequence) keeps a name of its own.
+register("m03_many_buckets", _m03_sql(str(MANY_BUCKETS), 1))(
+    lambda spark, d: rq.shard_by_count(read_table(spark, d, "documents").select("doc_id"), "doc_id", 1, MANY_BUCKETS))
+
 M04_SQL = (
-    "WITH r AS (" + M01_SQL + "), b AS (SELECT *, " + _BUCKET_SQL.format(id="record_id") + " AS shard_bucket FROM r), "
+    "WITH r AS (" + M01_SQL + "), b AS (SELECT *, " + _bucket_sql("record_id", "@BUCKETS@") + " AS shard_bucket FROM r), "
     "c AS (SELECT *, CAST(floor((SUM(prompt_tokens) OVER w - prompt_tokens) / " + str(TOKEN_BUDGET) +
     ") AS BIGINT) AS ti, CAST(floor((SUM(request_bytes) OVER w - request_bytes) / " + str(BYTE_BUDGET) +
     ") AS BIGINT) AS bi FROM b WINDOW w AS (PARTITION BY shard_bucket ORDER BY record_id ROWS BETWEEN "
@@ -73,14 +92,23 @@ M04_SQL = (
     "s AS (SELECT *, CAST(dense_rank() OVER (PARTITION BY shard_bucket ORDER BY ti, bi) - 1 AS INT) AS shard_seq "
     "FROM c) SELECT record_id, prompt_tokens, request_bytes, shard_bucket, shard_seq, "
     + _name_sql("shard_bucket", "shard_seq") + " AS shard FROM s")
+M04_MANY_SQL = M04_SQL.replace("@BUCKETS@", str(MANY_BUCKETS))
+M04_SQL = M04_SQL.replace("@BUCKETS@", _BY_BYTES)
+
+
+def sharded(spark, d, buckets=None):
+    """M-04 over all requests, the request text kept."""
+    built = _built(spark, d)
+    n = buckets or rq.bucket_count(built, per_bucket=BYTES_PER_BUCKET)
+    return rq.shard_by_budget(built, "record_id", n, token_budget=TOKEN_BUDGET, byte_budget=BYTE_BUDGET)
 
 
 def _by_budget(spark, d):
-    return rq.shard_by_budget(_built(spark, d).drop("request"), "record_id", BUCKETS, token_budget=TOKEN_BUDGET,
-                              byte_budget=BYTE_BUDGET)
+    return sharded(spark, d).drop("request")
 
 
 register("m04_shard_by_budget", M04_SQL)(_by_budget)
+register("m04_many_buckets", M04_MANY_SQL)(lambda spark, d: sharded(spark, d, MANY_BUCKETS).drop("request"))
 
 register("m05_hash_prefix",
          "SELECT doc_id, lang, lpad(CAST(CAST(('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8)) AS BIGINT) % 100 "
@@ -88,20 +116,55 @@ register("m05_hash_prefix",
     lambda spark, d: read_table(spark, d, "documents").select(
         "doc_id", "lang", rq.hash_prefix("doc_id").alias("hash_prefix"), F.lit(RUN).alias("run_id")))
 
-M06_SQL = (f"SELECT shard AS shard_id, 'in/{RUN}/shard_' || shard || '.jsonl' AS input_file, "
-           f"'out/{RUN}/shard_' || shard || '.jsonl.out' AS output_file, '{RUN}' AS run_id, 'PENDING' AS status, "
+M06_SQL = (f"SELECT shard AS shard_id, shard_bucket, shard_seq, 'in/{RUN}/{MONTH}/shard_' || shard || '.jsonl' AS input_file, "
+           f"'out/{RUN}/{MONTH}/shard_' || shard || '.jsonl.out' AS output_file, '{RUN}' AS run_id, 'PENDING' AS status, "
            "COUNT(*) AS records, CAST(SUM(prompt_tokens) AS BIGINT) AS token_in, "
            "CAST(SUM(request_bytes) AS BIGINT) AS shard_bytes, CAST(NULL AS BIGINT) AS token_out, "
-           f"CAST(NULL AS DOUBLE) AS batch_duration FROM ({M04_SQL}) GROUP BY shard")
+           f"CAST(NULL AS DOUBLE) AS batch_duration FROM ({M04_SQL}) GROUP BY shard, shard_bucket, shard_seq")
 
 
 def _manifest(spark, d):
-    return rq.shard_manifest(_by_budget(spark, d), RUN, f"in/{RUN}", f"out/{RUN}")
+    return rq.shard_manifest(_by_budget(spark, d), RUN, f"in/{RUN}", f"out/{RUN}", MONTH)
 
 
 register("m06_shard_manifest", M06_SQL)(_manifest)
 
 
+def _m06_files(spark, d):
+    """The manifest beside the files on storage: records of each listed file as written (NULL: no such file)."""
+    from suite.loading import scratch
+    base = scratch(spark, "m06")
+    sh = sharded(spark, d)
+    io.write_shards_jsonl(sh, base, MONTH)
+    listed = rq.shard_manifest(sh, RUN, base, base, MONTH).select("shard_id", "input_file", "records")
+    lines = (spark.read.text(f"{base}/{MONTH}").groupBy(F.regexp_extract(F.col("_metadata.file_path"), r"[^/]*$", 0).alias("f"))
+             .agg(F.count(F.lit(1)).alias("records_written")))
+    return (listed.join(lines, F.col("f") == F.regexp_extract("input_file", r"[^/]*$", 0), "full")
+            .select("shard_id", F.col("f").alias("file"), "records", "records_written"))
+
+
+register("m06_manifest_files", f"SELECT shard_id, 'shard_' || shard_id || '.jsonl' AS file, records, records AS records_written "
+         f"FROM ({M06_SQL})")(_m06_files)
+
+# The rerun layout: one folder per run, language segment and hash prefix.
+M05_RUN_SQL = ("SELECT doc_id, lang, lpad(CAST(CAST(('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8)) AS BIGINT) % 100 "
+               f"AS VARCHAR), 2, '0') AS hash_prefix, '{RUN}' AS run_id FROM documents")
+
+
+def _m05_layout(spark, d):
+    from suite.loading import scratch
+    path = scratch(spark, "m05")
+    df = read_table(spark, d, "documents").select(
+        "doc_id", "lang", F.lit(RUN).alias("run_id"), F.col("lang").alias("segment"), rq.hash_prefix("doc_id").alias("hash_prefix"))
+    (df.repartition("run_id", "segment", "hash_prefix").write.partitionBy("run_id", "segment", "hash_prefix").parquet(path))
+    schema = "doc_id long, lang string, run_id string, segment string, hash_prefix string"
+    back = spark.read.schema(schema).parquet(path)
+    return back.where(F.col("segment").eqNullSafe(F.col("lang"))).select("doc_id", "lang", "hash_prefix", "run_id")
+
+
+register("m05_rerun_layout", M05_RUN_SQL)(_m05_layout)
+
+
 def _m07(spark, d):
     active = jl.non_terminal(batch_log(spark, d)).agg(F.count(F.lit(1)).alias("active_jobs"))
     return rq.limit_check(_manifest(spark, d), active)
@@ -124,7 +187,7 @@ register("m08_token_plan",
 
 register("m08_waves",
          f"SELECT shard_id, token_in + records * {MAX_OUT} AS shard_tokens, "
-         f"CAST(floor((SUM(token_in + records * {MAX_OUT}) OVER (ORDER BY shard_id ROWS BETWEEN UNBOUNDED "
+         f"CAST(floor((SUM(token_in + records * {MAX_OUT}) OVER (ORDER BY shard_bucket, shard_seq ROWS BETWEEN UNBOUNDED "
          f"PRECEDING AND CURRENT ROW) - (token_in + records * {MAX_OUT})) / 500000) AS INT) AS wave "
          f"FROM ({M06_SQL})")(
     lambda spark, d: rq.assign_waves(_manifest(spark, d), MAX_OUT, 500_000))
@@ -200,7 +263,7 @@ register("j10_new_log_rows",
          "TIMESTAMP '2024-02-01 00:00:00' AS submitted_at, CAST(NULL AS TIMESTAMP) AS completed_at, "
          "'model-a' AS model_id, CAST(NULL AS VARCHAR) AS input_s3_uri, CAST(NULL AS VARCHAR) AS output_s3_uri, "
          "CAST(NULL AS VARCHAR) AS error_message, 0 AS retry_count, 3 AS max_retries, 'monthly' AS job_name, "
-         f"'{RUN}' AS job_run_id, '202402' AS yearmonth FROM ({M06_SQL})")(_j10)
+         f"'{RUN}' AS job_run_id, DATE '2024-02-01' AS created_date, '202402' AS yearmonth FROM ({M06_SQL})")(_j10)
 
 register("f15_json_field", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events")(
     lambda spark, d: read_table(spark, d, "events").select(

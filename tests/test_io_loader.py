@@ -157,23 +157,134 @@ def test_manifest_and_interchange(spark, tmp_dir):
     assert m.row_count == 1 and "Nhóm_B" in m.data_types_mapping
 
 
-def test_bucket_count_sizes_from_bytes(spark):
+def test_bucket_count_sizes_from_bytes_or_rows(spark):
     df = spark.createDataFrame([(i, 100) for i in range(50)], "rid int, request_bytes long")
-    assert rq.bucket_count(df, bytes_per_bucket=1000) == 5
-    assert rq.bucket_count(df, bytes_per_bucket=1001) == 5
-    assert rq.bucket_count(df.limit(0), bytes_per_bucket=10) == 1
+    assert rq.bucket_count(df, per_bucket=1000) == 5
+    assert rq.bucket_count(df, per_bucket=1001) == 5
+    assert rq.bucket_count(df, None, 7) == 8
+    assert rq.bucket_count(df.limit(0), per_bucket=10) == 1
 
 
-def test_single_file_csv_only_under_the_bound(spark, tmp_dir):
+def test_csv_layout_is_the_callers_choice(spark, tmp_dir):
     import glob
     df = spark.range(0, 500, numPartitions=4)
-    assert io.export_csv(df, f"{tmp_dir}/one", single_file=True, single_file_max_rows=500)
+    io.export_csv(df, f"{tmp_dir}/one", single_file=True)
     assert len(glob.glob(f"{tmp_dir}/one/part-*.csv")) == 1
-    assert not io.export_csv(df, f"{tmp_dir}/many", single_file=True, single_file_max_rows=499)
+    io.export_csv(df, f"{tmp_dir}/many")
     assert len(glob.glob(f"{tmp_dir}/many/part-*.csv")) == 4
     assert spark.read.option("header", "true").csv(f"{tmp_dir}/many").count() == 500
 
 
+def test_shard_names_never_cut_numbers(spark):
+    ids = spark.range(0, 3000).select(F.col("id").alias("rid"))
+    sh = rq.shard_by_count(ids, "rid", 1, 200_000)
+    assert sh.select("shard").distinct().count() == sh.select("shard_bucket", "shard_seq").distinct().count() == 3000
+    m = sh.withColumn("prompt_tokens", F.lit(1).cast("long")).withColumn("request_bytes", F.lit(1).cast("long"))
+    man = rq.shard_manifest(m, "r", "in", "out", "202402")
+    w = rq.assign_waves(man, 0, 500)
+    # the running sum follows (bucket, sequence), not the name as text
+    waves = [r.wave for r in man.join(w, "shard_id").orderBy("shard_bucket", "shard_seq").collect()]
+    assert waves == [i // 500 for i in range(3000)]
+
+
+# ------------------------------------------------ awkward partitions and columns
+
+def test_compaction_keeps_rows_outside_its_predicate(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "k")
+    days = [dt.date(2024, 1, d) for d in range(1, 31)]
+    _events(spark, days).write.partitionBy("year", "month").parquet(path)
+    before = _rows(spark.read.parquet(path), ("event_id", "day"))
+    assert io.compact(spark, path, F.col("day") <= 10, ["year", "month"], ["event_id"]) == 90
+    assert _rows(spark.read.parquet(path), ("event_id", "day")) == before
+    pred = F.make_date(*DAY).between(F.lit("2024-01-01").cast("date"), F.lit("2024-01-10").cast("date"))
+    new = spark.read.parquet(path).where(pred).withColumn("value", F.lit(2.0))
+    rplan.safe_replace(spark, path, new, pred, ["year", "month"], ["event_id"], compact_keys=["event_id"])
+    got = spark.read.parquet(path)
+    assert got.count() == 90 and got.where("value = 2.0").count() == 30
+
+
+def test_upsert_moved_key_and_null_partition(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "a")
+    spark.createDataFrame([(1, "a", 1), (2, "b", 2)], "k int, v string, p int").write.partitionBy("p").parquet(path)
+    io.write_upsert(spark, path, spark.createDataFrame([(1, "NEW", 2)], "k int, v string, p int"), ["k"], ["p"])
+    assert _rows(spark.read.parquet(path), ("k", "v", "p")) == [(1, "NEW", 2), (2, "b", 2)]
+    path = os.path.join(tmp_dir, "b")
+    spark.createDataFrame([(1, "a", None), (2, "b", 2), (4, "d", None)], "k int, v string, p int").write.partitionBy("p").parquet(path)
+    io.write_upsert(spark, path, spark.createDataFrame([(3, "c", None)], "k int, v string, p int"), ["k"], ["p"])
+    assert sorted(r.k for r in spark.read.parquet(path).collect()) == [1, 2, 3, 4]
+    new = spark.createDataFrame([(1, "Z", None)], "k int, v string, p int")
+    io.write_replace_where(spark, path, new, F.col("k") == 1, ["p"])
+    assert {r.k: r.v for r in spark.read.parquet(path).collect()} == {1: "Z", 2: "b", 3: "c", 4: "d"}
+
+
+def test_padded_and_escaped_folders(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "c")
+    spark.createDataFrame([(1, "01"), (2, "02"), (3, "03")], "k int, month string").write.partitionBy("month").parquet(path)
+    io.write_replace_where(spark, path, spark.read.parquet(path).limit(0), F.col("month") == 1, ["month"])
+    assert sorted(r.k for r in spark.read.parquet(path).collect()) == [2, 3]
+    io.write_upsert(spark, path, spark.createDataFrame([(2, 2)], "k int, month int"), ["k"], ["month"])
+    assert sorted(r.k for r in spark.read.parquet(path).collect()) == [2, 3]
+    path = os.path.join(tmp_dir, "esc")
+    spark.createDataFrame([(1, "x y/z"), (2, "100%")], "k int, p string").write.partitionBy("p").parquet(path)
+    io.write_replace_where(spark, path, spark.read.parquet(path).limit(0), F.col("p") == "x y/z", ["p"])
+    assert [(r.k, r.p) for r in spark.read.parquet(path).collect()] == [(2, "100%")]
+
+
+def test_new_columns_survive_every_writer(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "d")
+    spark.createDataFrame([(1, 1)], "k int, p int").write.partitionBy("p").parquet(path)
+    io.append(spark.createDataFrame([(2, 2, "x")], "k int, p int, extra string"), path, ["p"])
+    io.write_upsert(spark, path, spark.createDataFrame([(1, 1, "y", 7)], "k int, p int, extra string, more int"), ["k"], ["p"])
+    got = {r.k: (r.extra, r.more) for r in io.read_merged(spark, path).collect()}
+    assert got == {1: ("y", 7), 2: ("x", None)}
+    bpath, _ = io.create_backup(spark, io.read_merged(spark, path), F.col("p") == 2, path, "d1")
+    io.write_replace_where(spark, path, io.read_merged(spark, path).limit(0), F.col("p") == 2, ["p"])
+    io.restore_backup(spark, path, bpath, F.col("p") == 2, ["p"])
+    assert {r.k: (r.extra, r.more) for r in io.read_merged(spark, path).collect()} == got
+    with pytest.raises(ValueError, match="lacks the target's columns: extra"):
+        io.write_upsert(spark, path, spark.createDataFrame([(1, 1, 7)], "k int, p int, more int"), ["k"], ["p"])
+
+
+def test_read_day_has_the_days_own_columns(spark, tmp_dir):
+    base = os.path.join(tmp_dir, "e")
+    _events(spark, [dt.date(2024, 1, 1)]).write.partitionBy(*DAY).parquet(base)
+    (_events(spark, [dt.date(2024, 1, 2)]).withColumn("extra", F.lit("n")).withColumn("month", F.lit("01"))
+     .withColumn("day", F.lit("02")).write.mode("append").partitionBy(*DAY).parquet(base))
+    assert {r.extra for r in io.read_day(spark, base, dt.date(2024, 1, 2)).collect()} == {"n"}
+    both = io.read_days(spark, base, dt.date(2024, 1, 1), dt.date(2024, 1, 5))
+    assert both.count() == 6 and "extra" in both.columns
+    assert io.read_day(spark, base, dt.date(2024, 1, 3)) is None
+
+
+def test_failed_publish_leaves_the_table_alone(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "f")
+    _events(spark, [dt.date(2024, 1, 1)]).write.partitionBy(*DAY).parquet(path)
+    dup = spark.createDataFrame([(0, 2024, 1, 1, 9.0), (0, 2024, 1, 1, 8.0)], "event_id long, year int, month int, day int, value double")
+    with pytest.raises(Exception, match="duplicate key"):
+        io.write_upsert(spark, path, dup, ["event_id"], DAY)
+    assert spark.read.parquet(path).count() == 3 and not [f for f in os.listdir(path) if f.startswith("_staged")]
+
+
+def test_range_load_twice_and_missing_source(spark, tmp_dir):
+    src, tgt = os.path.join(tmp_dir, "rs"), os.path.join(tmp_dir, "rt")
+    _events(spark, [dt.date(2024, 1, 1)]).write.partitionBy(*DAY).parquet(src)
+    cfg = loader.TableLoad(source=src, target=tgt, mode="append", name="t")
+    for _ in range(2):
+        assert loader.load_range(spark, [cfg], dt.date(2024, 1, 1), dt.date(2024, 1, 3)).collect()[0].status == "ok"
+    assert spark.read.parquet(tgt).count() == 3
+    gone = loader.TableLoad(source=os.path.join(tmp_dir, "none"), target=tgt, mode="append", name="g")
+    assert loader.load_range(spark, [gone], dt.date(2024, 1, 1), dt.date(2024, 1, 3)).collect()[0].status == "skipped"
+
+
+def test_append_once_replay(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "o")
+    batch = _events(spark, [dt.date(2024, 1, 1), dt.date(2024, 1, 2)])
+    for _ in range(2):
+        assert io.append_once(spark, batch, path, DAY, "s-000000001") == 6
+    io.append_once(spark, batch.limit(1), path, DAY, "s-000000002")
+    assert spark.read.parquet(path).count() == 7
+
+
 def test_write_upsert_within_source_partitions(spark, tmp_dir):
     path = os.path.join(tmp_dir, "u2")
     _events(spark, [dt.date(2024, 1, 1), dt.date(2024, 1, 2)]).write.partitionBy(*DAY).parquet(path)
@@ -186,18 +297,15 @@ def test_write_upsert_within_source_partitions(spark, tmp_dir):
     assert sorted(os.listdir(os.path.join(path, "year=2024/month=1/day=1"))) == untouched
 
 
-def test_write_shards_one_file_per_shard(spark, tmp_dir):
-    import glob
+def test_write_shards_one_named_file_per_shard(spark, tmp_dir):
     df = spark.range(0, 600, numPartitions=6).select(
-        F.lit("202402").alias("yearmonth"), (F.col("id") % 5).cast("string").alias("shard"),
-        F.to_json(F.struct("id")).alias("request"))
-    io.write_shards_jsonl(df, f"{tmp_dir}/shards")
-    dirs = glob.glob(f"{tmp_dir}/shards/yearmonth=202402/shard=*")
-    assert len(dirs) == 5
-    for d_ in dirs:
-        files = [f for f in os.listdir(d_) if not f.startswith((".", "_"))]
-        assert len(files) == 1
-        with open(os.path.join(d_, files[0])) as fh:
+        (F.col("id") % 5).cast("string").alias("shard"), F.to_json(F.struct("id")).alias("request"))
+    for _ in range(2):  # a second run replaces the month
+        assert io.write_shards_jsonl(df, f"{tmp_dir}/shards", "202402") == 5
+    files = sorted(f for f in os.listdir(f"{tmp_dir}/shards/202402") if not f.startswith("."))
+    assert files == [f"shard_{i}.jsonl" for i in range(5)]
+    for f in files:
+        with open(f"{tmp_dir}/shards/202402/{f}") as fh:
             assert sum(1 for _ in fh) == 120
 
 

@@ -106,11 +106,8 @@ def test_reconcile_results(spark):
     assert got == {1: "ok", 2: "missing", 3: "failed", 9: "extra"}
 
 
-def test_broadcast_if_small_respects_bound(spark):
-    small = spark.range(10)
-    big = spark.range(100)
-    hinted = mg.broadcast_if_small(small, 50)
-    assert hinted is not small
-    j1 = spark.range(1000).join(hinted, "id")
-    assert "BroadcastHashJoin" in j1._jdf.queryExecution().executedPlan().toString()
-    assert mg.broadcast_if_small(big, 50) is big
+def test_lookup_join_leaves_the_strategy_to_the_planner(spark):
+    small, big = spark.range(10), spark.range(1000)
+    plan = mg.lookup_join(big, small, ["id"])._jdf.queryExecution()
+    assert "BroadcastHashJoin" in plan.executedPlan().toString() and "rightHint" not in plan.optimizedPlan().toString()
+    assert mg.lookup_join(big, small, ["id"]).count() == 10
