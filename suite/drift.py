@@ -134,8 +134,9 @@ register("t03_drift_report",
          f"WITH x AS ({T01_SQL}), m AS (SELECT column_name, COUNT(DISTINCT data_type) AS type_count FROM x GROUP BY 1 "
          "HAVING COUNT(DISTINCT data_type) > 1), r AS (SELECT x.*, row_number() OVER (PARTITION BY column_name, data_type "
          "ORDER BY report_date) AS rn FROM x) SELECT column_name, data_type, COUNT(*) AS partitions, "
-         "list(report_date ORDER BY report_date) FILTER (WHERE rn <= 3) AS example_partitions, any_value(type_count) AS type_count "
-         "FROM r JOIN m USING (column_name) GROUP BY 1, 2")(lambda spark, d: dr.drift_report(_schemas(spark, d), PART, 3))
+         "string_agg(report_date, ',' ORDER BY report_date) FILTER (WHERE rn <= 3) AS example_partitions, any_value(type_count) AS type_count "
+         "FROM r JOIN m USING (column_name) GROUP BY 1, 2")(lambda spark, d: dr.drift_report(
+             _schemas(spark, d), PART, 3).withColumn("example_partitions", F.array_join("example_partitions", ",")))
 register("t09_validate_target", "SELECT * FROM (VALUES ('biz_date', 'date', 'date', 'PASS'), "
          "('amount', 'decimal(18,2)', 'decimal(18,2)', 'PASS'), ('transaction_date', 'timestamp_ntz', 'timestamp_ntz', 'PASS'), "
          "('customer_id', 'string', 'string', 'PASS'), ('is_active', 'boolean', 'boolean', 'PASS')) "

@@ -26,8 +26,22 @@ def _status_expr(key):
             .when(k == 3, "EXPIRED").when(k == 4, "CANCELLED").otherwise("COMPLETED"))
 
 
+_prepared: dict = {}
+
+
+def prepare_log(spark: SparkSession, d: str, path: str) -> None:
+    """Persist the log, partitioned by month as a kept log is; queries of this session then read it (the bench does so, to
+    time the operators and not the fixture)."""
+    batch_log(spark, d).write.partitionBy("yearmonth").parquet(path)
+    _prepared[d, spark.sparkContext.applicationId] = path
+
+
 def batch_log(spark: SparkSession, d: str) -> DataFrame:
     """Batch log built from orders (one batch per order) and lineitem (prompts)."""
+    kept = _prepared.get((d, spark.sparkContext.applicationId))
+    if kept is not None:
+        df = spark.read.parquet(kept)
+        return df.withColumn("yearmonth", F.col("yearmonth").cast("string"))
     orders = read_table(spark, d, "orders")
     li = (read_table(spark, d, "lineitem")
           .groupBy("l_orderkey")

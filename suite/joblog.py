@@ -65,12 +65,13 @@ def p12(spark, d):
     return jl.retry_eligibility(log, ids)
 
 
-register("p13_results_export", L(
+P13_SQL = L(
     "SELECT batch_id, jsonl_file_path, batch_status, total_prompts, completed_prompts, failed_prompts, "
     "model_id, output_s3_uri, yearmonth, CAST(submitted_at AS DATE) AS submission_date, "
     "CAST(completed_at AS DATE) AS completion_date, "
     f"round({hours_sql('submitted_at', 'completed_at')}, 2) AS processing_hours "
-    "FROM batch_log WHERE batch_status IN ('COMPLETED','FAILED') ORDER BY completed_at DESC, batch_id"))(
+    "FROM batch_log WHERE batch_status IN ('COMPLETED','FAILED') ORDER BY completed_at DESC, batch_id")
+register("p13_results_export", P13_SQL)(
     lambda spark, d: jl.results_export(_log(spark, d)))
 
 

@@ -212,12 +212,17 @@ def s13(spark, d):
     return _read(spark, target)
 
 
-@register("s14_export_csv")
+from suite.joblog import P13_SQL  # noqa: E402
+
+
+@register("s14_export_csv", P13_SQL)
 def s14(spark, d):
+    """The export read back under its schema: values, NULLs and quoting survive."""
     from tidemark.operators import joblog as jl
     path = scratch(spark, "s14")
-    io.export_csv(jl.results_export(batch_log(spark, d)), path)
-    return io.read_source(spark, path, "csv")
+    rows = jl.results_export(batch_log(spark, d))
+    io.export_csv(rows, path)
+    return io.read_source(spark, path, "csv", schema=rows.schema)
 
 
 @register("s15_backup", with_views(f"SELECT * FROM silver WHERE {SLICE_SQL}", "silver"))
@@ -273,18 +278,21 @@ def s18(spark, d):
             .agg(F.count(F.lit(1)).alias("records"), F.countDistinct("f").alias("files")))
 
 
-@register("s19_interchange")
+@register("s19_interchange", " UNION ALL ".join(
+    f"SELECT '{f}' AS format, 'B_T-1,Customer-ID,Nhóm_B,Địa_Chỉ' AS columns, COUNT(*) AS rows, "
+    f"CAST(SUM(c_custkey) AS BIGINT) AS id_sum FROM customer" for f in ("json", "csv")))
 def s19(spark, d):
     path = scratch(spark, "s19")
     odd = read_table(spark, d, "customer").select(
         F.col("c_custkey").alias("Customer-ID"), F.col("c_name").alias("Địa_Chỉ"),
         F.col("c_mktsegment").alias("Nhóm_B"), F.lit(None).cast("string").alias("B_T-1"))
-    io.write_interchange(odd, f"{path}/json", "json")
-    io.write_interchange(odd, f"{path}/csv", "csv")
-    j = spark.read.json(f"{path}/json")
-    c = spark.read.option("header", "true").csv(f"{path}/csv")
-    return spark.createDataFrame([("json", sorted(j.columns)), ("csv", sorted(c.columns))],
-                                 "format string, columns array<string>")
+    out = []
+    for fmt in ("json", "csv"):
+        io.write_interchange(odd, f"{path}/{fmt}", fmt)
+        back = io.read_source(spark, f"{path}/{fmt}", fmt)
+        out.append(back.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col("`Customer-ID`").cast("long")).alias("id_sum"))
+                   .select(F.lit(fmt).alias("format"), F.lit(",".join(sorted(back.columns))).alias("columns"), "rows", "id_sum"))
+    return rp.union_all(out)
 
 
 @register("s22_parquet_options", "SELECT l_returnflag, COUNT(*) AS lines FROM lineitem GROUP BY l_returnflag")
@@ -468,7 +476,16 @@ register("a24_mapping_summary",
     lambda spark, d: nm.mapping_summary(_registry(spark, d)).join(_source_rows(spark, d), "source_table"))
 
 
-@register("n08_migrate_tables")
+_N08 = [("Khách Hàng", o, s) for o, s in (
+    ("Customer-ID", "Customer_ID"), ("Địa_Chỉ", "Dia_Chi"), ("Nhóm_B", "Nhom_B"), ("B_T-1", "B_T_1"), ("Normal_Column",) * 2)]
+_N08 += [("orders", c, c) for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")]
+
+
+@register("n08_migrate_tables", "SELECT source_table, 'warehouse' AS source_database, 'main' AS source_schema, "
+          "original_column_name, avro_compatible_name, DATE '2024-02-01' AS created_date, 'success' AS status, target_rows "
+          "FROM (VALUES " + ", ".join(f"('{t}', '{o}', '{s}')" for t, o, s in _N08) +
+          ") v(source_table, original_column_name, avro_compatible_name) JOIN (SELECT 'Khách Hàng' AS t, COUNT(*) AS target_rows "
+          "FROM customer UNION ALL SELECT 'orders', COUNT(*) FROM orders) n ON n.t = v.source_table")
 def n08(spark, d):
     from tidemark.plans.migrate import migrate_tables
     c = read_table(spark, d, "customer").select(
@@ -477,4 +494,7 @@ def n08(spark, d):
         F.col("c_nationkey").alias("Normal_Column"))
     status, registry = migrate_tables(spark, {"Khách Hàng": c, "orders": read_table(spark, d, "orders")},
                                       scratch(spark, "n08"), "warehouse", "main", dt.date(2024, 2, 1))
-    return registry.join(status.select(F.col("table_name").alias("source_table"), "status"), "source_table")
+    rows = rp.union_by_name([spark.read.parquet(r["target"]).agg(F.count(F.lit(1)).alias("target_rows"))
+                             .select(F.lit(r["table_name"]).alias("source_table"), "target_rows") for r in status.collect()])
+    return (registry.join(status.select(F.col("table_name").alias("source_table"), "status"), "source_table")
+            .join(rows, "source_table"))
