@@ -82,6 +82,7 @@ def test_odd_rows(odd, nothing):
             assert r.lang_pred == "und" and r.score == 0
         else:
             assert r.lang_pred in model.langs and 0 < r.score <= 1
+    assert language_id.words_of("²³ Ⅷ 12") == [] and language_id.words_of("a²") == ["a²"]
     empty = language_id.fit(nothing, PIECES)
     assert empty.langs == [] and language_id.predict(nothing, model, PIECES).count() == 0
     assert {r.lang_pred for r in language_id.predict(odd, empty, PIECES).collect()} == {"und"}

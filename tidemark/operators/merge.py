@@ -47,7 +47,7 @@ def upsert(target: DataFrame, source: DataFrame, keys: list[str], check_unique:
     inserted, other target rows stay. Source columns the target lacks are
     added (NULL for old rows), as a schema-merging write would."""
     src = assert_unique_keys(source, keys, "upsert source") if check_unique else source
-    kept = target.join(src.select(*keys), keys, "left_anti")
+    kept = target.join(source.select(*keys), keys, "left_anti")   # the check runs once, in the union's other half
     return kept.unionByName(src, allowMissingColumns=True)
 
 

@@ -105,13 +105,15 @@ def with_row_index(df: DataFrame, order: list[str], name: str = "row_index",
     and without leaving the JVM: range-partition on the order, number rows
     inside each range, prefix-sum the per-range counts (one row per range,
     broadcast back) and add the offset. No un-partitioned window pulls every
-    row into one task. Equal order values stay in one range, so the order
-    should be (nearly) unique -- as for the distinct values L-04 samples."""
+    row into one task. The numbered ranges are staged, since a second
+    evaluation of the sampled ranges could cut elsewhere. Equal order values
+    stay in one range, so the order should be (nearly) unique."""
+    from tidemark.sources.io import stage
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     cols = [F.col(c) for c in order]
     r = df.repartitionByRange(n, *cols).withColumn("__p", F.spark_partition_id())
-    r = r.withColumn("__rn", F.row_number().over(Window.partitionBy("__p").orderBy(*cols)))
+    r = stage(r.withColumn("__rn", F.row_number().over(Window.partitionBy("__p").orderBy(*cols))))
     offs = (r.groupBy("__p").agg(F.count(F.lit(1)).alias("__c"))
             .withColumn("__off", F.coalesce(F.sum("__c").over(
                 Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long"))
@@ -132,13 +134,12 @@ def sample_rows(df: DataFrame, n: int, key: list[str], seed: str = "") -> DataFr
 def stride_sample(values: DataFrame, col: str, size: int) -> DataFrame:
     """L-04: every k-th value in sorted order, k = max(1, n // size); the
     first and the last value are always kept (D-23)."""
-    idx = with_row_index(values.select(col).distinct(), [col], "__i")
-    # One scalar to the driver: the number of distinct values (bounded by the
-    # partition listing, which the driver holds anyway).
-    n = idx.count()
-    k = max(1, n // max(1, size))
-    keep = ((F.col("__i") % F.lit(k)) == 0) | (F.col("__i") == F.lit(n - 1))
-    return idx.where(keep).select(col).orderBy(col)
+    # The distinct values are a partition listing, which the driver holds
+    # anyway: one aggregation, then the choice among the sorted values.
+    rows = values.select(col).distinct().orderBy(col).collect()
+    k = max(1, len(rows) // max(1, size))
+    kept = [r for i, r in enumerate(rows) if i % k == 0 or i == len(rows) - 1]
+    return values.sparkSession.createDataFrame(kept, values.select(col).schema)
 
 
 def union_by_name(dfs: list[DataFrame]) -> DataFrame:
