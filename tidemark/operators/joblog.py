@@ -409,11 +409,15 @@ def average_processing_hours(log: DataFrame, yearmonth: str | None = None) -> Da
 AGE_ORDER = ["Today", "Yesterday", "This Week", "This Month", "Older"]
 
 
+def _age_category(as_of) -> Column:
+    d = F.datediff(F.to_date(ts_lit(as_of)), F.to_date("created_at"))
+    return (F.when(d == 0, "Today").when(d == 1, "Yesterday").when(d <= 7, "This Week")
+            .when(d <= 30, "This Month").otherwise("Older"))
+
+
 def batches_by_age(log: DataFrame, as_of) -> DataFrame:
     """A-05: counts by age bucket of ``created_at`` relative to ``as_of``, in bucket order."""
-    d = F.datediff(F.to_date(ts_lit(as_of)), F.to_date("created_at"))
-    bucket = (F.when(d == 0, "Today").when(d == 1, "Yesterday").when(d <= 7, "This Week")
-              .when(d <= 30, "This Month").otherwise("Older"))
+    bucket = _age_category(as_of)
     order = F.when(F.col("age_category") == "Today", 1).when(F.col("age_category") == "Yesterday", 2) \
         .when(F.col("age_category") == "This Week", 3).when(F.col("age_category") == "This Month", 4) \
         .otherwise(5)
@@ -556,27 +560,32 @@ def status_report(log: DataFrame, as_of, yearmonth: str | None = None, top_error
                      F.lit(x).alias("metric"), F.col(x).cast("double").alias("value"))
             for x in metrics])).alias("r")).select("r.*")
 
-    total = F.count(F.lit(1))
-    overall = m.agg(
-        total.alias("total_batches"), _bigint_sum("total_prompts").alias("total_prompts"),
-        _bigint_sum("completed_prompts").alias("completed_prompts"),
-        F.when(total > 0, F.count(F.when(_st() == COMPLETED, 1)) * 100.0 / total).otherwise(0.0)
-        .alias("completion_rate"),
-        F.when(total > 0, F.count(F.when(_st() == FAILED, 1)) * 100.0 / total).otherwise(0.0)
-        .alias("failure_rate"),
-        F.avg(F.when((_st() == COMPLETED) & F.col("submitted_at").isNotNull(),
-                     hours_between("submitted_at", "completed_at"))).alias("avg_processing_hours"),
-        F.count(F.when(_st().isin(NON_TERMINAL), 1)).alias("open_batches"))
+    # One pass over the log: everything below is summed from the rows per (status, age, message), whose exchange Spark reuses.
+    hours = F.when((_st() == COMPLETED) & F.col("submitted_at").isNotNull(), hours_between("submitted_at", "completed_at"))
+    base = m.groupBy("batch_status", _age_category(as_of).alias("age_category"), "error_message").agg(
+        F.count(F.lit(1)).alias("n"), *[_bigint_sum(c).alias(c) for c in ("total_prompts", "completed_prompts", "failed_prompts")],
+        F.sum(hours).alias("hours"), F.count(hours).alias("timed"))
+    n = F.coalesce(F.sum("n"), F.lit(0))
+
+    def share(status: str) -> Column:
+        return F.when(n > 0, F.coalesce(F.sum(F.when(_st() == status, F.col("n"))), F.lit(0)) * 100.0 / n).otherwise(0.0)
+
+    overall = base.agg(
+        n.alias("total_batches"), _bigint_sum("total_prompts").alias("total_prompts"),
+        _bigint_sum("completed_prompts").alias("completed_prompts"), share(COMPLETED).alias("completion_rate"),
+        share(FAILED).alias("failure_rate"), F.try_divide(F.sum("hours"), F.sum("timed")).alias("avg_processing_hours"),
+        F.coalesce(F.sum(F.when(_st().isin(NON_TERMINAL), F.col("n"))), F.lit(0)).alias("open_batches"))
     parts = [longify(overall, "overall", F.lit(None), ["total_batches", "total_prompts",
                                                         "completed_prompts", "completion_rate",
                                                         "failure_rate", "avg_processing_hours",
                                                         "open_batches"])]
-    st = status_statistics(m)
+    st = base.groupBy("batch_status").agg(F.sum("n").alias("count"), *[
+        _bigint_sum(c).alias(c) for c in ("total_prompts", "completed_prompts", "failed_prompts")])
     parts.append(longify(st, "status", F.col("batch_status"),
                          ["count", "total_prompts", "completed_prompts", "failed_prompts"]))
-    age = batches_by_age(m, as_of)
-    parts.append(longify(age, "age", F.col("age_category"), ["count"]))
-    err = error_summary(m, top_errors)
+    parts.append(longify(base.groupBy("age_category").agg(F.sum("n").alias("count")), "age", F.col("age_category"), ["count"]))
+    err = (base.where(F.col("error_message").isNotNull()).groupBy("error_message").agg(F.sum("n").alias("occurrence_count"))
+           .orderBy(F.col("occurrence_count").desc(), "error_message").limit(top_errors))
     parts.append(longify(err, "error", F.col("error_message"), ["occurrence_count"]))
     out = parts[0]
     for p in parts[1:]:
