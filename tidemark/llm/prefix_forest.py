@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_batches, stage
+from tidemark.llm.common import bounded_batches, stage, tidy
 
 TREES, BITS = 20, 64
 #: Queries of the fit, and the recall it aims at (0.9 is asked for).
@@ -74,7 +74,7 @@ def _coded(rows: DataFrame, space: Space) -> DataFrame:
                                                   pa.array(c.view(np.int64).ravel()))
                          for c in (space.index_codes(x), space.query_codes(x))]
                 yield pa.RecordBatch.from_arrays([*b.columns, *lists], names=["vec_id", "ids", "v", "codes", "probes"])
-    return rows.select("vec_id", "ids", "v").mapInArrow(run, ddl)
+    return rows.select("vec_id", "ids", "v").mapInArrow(tidy(run), ddl)
 
 
 def _shared_bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -83,7 +83,11 @@ def _shared_bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def enough(index: DataFrame, queries: DataFrame, space: Space, k: int, target: float) -> float:
     """Rows (counted tree by tree) at which the ascent stops: the least that reaches the target recall on sampled queries."""
-    drawn = queries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vec_id", "v", "probes").collect()
+    n = queries.count()
+    share = int(min(1.0, 2 * SAMPLE / max(n, 1)) * (1 << 20))
+    mark = F.pmod(F.xxhash64("vec_id", F.lit("forest sample")), F.lit(1 << 20))
+    drawn = queries.where(mark <= share).select(mark.alias("mark"), "vec_id", "v", "probes").collect()  # about 2 * SAMPLE rows
+    drawn = sorted(drawn, key=lambda r: (r["mark"], r["vec_id"]))[:SAMPLE]
     if not drawn:
         return 0.0
     q = np.array([r["v"] for r in drawn])
@@ -122,7 +126,7 @@ def enough(index: DataFrame, queries: DataFrame, space: Space, k: int, target: f
         yield pd.DataFrame({"q": [int(key[0])], "counts": [counts], "score": [[t[0] for t in top]],
                             "shared": [[t[1] for t in top]]})
     ddl = "q long, counts array<long>, score array<double>, shared array<long>"
-    got = (index.select("vec_id", "v", "codes").mapInArrow(probe, ddl).groupBy("q").applyInPandas(gather, ddl)
+    got = (index.select("vec_id", "v", "codes").mapInArrow(tidy(probe), ddl).groupBy("q").applyInPandas(gather, ddl)
            .collect())  # SAMPLE rows
     held = np.array([np.cumsum(r["counts"][::-1])[::-1] for r in got], float)  # rows at each level or deeper
     sure = np.array([[np.mean([s >= x for s, v in zip(r["shared"], r["score"], strict=True) if v > -np.inf] or [1])
@@ -135,7 +139,8 @@ def enough(index: DataFrame, queries: DataFrame, space: Space, k: int, target: f
 
 
 def _prefix(code: Column, bits: int) -> Column:
-    return F.shiftrightunsigned(code, BITS - bits) if bits else F.lit(0).cast("long")
+    """The first ``bits`` bits; two shifts, as a shift by the whole width would be none."""
+    return F.shiftrightunsigned(F.shiftrightunsigned(code, 1), BITS - 1 - bits)
 
 
 def search(vectors: DataFrame, every: int = 20, k: int = 20, trees: int = TREES, target: float = TARGET,
