@@ -71,9 +71,9 @@ def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Texts without their repeated passages; bytes of a character that was cut through go as well. n_chars follows."""
     rows, names = _aside(docs)
     carried = [n for n, c in zip(names, docs.columns, strict=True) if c != "text"]
-    done = suffix_dedup.remove_repeats(rows, keep=tuple(carried))
+    done = suffix_dedup.remove_repeats(rows, keep=tuple(carried), as_text=True)
     text = F.col("text")
-    return _back(suffix_dedup.whole_characters(done), docs, names, text=text, n_chars=F.length(text).cast("long"))
+    return _back(done, docs, names, text=text, n_chars=F.length(text).cast("long"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame
 
-from tidemark.llm.common import bounded_batches, texts_of
+from tidemark.llm.common import bounded_batches, texts_of, tidy
 
 #: Characters after which a text is cut at the next safe boundary.
 CUT_CHARS = 1 << 16
@@ -69,7 +69,7 @@ def _over(docs: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str, ar
     def run(batches):
         for b in batches:
             yield pa.RecordBatch.from_pydict(fn(b), schema=arrow)
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 _IDS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stage, texts_of
+from tidemark.llm.common import stage, texts_of, tidy
 
 #: Fingerprints after which a task hands its filter over and starts the next.
 FILTER_ITEMS = 1 << 20
@@ -116,7 +116,7 @@ def repeated_fingerprints(fingerprints: DataFrame, prefix: int) -> DataFrame:
         more = c > 1
         yield pd.DataFrame({"fp": f[more].view(np.int64), "n": c[more]})
 
-    parts = fingerprints.select("fp").mapInArrow(build, _FILTER_DDL)
+    parts = fingerprints.select("fp").mapInArrow(tidy(build), _FILTER_DDL)
     return parts.groupBy("range_id").applyInPandas(join, "fp long, n long")
 
 

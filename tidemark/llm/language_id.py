@@ -18,18 +18,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_batches, slices, texts_of
+from tidemark.llm.common import bounded_batches, slices, texts_of, tidy
 
 #: Training documents of each language: about so many are drawn by a hash of the id (all, where there are fewer).
 SAMPLE_PER_LANGUAGE = 8192
-ROUNDS = 3
+ROUNDS = 2
 #: Longer words are scored in parts of so many letters; pieces longer than MAX_PIECE are not used.
 WORD_CHARS, MAX_PIECE = 48, 12
 #: Added to each expected count, in words of the pooled languages; probability of a letter outside the vocabulary.
 SMOOTH, UNKNOWN = 0.02, 1e-7
 #: Probabilities are scaled by this per letter, so that products of a word stay in range.
 SCALE = 16.0
-CACHED_WORDS = 300_000
+CACHED_WORDS = 200_000
 
 MARK = "▁"
 _WORD = re.compile(r"[^\W\d_]+")
@@ -38,8 +38,8 @@ UND = "und"
 
 
 def words_of(text: str) -> list[str]:
-    """Runs of letters in lower case."""
-    return _WORD.findall(text.lower())
+    """Runs of letters in lower case (numbers written by other than digits go along); none where there is no letter."""
+    return _WORD.findall(text.lower()) if any(map(str.isalpha, text)) else []
 
 
 @dataclass
@@ -101,8 +101,9 @@ class Segmenter:
         sizes = np.array([len(w) + 1 for w in words])
         for size in np.unique(sizes):
             at = np.flatnonzero(sizes == size)
-            for a in range(0, len(at), 1 << 13):
-                part = at[a:a + (1 << 13)]
+            most = max(16, (1 << 13) // self.langs)  # words at once: the sums' memory must not grow with the languages
+            for a in range(0, len(at), most):
+                part = at[a:a + most]
                 text = "".join(MARK + words[i] for i in part)
                 codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
                 ids = self.vocabulary.places(codes.reshape(len(part), size))
@@ -133,14 +134,18 @@ class Segmenter:
             n, size, most = ids.shape
             f, b = self._forward(ids), np.zeros((size + 1, n, self.langs))
             b[size] = counts[at] / f[size]
+            used, weight = [np.zeros(0, np.int64)], [np.zeros((0, self.langs))]
             for i in range(size - 1, -1, -1):
                 for k in range(1, min(size - i, most) + 1):
                     got = ids[:, i, k - 1]
                     if (use := np.flatnonzero(got >= 0)).size:
                         flow = self.p[got[use]] * b[i + k][use]
                         b[i][use] += flow
-                        for g in range(self.langs):
-                            out[:, g] += np.bincount(got[use], flow[:, g] * f[i][use, g], len(out))
+                        used.append(got[use])
+                        weight.append(flow * f[i][use])
+            used, weight = np.concatenate(used), np.concatenate(weight)
+            for g in range(self.langs):
+                out[:, g] += np.bincount(used, weight[:, g], len(out))
         return out[:len(self.vocabulary.pieces)]
 
 
@@ -198,7 +203,7 @@ def fit(docs: DataFrame, model_file: str, sample: int = SAMPLE_PER_LANGUAGE, rou
                         total += seg.expected(list(known), counts.astype(float))
             i, g = np.nonzero(total > 1e-9)
             yield pa.RecordBatch.from_pydict({"piece": i, "lang": g, "n": total[i, g]}, schema=out)
-        got = drawn.mapInArrow(expect, "piece long, lang long, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n"))
+        got = drawn.mapInArrow(tidy(expect), "piece long, lang long, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n"))
         count = np.zeros(p.shape)
         table = got.toPandas()
         count[table["piece"], table["lang"]] = table["n"]
@@ -248,4 +253,4 @@ def predict(docs: DataFrame, model: Model, model_file: str, keep: tuple[str, ...
                 names = [n for n in part.schema.names if with_text or n != "text"]
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(pred, pa.string()), pa.array(prob, pa.float64())],
                                                  names=[*names, "lang_pred", "score"])
-    return base.mapInArrow(score, schema)
+    return base.mapInArrow(tidy(score), schema)

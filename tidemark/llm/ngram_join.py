@@ -17,17 +17,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_batches, slices, stage, texts_of
+from tidemark.llm.common import bounded_batches, slices, stage, texts_of, tidy
 from tidemark.llm.components import connected_components
+from tidemark.llm.rolling import prefix_sums, range_hashes
 
 WORDS, THRESHOLD, RECALL, MAX_HASHES = 5, 0.8, 0.9999, 256
 #: Classes, and n-grams, that one side of a verification task holds, or a few more.
-BLOCK, BLOCK_GRAMS = 1024, 1 << 19
+BLOCK, BLOCK_GRAMS = 512, 1 << 18
 #: Columns of the set matrix that are multiplied at once.
-COLUMNS = 4096
+COLUMNS = 2048
 
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
-_BYTE_BASE, _GRAM_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+_GRAM_BASE = 0xD6E8FEB86659FD93
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -49,13 +50,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.ones(n, np.uint64)
-    if n > 1:
-        out[1:] = np.uint64(base)
-    return np.multiply.accumulate(out)
-
-
 def gram_sets(texts: list[str], words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Distinct n-gram hashes of each text, sorted, in one array, and the texts' bounds in it.
 
@@ -71,14 +65,8 @@ def gram_sets(texts: list[str], words: int = WORDS) -> tuple[np.ndarray, np.ndar
     bounds = [0]
     out = []
     if len(start):
-        longest = int((stop - start).max())
-        at = np.arange(len(raw), dtype=np.int64)
-        word = np.searchsorted(start, at, "right") - 1
-        inside = ~space
-        value = np.zeros(len(raw), np.uint64)
-        value[inside] = (raw[inside].astype(np.uint64) + np.uint64(1)) * _powers(_BYTE_BASE, longest)[at[inside] - start[word[inside]]]
-        hashed = mix(np.add.reduceat(value, start) ^ (stop - start).astype(np.uint64))
-        factor = _powers(_GRAM_BASE, words + 1)
+        hashed = mix(range_hashes(prefix_sums(raw), start, stop) ^ (stop - start).astype(np.uint64))
+        factor = [np.uint64(pow(_GRAM_BASE, j, 1 << 64)) for j in range(words)]
     last = np.searchsorted(start, ends)
     first = 0
     for b in last:
@@ -123,7 +111,7 @@ def _signed(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
     """doc_id and mark of each row, size and key of its n-gram set, band hashes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
+            for part in slices(batch, "text", 1 << 19):
                 grams, bounds = gram_sets(part.column(1).to_pylist(), words)
                 got = band_hashes(signatures(grams, bounds, bands * rows), bands, rows)
                 sums = [np.append(np.uint64(0), np.cumsum(mix(grams + np.uint64(c)))) for c in (1, 2)]
@@ -132,8 +120,7 @@ def _signed(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
                     [part.column(0), part.column(2), pa.array(np.diff(bounds)), pa.array(k1), pa.array(k2),
                      pa.ListArray.from_arrays(pa.array(np.arange(len(got) + 1, dtype=np.int32) * bands), pa.array(got.ravel()))],
                     schema=_SIG)
-    return docs.select("doc_id", "text", "mark").mapInArrow(
-        run, "doc_id long, mark long, n long, key1 long, key2 long, bands array<long>")
+    return docs.select("doc_id", "text", "mark").mapInArrow(tidy(run), "doc_id long, mark long, n long, key1 long, key2 long, bands array<long>")
 
 
 def _linked(sets: list[np.ndarray], sizes: np.ndarray, sides: np.ndarray | None, threshold: float) -> np.ndarray:
@@ -177,7 +164,7 @@ def _verify(rows: DataFrame, threshold: float) -> DataFrame:
                          sides if t["cross"][0].as_py() else None, threshold)
         label = np.arange(len(cid))
         while True:  # the least place reachable by links
-            least = np.where(linked, label[None, :], len(cid)).min(1, initial=len(cid))
+            least = np.array([label[row].min(initial=len(cid)) for row in linked])
             now = np.minimum(label, least)
             now = now[now]
             if (now == label).all():
@@ -201,7 +188,7 @@ def _verify(rows: DataFrame, threshold: float) -> DataFrame:
                 now = jobs[a]
         if held:
             yield pa.RecordBatch.from_pydict(job(held), schema=_LINK)
-    return rows.mapInArrow(run, "cid long, links long, root long")
+    return rows.mapInArrow(tidy(run), "cid long, links long, root long")
 
 
 def _grams(docs: DataFrame, words: int) -> DataFrame:
@@ -211,13 +198,13 @@ def _grams(docs: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
+            for part in slices(batch, "text", 1 << 19):
                 grams, bounds = gram_sets(part.column(0).to_pylist(), words)
                 raw = [grams[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(1, 6)), pa.array(raw, pa.binary())],
                                                  schema=out)
     return (docs.select("text", "cid", "n", "copies", "comp", "blocks")
-            .mapInArrow(run, "cid long, n long, copies long, comp long, blocks long, grams binary"))
+            .mapInArrow(tidy(run), "cid long, n long, copies long, comp long, blocks long, grams binary"))
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
 from tidemark.llm.bpe import encode_text
-from tidemark.llm.common import bounded_batches, slices, texts_of
+from tidemark.llm.common import bounded_batches, slices, texts_of, tidy
 
 #: Combinations have up to so many pieces; lengths are rounded up to multiples of BIN for the histogram.
 DEPTH, BIN = 3, 32
@@ -250,5 +250,5 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 2048, eos: int = 1)
                     yield from flush(False)
         yield from flush(True)
 
-    return texts_of(docs).mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long, "
+    return texts_of(docs).mapInArrow(tidy(run), "doc_id long, start long, length long, ids binary, doc_tokens long, "
                                           "sequence_id long, offset long")

@@ -14,7 +14,6 @@ with equal bytes repeat in whole and travel once; the others meet by anchor.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,33 +21,20 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_batches, slices, stage, texts_of
+from tidemark.llm.common import bounded_batches, slices, stage, texts_of, tidy
+from tidemark.llm.rolling import BASE, byte_table, prefix_sums, range_hashes
 
 LENGTH, STEP, GRAM = 200, 50, 25
 #: Bytes of text hashed at once; longer texts are taken in overlapping parts.
-PART = 1 << 21
+PART = 1 << 19
 #: Bytes of segments merged at once; an anchor with more is dealt out window by window instead.
-GROUP_BYTES, SHARD_BYTES = 4 << 20, 1 << 20
+GROUP_BYTES, SHARD_BYTES = 2 << 20, 1 << 19
 #: Segments a task remembers having sent.
-SENT = 1 << 19
+SENT = 1 << 18
 
-_BASE = 0x9E3779B97F4A7C15
 _LOW = np.uint64((1 << 24) - 1)
 
 
-@lru_cache(maxsize=1)
-def _table() -> np.ndarray:
-    """A random number for each byte."""
-    return np.random.default_rng(8).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-@lru_cache(maxsize=4)
-def _powers(n: int, inverse: bool = False) -> np.ndarray:
-    out = np.ones(n, np.uint64)
-    out[1:] = np.uint64(pow(_BASE, -1, 1 << 64) if inverse else _BASE)
-    return np.multiply.accumulate(out)
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
@@ -60,9 +46,9 @@ def gram_hashes(raw: np.ndarray, width: int) -> np.ndarray:
     n, size, out, have = len(raw), 1, None, 0
     if n < width:
         return np.zeros(0, np.uint64)
-    h = _table()[raw]
+    h = byte_table()[raw]
     while True:
-        shift = np.uint64(pow(_BASE, size, 1 << 64))
+        shift = np.uint64(pow(BASE, size, 1 << 64))
         if width & size:
             m = n - have - size + 1
             out = h if out is None else out[:m] * shift + h[have:have + m]
@@ -128,9 +114,7 @@ class Parts:
         new = np.append(True, (a[1:] != a[:-1]) | (p[1:] != p[:-1]))
         at = s[new]
         windows = np.diff(np.append(np.flatnonzero(new), len(s)))
-        room = max(len(raw), 2 * PART + 2 * LENGTH)
-        sums = np.append(np.uint64(0), np.cumsum(_table()[raw] * _powers(room)[:len(raw)]))
-        seg = _mix((sums[at + windows + length - 1] - sums[at]) * _powers(room, True)[at] + windows.astype(np.uint64))
+        seg = _mix(range_hashes(prefix_sums(raw), at, at + windows + length - 1) + windows.astype(np.uint64))
         return doc[p[new]], at - (begin - off)[p[new]] + base[p[new]], at + off, windows, h[a[new]], seg
 
     def bytes_of(self, i: int, length: int = LENGTH) -> bytes:
@@ -222,7 +206,7 @@ def _anchors(base: DataFrame, length: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(fp[first].view(np.int64)), part.column(0).take(at), part.column(2).take(at),
                      pa.array(np.diff(np.append(first, len(fp))))], schema=_ANCHOR)
-    return base.select("doc_id", "text", "mark").mapInArrow(run, "fp long, doc_id long, mark long, n long")
+    return base.select("doc_id", "text", "mark").mapInArrow(tidy(run), "fp long, doc_id long, mark long, n long")
 
 
 def _segments(rows: DataFrame, length: int) -> DataFrame:
@@ -245,8 +229,7 @@ def _segments(rows: DataFrame, length: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).take(d), part.column(2).take(d), pa.array(p.lo[at]), pa.array(p.windows[at]),
                      pa.array(fp), pa.array(seg), pa.array(raw, pa.binary())], schema=_SEGMENT)
-    return rows.select("doc_id", "text", "mark", "fps").mapInArrow(
-        run, "doc_id long, mark long, lo long, windows long, fp long, seg long, bytes binary")
+    return rows.select("doc_id", "text", "mark", "fps").mapInArrow(tidy(run), "doc_id long, mark long, lo long, windows long, fp long, seg long, bytes binary")
 
 
 def _met(segments: DataFrame, length: int, step: int) -> DataFrame:
@@ -285,7 +268,7 @@ def _met(segments: DataFrame, length: int, step: int) -> DataFrame:
                 size += int(sizes[-1]) - done
         if held:
             yield found(held)
-    return segments.mapInArrow(run, "fp long, seg long, runs array<long>")
+    return segments.mapInArrow(tidy(run), "fp long, seg long, runs array<long>")
 
 
 def _window_hashes(segments: DataFrame, length: int) -> DataFrame:
@@ -300,19 +283,20 @@ def _window_hashes(segments: DataFrame, length: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, fp)), pa.array(np.full(n, seg)), pa.array(np.arange(n)),
                                                   pa.array(h.view(np.int64)), pa.array(g.copy().view(np.int64))], schema=out)
     return (segments.select("fp", "seg", "windows", "bytes")
-            .mapInArrow(run, "fp long, seg long, place long, h1 long, h2 long"))
+            .mapInArrow(tidy(run), "fp long, seg long, place long, h1 long, h2 long"))
 
 
-def _cut(rows: DataFrame, length: int, keep: list[str]) -> DataFrame:
+def _cut(rows: DataFrame, length: int, keep: list[str], as_text: bool) -> DataFrame:
     """Texts (doc_id, text, spans of (lo, hi) window places) without the bytes their repeated windows cover."""
     rows = rows.select("doc_id", "text", "spans", *keep)
-    ddl = ", ".join(["doc_id long, n_bytes long, n_removed long, n_spans long, kept binary",
+    ddl = ", ".join(["doc_id long, n_bytes long, n_removed long, n_spans long", "text string" if as_text else "kept binary",
                      *(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[3:])])
+    schema = _OUT.set(4, pa.field("text", pa.string())) if as_text else _OUT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                cols: dict[str, list] = {n: [] for n in _OUT.names}
+                cols: dict[str, list] = {n: [] for n in schema.names}
                 spans = part.column(2)
                 lo, hi = (spans.flatten().field(f).to_numpy(zero_copy_only=False) for f in ("lo", "hi"))
                 last = np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(spans), 0).to_numpy(zero_copy_only=False))
@@ -324,17 +308,19 @@ def _cut(rows: DataFrame, length: int, keep: list[str]) -> DataFrame:
                     first = last[i]
                     edge = np.bincount(a, minlength=len(raw) + 1) - np.bincount(b + length - 1, minlength=len(raw) + 1)
                     gone = np.cumsum(edge[:-1]) > 0
-                    for n, v in zip(cols, (doc_id, len(raw), int(gone.sum()), len(_runs(gone)) // 2, raw[~gone].tobytes()),
-                                    strict=True):
+                    left = raw[~gone].tobytes()
+                    for n, v in zip(cols, (doc_id, len(raw), int(gone.sum()), len(_runs(gone)) // 2,
+                                           left.decode("utf-8", "ignore") if as_text else left), strict=True):
                         cols[n].append(v)
-                made = pa.RecordBatch.from_pydict(cols, schema=_OUT)
-                yield pa.RecordBatch.from_arrays([*made.columns, *(part.column(n) for n in keep)], names=[*_OUT.names, *keep])
-    return rows.mapInArrow(run, ddl)
+                made = pa.RecordBatch.from_pydict(cols, schema=schema)
+                yield pa.RecordBatch.from_arrays([*made.columns, *(part.column(n) for n in keep)], names=[*schema.names, *keep])
+    return rows.mapInArrow(tidy(run), ddl)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, step: int = STEP, group_bytes: int = GROUP_BYTES,
-                   keep: tuple[str, ...] = ()) -> DataFrame:
+                   keep: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes), and the ``keep`` columns.
+    With ``as_text``, text instead of kept: the whole characters among these bytes.
 
     A byte goes if a string of ``length`` bytes that covers it also starts anywhere else in the texts' UTF-8 bytes, the same
     text included; strings never cross texts. Repeated rows are texts of their own, so each repeats the other. Null texts
@@ -373,18 +359,4 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, step: int = STEP, grou
     whole = texts_of(docs, *keep).withColumn("mark", F.xxhash64("text"))
     rows = (whole.alias("t").join(spans.alias("k"), same, "left")
             .select("t.doc_id", "t.text", "k.spans", *(f"t.{c}" for c in keep)))
-    return _cut(rows, length, list(keep))
-
-
-def whole_characters(done: DataFrame) -> DataFrame:
-    """``done`` with ``kept`` as column text: bytes of characters that were cut through are left out."""
-    ddl = ", ".join(f"`{'text' if f.name == 'kept' else f.name}` {'string' if f.name == 'kept' else f.dataType.simpleString()}"
-                    for f in done.schema)
-    names = ["text" if n == "kept" else n for n in done.columns]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x.decode("utf-8", "ignore") for x in b.column(n).to_pylist()], pa.string()) if n == "kept" else b.column(n)
-                 for n in b.schema.names], names=names)
-    return done.mapInArrow(run, ddl)
+    return _cut(rows, length, list(keep), as_text)
