@@ -129,7 +129,7 @@ def results_export(log: DataFrame, yearmonth: str | None = None) -> DataFrame:
             .orderBy(F.col("completed_at").desc(), "batch_id"))
 
 
-def reference_batch_path(base: str):
+def monthly_batch_path(base: str):
     """Path rule ``<base>/YYYY/MM/batch_0001.jsonl`` for :func:`expected_batch_files`."""
     def rule(year: Column, month: Column, i: Column) -> Column:
         return F.format_string(base.rstrip("/") + "/%04d/%02d/batch_%04d.jsonl", year, month, i)

@@ -2,7 +2,7 @@
 
 A gate is computed as **one** aggregation producing long rows
 ``(check, passed, value)``; :func:`raise_on_failure` is the only action and
-the only place that raises. This replaces the reference's chain of separate
+the only place that raises. It stands in for a chain of separate
 ``count()`` jobs with a single scan.
 """
 
@@ -149,7 +149,7 @@ def raise_on_failure(checks: DataFrame) -> list[str]:
     rows = checks.collect()
     failed = [r["check"] for r in rows if not r["passed"]]
     if failed:
-        raise GateFailed(f"Data quality checks failed: {failed}")
+        raise GateFailed(f"gate not passed: {", ".join(failed)}")
     return [r["check"] for r in rows]
 
 
