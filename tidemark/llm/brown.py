@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_batches, slices, stage, texts_of
+from tidemark.llm.common import bounded_batches, slices, stage, texts_of, tidy
 
 #: Words looked up inside a task, of at most HEAD_BYTES each, so the broadcast is at most HEAD * HEAD_BYTES bytes and counts.
 HEAD, HEAD_BYTES = 131_072, 64
@@ -32,8 +32,8 @@ CLASSES, ROUNDS = 32, 4
 COUNTED = 1 << 19
 #: Weight of the unigram class distribution in transitions, in tokens; weight of the class model beside plain unigrams.
 PRIOR, WEIGHT = 20.0, 0.95
-#: Units per row of a task's context counts.
-CHUNK = 1024
+#: Units per row of a task's context counts; such rows are added up in so many bins first, then over the bins.
+CHUNK, BINS = 1024, 64
 
 END = b""
 
@@ -66,7 +66,21 @@ def word_counts(texts: DataFrame) -> DataFrame:
                     seen.clear()
         if seen:
             yield rows()
-    return texts.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return texts.select("text").mapInArrow(tidy(run), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def most_frequent(counts: DataFrame, most: int) -> list:
+    """About the ``most`` most frequent words, never more: those whose count reaches a level, chosen from the number of words
+    at each level (a table of at most 64 * 16 rows), so no more rows than that reach the driver from all tasks together."""
+    level = F.floor(F.log2(F.col("n").cast("double")) * 16).cast("int")
+    held, least = 0, None
+    for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("words")).orderBy(F.desc("level")).collect():
+        held += r["words"]
+        if held > most:
+            break
+        least = r["level"]
+    rows = counts.where(level >= least).collect() if least is not None else []
+    return sorted(rows, key=lambda r: (-r["n"], bytes(r["word"])))
 
 
 class Lexicon:
@@ -98,13 +112,14 @@ def _chunks(values: list[np.ndarray]) -> Iterator[dict]:
     for k in range(0, len(values[0]), CHUNK):
         part = [v[k:k + CHUNK] for v in values]
         if any(p.any() for p in part):
-            yield {"chunk": k // CHUNK, "counts": np.concatenate([p.ravel() for p in part]).astype(np.int64).tobytes()}
+            yield {"chunk": k // CHUNK, "bin": TaskContext.get().partitionId() % BINS,
+                   "counts": np.concatenate([p.ravel() for p in part]).astype(np.int32).tobytes()}
 
 
 def contexts(unit_rows: DataFrame, classes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Over all training text: (units x classes before, units x classes after, followed by itself)."""
     n = len(classes)
-    out = pa.schema([("chunk", pa.int64()), ("counts", pa.binary())])
+    out = pa.schema([("chunk", pa.int64()), ("bin", pa.int64()), ("counts", pa.binary())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before, after, twice = np.zeros((n, k), np.int64), np.zeros((n, k), np.int64), np.zeros((n, 1), np.int64)
@@ -118,15 +133,18 @@ def contexts(unit_rows: DataFrame, classes: np.ndarray, k: int) -> tuple[np.ndar
         rows = list(_chunks([before, after, twice]))
         yield pa.RecordBatch.from_pylist(rows, schema=out)
 
-    def add(key: tuple, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = 0
-        for p in parts:
-            for raw in p["counts"]:
-                total = total + np.frombuffer(raw, np.int64)
-        yield pd.DataFrame({"chunk": [int(key[0])], "counts": [total.tobytes()]})
-
-    got = (unit_rows.mapInArrow(count, "chunk long, counts binary").groupBy("chunk")
-           .applyInPandas(add, "chunk long, counts binary").collect())
+    def add(kind: type):
+        def total(key: tuple, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            sums = 0
+            for p in parts:
+                for raw in p["counts"]:
+                    sums = sums + np.frombuffer(raw, kind).astype(np.int64)
+            yield pd.DataFrame({"chunk": [int(key[0])], "counts": [sums.tobytes()]})
+        return total
+
+    got = (unit_rows.mapInArrow(tidy(count), "chunk long, bin long, counts binary")
+           .groupBy("chunk", "bin").applyInPandas(add(np.int32), "chunk long, counts binary")
+           .groupBy("chunk").applyInPandas(add(np.int64), "chunk long, counts binary").collect())
     before, after, twice = np.zeros((n, k)), np.zeros((n, k)), np.zeros(n)
     for r in got:  # a fixed number of chunks
         a = int(r["chunk"]) * CHUNK
@@ -189,8 +207,7 @@ def fit(train: DataFrame, classes: int = CLASSES, rounds: int = ROUNDS) -> tuple
     counts = stage(word_counts(texts), "word-counts")
     whole = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, v = int(whole["n"]), int(whole["v"])
-    rows = (counts.where((F.octet_length("word") <= HEAD_BYTES) & (F.octet_length("word") > 0))
-            .orderBy(F.desc("n"), "word").limit(HEAD).collect())
+    rows = most_frequent(counts.where((F.octet_length("word") <= HEAD_BYTES) & (F.octet_length("word") > 0)), HEAD)
     ends = counts.where(F.octet_length("word") == 0).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     lexicon = Lexicon([END, *(bytes(r["word"]) for r in rows)], [int(ends), *(r["n"] for r in rows)])
     shared = train.sparkSession.sparkContext.broadcast(lexicon)
@@ -201,7 +218,7 @@ def fit(train: DataFrame, classes: int = CLASSES, rounds: int = ROUNDS) -> tuple
                 words = [w for t in part.column(0).to_pylist() for w in words_of(t)]
                 yield pa.RecordBatch.from_pydict({"units": [shared.value.units(words)[1].astype(np.uint16).tobytes()]},
                                                  schema=pa.schema([("units", pa.binary())]))
-    unit_rows = stage(texts.mapInArrow(units, "units binary"), "units")
+    unit_rows = stage(texts.mapInArrow(tidy(units), "units binary"), "units")
     place = np.concatenate([[0], 1 + np.arange(SINGLE + GROUPS - 1) % (classes - 1)])
     for r in range(rounds + 1):
         before, after, twice = contexts(unit_rows, place, classes)
@@ -219,7 +236,7 @@ def fit(train: DataFrame, classes: int = CLASSES, rounds: int = ROUNDS) -> tuple
                     found[group_of(w)] += 1
         at = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(found[at])], names=["g", "words"])
-    for g, words in (counts.select("word").mapInArrow(tails, "g long, words long").groupBy("g")
+    for g, words in (counts.select("word").mapInArrow(tidy(tails), "g long, words long").groupBy("g")
                      .agg(F.sum("words").alias("words")).collect()):  # at most GROUPS rows
         kinds[place[SINGLE + g]] += words
     scale = n + 0.5 * (v + 1)
@@ -265,7 +282,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
                      pa.array(np.add.reduceat(known.astype(np.int64), start)), pa.array(np.add.reduceat(own, start)),
                      pa.array(np.add.reduceat(steps, start)), pa.array(rest, _ROW.field("tail").type)], schema=_ROW)
                 row += len(texts)
-    rows = stage(texts_of(docs, "held_out").select("doc_id", "text", "held_out").mapInArrow(run, _ROW_DDL), "scored")
+    rows = stage(texts_of(docs, "held_out").select("doc_id", "text", "held_out").mapInArrow(tidy(run), _ROW_DDL), "scored")
     tails = (rows.select("row", F.explode("tail").alias("t")).select("row", "t.word", "t.m").join(counts, "word", "left")
              .groupBy("row").agg(F.sum(F.col("m") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("tail_words"),
                                  F.sum(F.when(F.col("n") > 0, F.col("m")).otherwise(0)).alias("tail_known")))
