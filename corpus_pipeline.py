@@ -11,11 +11,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm import exact_dedup, language_id, ngram_join, packing, suffix_dedup
-from tidemark.llm.common import read_table, stage
+from tidemark.llm.common import one_of_each, read_table, stage
 
 PIECES, TOKENIZER = "piece_bpe_32k.model", "byte_bpe_50k.json"
 
@@ -58,13 +57,11 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("least")
     stays = (near.where("n_grams > 0").groupBy("group_key").agg(least).select("least.doc_id", "least.mark").distinct()
              .union(near.where("n_grams = 0").select("doc_id", "mark").distinct())
-             .select(F.col("doc_id").alias("stay_id"), F.col("mark").alias("stay_mark")))
-    marked = rows.withColumns({"row_id": F.col("doc_id").cast("long"),
-                               "row_mark": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
-    held = marked.join(stays, F.col("row_id").eqNullSafe(F.col("stay_id")) & (F.col("row_mark") == F.col("stay_mark")), "left_semi")
-    first = F.row_number().over(W.partitionBy("row_id", "row_mark").orderBy(F.lit(1)))
-    wordless = ~F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    return _back(held.withColumn("nth", first).where((F.col("nth") == 1) | wordless), docs, names)
+             .select(F.col("doc_id").alias("row_id"), F.col("mark").alias("row_mark")))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    marked = rows.withColumns({"row_id": F.col("doc_id").cast("long"), "row_mark": F.xxhash64(text),
+                               "wordless": ~text.rlike(r"[^\x20\x09-\x0D]")})
+    return _back(one_of_each(marked, stays, ["row_id", "row_mark"], but=F.col("wordless")), docs, names)
 
 
 def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,7 +10,8 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.session import checkpoint_dir
@@ -68,3 +69,20 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 2 << 20) -> Iterator
         size += k
     if at < n:
         yield batch.slice(at, n - at)
+
+
+def one_of_each(rows: DataFrame, keys: DataFrame, on: list[str], but: Column | None = None) -> DataFrame:
+    """The rows whose ``on`` columns are among ``keys``, one row of each (all those for which ``but`` holds).
+
+    NULL matches NULL. The join and the numbering of repeated rows share one exchange of the rows, as both are keyed by the
+    same plain columns.
+    """
+    plain: dict[str, Column] = {}
+    for i, c in enumerate(on):
+        kind = keys.schema[c].dataType
+        plain |= {f"_on{i}": F.coalesce(F.col(c), F.lit(0 if kind.simpleString() == "bigint" else "").cast(kind)),
+                  f"_null{i}": F.col(c).isNull()}
+    held = rows.withColumns(plain).join(keys.select(*(c.alias(n) for n, c in plain.items())), list(plain), "left_semi")
+    nth = F.row_number().over(W.partitionBy(*plain).orderBy(*plain))
+    keep = F.col("_nth") == 1
+    return held.withColumn("_nth", nth).where(keep if but is None else keep | but).drop("_nth", *plain)

@@ -16,10 +16,9 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stage, texts_of, tidy
+from tidemark.llm.common import one_of_each, stage, texts_of, tidy
 
 #: Fingerprints after which a task hands its filter over and starts the next.
 FILTER_ITEMS = 1 << 20
@@ -157,6 +156,4 @@ def keep_one(docs: DataFrame) -> DataFrame:
     stays = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
     rows = docs.withColumns({"_id": F.col("doc_id").cast("long"),
                              "_sha": F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)})
-    held = rows.join(stays, rows["_id"].eqNullSafe(stays["_id"]) & (rows["_sha"] == stays["_sha"]), "left_semi")
-    first = F.row_number().over(W.partitionBy("_id", "_sha").orderBy(F.lit(1)))
-    return held.withColumn("_n", first).where("_n = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return one_of_each(rows, stays, ["_id", "_sha"]).select(*(F.col(f"`{c}`") for c in docs.columns))
