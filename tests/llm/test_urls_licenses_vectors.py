@@ -142,3 +142,30 @@ def test_few_rows_and_none(spark):
     assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == [(0, 1, 1, 0.0), (0, 2, 2, 0.0)]
     none = vectors(spark, x).where("vec_id < 0")
     assert prefix_forest.search(none).count() == 0
+
+
+def near_copies(rng):
+    return 1.0 + 1e-7 * rng.normal(size=(1500, 8))
+
+
+@pytest.mark.parametrize("make", [lambda rng: rng.integers(0, 2, (1500, 24)).astype(float), near_copies,
+                                  lambda rng: 1e20 * rng.normal(size=(600, 8)), lambda rng: rng.choice([-1.0, 1.0], (1500, 24))],
+                         ids=["bits", "near_copies", "large", "signs"])
+def test_all_visited_rows_are_ranked_in_double(spark, make):
+    x = make(np.random.default_rng(5))
+    x[0] = 1.0
+    ids = np.random.default_rng(6).permutation(len(x))
+    at = {int(i): n for n, i in enumerate(ids)}
+    got = {}
+    for r in prefix_forest.search(vectors(spark, x, ids), every=100, k=20, trees=2, target=1.1).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert set(got) == {i for i in range(len(x)) if i % 100 == 0}
+    for q, rows in got.items():
+        s = (x * x[at[q]]).sum(1)
+        assert rows == [(int(ids[i]), s[i]) for i in np.lexsort((ids, -s)) if ids[i] != q][:20]
+
+
+def test_products_past_the_largest_double_are_ranked(spark):
+    x = np.array([[1e200, 1e200], [1e200, -1e200], [-1e200, -1e200], [1.0, 1.0], [3.0, -1.0]])
+    got = prefix_forest.search(vectors(spark, x), target=1.1).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(3, 2e200), (4, 2e200), (1, 0.0), (2, -np.inf)]

@@ -26,8 +26,6 @@ TREES, BITS = 20, 64
 SAMPLE, TARGET = 128, 0.955
 #: Rows, and queries, of one task's range of a tree; fuller ranges are dealt over several tasks.
 RANGE_ROWS, RANGE_QUERIES = 32_768, 8_192
-#: More candidates than asked for that are scored again in the order-independent way.
-SLACK = 12
 
 
 @dataclass(frozen=True)
@@ -248,6 +246,31 @@ def _levels(entries: DataFrame, probes: DataFrame, ranges: DataFrame, depth: int
             .agg(F.coalesce(F.max(F.when(F.col("held") >= m, F.col("level"))), F.lit(0)).alias("level")))
 
 
+def _products(x: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Inner products, each the same whatever rows stand beside it; scaled where a term or partial sum would overflow."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        s = (x * v).sum(1)
+        if not (wide := ~np.isfinite(s)).any():
+            return s
+        up = np.frexp(np.abs(x[wide]).max(1))[1]
+        uv = np.frexp(np.abs(v).max())[1]
+        s[wide] = np.ldexp((np.ldexp(x[wide], -up[:, None]) * np.ldexp(v, -uv)).sum(1), up + uv)
+    return s
+
+
+def _contenders(got: np.ndarray, sizes: np.ndarray, dim: int, k: int, at: np.ndarray) -> np.ndarray:
+    """Places in ``at`` of all that may be among its ``k`` largest products, ties included, given products in any order of sums.
+
+    ``sizes`` holds the products of the norms. Two sums of the same ``dim`` terms differ by at most 2 dim u / (1 - dim u) times
+    that (u = eps / 2), and by what terms lose below the least normal number; the bound taken is over twice that.
+    """
+    got, off = got[at], (2 * dim + 8) * (np.finfo(float).eps * sizes[at] + np.finfo(float).tiny)
+    if not (np.isfinite(got).all() and np.isfinite(off).all()):
+        return np.arange(len(at))
+    low = got - off
+    return np.flatnonzero(got + off >= low[np.argpartition(-low, k - 1)[k - 1]])
+
+
 def _visit(entries: DataFrame, routed: DataFrame, ranges: DataFrame, dim: int, k: int, range_rows: int,
            range_queries: int) -> DataFrame:
     """(query_id, vec_id, score): the k nearest rows of each visited share of a range."""
@@ -260,18 +283,22 @@ def _visit(entries: DataFrame, routed: DataFrame, ranges: DataFrame, dim: int, k
         order = np.argsort(codes, kind="stable")
         x = np.stack(rows["v"].to_numpy()[order])
         ids = rows["ids"].to_numpy()[order]
-        fast = x.astype(np.float32)
+        first = np.array([i[0] for i in ids], np.int64)
+        lone = np.array([len(i) == 1 for i in ids])
+        second = np.array([i[min(1, len(i) - 1)] for i in ids], np.int64)
+        size = np.sqrt((x * x).sum(1))
         lo, hi = _interval(codes[order], asked["code"].to_numpy().view(np.uint64), asked["level"].to_numpy())
         out_q, out_v, out_s = [], [], []
         for q, v, a, b in zip(asked["query_id"].to_numpy(), asked["v"], lo, hi, strict=True):
             if a == b:
                 continue
-            got = fast[a:b] @ v.astype(np.float32)
-            # one more, as the query's own row may be among them
-            at = a + (np.argpartition(-got, k + SLACK)[:k + 1 + SLACK] if b - a > k + 1 + SLACK else np.arange(b - a))
-            exact = (x[at] * v).sum(1)
-            each = [(-s, int(i)) for s, i in zip(np.repeat(exact, [len(ids[j]) for j in at]), np.concatenate(ids[at]), strict=True)
-                    if i != q]
+            at = a + np.flatnonzero(~(lone[a:b] & (first[a:b] == q)))  # without the query's own rows
+            if len(at) > k:
+                at = at[_contenders(x[a:b] @ v, size[a:b] * np.sqrt(v @ v), dim, k, at - a)]
+            exact = _products(x[at], v)
+            # Of k rows in the order of their best entries come the k best entries.
+            at, exact = (z[np.lexsort((np.where(first[at] == q, second[at], first[at]), -exact))[:k]] for z in (at, exact))
+            each = [(-s, int(i)) for s, j in zip(exact.tolist(), at, strict=True) for i in ids[j] if i != q]
             each.sort()
             out_q += [q] * len(each[:k])
             out_v += [i for _, i in each[:k]]
