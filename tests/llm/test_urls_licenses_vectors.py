@@ -1,5 +1,6 @@
 """Url verdicts, license scans and the prefix forest."""
 import hashlib
+import textwrap
 
 import numpy as np
 import pytest
@@ -85,6 +86,23 @@ def test_equivalent_forms_have_one_digest(spark):
     assert licenses.scan(docs.where("doc_id < 0")).count() == 0
 
 
+HOLDERS = ["Copyright (c) Microsoft Corporation.", "Copyright Joyent, Inc. and other Node contributors.", "Copyright: 2020 x",
+           "Portions Copyright (c) 2019 x", "// Copyright The Go Authors. All rights reserved.", "(c) Jane Doe", "© Jane Doe",
+           "Copyright by Jane Doe", "Copyright (c) 2020 A very long name of a\nholder, Inc. All rights reserved.", "(C) 2020 x"]
+
+
+def test_lines_of_holders_go_and_own_sentences_stay(spark):
+    bsd = dict(licenses.TEXTS)["BSD-3-Clause"]
+    thin = "\n".join(textwrap.fill(p, 20) for p in bsd.split("\n\n"))  # lines begin with "copyright holder", "copyright notice"
+    own = ["(c) You must retain, in the Source form, all copyright", "copyright notice, this list", "COPYRIGHT OWNER OR", "copyright, patent",
+           "copyright license to reproduce", "Copyright and Related Rights", "copyright the software, and"]
+    rows = [*((i, h + "\n\n" + bsd) for i, h in enumerate(HOLDERS)), (50, thin), *((100 + i, o) for i, o in enumerate(own))]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: r.license for i, r in got.items() if i <= 50} == dict.fromkeys([*range(len(HOLDERS)), 50], "BSD-3-Clause")
+    empty = hashlib.sha256(b"").hexdigest()
+    assert all(got[100 + i].canonical_sha256 != empty for i in range(len(own)))
+
+
 def test_scan_runs_no_python(odd):
     plan = licenses.scan(odd)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan

@@ -97,8 +97,26 @@ SPELLINGS: tuple[tuple[str, str], ...] = (
     ("favour", "favor"), ("whilst", "while"), ("copyright owner", "copyright holder"), ("per cent", "percent"),
 )
 
-#: A copyright line: the sign or word, then a sign, year or placeholder; or a reservation of rights.
+#: The copyright line of the DuckDB twin: the sign or word, then a sign, year or placeholder; or a reservation of rights.
 COPYRIGHT_LINE = (r"(^|\n)[ \t*#/;-]*((copyright|\(c\)|©)[ \t]*(\(c\)|©)?[ \t]*[0-9<{\[][^\n]*|all rights reserved[^\n]*)")
+#: Words after "copyright" in the licenses' own sentences, and words that begin a list's item (c).
+_OWN = (r"(?:notices?|holders?|owners?|ownership|licen[sc]e[sd]?|laws?|statements?|interests?|status|treat(?:y|ies)|disclaimers?|"
+        r"permissions?|protections?|infringements?|claims?|requirements?|conditions?|lines?|works?|attributions?|information|years?|"
+        r"rights?|policy|doctrines?|terms?|acts?|materials?|resulting|and|or|in|of|is|are|on|to|as|for|that|this|which|under|with|has|have|if|it|"
+        r"its|may|must|shall|will|can|does|not|at|from|the[ \t]+(?:software|library|program|work|document|covered))\b")
+_ITEM = (r"(?:you|your|the|any|if|in|under|a|an|to|for|of|on|by|as|at|or|and|that|this|these|those|such|each|every|no|not|all|it|its|"
+         r"is|are|be|may|must|shall|will|when|where|with|without|within|notwithstanding|permits?|prohibits?|affirmer|representations?)\b")
+_BODY = r"\b(?:(?:19|20)[0-9]{2}|inc|corp|corporation|company|ltd|llc|gmbh|foundation|authors|contributors)\b"
+#: A copyright line: an optional comment leader and "portions", then the word or sign and a holder or year; or one that
+#: begins with a reservation of rights.
+HOLDER_LINE = (
+    r"(^|\n)[ \t*#/;%!<>|.\"'-]*(?:(?:dnl|rem)[ \t]+)?(?:(?:some[ \t]+)?portions[ \t]+(?:are[ \t]+)?)?"
+    r"(?:copyright[ \t]*(?:\(c\)|©|:|[0-9<{\[])[^\n]*|copyright[ \t]+(?!" + _OWN + r")[\p{L}\"'][^\n]*|©[^\n]*"
+    r"|\(c\)[ \t]*(?:\(c\)|©|copyright|[0-9<{\[])[^\n]*|\(c\)[ \t]+(?!" + _ITEM + r")(?:[^\n]*" + _BODY +
+    r"[^\n]*|[^ \t\n]+(?:[ \t]+[^ \t\n]+){0,3}[ \t\r]*(?=\n|$))|all rights reserved[^\n]*)")
+#: A line that ends with a reservation of rights, as the second line of a long holder.
+RESERVED = "all rights reserved"
+RESERVED_LINE = r"(^|\n)[^\n]*" + RESERVED + r"[ \t\r.!*#/;-]*(?=\n|$)"
 PUNCTUATION = r"[^\p{L}\p{N}\n]+"
 LINE_ENDS = r" ?\n ?"
 
@@ -108,7 +126,8 @@ LINE_ENDS = r" ?\n ?"
 def canonical_lines(text: Column) -> Column:
     """Canonical form of ``text`` with its lines kept apart."""
     x = F.lower(F.coalesce(text, F.lit("")))
-    x = F.regexp_replace(x, COPYRIGHT_LINE, "\n")
+    x = F.regexp_replace(x, HOLDER_LINE, "\n")
+    x = F.when(F.contains(x, F.lit(RESERVED)), F.regexp_replace(x, RESERVED_LINE, "\n")).otherwise(x)
     x = F.regexp_replace(x, PUNCTUATION, " ")
     return F.regexp_replace(x, LINE_ENDS, "\n")
 
@@ -159,7 +178,7 @@ def scan(docs: DataFrame, texts: tuple[tuple[str, str], ...] = TEXTS,
 
 
 def sql() -> str:
-    """The DuckDB twin of ``scan`` with the fixed values above."""
+    """The DuckDB twin of ``scan``; of the copyright lines it drops only those of COPYRIGHT_LINE."""
     q = lambda s: "'" + s.replace("'", "''") + "'"
 
     def lines(x: str) -> str:
