@@ -1,5 +1,6 @@
 """Url verdicts, license scans and the prefix forest."""
 import hashlib
+import pathlib
 import textwrap
 
 import numpy as np
@@ -103,6 +104,29 @@ def test_lines_of_holders_go_and_own_sentences_stay(spark):
     assert all(got[100 + i].canonical_sha256 != empty for i in range(len(own)))
 
 
+def test_usual_licenses_titles_and_notices(spark):
+    held = {"Apache-2.0": "Apache-2.0", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1",
+            "LGPL-3": "LGPL-3.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2",
+            "GFDL-1.3": "GFDL-1.3", "Artistic": "Artistic-1.0-Perl", "BSD": "BSD-3-Clause"}
+    folder = pathlib.Path("/usr/share/common-licenses")
+    want = [(k, (folder / f).read_text()) for f, k in held.items() if (folder / f).exists()]
+    apache = next((t for k, t in want if k == "Apache-2.0"), None)
+    if apache:
+        want.append(("Apache-2.0", apache[:apache.index("APPENDIX")]))
+    bare = {k: t for k, t in licenses.TEXTS if "License\n\n" not in t}
+    want += [(k, f"{title}\n\nCopyright (c) 2020 X\n\n{bare[k]}") for k, title in (
+        ("MIT", "The MIT License (MIT)"), ("MIT", "The MIT License"), ("ISC", "The ISC License"), ("ISC", "ISC License (ISC)"),
+        ("BSD-2-Clause", 'BSD 2-Clause "Simplified" License'), ("BSD-3-Clause", "The 3-Clause BSD License"), ("0BSD", "BSD Zero Clause License"))]
+    want.append(("MIT-0", dict(licenses.TEXTS)["MIT-0"].removeprefix("MIT No Attribution\n\n")))
+    said = [("MPL-2.0", "SPDX-License-Identifier: MPL-2.0"), ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0-or-later"), ("ISC", "Licensed under the ISC License."),
+            ("LGPL-2.1", "Released under the GNU Lesser General Public License, version 2.1"), ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause")]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(want)] + [(1000 + i, t) for i, (_, t) in enumerate(said)], "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan(docs).collect()}
+    assert [got[i].license for i in range(len(want))] == [k for k, _ in want]
+    assert [got[1000 + i].notices for i in range(len(said))] == [k for k, _ in said]
+    assert len(got) == len(want) + len(said)
+
+
 def test_scan_runs_no_python(odd):
     plan = licenses.scan(odd)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan

@@ -7,9 +7,14 @@ expression. Known one-line notices are found the same way, line by line inside t
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.license_digests import DIGESTS
+
 # --- fixed values: public license texts and notices, and equivalent spellings ---
 
 _PERMIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated \
@@ -90,6 +95,61 @@ NOTICES: tuple[tuple[str, str], ...] = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."), ("CC-BY-NC-4.0", "SPDX-License-Identifier: CC-BY-NC-4.0"),
 )
 
+_REGENTS = (_BSD + _BSD_NAME + _BSD_END).replace("copyright holder nor", "University nor").replace(
+    "THE COPYRIGHT HOLDERS AND CONTRIBUTORS", "THE REGENTS AND CONTRIBUTORS").replace("THE COPYRIGHT HOLDER OR", "THE REGENTS OR")
+_ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held \
+liable for any damages arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it \
+and redistribute it freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you \
+use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+
+3. This notice may not be removed or altered from any source distribution."""
+
+#: Whole texts besides TEXTS, which the DuckDB twin holds alone.
+MORE_TEXTS: tuple[tuple[str, str], ...] = (
+    ("BSD-3-Clause", _REGENTS), ("Zlib", _ZLIB),
+    ("ISC", _ISC.replace("and/or", "and") + ", provided that the above copyright notice and this permission notice appear in all "
+     "copies.\n\n" + _ISC_END),
+)
+
+#: License id -> names it goes by. A text may stand under each of them, and notices may give each.
+NAMES: dict[str, tuple[str, ...]] = {
+    "MIT": ("MIT License", "MIT License (MIT)", "MIT/Expat License", "MIT", "Expat License", "X11 License"),
+    "MIT-0": ("MIT No Attribution", "MIT No Attribution License", "MIT-0", "MIT-0 License"),
+    "ISC": ("ISC License", "ISC License (ISC)", "ISC License (ISCL)", "ISC"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD License", "Zero-Clause BSD", "0BSD License", "0BSD"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "BSD-2-Clause", 'BSD 2-Clause "Simplified" License', "Simplified BSD License",
+                     "2-Clause BSD License", "FreeBSD License", "BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "BSD-3-Clause", 'BSD 3-Clause "New" or "Revised" License', "New BSD License",
+                     "Modified BSD License", "Revised BSD License", "3-Clause BSD License", "BSD License"),
+    "Zlib": ("zlib License", "zlib/libpng License", "zlib"),
+    "Apache-2.0": ("Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License", "Apache 2.0", "Apache-2.0"),
+    "Artistic-1.0-Perl": ("Artistic License 1.0 (Perl)",),
+    "CC0-1.0": ("Creative Commons Zero v1.0 Universal", "CC0 1.0 Universal", "CC0 1.0", "CC0"),
+    "CC-BY-4.0": ("CC BY 4.0", "Creative Commons Attribution 4.0 International License"),
+    "CC-BY-SA-4.0": ("CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike 4.0 International License"),
+    "CC-BY-NC-4.0": ("CC BY-NC 4.0", "Creative Commons Attribution-NonCommercial 4.0 International License"),
+    "GFDL-1.2": ("GNU Free Documentation License, version 1.2", "GFDL 1.2"),
+    "GFDL-1.3": ("GNU Free Documentation License, version 1.3", "GFDL 1.3"),
+    **{f"{short}-{v}": (f"GNU {long}, version {v}", f"GNU {long} v{v}", f"GNU {short} v{v}", f"{short} v{v}", f"{short}-{v}",
+                        *((f"GNU {long}, version {v[0]}", f"GNU {long} v{v[0]}", f"GNU {short} v{v[0]}", f"{short} v{v[0]}",
+                           f"{short}v{v[0]}") if v.endswith(".0") else ()))
+       for short, long, versions in (("GPL", "General Public License", ("1.0", "2.0", "3.0")),
+                                     ("LGPL", "Library General Public License", ("2.0",)),
+                                     ("LGPL", "Lesser General Public License", ("2.1", "3.0")),
+                                     ("AGPL", "Affero General Public License", ("3.0",))) for v in versions},
+    "MPL-1.1": ("Mozilla Public License, version 1.1", "Mozilla Public License 1.1", "MPL 1.1", "MPL-1.1"),
+    "MPL-2.0": ("Mozilla Public License, v. 2.0", "Mozilla Public License, version 2.0", "Mozilla Public License 2.0", "MPL 2.0",
+                "MPL-2.0"),
+}
+_SAID = ("Released under the {}", "Licensed under the {}", "Distributed under the {}", "This work is licensed under the {}",
+         "This project is licensed under the {}", "This software is licensed under the {}", "Released under {}", "Licensed under {}")
+
 #: (spelling, its equivalent), applied in this order to text in lower case whose words are parted by one space.
 SPELLINGS: tuple[tuple[str, str], ...] = (
     ("licence", "license"), ("licencing", "licensing"), ("sub license", "sublicense"), ("merchantibility", "merchantability"),
@@ -123,6 +183,27 @@ LINE_ENDS = r" ?\n ?"
 # --- end of fixed values ---
 
 
+def _titled(texts: tuple[tuple[str, str], ...]) -> tuple[tuple[str, str], ...]:
+    """The texts as they are, and without a title and under each name of their license."""
+    out = dict.fromkeys(texts)
+    for k, text in texts:
+        bare = next((text.removeprefix(n + "\n\n") for n in NAMES.get(k, ()) if text.startswith(n + "\n\n")), text)
+        out |= dict.fromkeys([(k, bare), *((k, f"{the}{n}\n\n{bare}") for n in NAMES.get(k, ()) for the in ("", "The "))])
+    return tuple(out)
+
+
+def _said() -> tuple[tuple[str, str], ...]:
+    """Notice lines with the names of licenses; of a name that several have, the first's."""
+    lines = {say.format(n): k for k, names in reversed(NAMES.items()) for n in names if n != "BSD License" for say in _SAID}
+    gnu = {f"SPDX-License-Identifier: {k}{end}": k for k in NAMES for end in ("", "-only", "-or-later", "+") if not end or "GPL-" in k or "GFDL-" in k}
+    return tuple((k, line) for line, k in (lines | gnu).items())
+
+
+#: What ``scan`` knows.
+KNOWN_TEXTS = _titled(TEXTS + MORE_TEXTS)
+KNOWN_NOTICES = tuple(dict.fromkeys(NOTICES + _said()))
+
+
 def canonical_lines(text: Column) -> Column:
     """Canonical form of ``text`` with its lines kept apart."""
     x = F.lower(F.coalesce(text, F.lit("")))
@@ -147,26 +228,32 @@ def _whole(lines: Column) -> Column:
     return one_spelling(F.trim(F.regexp_replace(lines, r"\n+", " ")))
 
 
+def _table(spark: SparkSession, pairs: Iterable[tuple[str, str]]) -> DataFrame:
+    """(license, text) of the pairs, in one literal: thousands of them are slow to plan."""
+    rows = json.dumps([{"license": k, "text": t} for k, t in pairs])
+    return spark.range(1).select(F.inline(F.from_json(F.lit(rows), "array<struct<license: string, text: string>>")))
+
+
 def _known(spark: SparkSession, pairs: tuple[tuple[str, str], ...]) -> DataFrame:
     """(license, form) of the given texts, made by the engine's own expressions."""
-    rows = F.array(*(F.struct(F.lit(k).alias("license"), F.lit(t).alias("text")) for k, t in pairs))
-    return spark.range(1).select(F.inline(rows)).select("license", canonical(F.col("text")).alias("form")).distinct()
+    return _table(spark, pairs).select("license", canonical(F.col("text")).alias("form")).distinct()
 
 
-def scan(docs: DataFrame, texts: tuple[tuple[str, str], ...] = TEXTS,
-         notices: tuple[tuple[str, str], ...] = NOTICES) -> DataFrame:
+def scan(docs: DataFrame, texts: tuple[tuple[str, str], ...] = KNOWN_TEXTS, notices: tuple[tuple[str, str], ...] = KNOWN_NOTICES,
+         digests: dict[str, tuple[str, ...]] = DIGESTS) -> DataFrame:
     """One row per document: doc_id, canonical_sha256, license (whole text; null: unknown), notices (sorted license ids
-    of its notice lines, joined by commas; empty: none).
+    of its notice lines, joined by commas; empty: none). ``digests`` are of canonical forms, beside those of ``texts``.
 
     Null texts count as empty and match nothing; repeated rows get a row each; extra columns are left behind. The known
     digests are a parameter, so their table is small whatever the corpus; it is the broadcast side.
     """
     spark = docs.sparkSession
-    known = (_known(spark, texts).where("form <> ''").groupBy(F.sha2("form", 256).alias("canonical_sha256"))
-             .agg(F.min("license").alias("license")))
+    known = _known(spark, texts).where("form <> ''").select("license", F.sha2("form", 256).alias("canonical_sha256"))
+    known = known.union(_table(spark, ((k, x) for k, d in digests.items() for x in d)))
+    known = known.groupBy("canonical_sha256").agg(F.min("license").alias("license"))
     # The notices are a parameter too: their few canonical forms become a literal map.
     forms = {r["form"]: r["license"] for r in _known(spark, notices).orderBy("license").collect()}
-    by_form = F.create_map(*(F.lit(x) for pair in forms.items() for x in pair)) if forms else F.expr("map('', '')")
+    by_form = F.str_to_map(F.lit("\x01".join(f"{f}\x02{k}" for f, k in forms.items())), F.lit("\x01"), F.lit("\x02"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), canonical_lines(F.col("text").cast("string")).alias("x"))
     lines = F.transform(F.split("x", "\n"), lambda s: one_spelling(F.trim(s)))
     named = F.transform(F.array_intersect(lines, F.map_keys(by_form)), lambda s: by_form[s])
@@ -178,7 +265,7 @@ def scan(docs: DataFrame, texts: tuple[tuple[str, str], ...] = TEXTS,
 
 
 def sql() -> str:
-    """The DuckDB twin of ``scan``; of the copyright lines it drops only those of COPYRIGHT_LINE."""
+    """The DuckDB twin of ``scan`` with TEXTS and NOTICES alone; of the copyright lines it drops only those of COPYRIGHT_LINE."""
     q = lambda s: "'" + s.replace("'", "''") + "'"
 
     def lines(x: str) -> str:
