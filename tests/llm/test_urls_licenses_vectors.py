@@ -59,6 +59,24 @@ def test_verdicts(pages):
     assert len(got) == 17
 
 
+MARKUP = {
+    "https://s.org/a": '<link rel="canonical" ' + 'data-x="' + "y" * 900 + '" href="http://t.net/1">', "https://s.org/b": '<link rel=canonical href="/1?a=1&amp;b=2">',
+    "https://s.org/c": '<link rel="x canonical" href="//t.net/1">', "https://s.org/d/e": "<link href=../f rel=canonical>",
+    "https://s.org/g": '<base href="https://u.org/v/"><LINK REL=canonical data-q="a>b" HREF=w>',
+    "https://s.org/h": '<meta http-equiv="refresh" content="0; url=/i?x=1&#38;y=2">', "https://s.org/j": """<meta content='3;URL="k"' http-equiv=Refresh>""",
+    "https://s.org/l": '<meta http-equiv="refresh" content="30">', "https://s.org/m": '<link rel="canonical-x" href="http://t.net/2">',
+    "https://s.org/n": '<link rel="canonical" href="mailto:x@y">', "https://s.org/o": '<link rel="canonical" title="href=/no" href="/yes">',
+    "https://s.org/p": "<link " + "x='1' " * 5000 + 'rel="canonical" href="http://t.net/3">',
+}
+
+
+def test_targets_in_mark_up(spark):
+    pages = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(MARKUP.items())], "page_id long, url string, html string")
+    assert {(r.src.removeprefix("https://s.org/"), r.dst) for r in url_filter.page_edges(pages).collect()} == {
+        ("a", "http://t.net/1"), ("b", "https://s.org/1?a=1&b=2"), ("c", "https://t.net/1"), ("d/e", "https://s.org/f"), ("g", "https://u.org/v/w"),
+        ("h", "https://s.org/i?x=1&y=2"), ("j", "https://s.org/k"), ("o", "https://s.org/yes"), ("p", "http://t.net/3")}
+
+
 def test_redirect_log_and_empty_table(spark, pages):
     log = spark.createDataFrame([("http://o.org/z", "http://h.net/es/1?q"), (None, "x")], "src string, dst string")
     got = {r.page_id: r.verdict for r in url_filter.judge(pages, log).collect()}

@@ -7,6 +7,11 @@ connected components, and a block inside a component reaches all its members, un
 
 from __future__ import annotations
 
+import html
+import re
+from urllib.parse import urljoin
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,11 +24,16 @@ RULES: tuple[Rule, ...] = (("allow", "com", "/"), ("block", "example.com", "/en/
                            ("block", "net", "/es/"), ("block", "net", "/fr/"))
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Target of a canonical link, and of a refresh, in a page's mark-up; either order of the attributes.
+#: Patterns of the DuckDB twin: absolute targets of a canonical link, and of a refresh, near the attribute that tells it.
 CANONICAL = r"""(?i)<link\s[^>]{0,400}?rel\s*=\s*["']?canonical["']?[^>]{0,400}?href\s*=\s*["']([^"'>]+)"""
 CANONICAL_REV = r"""(?i)<link\s[^>]{0,400}?href\s*=\s*["']([^"'>]+)["'][^>]{0,400}?rel\s*=\s*["']?canonical"""
 REFRESH = r"""(?i)<meta\s[^>]{0,400}?http-equiv\s*=\s*["']?refresh["']?[^>]{0,400}?url\s*=\s*["']?([^"'>\s]+)"""
 
+#: A whole tag that may hold a target (a ``>`` inside quotes does not end it), one attribute, and the target of a refresh.
+TAG = r"""(?i)<(?:link|meta|base)(?=[\s/])(?:(?:[^>"']++|"[^"]*+"|'[^']*+'){0,300}+>|[^>]*+>)"""
+ATTRIBUTE = r"""([^\s"'>/=]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+DELAYED = r"""(?is)^\s*[0-9.]*\s*(?:[;,]|\s)?\s*(?:url\s*=\s*["']?|(?<=[;,\s])["']?(?=[^\s"'=;,]))([^"']+)"""
+
 
 def host_path(url: Column) -> tuple[Column, Column]:
     """Host (A-Z lowered) and path of a url; both empty for null and where there is no ``://``."""
@@ -57,15 +67,46 @@ def matched(urls: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
             .select("url", "best.rule", "best.verdict"))
 
 
+def _attribute(tag: Column, name: str) -> Column:
+    """Value of the first attribute of that name, without quotes; null where there is none."""
+    names = F.transform(F.regexp_extract_all(tag, F.lit(ATTRIBUTE), F.lit(1)), F.lower)
+    value = F.get(F.regexp_extract_all(tag, F.lit(ATTRIBUTE), F.lit(2)), (F.array_position(names, name) - 1).cast("int"))
+    return F.trim(F.regexp_replace(value, r"""^["']|["']$""", ""))
+
+
+def _absolute(page: str, base: str | None, target: str) -> str | None:
+    """The target as a browser on that page resolves it: entities decoded, joined to the base, absolute ones as they are."""
+    target = html.unescape(target).strip()
+    if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", target):
+        return target
+    try:
+        return urljoin(urljoin(page, html.unescape(base).strip()) if base else page, target) if target else None
+    except ValueError:
+        return None
+
+
 def page_edges(pages: DataFrame) -> DataFrame:
     """(src, dst) alias edges of pages: canonical links and refreshes in the mark-up, and the url without its fragment.
 
-    Only absolute targets count; a page without such an edge gives none.
+    Attributes may stand in any order, quoted or not; relative targets are resolved. A page without such an edge gives none.
     """
-    found = F.array(*(F.regexp_extract(F.coalesce("html", F.lit("")), p, 1) for p in (CANONICAL, CANONICAL_REV, REFRESH)),
-                    F.substring_index("url", "#", 1))
-    return (pages.select("url", F.explode(found).alias("dst"))
-            .where("url is not null and dst like '%://%' and dst <> url").select(F.col("url").alias("src"), "dst").distinct())
+    tags = F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(TAG), F.lit(0))
+    tagged = pages.where("url is not null").select("url", tags.alias("tags")).where(F.size("tags") > 0)
+    base = F.get(F.filter(F.transform("tags", lambda t: F.when(t.rlike("(?i)^<base"), _attribute(t, "href"))), F.isnotnull), F.lit(0))
+    tag = F.col("tag")
+    linked = F.when(tag.rlike("(?i)^<link") & F.array_contains(F.split(F.lower(_attribute(tag, "rel")), r"\s+"), "canonical"), _attribute(tag, "href"))
+    sent = F.when(tag.rlike("(?i)^<meta") & (F.lower(_attribute(tag, "http-equiv")) == "refresh"),
+                  F.regexp_extract(_attribute(tag, "content"), DELAYED, 1))
+    targets = (tagged.select("url", base.alias("base"), F.explode("tags").alias("tag"))
+               .select("url", "base", F.coalesce(linked, sent).alias("target")).where("target <> ''").distinct())
+
+    @F.pandas_udf("string")
+    def absolute(page: pd.Series, base: pd.Series, target: pd.Series) -> pd.Series:
+        return pd.Series([_absolute(*x) for x in zip(page, base, target, strict=True)], dtype=object)
+
+    found = targets.select("url", absolute("url", "base", "target").alias("dst"))
+    found = found.union(pages.select("url", F.substring_index("url", "#", 1)))
+    return (found.where("url is not null and dst like '%://%' and dst <> url").select(F.col("url").alias("src"), "dst").distinct())
 
 
 def judge(pages: DataFrame, redirects: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
