@@ -11,7 +11,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, brown, exact_dedup, language_id, licenses, ngram_join, packing, prefix_forest, suffix_dedup, url_filter
+from tidemark.llm import (bpe, brown, exact_dedup, hard_negatives, language_id, licenses, ngram_join, packing, prefix_forest, suffix_dedup,
+                          url_filter)
 from tidemark.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,3 +116,25 @@ def op2_brown_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op7_prefix_forest")
 def op7_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_forest.search(read_table(spark, sf_dir, "embeddings"))
+
+
+@register("op11_hard_negatives", """
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS label,
+         [floor(256 * x::DOUBLE) FOR x IN embedding] AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+scored AS MATERIALIZED (
+  SELECT a.rid, a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same, list_dot_product(a.v, r.v)::BIGINT AS score
+  FROM kept a JOIN kept r ON a.rid <> r.rid WHERE a.vec_id % 100 = 0),
+positives AS (
+  SELECT rid, anchor_id, vec_id AS positive_id, score AS positive_score,
+         row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id) AS nth
+  FROM scored WHERE same QUALIFY nth <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY rid, nth ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives p JOIN scored USING (rid)
+WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score QUALIFY rank <= 5""")
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.col("label").cast("long").alias("label"))
+    turned = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", turned))
