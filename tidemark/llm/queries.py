@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import (bpe, brown, conversation_repair, exact_dedup, hard_negatives, language_id, licenses, ngram_join,
-                          packing, prefix_forest, suffix_dedup, url_filter)
+                          packing, prefix_forest, substring_rlz, suffix_dedup, url_filter)
 from tidemark.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -144,3 +144,18 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return conversation_repair.repair(conversation_repair.damage(rows))
+
+
+@register("op13_substring_dedup", r"""
+WITH words AS (SELECT doc_id, CASE WHEN text IS NULL THEN [] ELSE regexp_extract_all(text, '[^\x20\x09-\x0D]+') END AS w FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS t
+            FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM words)),
+again AS (SELECT doc_id, i FROM windows JOIN (SELECT t, min(doc_id) AS least FROM windows GROUP BY t) USING (t) WHERE doc_id > least),
+gone AS (SELECT DISTINCT doc_id, i + k AS i FROM again, range(13) r(k)),
+lists AS (SELECT doc_id, list(i) AS g FROM gone GROUP BY doc_id)
+SELECT words.doc_id, len(w)::BIGINT AS n_words, coalesce(len(g), 0)::BIGINT AS n_removed,
+       sha256(coalesce(array_to_string(CASE WHEN g IS NULL THEN w ELSE [x FOR x, j IN w IF NOT list_contains(g, j)] END, ' '), '')) AS kept_sha256
+FROM words LEFT JOIN lists USING (doc_id)""")
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = substring_rlz.remove_earlier(read_table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
