@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.session import checkpoint_dir
-from tidemark.sources.publish import (FOLDER, append_once, delete_path, leaf_folders, path_exists, publish, read_folders,
-                                      read_merged, same_values, touched_folders, with_folder)
+from tidemark.sources.publish import (FOLDER, append_once, as_spelled, delete_path, leaf_folders, path_exists, publish,
+                                      read_folders, read_merged, read_spelled, recover, same_values, staging, swap,
+                                      touched_folders, with_folder)
 
 SUPPORTED_FORMATS = ("parquet", "csv", "json", "orc", "text", "avro", "delta")
 
@@ -158,6 +159,8 @@ def append(df: DataFrame, path: str, partition_by: list[str] | None = None,
     write itself (no second pass over the source)."""
     from pyspark.sql import Observation
     obs = Observation()
+    if partition_by and path_exists(df.sparkSession, path):
+        df = as_spelled(df.sparkSession, path, df, partition_by)
     w = df.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode("append").options(**(options or {}))
     if partition_by:
         w = w.partitionBy(*partition_by)
@@ -177,8 +180,8 @@ def overwrite(df: DataFrame, path: str, partition_by: list[str] | None = None,
 
 def overwrite_partitions(df: DataFrame, path: str, partition_by: list[str],
                          options: dict | None = None) -> None:
-    """S-13: replace only the partitions present in ``df``."""
-    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").options(**(options or {}))
+    """S-13: replace only the partitions present in ``df``, whichever way their folders are spelled."""
+    (as_spelled(df.sparkSession, path, df, partition_by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").options(**(options or {}))
      .partitionBy(*partition_by).parquet(path))
 
 
@@ -226,13 +229,11 @@ def _check_columns(target: DataFrame, source: DataFrame) -> None:
         raise ValueError(f"source lacks the target's columns: {', '.join(missing)}")
 
 
-def _affected(spark: SparkSession, path: str, target: DataFrame, folders: list[str]) -> DataFrame:
-    """The rows of whole partitions, under the table's full schema."""
+def _affected(spark: SparkSession, path: str, target: DataFrame, folders: list[str], partition_by: list[str]) -> DataFrame:
+    """The rows of whole partitions, under the table's full schema, with their folders' spelling of the partition values."""
     if not folders:
         return target.limit(0)
-    rows = read_folders(spark, path, folders)
-    return rows.select(*[(F.col(c) if c in rows.columns else F.lit(None)).cast(target.schema[c].dataType).alias(c)
-                         for c in target.columns])
+    return read_spelled(spark, path, folders, partition_by, target.schema)
 
 
 def write_replace_where(spark: SparkSession, path: str, new: DataFrame, pred: Column,
@@ -243,6 +244,7 @@ def write_replace_where(spark: SparkSession, path: str, new: DataFrame, pred: Co
     their folders are called (NULL and zero-padded values included), and
     partitions left empty are deleted. New columns of ``new`` are added.
     Returns the rows of the rewritten partitions."""
+    recover(spark, path)
     target = read_merged(spark, path)
     _check_columns(target, new)
     rows = with_folder(target)
@@ -251,14 +253,15 @@ def write_replace_where(spark: SparkSession, path: str, new: DataFrame, pred: Co
            .union(rows.join(parts, same_values(rows, parts, partition_by), "left_semi").select(FOLDER)))
     folders = touched_folders(spark, path, hit)
     inside = F.coalesce(pred, F.lit(False))
-    kept = _affected(spark, path, target, folders).where(~inside)
+    kept = _affected(spark, path, target, folders, partition_by).where(~inside)
     checked = new.where(F.when(~inside, F.raise_error(F.lit("new data outside the replace predicate")))
                         .otherwise(F.lit(True)).cast("boolean"))
     return publish(spark, path, kept.unionByName(checked, allowMissingColumns=True), partition_by, folders)
 
 
 def write_upsert(spark: SparkSession, path: str, source: DataFrame, keys: list[str],
-                 partition_by: list[str], within_source_partitions: bool = False) -> int:
+                 partition_by: list[str], within_source_partitions: bool = False,
+                 version: list[str] | None = None) -> int:
     """J-02 persisted (copy-on-write MERGE): the partitions that hold a
     matching key or receive a source row are rewritten whole, in one write;
     a partition whose last row moved away is deleted. The touched partitions
@@ -271,20 +274,29 @@ def write_upsert(spark: SparkSession, path: str, source: DataFrame, keys: list[s
     lives outside the partition its source row names (e.g. an event stays
     on its day). Then the key scan of the whole target is skipped: only the
     source's partitions are looked up (partition columns and file names, no
-    data columns)."""
-    from tidemark.operators.merge import assert_unique_keys, upsert
+    data columns).
+
+    ``version``: columns that order the states of a key (the day of its
+    partition, a modification time). A source row whose version is older than
+    the target's row is left out, so deliveries may come in any order: what
+    decides is the target, not the order of the calls."""
+    from tidemark.operators.merge import assert_unique_keys, not_older, upsert
+    recover(spark, path)
     source = assert_unique_keys(source, keys, "upsert source")
     if not path_exists(spark, path):
         return publish(spark, path, source, partition_by, [])
     target = read_merged(spark, path)
     _check_columns(target, source)
+    if version:
+        with staged(not_older(source, target, keys, version)) as current:
+            return write_upsert(spark, path, current, keys, partition_by, within_source_partitions)
     rows = with_folder(target)
     parts = source.select(*partition_by).distinct()
     hit = rows.join(parts, same_values(rows, parts, partition_by), "left_semi").select(FOLDER)
     if not within_source_partitions:
         hit = hit.union(rows.join(source.select(*keys), keys, "left_semi").select(FOLDER))
     folders = touched_folders(spark, path, hit)
-    result = upsert(_affected(spark, path, target, folders), source, keys, check_unique=False)
+    result = upsert(_affected(spark, path, target, folders, partition_by), source, keys, check_unique=False)
     return publish(spark, path, result, partition_by, folders)
 
 
@@ -300,10 +312,13 @@ def create_backup(spark: SparkSession, source: DataFrame, pred: Column, base_pat
                   suffix: str | None = None) -> tuple[str, int]:
     """S-15: copy the rows matching ``pred`` to ``<base_path>_backup_<suffix>``
     (suffix default ``%Y%m%d_%H%M%S``); returns (path, rows counted on the
-    written copy)."""
+    written copy). A backup is never overwritten: an existing path is an
+    error."""
     suffix = suffix or dt.datetime.now(dt.timezone.utc).strftime("%Y%m%d_%H%M%S")
     bpath = f"{base_path.rstrip('/')}_backup_{suffix}"
-    source.where(F.coalesce(pred, F.lit(False))).write.mode("overwrite").parquet(bpath)
+    if path_exists(spark, bpath):
+        raise FileExistsError(f"there is a backup at {bpath} already")
+    source.where(F.coalesce(pred, F.lit(False))).write.mode("errorifexists").parquet(bpath)
     return bpath, spark.read.parquet(bpath).count()
 
 
@@ -356,30 +371,62 @@ def write_shards_jsonl(sharded: DataFrame, base: str, yearmonth: str, value_col:
                        shard_col: str = "shard") -> int:
     """S-18: request shards as JSON lines, ``<base>/<yearmonth>/shard_<name>.jsonl``, one file per shard: the files M-06 lists.
 
-    ``repartition`` by shard puts each shard's (bounded) records in one task;
-    the files are written beside the month's folder and then take their
-    names, one move each. Shards of an earlier run of the month are replaced.
+    ``repartition`` by shard puts each shard's (bounded) records in one task,
+    which writes the file under its own name and reports it; a repeated task
+    writes the same file again. The reports become the manifest of the files
+    written (:func:`written_shards`), and month and manifest are swapped in
+    with one move each, however many shards there are: until then the month's
+    earlier shards stay readable, and a storage error loses neither.
     Returns the number of files."""
+    from tidemark.sources.files import open_filesystem, store_settings
     spark = sharded.sparkSession
-    root = f"{base.rstrip('/')}/{yearmonth}"
-    tmp = f"{base.rstrip('/')}/_staged-{uuid.uuid4().hex}"
-    try:
-        (sharded.repartition(shard_col).select(shard_col, value_col).write.partitionBy(shard_col).text(tmp))
+    root = base.rstrip("/")
+    settings = store_settings(spark)
+    recover(spark, root)
+    with staging(spark, root) as stage:
         jvm = spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path
-        fs = path(tmp).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        fs.delete(path(root), True)
-        fs.mkdirs(path(root))
-        folders = leaf_folders(spark, tmp, 1)
-        for folder in folders:
-            files = [st.getPath() for st in fs.listStatus(path(f"{tmp}/{folder}")) if st.getPath().getName().startswith("part-")]
-            if len(files) != 1:
-                raise ValueError(f"{folder} has {len(files)} files")
-            if not fs.rename(files[0], path(f"{root}/shard_{folder.split('=', 1)[1]}.jsonl")):
-                raise OSError(f"could not move {folder}")
-        return len(folders)
-    finally:
-        delete_path(spark, tmp)
+        folder = jvm.org.apache.hadoop.fs.Path(f"{stage}/month")
+        fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs.mkdirs(folder)
+        where = fs.makeQualified(folder).toString()
+
+        def put(batches):
+            import pyarrow as pa
+            from pyspark import TaskContext
+            store, at = open_filesystem(where, settings)
+            attempt = TaskContext.get().taskAttemptId()
+            shard, records, size, out = None, 0, 0, None
+
+            def close():
+                out.close()
+                name = f"shard_{shard}.jsonl"
+                store.move(f"{at}/.{attempt}-{shard}", f"{at}/{name}")
+                return pa.RecordBatch.from_pydict({"shard": [shard], "file": [name], "records": [records], "bytes": [size]})
+            for batch in batches:
+                for s, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    if out is None or s != shard:
+                        if out is not None:
+                            yield close()
+                        shard, records, size = s, 0, 0
+                        out = store.open_output_stream(f"{at}/.{attempt}-{shard}")
+                    raw = ((line or "") + "\n").encode("utf-8", "surrogatepass")
+                    out.write(raw)
+                    records, size = records + 1, size + len(raw)
+            if out is not None:
+                yield close()
+        lines = sharded.select(F.col(shard_col).cast("string").alias("shard"), F.col(value_col).cast("string").alias("line"))
+        (lines.repartition("shard").sortWithinPartitions("shard")
+         .mapInArrow(put, "shard string, file string, records long, bytes long").write.parquet(f"{stage}/manifest"))
+        files = spark.read.parquet(f"{stage}/manifest").count()
+        manifest = f"_manifest-{yearmonth}"
+        swap(spark, root, stage, [p for p in (yearmonth, manifest) if path_exists(spark, f"{root}/{p}")],
+             [("month", yearmonth), ("manifest", manifest)])
+    return files
+
+
+def written_shards(spark: SparkSession, base: str, yearmonth: str) -> DataFrame:
+    """S-18, M-06: the shard files of a month as their tasks wrote them: shard, file, records, bytes."""
+    return spark.read.parquet(f"{base.rstrip('/')}/_manifest-{yearmonth}")
 
 
 def write_interchange(df: DataFrame, path: str, fmt: str) -> None:
@@ -419,6 +466,7 @@ def compact(spark: SparkSession, path: str, pred: Column, partition_by: list[str
     files it reads, aggregated on the executors): about
     ``target_file_bytes`` per file and at least one per partition, so a
     large day is never funnelled into one writer task."""
+    recover(spark, path)
     folders = touched_folders(spark, path, with_folder(read_merged(spark, path)).where(F.coalesce(pred, F.lit(False))))
     if not folders:
         return 0
@@ -426,5 +474,6 @@ def compact(spark: SparkSession, path: str, pred: Column, partition_by: list[str
     files = rows.select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_size").alias("s")).distinct()
     size = int(files.agg(F.coalesce(F.sum("s"), F.lit(0))).first()[0])
     n = max(len(folders), -(-size // int(target_file_bytes)))
-    clustered = rows.repartitionByRange(n, *partition_by, *keys).sortWithinPartitions(*partition_by, *keys)
+    whole = read_spelled(spark, path, folders, partition_by, rows.schema)
+    clustered = whole.repartitionByRange(n, *partition_by, *keys).sortWithinPartitions(*partition_by, *keys)
     return publish(spark, path, clustered, partition_by, folders, expect=rows.count())
