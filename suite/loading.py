@@ -134,6 +134,41 @@ def i05(spark, d):
     return _read(spark, target)
 
 
+def _days_apart(spark, d):
+    """The last three days re-delivered one by one: each day also holds the keys of the days before, with that day's stamp."""
+    path = scratch(spark, "days-apart")
+    ev = spark.read.parquet(_layout(spark, d, "events")).where("year = 2024 AND month = 1 AND day >= 28")
+    for day in (28, 29, 30):
+        (ev.where(F.col("day") <= day).select(*EV_COLS[:4], F.lit(float(day)).alias("value"), "props", "year", "month",
+                                              F.lit(day).alias("day")).write.mode("append").partitionBy(*DAY).parquet(path))
+    return path
+
+
+NEWEST_SQL = EV("SELECT event_id, CASE WHEN event_date >= DATE '2024-01-28' THEN 30.0 ELSE value END AS value, "
+                "CASE WHEN event_date >= DATE '2024-01-28' THEN 30 ELSE day END AS day FROM daily_events")
+
+
+@register("i03_days_newest_first", NEWEST_SQL)
+def i03_newest_first(spark, d):
+    """Days arrive newest first; the condition on the day keeps older ones from replacing newer rows."""
+    target = _copy_layout(spark, d, "events")
+    cfg = loader.TableLoad(source=_days_apart(spark, d), target=target, mode="upsert", merge_keys=["event_id"], version=DAY)
+    for day in (30, 28, 29):
+        assert loader.load_day(spark, [cfg], dt.date(2024, 1, day)).collect()[0]["status"] == "ok"
+    return spark.read.parquet(target).select("event_id", "value", "day")
+
+
+@register("i05_stream_newest_first", NEWEST_SQL)
+def i05_newest_first(spark, d):
+    """The same by a stream that sees each day in a run of its own, newest first."""
+    target, src, name = _copy_layout(spark, d, "events"), scratch(spark, "i05-arrivals"), f"i05-{uuid.uuid4().hex[:8]}"
+    days = spark.read.parquet(_days_apart(spark, d))
+    for day in (30, 28, 29):
+        days.where(F.col("day") == day).write.mode("append").partitionBy(*DAY).parquet(src)
+        stream_load(spark, src, EV_SCHEMA, target, mode="upsert", merge_keys=["event_id"], name=name, version=DAY)
+    return spark.read.parquet(target).select("event_id", "value", "day")
+
+
 # ------------------------------------------------------------------- S-*
 
 @register("s02_read_by_format", " UNION ALL ".join(
@@ -278,6 +313,15 @@ def s18(spark, d):
             .agg(F.count(F.lit(1)).alias("records"), F.countDistinct("f").alias("files")))
 
 
+@register("s18_shards_as_written", f"SELECT shard, 'shard_' || shard || '.jsonl' AS file, COUNT(*) AS records FROM ({M04_SQL}) GROUP BY shard")
+def s18_written(spark, d):
+    """The manifest that the writing tasks reported, after the month was written twice."""
+    path = scratch(spark, "s18-twice")
+    for rows in (sharded(spark, d).where("shard_bucket = 0"), sharded(spark, d)):
+        io.write_shards_jsonl(rows, path, MONTH)
+    return io.written_shards(spark, path, MONTH).select("shard", "file", "records")
+
+
 @register("s19_interchange", " UNION ALL ".join(
     f"SELECT '{f}' AS format, 'B_T-1,Customer-ID,Nhóm_B,Địa_Chỉ' AS columns, COUNT(*) AS rows, "
     f"CAST(SUM(c_custkey) AS BIGINT) AS id_sum FROM customer" for f in ("json", "csv")))

@@ -145,3 +145,22 @@ register("j16_change_feed", with_views(
     f"UNION ALL SELECT n.c_custkey, n.c_name, n.c_nationkey, n.c_acctbal, n.c_mktsegment, 'update_postimage' "
     f"FROM o JOIN n ON o.c_custkey = n.c_custkey WHERE o.h <> n.h", "customer_v2"))(
     lambda spark, d: mg.change_feed(read_table(spark, d, "customer"), customer_v2(spark, d), ["c_custkey"]))
+
+
+def _evolved(spark, d):
+    """Two versions of customer keyed by nation (repeated keys): the new one has lost a column and gained another."""
+    cols = ["c_nationkey", "c_custkey", "c_acctbal"]
+    old = read_table(spark, d, "customer").select(*cols, "c_mktsegment")
+    tier = F.when(F.col("c_custkey") % 10 == 0, "gold").alias("tier")
+    return old.where("c_custkey % 3 > 0"), customer_v2(spark, d).select(*cols, tier).where("c_custkey % 3 > 0")
+
+
+register("j16_evolved_and_repeated", with_views(
+    "WITH o AS (SELECT c_nationkey, c_custkey, c_acctbal, CAST(NULL AS VARCHAR) AS tier, c_mktsegment FROM customer WHERE c_custkey % 3 > 0), "
+    "n AS (SELECT c_nationkey, c_custkey, c_acctbal, CASE WHEN c_custkey % 10 = 0 THEN 'gold' END AS tier, CAST(NULL AS VARCHAR) AS "
+    "c_mktsegment FROM customer_v2 WHERE c_custkey % 3 > 0), "
+    "lost AS (SELECT * FROM o EXCEPT ALL SELECT * FROM n), gained AS (SELECT * FROM n EXCEPT ALL SELECT * FROM o) "
+    "SELECT *, CASE WHEN c_nationkey IN (SELECT c_nationkey FROM gained) THEN 'update_preimage' ELSE 'delete' END AS _change_type "
+    "FROM lost UNION ALL "
+    "SELECT *, CASE WHEN c_nationkey IN (SELECT c_nationkey FROM lost) THEN 'update_postimage' ELSE 'insert' END FROM gained",
+    "customer_v2"))(lambda spark, d: mg.change_feed(*_evolved(spark, d), ["c_nationkey"]))

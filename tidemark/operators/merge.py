@@ -16,10 +16,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.hashing import row_hash, row_hash64
+from tidemark.functions.hashing import row_hash
 
 
 def _key_cond(left: DataFrame, right: DataFrame, keys: list[str], null_safe: bool) -> Column:
@@ -51,6 +51,16 @@ def upsert(target: DataFrame, source: DataFrame, keys: list[str], check_unique:
     return kept.unionByName(src, allowMissingColumns=True)
 
 
+def not_older(source: DataFrame, target: DataFrame, keys: list[str], version: list[str]) -> DataFrame:
+    """J-02 with a condition: the rows of ``source`` that no row of ``target`` with the same key supersedes, by the columns
+    ``version`` in order (NULL is older than any value; equal versions let the source win, so a replay changes nothing)."""
+    seen = source.select(*keys, F.struct(*version).alias("__mine"))
+    states = [(F.col(c) if c in target.columns else F.lit(None)).cast(source.schema[c].dataType).alias(c) for c in version]
+    held = target.select(*keys, F.struct(*states).alias("__held"))
+    newer = held.join(seen, keys).where(F.col("__held") > F.col("__mine")).select(*keys).distinct()
+    return source.join(newer, keys, "left_anti").select(*source.columns)
+
+
 def delete_keys_not_in(target: DataFrame, keep: DataFrame, keys: list[str], in_scope: Column) -> DataFrame:
     """J-03: inside ``in_scope`` keep only rows whose key is in ``keep``;
     rows outside the scope stay. Null-safe on keys (no NOT IN null trap)."""
@@ -146,36 +156,40 @@ def lookup_join(facts: DataFrame, lookup: DataFrame, on: Column | list[str], how
 
 
 def change_feed(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """J-16: row-level changes from ``old`` to ``new``.
-
-    Output: the new table's columns plus ``_change_type`` in insert / delete
-    / update_preimage / update_postimage. Unchanged rows are omitted.
-
-    Plan: one read of each side and one exchange. Both sides, with a 64-bit
-    row fingerprint, are dealt out by key once; counts per (key, fingerprint)
-    and per key over that same dealing say which rows changed. No join, so a
-    repeated key never pairs its rows; keys are expected unique per side, as
-    for MERGE, and the rows of one that is not are compared as multisets.
+    """J-16: row-level changes from ``old`` to ``new``, as a multiset difference.
+
+    Output: the new table's columns, then those that only the old one has,
+    plus ``_change_type`` in insert / delete / update_preimage /
+    update_postimage. A column that one version lacks is NULL there, so an
+    added or dropped column shows as updates of the rows that hold a value in
+    it. Unchanged rows are omitted; of rows that are equal on both sides only
+    the surplus of one side is reported, as often as it is there.
+
+    Plan: both sides are unioned and counted per whole row (+1 new, -1 old),
+    by partial aggregation, so copies meet as one row per task and the rows
+    of a hot key are dealt over all tasks. Only the rows whose counts differ
+    go on; whether their key lost or gained rows is a second aggregate over
+    these, joined by key, where AQE splits a skewed key.
     """
-    values = [c for c in new.columns if c not in keys]
-    h = row_hash64(values).alias("__h")
-    sides = (old.select(*keys, *values, h, F.lit(1).alias("__o"), F.lit(0).alias("__n"))
-             .unionByName(new.select(*keys, *values, h, F.lit(0).alias("__o"), F.lit(1).alias("__n"))))
-    same, key = Window.partitionBy(*keys, "__h"), Window.partitionBy(*keys)
-    surplus = F.sum(F.col("__n") - F.col("__o")).over(same)
-    x = (sides.repartition(*[F.col(k) for k in keys]).withColumn("__d", surplus)
-         .withColumn("__has_old", F.max(F.col("__d") < 0).over(key))
-         .withColumn("__has_new", F.max(F.col("__d") > 0).over(key)))
-    kind = (F.when((F.col("__d") < 0) & (F.col("__o") == 1),
-                   F.when(F.col("__has_new"), F.lit("update_preimage")).otherwise(F.lit("delete")))
-            .when((F.col("__d") > 0) & (F.col("__n") == 1),
-                  F.when(F.col("__has_old"), F.lit("update_postimage")).otherwise(F.lit("insert"))))
-    return (x.withColumn("_change_type", kind).where(F.col("_change_type").isNotNull())
-            .select(*keys, *values, "_change_type"))
+    values = [c for c in new.columns if c not in keys] + [c for c in old.columns if c not in keys and c not in new.columns]
+
+    def side(df: DataFrame, other: DataFrame, n: int) -> DataFrame:
+        return df.select(*keys, *[F.col(c) if c in df.columns else F.lit(None).cast(other.schema[c].dataType).alias(c)
+                                  for c in values], F.lit(n).alias("__n"))
+    rows = (side(old, new, -1).unionByName(side(new, old, 1)).groupBy(*keys, *values).agg(F.sum("__n").alias("__n"))
+            .where("__n <> 0"))
+    of_key = (rows.groupBy(*keys).agg(F.max(F.col("__n") < 0).alias("__lost"), F.max(F.col("__n") > 0).alias("__gained"))
+              .select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], "__lost", "__gained"))
+    same = reduce(lambda a, b: a & b, [rows[k].eqNullSafe(of_key[f"__k{i}"]) for i, k in enumerate(keys)])
+    kind = (F.when(F.col("__n") < 0, F.when(F.col("__gained"), "update_preimage").otherwise("delete"))
+            .otherwise(F.when(F.col("__lost"), "update_postimage").otherwise("insert")))
+    return (rows.join(of_key, same)
+            .select(*keys, *values, kind.alias("_change_type"), F.explode(F.sequence(F.lit(1), F.abs("__n"))).alias("__copy"))
+            .drop("__copy"))
 
 
 def apply_change_feed(old: DataFrame, feed: DataFrame, keys: list[str]) -> DataFrame:
-    """Inverse of J-16: old + changes = new (used to prove the feed)."""
+    """Inverse of J-16 for unique keys: old + changes = new (used to prove the feed); added columns are NULL in unchanged rows."""
     post = feed.where(F.col("_change_type").isin("insert", "update_postimage")).drop("_change_type")
     gone = feed.where(F.col("_change_type").isin("delete", "update_preimage")).select(*keys)
-    return old.join(gone, keys, "left_anti").unionByName(post)
+    return old.join(gone, keys, "left_anti").unionByName(post, allowMissingColumns=True)

@@ -34,6 +34,7 @@ class TableLoad:
     partition_by: list[str] = field(default_factory=lambda: list(DAY_COLS))
     order_by: list[str] = field(default_factory=list)   # newest-first tie-break inside a key
     merge_within_partitions: bool = False                # keys never move between partitions
+    version: list[str] = field(default_factory=list)     # upsert only rows that are not older by these columns
     name: str | None = None
 
     @property
@@ -63,7 +64,8 @@ def _apply(spark: SparkSession, cfg: TableLoad, df: DataFrame, newest_first: boo
     # The upsert reads its source for the touched partitions, the key check
     # and the union: stage it once in the shared folder.
     with io.staged(src) as src:
-        io.write_upsert(spark, cfg.target, src, cfg.merge_keys, cfg.partition_by, cfg.merge_within_partitions)
+        io.write_upsert(spark, cfg.target, src, cfg.merge_keys, cfg.partition_by, cfg.merge_within_partitions,
+                        version=cfg.version or None)
         return src.count()
 
 

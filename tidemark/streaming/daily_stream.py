@@ -18,6 +18,7 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.repair import latest_per_key
@@ -27,10 +28,17 @@ from tidemark.sources import io
 
 def stream_load(spark: SparkSession, source: str, schema: T.StructType, target: str, mode: str = "append",
                 merge_keys: list[str] | None = None, order_by: list | None = None,
-                partition_by: list[str] | None = None, name: str = "daily", max_files: int | None = None):
+                partition_by: list[str] | None = None, name: str = "daily", max_files: int | None = None,
+                version: list[str] | None = None):
     """Start an availableNow stream from ``source`` into ``target`` and wait
     for it. ``schema`` must include the partition columns of the source
-    layout (e.g. year, month, day)."""
+    layout (e.g. year, month, day).
+
+    ``version`` (e.g. those columns) makes the upsert conditional: a row that
+    is older than the target's is left out, so days that arrive late, in
+    later micro-batches or runs, never replace newer ones. The state across
+    micro-batches is the target itself. Within a micro-batch the newest
+    version of a key wins, after ``order_by`` if that is given."""
     partition_by = partition_by or ["year", "month", "day"]
     ckpt = os.path.join(checkpoint_dir(spark), "streams", name)
     reader = spark.readStream.schema(schema).option("basePath", source)
@@ -42,8 +50,9 @@ def stream_load(spark: SparkSession, source: str, schema: T.StructType, target:
         if mode == "append":
             io.append_once(batch.sparkSession, batch, target, partition_by, f"{name}-{epoch_id:09d}")
         else:
-            src = latest_per_key(batch, merge_keys, order_by) if order_by else batch
-            io.write_upsert(batch.sparkSession, target, src, merge_keys, partition_by)
+            order = [*(order_by or []), *[F.col(c).desc() for c in version or []]]
+            src = latest_per_key(batch, merge_keys, order) if order else batch
+            io.write_upsert(batch.sparkSession, target, src, merge_keys, partition_by, version=version)
 
     q = (stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", ckpt)
          .trigger(availableNow=True).queryName(f"tidemark_{name}").start())
