@@ -201,6 +201,39 @@ def t11_hostile(spark, d):
             .agg(F.count(F.lit(1)).alias("record_count")))
 
 
+@register("t11_after_rewrites", f"SELECT report_date, COUNT(*) AS record_count, CAST(0 AS BIGINT) AS loaded_again FROM ({HOSTILE_SQL}) "
+          "GROUP BY 1")
+def t11_after_rewrites(spark, d):
+    """Folders keep their spelling through compaction, upsert and replacement, so no partition is loaded a second time."""
+    import datetime as dt
+    from suite.loading import scratch
+    from tidemark.plans import bronze
+    from tidemark.sources import io
+    src, target, store = write_hostile_source(spark, d), scratch(spark, "t11-rewrites"), scratch(spark, "t11-store")
+    load = lambda day: bronze.incremental_load(spark, src, PART, HOSTILE, target, dt.datetime(2024, 2, day), store=store)
+    load(1)
+    io.compact(spark, target, F.lit(True), [PART], ["id"])
+    again = load(2).count()
+    with io.staged(io.read_merged(spark, target).where("id % 10 = 0")) as some:
+        io.write_upsert(spark, target, some, ["id"], [PART])
+    again += load(3).count()
+    with io.staged(io.read_merged(spark, target).where(F.col(PART) == 7)) as month:
+        io.write_replace_where(spark, target, month, F.col(PART) == 7, [PART])
+    again += load(4).count()
+    rows = dr.read_file_group(spark, target, [target], PART)
+    return rows.groupBy(PART).agg(F.count(F.lit(1)).alias("record_count")).withColumn("loaded_again", F.lit(again).cast("long"))
+
+
+@register("t10_known_files", f"SELECT report_date, COUNT(*) AS record_count FROM ({HOSTILE_SQL}) GROUP BY 1")
+def t10_known_files(spark, d):
+    """A load whose file schemas all come from the store of an earlier run."""
+    from suite.loading import scratch
+    src, store = write_hostile_source(spark, d), scratch(spark, "t10-store")
+    dr.file_schemas(spark, src, PART, store=store)
+    return (dr.load_aligned(spark, src, PART, HOSTILE, store=store).groupBy(PART)
+            .agg(F.count(F.lit(1)).alias("record_count")))
+
+
 register("a21_rows_per_report_date",
          "SELECT CAST(year(o_orderdate) AS VARCHAR) AS report_date, COUNT(*) AS record_count FROM orders "
          "GROUP BY 1 ORDER BY 1")(lambda spark, d: rp.partition_counts(aligned(spark, d), PART))

@@ -117,3 +117,30 @@ def test_type_mapping_and_ddl():
                                     {"name": "id", "type": "int", "nullable": False}],
                               {"Địa_Chỉ": "Dia_Chi", "id": "id"})
     assert "`Dia_Chi` STRING COMMENT 'source type nvarchar'" in ddl and "`id` INT NOT NULL" in ddl
+
+
+def test_scans_are_given_folders_and_known_files_are_not_reopened(spark, tmp_path):
+    from pyspark.sql import functions as F
+    base, store = f"{tmp_path}/src", f"{tmp_path}/store"
+
+    def put(part, rows, schema, mode="append"):
+        spark.createDataFrame(rows, schema).withColumn("p", F.lit(part)).repartition(3).write.mode(mode).partitionBy("p").parquet(base)
+    for part in ("01", "02", "03"):
+        put(part, [(i, i) for i in range(9)], "id int, v int")
+    put("03", [(i, str(i)) for i in range(9)], "id int, v string")
+    put("04", [(i, str(i)) for i in range(9)], "id int, v string")
+    (tmp_path / "src/p=01/bad.parquet").write_text("no parquet")
+    schemas = dr.file_schemas(spark, base, "p", store=store)
+    groups = dr.schema_groups(schemas)
+    folders = sorted(x.rsplit("/", 1)[1] for g in groups for x in g if not x.endswith(".parquet"))
+    files = [x for g in groups for x in g if x.endswith(".parquet")]
+    assert folders == ["p=02", "p=04"] and len(groups) == 2 and {f.split("/")[-2] for f in files} == {"p=01", "p=03"}
+    got = dr.load_aligned(spark, base, "p", {"v": T.LongType()}, store=store)
+    assert got.count() == 45 and got.where("v is null").count() == 0
+    known = spark.read.parquet(store)
+    before = known.select("path").distinct().count()
+    put("05", [(1, 1)], "id int, v int")
+    again = dr.file_schemas(spark, base, "p", store=store)
+    assert again.select("path").distinct().count() == before + 1
+    rows = spark.read.parquet(store).groupBy("path", "column_name").count().where("count > 1")
+    assert rows.count() == 0  # no file was read a second time

@@ -15,8 +15,11 @@ Scale notes:
   task per batch of files; a cluster with 10^5 partitions does not loop on
   the driver.
 * The number of scans equals the number of distinct schemas, not the
-  number of partitions. The driver holds the list of file paths, as Spark's
-  own file index does; it grows with files, not rows.
+  number of partitions. A scan is given folders, not files: the driver
+  receives one row per (schema, folder), and file names only for folders
+  that hold several schemas or a file that cannot be read.
+* Schemas of files can be kept in a table (``store``), so that a run opens
+  the footers of new or changed files only.
 """
 
 from __future__ import annotations
@@ -29,6 +32,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.repair import stride_sample, union_by_name
+from tidemark.sources.files import open_filesystem, store_settings
+from tidemark.sources.publish import plain_partitions
 
 # Words read as booleans.
 TRUE_WORDS = ["true", "1", "yes", "y", "t"]
@@ -42,15 +47,16 @@ DEFAULT_TS_FORMAT = "yyyy-MM-dd HH:mm:ss"
 
 def list_partition_files(spark: SparkSession, base: str, partition_col: str,
                          glob: str = "*.parquet") -> DataFrame:
-    """(path, <partition_col>, partition_dir, length) for every data file
-    under ``base`` laid out as ``<partition_col>=<value>/``."""
+    """(path, <partition_col>, partition_dir, length, modified) for every data
+    file under ``base`` laid out as ``<partition_col>=<value>/``."""
     files = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
-             .option("recursiveFileLookup", "true").load(base).select("path", "length"))
+             .option("recursiveFileLookup", "true").load(base)
+             .select("path", "length", F.col("modificationTime").alias("modified")))
     pat = f"{re.escape(partition_col)}=([^/]+)"
     return files.select(
         "path", F.regexp_extract("path", pat, 1).alias(partition_col),
         F.regexp_extract("path", f"^(.*/{re.escape(partition_col)}=[^/]+)", 1).alias("partition_dir"),
-        "length").where(F.col(partition_col) != "")
+        "length", "modified").where(F.col(partition_col) != "")
 
 
 def partition_values(spark: SparkSession, base: str, partition_col: str) -> DataFrame:
@@ -60,33 +66,6 @@ def partition_values(spark: SparkSession, base: str, partition_col: str) -> Data
             .distinct().orderBy(partition_col))
 
 
-#: Hadoop settings of the object store that the footer readers on the executors need as well.
-_STORE_KEYS = ("fs.s3a.access.key", "fs.s3a.secret.key", "fs.s3a.session.token", "fs.s3a.endpoint", "fs.s3a.endpoint.region",
-               "fs.s3a.connection.ssl.enabled")
-
-
-def store_settings(spark: SparkSession) -> dict[str, str]:
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    return {k: v for k in _STORE_KEYS if (v := conf.get(k)) is not None}
-
-
-def open_filesystem(path: str, settings: dict[str, str]):
-    """(file system, path in it) of a Hadoop path: local files, ``s3``/``s3a``/``s3n`` with the session's own settings, and
-    what the Arrow library knows by its scheme."""
-    import pyarrow.fs as pafs
-    scheme, rest = re.match(r"^(?:([a-z0-9]+):)?(.*)$", path, re.S).groups()
-    if scheme in (None, "file"):
-        return pafs.LocalFileSystem(), re.sub(r"^/*", "/", rest)
-    if scheme in ("s3", "s3a", "s3n"):
-        get = settings.get
-        kw = {"access_key": get("fs.s3a.access.key"), "secret_key": get("fs.s3a.secret.key"),
-              "session_token": get("fs.s3a.session.token"), "region": get("fs.s3a.endpoint.region"),
-              "endpoint_override": get("fs.s3a.endpoint"),
-              "scheme": "http" if get("fs.s3a.connection.ssl.enabled") == "false" else "https"}
-        return pafs.S3FileSystem(**{k: v for k, v in kw.items() if v is not None}), rest.lstrip("/")
-    return pafs.FileSystem.from_uri(path)
-
-
 _SCHEMA_OUT = T.StructType([
     T.StructField("path", T.StringType()), T.StructField("column_name", T.StringType()),
     T.StructField("data_type", T.StringType()), T.StructField("nullable", T.BooleanType()),
@@ -123,23 +102,35 @@ def _read_footers(batches, settings):
 
 
 def file_schemas(spark: SparkSession, base: str, partition_col: str, sample_size: int | None = None,
-                 only_partitions: DataFrame | None = None) -> DataFrame:
+                 only_partitions: DataFrame | None = None, store: str | None = None) -> DataFrame:
     """(partition, partition_dir, path, column_name, data_type, nullable, error) per file, from footers read on the executors.
 
     ``sample_size`` keeps every k-th partition (L-04; first and last always
     kept), ``only_partitions`` the named ones; footers of other partitions
-    are not opened."""
+    are not opened. ``store`` names a table of known files: only files that it
+    lacks, by path, length and time of change, are opened, and added to it."""
     files = list_partition_files(spark, base, partition_col)
     if sample_size:
         files = files.join(stride_sample(files, partition_col, sample_size), partition_col, "left_semi")
     if only_partitions is not None:
         files = files.join(only_partitions.select(F.col(partition_col).cast("string").alias(partition_col)),
                            partition_col, "left_semi")
-    cols = files.select("path", partition_col, "partition_dir")
     settings = store_settings(spark)
-    schemas = cols.select("path").mapInPandas(lambda batches: _read_footers(batches, settings), _SCHEMA_OUT)
-    return schemas.join(cols, "path").select(partition_col, "partition_dir", "path", "column_name", "data_type", "nullable",
-                                             "error")
+
+    def footers(of: DataFrame) -> DataFrame:
+        return of.select("path").mapInPandas(lambda batches: _read_footers(batches, settings), _SCHEMA_OUT)
+    out = [partition_col, "partition_dir", "path", "column_name", "data_type", "nullable", "error"]
+    if store is None:
+        return footers(files).join(files, "path").select(*out)
+    from tidemark.sources import io
+    state = ["path", "length", "modified"]
+    todo = files
+    if io.path_exists(spark, store):
+        todo = files.join(spark.read.parquet(store).select(*state).distinct(), state, "left_anti")
+    with io.staged(footers(todo).join(files.select(*state), "path")) as fresh:
+        if not fresh.isEmpty():
+            io.append(fresh, store)
+    return spark.read.parquet(store).join(files, state).select(*out)
 
 
 def partition_schemas(spark: SparkSession, base: str, partition_col: str, sample_size: int | None = None) -> DataFrame:
@@ -260,26 +251,27 @@ def standardize(df: DataFrame, mapping: dict[str, T.DataType], formats: dict[str
 
 
 def read_file_group(spark: SparkSession, base: str, files: list[str], partition_col: str) -> DataFrame:
-    """T-07: one scan over files that share a schema; the partition column comes back from the paths as a string, spelled as
-    in the folder (``01`` stays ``01``)."""
-    key = "spark.sql.sources.partitionColumnTypeInference.enabled"
-    old = spark.conf.get(key)
-    spark.conf.set(key, "false")
-    try:
-        df = spark.read.option("basePath", base).parquet(*files)
-    finally:
-        spark.conf.set(key, old)
+    """T-07: one scan over files, or folders, that share a schema; the partition column comes back from the paths as a string,
+    spelled as in the folder (``01`` stays ``01``)."""
+    with plain_partitions(spark):
+        df = spark.read.option("basePath", base).option("pathGlobFilter", "*.parquet").parquet(*files)
     return df.withColumn(partition_col, F.col(partition_col).cast("string"))
 
 
 def schema_groups(schemas: DataFrame) -> list[list[str]]:
-    """Files grouped by identical schema, failed files left out. The signature is computed on the executors."""
-    sig = (schemas.where(F.col("error").isNull()).groupBy("path")
-           .agg(F.sha2(F.concat_ws(",", F.sort_array(F.collect_set(
-               F.concat_ws(":", "column_name", "data_type")))), 256).alias("sig")))
+    """What to scan for each schema: folders where all files have it, and single files of mixed folders; files that cannot be
+    read are left out. Signatures and groups are made on the executors; the driver receives a row per (signature, folder),
+    with file names only where the folder is mixed."""
+    per_file = (schemas.groupBy("path", "partition_dir")
+                .agg(F.max(F.col("error").isNotNull()).alias("bad"),
+                     F.sha2(F.concat_ws(",", F.sort_array(F.collect_set(
+                         F.concat_ws(":", "column_name", "data_type")))), 256).alias("sig")))
+    mixed = (per_file.groupBy("partition_dir").agg((F.max("bad") | (F.min("sig") != F.max("sig"))).alias("mixed")))
+    held = (per_file.join(mixed, "partition_dir").where(~F.col("bad")).groupBy("sig", "partition_dir")
+            .agg(F.collect_list(F.when(F.col("mixed"), F.col("path"))).alias("files")))
     groups: dict[str, list[str]] = {}
-    for r in sig.select("sig", "path").collect():
-        groups.setdefault(r["sig"], []).append(r["path"])
+    for r in held.collect():
+        groups.setdefault(r["sig"], []).extend(r["files"] or [r["partition_dir"]])
     return [sorted(v) for _, v in sorted(groups.items(), key=lambda kv: min(kv[1]))]
 
 
@@ -290,12 +282,12 @@ def failed_partitions(schemas: DataFrame, partition_col: str) -> DataFrame:
 
 def load_aligned(spark: SparkSession, base: str, partition_col: str, mapping: dict[str, T.DataType],
                  formats: dict[str, str] | None = None, only_partitions: DataFrame | None = None,
-                 flag_failures: bool = False, schemas: DataFrame | None = None) -> DataFrame:
+                 flag_failures: bool = False, schemas: DataFrame | None = None, store: str | None = None) -> DataFrame:
     """T-08: align and union all files -- one scan per distinct schema.
     ``schemas`` (:func:`file_schemas` output) may be passed when the caller
-    already has it."""
+    already has it; ``store`` keeps the schemas of known files."""
     if schemas is None:
-        schemas = file_schemas(spark, base, partition_col, only_partitions=only_partitions)
+        schemas = file_schemas(spark, base, partition_col, only_partitions=only_partitions, store=store)
     groups = schema_groups(schemas)
     if not groups:
         raise ValueError(f"no readable partitions under {base}")

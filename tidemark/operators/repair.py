@@ -132,14 +132,15 @@ def sample_rows(df: DataFrame, n: int, key: list[str], seed: str = "") -> DataFr
 
 
 def stride_sample(values: DataFrame, col: str, size: int) -> DataFrame:
-    """L-04: every k-th value in sorted order, k = max(1, n // size); the
-    first and the last value are always kept (D-23)."""
-    # The distinct values are a partition listing, which the driver holds
-    # anyway: one aggregation, then the choice among the sorted values.
-    rows = values.select(col).distinct().orderBy(col).collect()
-    k = max(1, len(rows) // max(1, size))
-    kept = [r for i, r in enumerate(rows) if i % k == 0 or i == len(rows) - 1]
-    return values.sparkSession.createDataFrame(kept, values.select(col).schema)
+    """L-04: every k-th distinct value in sorted order, k = max(1, n // size);
+    the first and the last value are always kept (D-23). The values are
+    numbered in ranges (:func:`with_row_index`, NULL first) and chosen by their
+    numbers in Spark; only their count reaches the driver, whatever column it
+    is."""
+    numbered = with_row_index(values.select(col).distinct(), [col], "__at")
+    n = numbered.count()
+    k = max(1, n // max(1, size))
+    return numbered.where((F.col("__at") % k == 0) | (F.col("__at") == n - 1)).select(col)
 
 
 def union_by_name(dfs: list[DataFrame]) -> DataFrame:

@@ -30,14 +30,15 @@ def add_load_metadata(df: DataFrame, as_of: dt.datetime, source: str, version: s
 
 def full_load(spark: SparkSession, source: str, partition_col: str, mapping: dict[str, T.DataType],
               target: str, as_of: dt.datetime, version: str = "1",
-              formats: dict[str, str] | None = None) -> dict:
+              formats: dict[str, str] | None = None, store: str | None = None) -> dict:
     """T-10: align every partition, validate, overwrite the target
     partitioned by ``partition_col``, verify from the written data.
+    ``store`` keeps the schemas of known files between runs.
 
     Returns ``{"summary", "validation", "partitions", "nulls"}`` DataFrames."""
     # footers are read once; the small (file, column, type) table is staged
     # and shared by the failure list, the drift report and the load
-    with io.staged(dr.file_schemas(spark, source, partition_col)) as schemas:
+    with io.staged(dr.file_schemas(spark, source, partition_col, store=store)) as schemas:
         failed = dr.failed_partitions(schemas, partition_col)
         failed = spark.createDataFrame(failed.collect(), failed.schema)   # one row per unreadable file
         report = dr.drift_report(schemas, partition_col)
@@ -57,7 +58,7 @@ def full_load(spark: SparkSession, source: str, partition_col: str, mapping: dic
 
 def incremental_load(spark: SparkSession, source: str, partition_col: str, mapping: dict[str, T.DataType],
                      target: str, as_of: dt.datetime, version: str = "1",
-                     formats: dict[str, str] | None = None) -> DataFrame:
+                     formats: dict[str, str] | None = None, store: str | None = None) -> DataFrame:
     """T-11: load only partitions not yet in the target, aligned, with
     metadata, appended. Loaded values come from the target's folder names, as
     the source's do (S-05), so ``01`` and ``1`` are told apart and compared as
@@ -68,7 +69,7 @@ def incremental_load(spark: SparkSession, source: str, partition_col: str, mappi
         todo = new_partitions(todo, dr.partition_values(spark, target, partition_col), partition_col)
     if todo.isEmpty():
         return spark.createDataFrame([], f"{partition_col} string, record_count long")
-    df = dr.load_aligned(spark, source, partition_col, mapping, formats, only_partitions=todo)
+    df = dr.load_aligned(spark, source, partition_col, mapping, formats, only_partitions=todo, store=store)
     with io.staged(add_load_metadata(df, as_of, source, version)) as staged:
         counts = partition_counts(staged, partition_col)
         counts = spark.createDataFrame(counts.collect(), counts.schema)   # one row per new partition
