@@ -47,8 +47,8 @@ def test_round_trip_of_odd_rows(odd, nothing):
 
 def test_ids_are_those_of_the_tokenizers_library():
     tok = Tokenizer.from_file(JSON)
-    tok.encode_special_tokens = True
     texts = random_texts(5000, 2)
+    texts += ["hello <|endoftext|> x", "<|endoftext|>", "a<|endoftext|><|endoftext|>  b", "<|endoftext", " <|endoftext|>\n\n y"]
     got = packing.token_encoder(JSON)(texts)
     assert [x.tolist() for x in got] == [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
     other = P.path("word_bpe_49k.json")  # not a ranked byte-level file: run by the library
