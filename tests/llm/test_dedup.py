@@ -200,3 +200,30 @@ def test_passages_of_odd_rows(odd, nothing):
     assert sorted((r.n_bytes, r.n_removed, r.n_spans) for r in short) == sorted(w[:3] for w in want)
     assert all(r.n_removed == r.n_bytes for r in got if r.doc_id in (5, 6))
     assert suffix_dedup.remove_repeats(nothing).count() == 0
+
+
+def test_strings_with_equal_symbols_but_other_bytes_are_kept(spark):
+    """Two strings of 50 bytes whose 32-bit symbols are equal, between the same surroundings: no 200 bytes are in common."""
+    import numpy as np
+    from tidemark.llm import suffix_dedup as sd
+    rng = np.random.default_rng(3)
+    inner = rng.integers(97, 123, (1 << 18, 10), dtype=np.uint8)
+    left, right = b"l" * 20, b"r" * 20
+    whole = np.concatenate([np.tile(np.frombuffer(left, np.uint8), (len(inner), 1)), inner,
+                            np.tile(np.frombuffer(right, np.uint8), (len(inner), 1))], 1)
+    symbol = (sd._mix(sd.gram_hashes(whole.ravel(), 50)[::50]) >> np.uint64(32))
+    order = np.argsort(symbol, kind="stable")
+    twin = next(i for i in np.flatnonzero(symbol[order][1:] == symbol[order][:-1])
+                if (whole[order[i]] != whole[order[i + 1]]).any())
+    a, b = whole[order[twin]].tobytes(), whole[order[twin + 1]].tobytes()
+    assert a != b
+    near = np.random.default_rng(4).integers(65, 91, 260, dtype=np.uint8).tobytes()
+    texts = [near[:130] + x + near[130:] for x in (a, b)]
+    segments, windows = [*texts, texts[0]], np.array([len(texts[0]) - 199] * 3)
+    got = sd.repeated_windows(segments[:2], windows[:2])
+    common = {texts[0][i:i + 200] for i in range(windows[0])} & {texts[1][i:i + 200] for i in range(windows[0])}
+    assert not common and not any(h.any() for h in got)
+    got = sd.repeated_windows(segments, windows)
+    assert got[0].all() and got[2].all() and not got[1].any()
+    docs = make_docs(spark, [(i, t.decode(), "en") for i, t in enumerate(texts)])
+    assert [r.n_removed for r in sd.remove_repeats(docs).collect()] == [0, 0]

@@ -3,8 +3,8 @@
 A string of ``LENGTH`` bytes is read as ``LENGTH / STEP`` symbols, each the hash of ``STEP`` bytes. A shard's transform holds,
 level by level from the last symbol to the first, the symbols that precede its sorted suffixes. Shards are merged by refining
 an interleave: each round puts the merged suffixes in the order of the symbol before them, keeps ties in the order so far,
-and splits the blocks whose symbols differ. No suffix is sorted anew; after the last round a block is a set of equal strings
-(common prefix at least LENGTH), so a repeated interval.
+and splits the blocks whose symbols differ. No suffix is sorted anew; after the last round a block is a set of strings with
+equal symbols, and what is equal byte by byte in it (common prefix at least LENGTH) is a repeated interval.
 
 Only text that may repeat gets that far. Every window of LENGTH bytes has an anchor, its least hash of ``GRAM`` bytes; equal
 windows have equal anchors, so text whose anchor occurs once is unique. The windows of an anchor form a segment; segments
@@ -13,6 +13,7 @@ with equal bytes repeat in whole and travel once; the others meet by anchor.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,13 +23,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import bounded_batches, slices, stage, texts_of, tidy
-from tidemark.llm.rolling import BASE, byte_table, prefix_sums, range_hashes
+from tidemark.llm.rolling import BASE, byte_table
 
 LENGTH, STEP, GRAM = 200, 50, 25
 #: Bytes of text hashed at once; longer texts are taken in overlapping parts.
 PART = 1 << 19
 #: Bytes of segments merged at once; an anchor with more is dealt out window by window instead.
 GROUP_BYTES, SHARD_BYTES = 2 << 20, 1 << 19
+#: Strings compared byte by byte at once.
+CHECKED = 1 << 14
 #: Segments a task remembers having sent.
 SENT = 1 << 18
 
@@ -72,8 +75,8 @@ def _sliding_least(v: np.ndarray, width: int) -> np.ndarray:
 class Parts:
     """Bytes of many texts side by side, and the anchors of their windows.
 
-    ``doc``, ``lo`` (first window's place in its text), ``at`` (the same in ``raw``), ``windows``, ``fp`` (anchor) and ``seg``
-    (hash of the segment's bytes) have an entry per segment.
+    ``doc``, ``lo`` (first window's place in its text), ``at`` (the same in ``raw``), ``windows`` and ``fp`` (anchor) have an
+    entry per segment.
     """
 
     def __init__(self, texts: list[bytes], length: int = LENGTH, gram: int = GRAM):
@@ -88,7 +91,7 @@ class Parts:
         sizes = np.array([len(p) for p in pieces], np.int64)
         begin = np.cumsum(sizes) - sizes
         self.doc = self.lo = self.at = self.windows = np.zeros(0, np.int64)
-        self.fp = self.seg = np.zeros(0, np.uint64)
+        self.fp = np.zeros(0, np.uint64)
         out = []
         # parts are hashed together, at most so many bytes that a place fits the low bits
         first = 0
@@ -99,7 +102,7 @@ class Parts:
                                      np.array(base[first:last]), length, gram))
             first = last
         if out:
-            self.doc, self.lo, self.at, self.windows, self.fp, self.seg = (np.concatenate(c) for c in zip(*out, strict=True))
+            self.doc, self.lo, self.at, self.windows, self.fp = (np.concatenate(c) for c in zip(*out, strict=True))
 
     def _anchors(self, begin, sizes, doc, base, length, gram):
         off, end = int(begin[0]), int(begin[-1] + sizes[-1])
@@ -114,8 +117,7 @@ class Parts:
         new = np.append(True, (a[1:] != a[:-1]) | (p[1:] != p[:-1]))
         at = s[new]
         windows = np.diff(np.append(np.flatnonzero(new), len(s)))
-        seg = _mix(range_hashes(prefix_sums(raw), at, at + windows + length - 1) + windows.astype(np.uint64))
-        return doc[p[new]], at - (begin - off)[p[new]] + base[p[new]], at + off, windows, h[a[new]], seg
+        return doc[p[new]], at - (begin - off)[p[new]] + base[p[new]], at + off, windows, h[a[new]]
 
     def bytes_of(self, i: int, length: int = LENGTH) -> bytes:
         return self.raw[self.at[i]:self.at[i] + self.windows[i] + length - 1].tobytes()
@@ -158,6 +160,32 @@ def merge(shards: list[ShardBWT]) -> tuple[np.ndarray, np.ndarray]:
     return z, block
 
 
+def _same_bytes(raw: np.ndarray, at: np.ndarray, block: np.ndarray, many: np.ndarray, length: int) -> np.ndarray:
+    """Of the suffixes in blocks of several, those that really equal another one of their block in their first ``length`` bytes.
+
+    Symbols are hashes, so a block is compared byte by byte with its first suffix; a block in which that finds a difference,
+    which takes a collision, is split by its bytes.
+    """
+    i = np.flatnonzero(many)
+    if not len(i):
+        return many
+    starts = np.append(True, block[i][1:] != block[i][:-1])
+    head = np.maximum.accumulate(np.where(starts, np.arange(len(i)), 0))
+    view = np.lib.stride_tricks.sliding_window_view(raw, length)
+    differs = np.zeros(len(i), bool)
+    for a in range(0, len(i), CHECKED):
+        part = slice(a, a + CHECKED)
+        differs[part] = (view[at[i[part]]] != view[at[i[head[part]]]]).any(1)
+    out = many.copy()
+    for b in np.unique(block[i][differs]).tolist():
+        held = i[np.searchsorted(block[i], b):np.searchsorted(block[i], b, "right")]
+        kinds: dict[bytes, list[int]] = {}
+        for x in held.tolist():
+            kinds.setdefault(view[at[x]].tobytes(), []).append(x)
+        out[[x for same in kinds.values() if len(same) == 1 for x in same]] = False
+    return out
+
+
 def repeated_windows(segments: list[bytes], windows: np.ndarray, length: int = LENGTH, step: int = STEP) -> list[np.ndarray]:
     """For each segment, which of its windows equal a window of another place."""
     sizes = np.cumsum([len(s) for s in segments])
@@ -166,6 +194,16 @@ def repeated_windows(segments: list[bytes], windows: np.ndarray, length: int = L
     shards = [ShardBWT(segments[a:b], windows[a:b], length, step) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
     z, block = merge(shards)
     many = np.bincount(block)[block] > 1
+    at, first_byte = [], 0  # place of each merged suffix in the joined segments
+    for k, s in enumerate(shards):
+        held = segments[cuts[k]:cuts[k + 1]]
+        lengths = np.array([len(x) for x in held], np.int64)
+        begin = np.cumsum(lengths) - lengths + first_byte
+        at.append((s.place + begin[s.segment])[s.order])
+        first_byte += int(lengths.sum())
+    place = np.empty(len(z), np.int64)
+    place[np.argsort(z, kind="stable")] = np.concatenate(at)
+    many = _same_bytes(np.frombuffer(b"".join(segments), np.uint8), place, block, many, length)
     out: list[np.ndarray] = []
     for k, s in enumerate(shards):
         hit = np.zeros(len(s.order), bool)
@@ -220,10 +258,12 @@ def _segments(rows: DataFrame, length: int) -> DataFrame:
                 at = np.flatnonzero(np.isin(p.fp, wanted))
                 if len(sent) > SENT:
                     sent.clear()
-                fp, seg = p.fp[at].view(np.int64), p.seg[at].view(np.int64)
+                held = [p.bytes_of(i, length) for i in at.tolist()]
+                digests = b"".join(hashlib.blake2b(x, digest_size=8).digest() for x in held)
+                fp, seg = p.fp[at].view(np.int64), np.frombuffer(digests, np.int64)
                 raw: list[bytes | None] = []
-                for i, key in zip(at.tolist(), zip(fp.tolist(), seg.tolist(), strict=True), strict=True):
-                    raw.append(None if key in sent else p.bytes_of(i, length))
+                for x, key in zip(held, zip(fp.tolist(), seg.tolist(), strict=True), strict=True):
+                    raw.append(None if key in sent else x)
                     sent.add(key)
                 d = pa.array(p.doc[at])
                 yield pa.RecordBatch.from_arrays(
