@@ -53,7 +53,31 @@ def stage(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = os.path.join(checkpoint_dir(spark), "llm", f"{name}-{uuid.uuid4().hex}")
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    if _BLOCKS:
+        _BLOCKS[-1].append((path, out))
+    return out
+
+
+_BLOCKS: list[list[tuple[str, DataFrame]]] = []
+
+
+@contextlib.contextmanager
+def staged_only() -> Iterator[Callable[[DataFrame], None]]:
+    """Remove the tables that are staged inside the block, when it ends well, but for those given to the returned function."""
+    kept: list[DataFrame] = []
+    _BLOCKS.append([])
+    try:
+        yield kept.append
+    finally:
+        made = _BLOCKS.pop()
+    unstage(*(path for path, table in made if not any(table is k for k in kept)), spark=made[0][1].sparkSession if made else None)
+
+
+def unstage(*paths: str, spark: SparkSession | None) -> None:
+    for path in paths:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
