@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import exact_dedup, language_id, ngram_join, packing, suffix_dedup
-from tidemark.llm.common import one_of_each, read_table, stage
+from tidemark.llm.common import one_of_each, read_table, stage, staged_only
 
 PIECES, TOKENIZER = "piece_bpe_32k.model", "byte_bpe_50k.json"
 
@@ -34,14 +34,19 @@ def _back(rows: DataFrame, docs: DataFrame, names: list[str], **new: Column) ->
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; those without a letter (``und``) go."""
+    """Documents whose language can be told; those without a letter (``und``) go, and a null ``lang`` becomes the one told."""
     pieces = public_tokenizers.path(PIECES)
     rows, names = _aside(docs)
     model = language_id.fit(rows.where(language_id.fold(F.col("doc_id")) != 0), pieces)
     carried = [n for n, c in zip(names, docs.columns, strict=True) if c != "text"]
     told = language_id.predict(rows, model, pieces, keep=tuple(carried), with_text=True)
-    told = told.where(F.col("lang_pred") != language_id.UND) if model.langs else told.where(F.col("text").rlike(r"\p{L}"))
-    return _back(told, docs, names, text=F.col("text"))
+    if not model.langs:
+        return _back(told.where(F.col("text").rlike(r"\p{L}")), docs, names, text=F.col("text"))
+    new = {"text": F.col("text")}
+    if "lang" in docs.columns:
+        held = F.col(names[docs.columns.index("lang")])
+        new["lang"] = F.coalesce(held, F.col("lang_pred").try_cast(docs.schema["lang"].dataType))
+    return _back(told.where(F.col("lang_pred") != language_id.UND), docs, names, **new)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -87,8 +92,11 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written as a table in the shared folder and read again."""
+    """All stages over ``documents``, each written as a table in the shared folder and read again. What a stage has staged
+    itself is removed once its output is written; the outputs stay, as the result is read from the last of them."""
     docs = read_table(spark, sf_dir, "documents")
     for name, step in STAGES[:-1]:
-        docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}", codec="snappy")
+        with staged_only() as keep:
+            docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}", codec="snappy")
+            keep(docs)
     return STAGES[-1][1](spark, docs, sf_dir)
