@@ -63,6 +63,57 @@ def test_expected_counts_are_those_of_all_segmentations():
     assert np.allclose(got, want)
 
 
+def plain_log(place, p, word):
+    """Forward sums in logarithms, letter by letter."""
+    s = MARK + word
+    f = [np.zeros(p.shape[1])]
+    for j in range(1, len(s) + 1):
+        ways = []
+        for k in range(1, min(j, 20) + 1):
+            x = s[j - k:j]
+            if x in place:
+                ways.append(f[j - k] + np.log(p[place[x]]))
+            elif k == 1:
+                ways.append(f[j - k] + np.log(language_id.UNKNOWN))
+        f.append(np.logaddexp.reduce(ways, axis=0))
+    return f[-1]
+
+
+def test_long_words_are_scored_whole(monkeypatch):
+    pieces, p, seg = toy()
+    place = {x: i for i, x in enumerate(pieces)}
+    rng = random.Random(1)
+    words = ["".join(rng.choices("abc", k=k)) for k in (47, 48, 49, 50, 333, 5000)]
+    want = [plain_log(place, p, w) for w in words]
+    assert np.allclose(seg.log_probability(words), want, rtol=1e-9)
+    monkeypatch.setattr(language_id, "STRIDE", 7)
+    assert np.allclose(seg.log_probability(words), want, rtol=1e-9)
+
+
+def test_expected_counts_of_long_words_are_the_scaled_ones(monkeypatch):
+    _, _, seg = toy()
+    rng = random.Random(2)
+    words = ["".join(rng.choices("ab", k=k)) for k in (40, 40, 45, 48)]
+    counts = np.array([[1.0, 2.0], [0.0, 1.0], [3.0, 0.0], [1.0, 1.0]])
+    want = seg.expected(words, counts)
+    monkeypatch.setattr(language_id, "WORD_CHARS", 10)
+    assert np.allclose(seg.expected(words, counts), want)
+
+
+def test_all_pieces_are_used():
+    v = Vocabulary.load(PIECES)
+    assert max(map(len, v.pieces)) > 12
+    piece = next(x for x in v.pieces if len(x) == 13 and x[0] == MARK and x[1:].isalpha())
+    codes = np.array([[ord(c) for c in piece]], np.uint64)
+    assert v.pieces[v.places(codes)[0, 0, 12]] == piece
+
+
+def test_words_keep_their_marks():
+    assert language_id.words_of("हिन्दी भाषा") == ["हिन्दी", "भाषा"]
+    assert language_id.words_of("مُحَمَّد 12 e\u0301te\u0301!") == ["مُحَمَّد", "e\u0301te\u0301"]
+    assert language_id.words_of("\u0301 12") == []
+
+
 def test_language_id_on_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = language_id.fit(docs.where("crc32(cast(cast(doc_id as string) as binary)) % 5 != 0"), PIECES)

@@ -15,6 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,8 +24,11 @@ from tidemark.llm.common import bounded_batches, slices, texts_of, tidy
 #: Training documents of each language: about so many are drawn by a hash of the id (all, where there are fewer).
 SAMPLE_PER_LANGUAGE = 8192
 ROUNDS = 2
-#: Longer words are scored in parts of so many letters; pieces longer than MAX_PIECE are not used.
-WORD_CHARS, MAX_PIECE = 48, 12
+#: Longer words are rescaled at every letter, so that their sums stay in range; the fit leaves out words longer than FIT_CHARS,
+#: for its sums hold a number per letter and language. Scores take words of any length.
+WORD_CHARS, FIT_CHARS = 48, 1 << 16
+#: Letters of a long word whose pieces are looked up at once.
+STRIDE = 1 << 12
 #: Added to each expected count, in words of the pooled languages; probability of a letter outside the vocabulary.
 SMOOTH, UNKNOWN = 0.02, 1e-7
 #: Probabilities are scaled by this per letter, so that products of a word stay in range.
@@ -33,13 +37,18 @@ CACHED_WORDS = 200_000
 
 MARK = "▁"
 _WORD = re.compile(r"[^\W\d_]+")
+#: The same with combining marks, which belong to the letter before them.
+_MARKED, _MARKED_WORD = regex.compile(r"\p{M}"), regex.compile(r"(?:[^\W\d_\p{M}]\p{M}*+)+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 UND = "und"
 
 
 def words_of(text: str) -> list[str]:
-    """Runs of letters in lower case (numbers written by other than digits go along); none where there is no letter."""
-    return _WORD.findall(text.lower()) if any(map(str.isalpha, text)) else []
+    """Runs of letters in lower case, with their combining marks (numbers written by other than digits go along); none where
+    there is no letter."""
+    if not any(map(str.isalpha, text)):
+        return []
+    return (_MARKED_WORD if not text.isascii() and _MARKED.search(text) else _WORD).findall(text.lower())
 
 
 @dataclass
@@ -56,12 +65,12 @@ class Vocabulary:
         sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
         pieces = [sp.id_to_piece(i) for i in range(sp.get_piece_size())
                   if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))]
-        return cls.of([p for p in pieces if len(p) <= MAX_PIECE])
+        return cls.of(pieces)
 
     @classmethod
     def of(cls, pieces: list[str]) -> Vocabulary:
         tables = []
-        for k in range(1, MAX_PIECE + 1):
+        for k in range(1, max(map(len, pieces), default=0) + 1):
             at = np.array([i for i, p in enumerate(pieces) if len(p) == k], np.int64)
             h = np.zeros(len(at), np.uint64)
             codes = np.array([[ord(c) for c in pieces[i]] for i in at], np.uint64).reshape(len(at), k)
@@ -74,7 +83,7 @@ class Vocabulary:
     def places(self, codes: np.ndarray) -> np.ndarray:
         """For words as rows of code points: place of the piece [i, i + k) at (word, i, k - 1), or -1."""
         n, size = codes.shape
-        out = np.full((n, size, min(size, MAX_PIECE)), -1, np.int64)
+        out = np.full((n, size, min(size, len(self.tables))), -1, np.int64)
         h = np.zeros((n, size), np.uint64)
         for k in range(1, out.shape[2] + 1):
             m = size - k + 1
@@ -101,7 +110,8 @@ class Segmenter:
         sizes = np.array([len(w) + 1 for w in words])
         for size in np.unique(sizes):
             at = np.flatnonzero(sizes == size)
-            most = max(16, (1 << 13) // self.langs)  # words at once: the sums' memory must not grow with the languages
+            # words at once: the sums' memory must not grow with the languages, nor with the words' length but for one word
+            most = max(1, min(max(16, (1 << 13) // self.langs), (1 << 22) // (int(size) * self.langs)))
             for a in range(0, len(at), most):
                 part = at[a:a + most]
                 text = "".join(MARK + words[i] for i in part)
@@ -120,11 +130,47 @@ class Segmenter:
                     f[j] += f[j - k] * self.p[got]
         return f
 
+    def _forward_scaled(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Forward sums, each divided by itself, and the logarithms of these divisors: for words of any length."""
+        n, size, most = ids.shape
+        f, log = np.ones((size + 1, n, self.langs)), np.zeros((size + 1, n, self.langs))
+        window = np.ones((1, n, self.langs))  # the last sums, relative to the newest
+        for j in range(1, size + 1):
+            now = np.zeros((n, self.langs))
+            for k in range(1, min(j, most) + 1):
+                if (got := ids[:, j - k, k - 1]).max() >= 0:
+                    now += window[-k] * self.p[got]
+            log[j] = log[j - 1] + np.log(now)
+            window = np.concatenate([window[1 - most:] if most > 1 else window[:0], now[None]]) / now
+        return f, log
+
+    def _log_long(self, word: str) -> np.ndarray:
+        """Natural logarithm of a long word's probability, by language; memory does not grow with the word."""
+        codes = np.frombuffer((MARK + word).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        most = len(self.vocabulary.tables)
+        window, log = np.ones((1, self.langs)), np.zeros(self.langs)
+        for a in range(0, len(codes), STRIDE):
+            first = max(0, a - most + 1)  # pieces that end in this stride may begin before it
+            ids = self.vocabulary.places(codes[None, first:a + STRIDE])[0]
+            ids[:, 0][ids[:, 0] < 0] = len(self.p) - 2
+            for j in range(a + 1, min(a + STRIDE, len(codes)) + 1):
+                k = np.arange(1, min(j, ids.shape[1], len(window)) + 1)
+                got = ids[j - k - first, k - 1]
+                use = got >= 0
+                now = (window[-k[use]] * self.p[got[use]]).sum(0)
+                log += np.log(now)
+                window = np.concatenate([window[1 - most:], now[None]]) / now
+        return log - len(codes) * np.log(SCALE)
+
     def log_probability(self, words: list[str]) -> np.ndarray:
         """Natural logarithm of each word's probability, words by languages."""
         out = np.zeros((len(words), self.langs))
-        for at, ids in self._groups(words):
-            out[at] = np.log(self._forward(ids)[-1]) - ids.shape[1] * np.log(SCALE)
+        short = [i for i, w in enumerate(words) if len(w) <= WORD_CHARS]
+        for at, ids in self._groups([words[i] for i in short]):
+            out[np.array(short)[at]] = np.log(self._forward(ids)[-1]) - ids.shape[1] * np.log(SCALE)
+        for i, w in enumerate(words):
+            if len(w) > WORD_CHARS:
+                out[i] = self._log_long(w)
         return out
 
     def expected(self, words: list[str], counts: np.ndarray) -> np.ndarray:
@@ -132,14 +178,18 @@ class Segmenter:
         out = np.zeros((len(self.p), self.langs))
         for at, ids in self._groups(words):
             n, size, most = ids.shape
-            f, b = self._forward(ids), np.zeros((size + 1, n, self.langs))
-            b[size] = counts[at] / f[size]
+            long = size > WORD_CHARS + 1
+            f, log = self._forward_scaled(ids) if long else (self._forward(ids), None)
+            b = np.zeros((size + 1, n, self.langs))
+            b[size] = counts[at] if long else counts[at] / f[size]
             used, weight = [np.zeros(0, np.int64)], [np.zeros((0, self.langs))]
             for i in range(size - 1, -1, -1):
                 for k in range(1, min(size - i, most) + 1):
                     got = ids[:, i, k - 1]
                     if (use := np.flatnonzero(got >= 0)).size:
                         flow = self.p[got[use]] * b[i + k][use]
+                        if long:  # both sums are relative to their own place
+                            flow *= np.exp(log[i][use] - log[i + k][use])
                         b[i][use] += flow
                         used.append(got[use])
                         weight.append(flow * f[i][use])
@@ -149,13 +199,6 @@ class Segmenter:
         return out[:len(self.vocabulary.pieces)]
 
 
-def _parts(words: list[str]) -> list[str]:
-    """Words, those of more than WORD_CHARS letters in parts."""
-    if all(len(w) <= WORD_CHARS for w in words):
-        return words
-    return [w[i:i + WORD_CHARS] for w in words for i in range(0, len(w), WORD_CHARS)]
-
-
 def fold(doc_id: Column, n: int = 5) -> Column:
     """crc32 of the id as text, modulo ``n``; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % n
@@ -170,7 +213,8 @@ class Model:
 def fit(docs: DataFrame, model_file: str, sample: int = SAMPLE_PER_LANGUAGE, rounds: int = ROUNDS) -> Model:
     """Fit piece probabilities on the labelled documents (columns doc_id, text, lang).
 
-    Rows without a language are left out. The model has one number per piece and language, whatever the corpus.
+    Rows without a language are left out; null and empty texts add nothing, repeated rows count as often as they are there, and
+    without any labelled row the model knows no language. The model has one number per piece and language, whatever the corpus.
     """
     bounded_batches(docs.sparkSession)
     rows = texts_of(docs, F.col("lang").cast("string").alias("lang")).where("lang is not null")
@@ -194,7 +238,7 @@ def fit(docs: DataFrame, model_file: str, sample: int = SAMPLE_PER_LANGUAGE, rou
                     known: dict[str, int] = {}
                     ids, langs_at = [], []
                     for text, g in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
-                        at = [known.setdefault(w, len(known)) for w in _parts(words_of(text))]
+                        at = [known.setdefault(w, len(known)) for w in words_of(text) if len(w) <= FIT_CHARS]
                         ids.append(np.array(at, np.int64))
                         langs_at.append(np.full(len(at), place[g]))
                     if known:
@@ -232,7 +276,7 @@ def predict(docs: DataFrame, model: Model, model_file: str, keep: tuple[str, ...
         table = np.zeros((0, len(langs)))
         for batch in batches:
             for part in slices(batch, "text"):
-                texts = [_parts(words_of(t)) for t in part.column(1).to_pylist()] if langs else [[]] * part.num_rows
+                texts = [words_of(t) for t in part.column(1).to_pylist()] if langs else [[]] * part.num_rows
                 if len(known) > CACHED_WORDS:
                     known, table = {}, table[:0]
                 places = [np.fromiter((known.setdefault(w, len(known)) for w in ws), np.int64, len(ws)) for ws in texts]
