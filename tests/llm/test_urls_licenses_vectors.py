@@ -67,6 +67,11 @@ MARKUP = {
     "https://s.org/l": '<meta http-equiv="refresh" content="30">', "https://s.org/m": '<link rel="canonical-x" href="http://t.net/2">',
     "https://s.org/n": '<link rel="canonical" href="mailto:x@y">', "https://s.org/o": '<link rel="canonical" title="href=/no" href="/yes">',
     "https://s.org/p": "<link " + "x='1' " * 5000 + 'rel="canonical" href="http://t.net/3">',
+    "https://s.org/q": "<link " + 'x="a>b" ' * 400 + 'rel="canonical" href="http://t.net/4">',
+    "https://s.org/r": '<!-- <link rel="canonical" href="http://t.net/5"> --><script>"<link rel=canonical href=http://t.net/6>"</script>',
+    "https://s.org/s": '<style>/* <link rel="canonical" href="/no"> */</style><!-- open <link rel="canonical" href="/no">',
+    "https://s.org/t": '<link rel="canonical" href="HTTP://T.Net/Path?Q">', "https://s.org/u": '<link rel="canonical" href="http://t.net/7"',
+    "https://s.org/v": '<link rel="canonical" href= "/w" / disabled><link rel=canonical href=/second rel=other>',
 }
 
 
@@ -74,7 +79,15 @@ def test_targets_in_mark_up(spark):
     pages = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(MARKUP.items())], "page_id long, url string, html string")
     assert {(r.src.removeprefix("https://s.org/"), r.dst) for r in url_filter.page_edges(pages).collect()} == {
         ("a", "http://t.net/1"), ("b", "https://s.org/1?a=1&b=2"), ("c", "https://t.net/1"), ("d/e", "https://s.org/f"), ("g", "https://u.org/v/w"),
-        ("h", "https://s.org/i?x=1&y=2"), ("j", "https://s.org/k"), ("o", "https://s.org/yes"), ("p", "http://t.net/3")}
+        ("h", "https://s.org/i?x=1&y=2"), ("j", "https://s.org/k"), ("o", "https://s.org/yes"), ("p", "http://t.net/3"),
+        ("q", "http://t.net/4"), ("t", "http://t.net/Path?Q"), ("v", "https://s.org/w"), ("v", "https://s.org/second")}
+
+
+def test_letter_case_of_scheme_and_host(spark):
+    pages = spark.createDataFrame([(1, "HTTP://O.Org/x", '<link rel="canonical" href="http://h.net/es/1">'), (2, "http://o.org/x", ""),
+                                   (3, "http://o.org/X", "")], "page_id long, url string, html string")
+    got = {r.page_id: (r.verdict, r.component) for r in url_filter.judge(pages).collect()}
+    assert got == {1: ("block", "http://h.net/es/1"), 2: ("block", "http://h.net/es/1"), 3: ("allow", None)}
 
 
 def test_redirect_log_and_empty_table(spark, pages):
