@@ -164,3 +164,24 @@ register("j16_evolved_and_repeated", with_views(
     "FROM lost UNION ALL "
     "SELECT *, CASE WHEN c_nationkey IN (SELECT c_nationkey FROM lost) THEN 'update_postimage' ELSE 'insert' END FROM gained",
     "customer_v2"))(lambda spark, d: mg.change_feed(*_evolved(spark, d), ["c_nationkey"]))
+
+
+def _two_runs(spark, d):
+    """A run over the earlier requests is recorded; a second one over today's finds what is unchanged and records the rest; a
+    third finds everything."""
+    import datetime as dt
+    from suite.loading import scratch
+    from tidemark.plans import reuse
+    store, cols = scratch(spark, "j13-store"), ["doc_id", *_FP]
+    reuse.record(spark, store, _previous_requests(spark, d).select(*cols), ["doc_id"], _FP, "run-1", dt.datetime(2024, 1, 1))
+    second = reuse.probe(spark, store, requests(spark, d).select(*cols), ["doc_id"], _FP)
+    todo = second.where("result_location is null").drop("result_location")
+    reuse.record(spark, store, todo, ["doc_id"], _FP, "run-2", dt.datetime(2024, 1, 2))
+    third = reuse.probe(spark, store, requests(spark, d).select(*cols), ["doc_id"], _FP)
+    return third.select("doc_id", F.col("result_location").alias("processed_by"))
+
+
+register("j13_store_two_runs", with_views(
+    f"WITH p AS ({_PREV_SQL}) SELECT r.doc_id, CASE WHEN EXISTS (SELECT 1 FROM p WHERE p.doc_id = r.doc_id AND "
+    f"{hash_sql(['p.' + c for c in _FP])} = {hash_sql(['r.' + c for c in _FP])}) THEN 'run-1' ELSE 'run-2' END AS processed_by "
+    "FROM requests r", "requests"))(_two_runs)

@@ -273,3 +273,19 @@ register("f16_token_estimate", with_views(
     "SELECT lang, COUNT(*) AS docs, CAST(SUM(est_tokens) AS BIGINT) AS tokens FROM requests GROUP BY lang",
     "requests"))(lambda spark, d: requests(spark, d).groupBy("lang").agg(
         F.count(F.lit(1)).alias("docs"), F.sum("est_tokens").cast("bigint").alias("tokens")))
+
+
+WAVE_LIMITS = {"token_in": 3 * TOKEN_BUDGET, "shard_bytes": 5 * BYTE_BUDGET // 2, "files": 5}
+
+
+def _limited_waves(spark, d):
+    shards = _manifest(spark, d).select("shard_id", "shard_bucket", "shard_seq", "token_in", "shard_bytes", F.lit(1).alias("files"))
+    return rq.assign_limited_waves(shards, ["shard_bucket", "shard_seq"], WAVE_LIMITS).select("shard_id", "wave")
+
+
+_FITS = " AND ".join(f"w.{a} + m.{a} <= {WAVE_LIMITS[a]}" for a in WAVE_LIMITS)
+register("m08_limited_waves", "WITH RECURSIVE m AS (SELECT shard_id, token_in, shard_bytes, 1 AS files, row_number() OVER (ORDER BY "
+         f"shard_bucket, shard_seq) AS i FROM ({M06_SQL})), w AS (SELECT i, shard_id, 0 AS wave, token_in, shard_bytes, files FROM m "
+         f"WHERE i = 1 UNION ALL SELECT m.i, m.shard_id, CASE WHEN {_FITS} THEN w.wave ELSE w.wave + 1 END, "
+         + ", ".join(f"CASE WHEN {_FITS} THEN w.{a} ELSE 0 END + m.{a}" for a in WAVE_LIMITS)
+         + " FROM w JOIN m ON m.i = w.i + 1) SELECT shard_id, CAST(wave AS INTEGER) AS wave FROM w")(_limited_waves)

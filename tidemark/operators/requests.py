@@ -224,6 +224,74 @@ def assign_waves(manifest: DataFrame, output_tokens_per_record: int, daily_quota
                     .cast("int").alias("wave")).withColumnRenamed("__tok", "shard_tokens")
 
 
+def assign_limited_waves(shards: DataFrame, order: list[str], limits: dict[str, float], name: str = "wave") -> DataFrame:
+    """M-08 under several limits: consecutive shards, in the unique ``order``, go into one wave as long as the wave's sum of
+    every column in ``limits`` (amounts of 0 or more, NULL counts as 0) stays within its limit; the next shard opens the next
+    wave. A column of ones limits the number of files or jobs. A shard that is over a limit by itself is an error.
+
+    No task sees all shards. Rows are numbered in ranges, and sums run per range from the ranges' totals. The wave that a shard
+    would open ends where the first of its limits is passed: for each limit that place is looked up by running sum, among the
+    rows in the same multiple of the limit, or else at the beginning of the next multiple that has rows. Which shards do open
+    waves follows from the first by doubling the jumps from wave to wave, a join per round and as many rounds as the number of
+    waves has bits; the waves' numbers come out of the same rounds.
+    """
+    from tidemark.operators.repair import with_row_index
+    from tidemark.sources.io import stage
+    cols = list(limits)
+    over = [F.when(F.coalesce(F.col(c), F.lit(0)) > limits[c], F.lit(c)) for c in cols]
+    message = F.concat(F.lit("a shard is over the limit of "), F.coalesce(*over))
+    checked = shards.where(F.when(F.coalesce(*over).isNotNull(), F.raise_error(message)).otherwise(F.lit(True)).cast("boolean"))
+    rows = with_row_index(checked, order, "__at").withColumn("__range", F.floor(F.col("__at") / WAVE_RANGE))
+    totals = rows.groupBy("__range").agg(*[F.sum(F.coalesce(F.col(c), F.lit(0))).alias(f"__t{i}") for i, c in enumerate(cols)])
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    totals = totals.select("__range", *[F.coalesce(F.sum(f"__t{i}").over(before), F.lit(0)).alias(f"__t{i}") for i in range(len(cols))])
+    upto = Window.partitionBy("__range").orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
+    rows = stage(rows.join(totals, "__range").select(
+        *shards.columns, "__at", *[(F.col(f"__t{i}") + F.sum(F.coalesce(F.col(c), F.lit(0))).over(upto)).alias(f"__s{i}")
+                                   for i, c in enumerate(cols)]))
+    ends = None  # (__at, __next): the first shard that a wave opened by __at cannot hold
+    for i, c in enumerate(cols):
+        limit = F.lit(limits[c])
+        own = F.col(f"__s{i}") - F.coalesce(F.col(c), F.lit(0))
+        held = rows.select("__at", F.col(f"__s{i}").alias("__v"), F.lit(0).alias("__asks"))
+        asked = rows.select("__at", (own + limit).alias("__v"), F.lit(1).alias("__asks"))
+        both = held.union(asked).withColumn("__cell", F.floor(F.col("__v") / limit))
+        # rows whose sum is over the asked value, from the highest down: those equal to it come after the question
+        above = Window.partitionBy("__cell").orderBy(F.col("__v").desc(), F.col("__asks").desc()).rowsBetween(
+            Window.unboundedPreceding, 0)
+        cells = held.withColumn("__cell", F.floor(F.col("__v") / limit)).groupBy("__cell").agg(F.min("__at").alias("__first"))
+        later = Window.orderBy("__cell").rowsBetween(1, Window.unboundedFollowing)  # a row per multiple of the limit
+        asks = (both.withColumn("__next", F.min(F.when(F.col("__asks") == 0, F.col("__at"))).over(above)).where("__asks = 1"))
+        every = (cells.unionByName(asks.select("__cell").distinct(), allowMissingColumns=True).groupBy("__cell")
+                 .agg(F.min("__first").alias("__first")).select("__cell", F.min("__first").over(later).alias("__after")))
+        found = (asks.join(every, "__cell")
+                 .select("__at", F.coalesce("__next", "__after").alias(f"__n{i}")))
+        ends = found if ends is None else ends.join(found, "__at")
+    nothing = F.lit(1 << 62)
+    jump = stage(ends.select("__at", F.least(*[F.coalesce(f"__n{i}", nothing) for i in range(len(cols))], nothing).alias("__to")))
+    opened = jump.where("__at = 0").select("__at", F.lit(0).cast("long").alias(name))
+    step = 1
+    while True:  # after k rounds: all openers up to 2**k waves on, and jumps of 2**k waves
+        more = (opened.join(jump, "__at").where(F.col("__to") < nothing)
+                .select(F.col("__to").alias("__at"), (F.col(name) + step).alias(name)))
+        if more.isEmpty():
+            break
+        opened = stage(opened.union(more))
+        far = jump.select(F.col("__at").alias("__to"), F.col("__to").alias("__far"))
+        jump = stage(jump.where(F.col("__to") < nothing).join(far, "__to").select("__at", F.col("__far").alias("__to")))
+        step *= 2
+    # shards of a range take the last wave opened at or before them: by range, then by the latest of the ranges before
+    marked = rows.join(opened, "__at", "left").withColumn("__range", F.floor(F.col("__at") / WAVE_RANGE))
+    last = marked.groupBy("__range").agg(F.max(name).alias("__last"))
+    last = last.select("__range", F.max("__last").over(before).alias("__last"))
+    return (marked.join(last, "__range")
+            .select(*shards.columns, F.coalesce(F.max(name).over(upto), F.col("__last")).cast("int").alias(name)))
+
+
+#: Shards whose sums run in one task.
+WAVE_RANGE = 10_000
+
+
 def validate_output(df: DataFrame, text_col: str, schema: T.StructType,
                     required: list[str] | None = None) -> DataFrame:
     """M-09 / F-15: parse model output as JSON of ``schema``; malformed text
