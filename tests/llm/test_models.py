@@ -164,12 +164,96 @@ def test_base_scores_and_counts(odd, monkeypatch, head):
     assert all(r.score < 0 for r in got)
 
 
+def class_of_words(fitted):
+    """Class of every training word: those of the head, and those of the table."""
+    model = fitted.model
+    found = {w: int(c) for w, c in zip(model.lexicon.words, model.classes, strict=False)}
+    return found | {bytes(r.word): r["class"] for r in fitted.words.collect()}
+
+
+def objective(pairs):
+    xlogx = lambda x: np.where(x > 0, x * np.log(np.maximum(x, 1e-300)), 0).sum()
+    return xlogx(pairs) - xlogx(pairs.sum(0)) - xlogx(pairs.sum(1))
+
+
+def class_pairs(texts, of, k):
+    pairs = np.zeros((k, k))
+    for words in texts:
+        for a, b in zip([b"", *words[:-1]], words, strict=True):
+            pairs[of[a], of[b]] += 1
+    return pairs
+
+
+def some_texts(n=60):
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(40)] + ["long" * 20]
+    weights = [1 / (1 + i) for i in range(41)]
+    texts = [" ".join(rng.choices(vocabulary, weights, k=rng.randint(0, 25))) for _ in range(n)]
+    return [*texts, "w0 w0 w0 w0", "w39 w39 w38 w38 w37", "unseen w1 never-seen never-seen w39 w40"]
+
+
+@pytest.mark.parametrize(("head", "single"), [(131_072, 16_384), (20, 6), (3, 6), (30, 2)])
+def test_scores_are_those_of_a_plain_class_bigram(spark, monkeypatch, head, single):
+    """Scores against plain loops that are given nothing but the class of each word."""
+    monkeypatch.setattr(brown, "HEAD", head)
+    monkeypatch.setattr(brown, "SINGLE", single)
+    k, texts = 5, some_texts()
+    docs = make_docs(spark, [(i, t, "en") for i, t in enumerate(texts)]).selectExpr("doc_id", "text", "doc_id % 7 = 3 or doc_id = 62 as held_out")
+    fitted = brown.fit(docs, classes=k, rounds=2)
+    of = class_of_words(fitted)
+    train = [tokens(t) for i, t in enumerate(texts) if i % 7 != 3 and i != 62]
+    count = collections.Counter(w for t in train for w in t)
+    assert set(of) >= set(count) and of[b""] == 0 and 0 not in {c for w, c in of.items() if w}
+    n, v = sum(count.values()), len(count)
+    pairs = class_pairs(train, of, k)
+    kinds = collections.Counter(of[w] for w in count)
+    group = lambda w: int(fitted.model.classes[len(fitted.model.lexicon.words) + brown.group_of(w)])
+    scale = n + 0.5 * (v + 1)
+
+    def log10(prior, word):
+        a, b = (of.get(w, None) if w in count else group(w) for w in (prior, word))
+        size = pairs[:, b].sum()
+        step = (pairs[a, b] + brown.PRIOR * (size + 0.5) / (n + 0.5 * k)) / (pairs[a].sum() + brown.PRIOR)
+        return math.log10((count[word] + 0.5) * (brown.WEIGHT * step / (size + 0.5 * (kinds[b] + 1)) + (1 - brown.WEIGHT) / scale))
+    got = {r.doc_id: r.score for r in brown.score(fitted).collect()}
+    for i, t in enumerate(texts):
+        words = tokens(t)
+        assert got[i] == pytest.approx(sum(log10(a, b) for a, b in zip([b"", *words[:-1]], words, strict=True)), abs=1e-9)
+
+
+def test_every_word_outside_the_sweeps_takes_its_best_class(spark, monkeypatch):
+    """Against the objective itself, computed anew for every class a word might take."""
+    monkeypatch.setattr(brown, "SINGLE", 6)
+    monkeypatch.setattr(brown, "HEAD", 20)
+    monkeypatch.setattr(brown, "CONTEXTS", 50)  # counts of a word come in many rows
+    k, texts = 5, some_texts()
+    train = [tokens(t) for t in texts]
+    docs = make_docs(spark, [(i, t, "en") for i, t in enumerate(texts)]).selectExpr("doc_id", "text", "false as held_out")
+    rng = np.random.default_rng(2)
+    place = np.append(0, rng.integers(1, k, brown.SINGLE + brown.GROUPS - 1))
+    count = collections.Counter(w for t in train for w in t)
+    common = sorted((w for w in count if w and len(w) <= 64), key=lambda w: (-count[w], w))[:20]
+    lexicon = brown.Lexicon([b"", *common], [count[b""], *(count[w] for w in common)])
+    shared = spark.sparkContext.broadcast(lexicon)
+    of = {w: int(place[brown.SINGLE + brown.group_of(w)]) for w in count}
+    of |= {w: int(place[i]) for i, w in enumerate(lexicon.words[:6])}
+    pairs = class_pairs(train, of, k)
+    got = {bytes(r.word): r for r in brown.own_classes(brown.encoded(docs, shared), shared, place, pairs).collect()}
+    assert set(got) == set(count) - set(lexicon.words[:6])
+    for w, r in got.items():
+        value = [objective(class_pairs(train, of | {w: c}, k)) for c in range(1, k)]
+        assert value[r["class"] - 1] == pytest.approx(max(value), abs=1e-7)
+        assert r.n == count[w] and r.place == lexicon.place.get(w, -1)
+
+
 def test_model_is_a_distribution(odd):
     """Over known words and one unknown word a class, the probabilities after any class add up to one."""
-    model, counts = brown.fit(odd, classes=6, rounds=2)
-    table = {bytes(r.word): r.n for r in counts.collect()}
-    unit = model.lexicon.units(list(table))[1]
-    c, n = model.classes[unit], np.array(list(table.values())) + 0.5
+    from pyspark.sql import functions as F
+    fitted = brown.fit(odd.withColumn("held_out", F.lit(False)), classes=6, rounds=2)
+    model = fitted.model
+    table = collections.Counter(w for _, t, _ in odd_rows() for w in tokens(t))
+    of = class_of_words(fitted)
+    c, n = np.array([of[w] for w in table]), np.array(list(table.values())) + 0.5
     words = (10 ** model.step[:, c] * n).sum(1)
     unknown = (10 ** model.step * 0.5).sum(1)  # one a class
     used = np.bincount(c, minlength=6) > 0
@@ -177,6 +261,24 @@ def test_model_is_a_distribution(odd):
     assert np.allclose((words + unknown - spare)[used], 1, atol=1e-9)
 
 
+def test_sweep_moves_a_unit_by_its_exact_gain():
+    """The first unit of a sweep, one that often follows itself, goes where the objective, computed anew, is best."""
+    text = np.array([0, 1, 1, 1, 2, 1, 1, 3, 2, 3, 1, 1, 2, 0] * 3)
+    place, k = np.array([0, 1, 2, 3]), 4
+    before, after, twice = np.zeros((4, k)), np.zeros((4, k)), np.zeros(4)
+    np.add.at(before, (text[1:], place[text[:-1]]), 1)
+    np.add.at(after, (text[:-1], place[text[1:]]), 1)
+    np.add.at(twice, text[1:][text[1:] == text[:-1]], 1)
+    assert before.sum(1).argmax() == 1
+    value = []
+    for c in range(1, k):
+        of = np.array([0, c, 2, 3])
+        pairs = np.zeros((k, k))
+        np.add.at(pairs, (of[text[:-1]], of[text[1:]]), 1)
+        value.append(objective(pairs))
+    assert brown.exchange(place, before, after, twice)[1] == 1 + np.argmax(value)
+
+
 def test_exchange_finds_alternating_classes(spark):
     rng = random.Random(1)
     a, b = [f"a{i}" for i in range(12)], [f"b{i}" for i in range(12)]

@@ -1,9 +1,11 @@
 """Brown class-based n-grams: exchange clustering of words, class transitions, word emissions.
 
-Every word has a class. Frequent words are clustered one by one, the others in groups by their last bytes, so the class table
-has a fixed size whatever the vocabulary. A round of the exchange counts, over all training text, the classes before and after
-each unit, and then moves units one after another to the class that gains most mutual information; counts of words are kept
-for the whole vocabulary as a table and joined to the words of each text that are not among the frequent ones.
+Every word has a class, found by exchange on its own contexts. The most frequent words are moved one after another, with
+the others in groups by their last bytes: a round counts, over all training text, the classes before and after each of these
+units, and moves each to the class that gains most mutual information. Then every other word of the vocabulary leaves its
+group: tasks count the classes before and after it, the counts meet by word in one shuffle, and each word moves to its best
+class against the same transitions, all at once, as distributed exchange clustering does. Counts and classes of words that are
+not among the frequent ones stay a table, joined to the words of each text.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from itertools import repeat
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,11 +27,12 @@ from tidemark.llm.common import bounded_batches, slices, stage, texts_of, tidy
 
 #: Words looked up inside a task, of at most HEAD_BYTES each, so the broadcast is at most HEAD * HEAD_BYTES bytes and counts.
 HEAD, HEAD_BYTES = 131_072, 64
-#: Units of the clustering: so many words, and so many groups of the other words by their last SUFFIX bytes.
+#: Units of the sweeps: so many words, and so many groups of the other words by their last SUFFIX bytes. A word unseen in
+#: training keeps the class of its group.
 SINGLE, GROUPS, SUFFIX = 16_384, 4_096, 3
 CLASSES, ROUNDS = 32, 4
-#: Distinct words after which a task hands its counts over.
-COUNTED = 1 << 19
+#: Distinct words, and contexts of words outside the sweeps, after which a task hands its counts over.
+COUNTED, CONTEXTS = 1 << 19, 1 << 21
 #: Weight of the unigram class distribution in transitions, in tokens; weight of the class model beside plain unigrams.
 PRIOR, WEIGHT = 20.0, 0.95
 #: Units per row of a task's context counts; such rows are added up in so many bins first, then over the bins.
@@ -71,32 +74,36 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 def most_frequent(counts: DataFrame, most: int) -> list:
     """About the ``most`` most frequent words, never more: those whose count reaches a level, chosen from the number of words
-    at each level (a table of at most 64 * 16 rows), so no more rows than that reach the driver from all tasks together."""
+    at each level (a table of at most 64 * 16 rows), and of the level below a share by hash, so about that many rows reach
+    the driver from all tasks together."""
     level = F.floor(F.log2(F.col("n").cast("double")) * 16).cast("int")
-    held, least = 0, None
+    held, wanted = 0, F.lit(False)
     for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("words")).orderBy(F.desc("level")).collect():
-        held += r["words"]
-        if held > most:
+        if held + r["words"] > most:
+            share = (most - held) / r["words"]
+            wanted |= (level == r["level"]) & (F.pmod(F.xxhash64("word"), F.lit(1 << 20)) < int(share * (1 << 20)))
             break
-        least = r["level"]
-    rows = counts.where(level >= least).collect() if least is not None else []
-    return sorted(rows, key=lambda r: (-r["n"], bytes(r["word"])))
+        held += r["words"]
+        wanted |= level == r["level"]
+    return sorted(counts.where(wanted).collect(), key=lambda r: (-r["n"], bytes(r["word"])))[:most]
 
 
 class Lexicon:
-    """Units of words: the most frequent SINGLE words, then the groups; the head's words also have a place."""
+    """Codes of words: the place of a word of the head, and after these the group of any other word. A code's unit is one of
+    the SINGLE first places, or a group."""
 
     def __init__(self, words: list[bytes], counts: list[int]):
+        self.words = words
         self.place = {w: i for i, w in enumerate(words)}
         self.counts = np.array(counts, np.float64)
-        self.unit = np.array([i if i < SINGLE else SINGLE + group_of(w) for i, w in enumerate(words)], np.int64)
+        self.unit = np.array([*(i if i < SINGLE else SINGLE + group_of(w) for i, w in enumerate(words)),
+                              *range(SINGLE, SINGLE + GROUPS)], np.int64)
         self._group: dict[bytes, int] = {}
 
-    def units(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place or -1, unit, tail positions) of each word."""
-        place = np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
-        tail = np.flatnonzero(place < 0)
-        unit = self.unit[place] if len(self.unit) else np.zeros(len(words), np.int64)
+    def codes(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(code of each word, positions of the words outside the head)."""
+        code = np.fromiter(map(self.place.get, words, repeat(-1)), np.int32, len(words))
+        tail = np.flatnonzero(code < 0)
         get, known = self._group.get, self._group
         for i in tail.tolist():
             s = words[i][-SUFFIX:]
@@ -104,8 +111,48 @@ class Lexicon:
                 g = zlib.crc32(s) % GROUPS
                 if len(known) < 1 << 17:
                     known[s] = g
-            unit[i] = SINGLE + g
-        return place, unit, tail
+            code[i] = len(self.words) + g
+        return code, tail
+
+
+_CODED = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("codes", pa.binary()),
+                    ("tail", pa.list_(pa.struct([("word", pa.binary()), ("at", pa.int32())])))])
+_CODED_DDL = "row long, doc_id long, held_out boolean, codes binary, tail array<struct<word: binary, at: int>>"
+
+
+def packed(values: np.ndarray, stop: np.ndarray) -> pa.Array:
+    """Runs of ``values`` that end at ``stop``, as a binary array."""
+    at = (np.append(0, stop) * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(stop), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def unpacked(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """(all values of a binary array, where its rows end)."""
+    rows = column.to_pylist()
+    size = np.dtype(kind).itemsize
+    return np.frombuffer(b"".join(rows), kind), np.cumsum(np.fromiter(map(len, rows), np.int64, len(rows)) // size)
+
+
+def encoded(docs: DataFrame, lexicon: Broadcast) -> DataFrame:
+    """Each document as the codes of its words, and its words outside the head with their positions."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            for part in slices(batch, "text"):
+                texts = [words_of(t) for t in part.column(1).to_pylist()]
+                words = [w for t in texts for w in t]
+                stop = np.cumsum([len(t) for t in texts])
+                code, tail = lexicon.value.codes(words)
+                doc = np.searchsorted(stop, tail, "right")
+                outside = pa.StructArray.from_arrays(
+                    [pa.array([words[i] for i in tail.tolist()], pa.binary()),
+                     pa.array((tail - np.append(0, stop)[doc]).astype(np.int32))], names=["word", "at"])
+                cut = np.searchsorted(doc, np.arange(len(texts) + 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(row + np.arange(len(texts))), part.column(0), part.column(2), packed(code, stop),
+                     pa.ListArray.from_arrays(pa.array(cut), outside)], schema=_CODED)
+                row += len(texts)
+    return stage(docs.select("doc_id", "text", "held_out").mapInArrow(tidy(run), _CODED_DDL), "coded")
 
 
 def _chunks(values: list[np.ndarray]) -> Iterator[dict]:
@@ -116,7 +163,7 @@ def _chunks(values: list[np.ndarray]) -> Iterator[dict]:
                    "counts": np.concatenate([p.ravel() for p in part]).astype(np.int32).tobytes()}
 
 
-def contexts(unit_rows: DataFrame, classes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def contexts(train: DataFrame, lexicon: Broadcast, classes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Over all training text: (units x classes before, units x classes after, followed by itself)."""
     n = len(classes)
     out = pa.schema([("chunk", pa.int64()), ("bin", pa.int64()), ("counts", pa.binary())])
@@ -124,12 +171,11 @@ def contexts(unit_rows: DataFrame, classes: np.ndarray, k: int) -> tuple[np.ndar
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before, after, twice = np.zeros((n, k), np.int64), np.zeros((n, k), np.int64), np.zeros((n, 1), np.int64)
         for batch in batches:
-            for raw in batch.column(0).to_pylist():
-                u = np.concatenate([[0], np.frombuffer(raw, np.uint16).astype(np.int64)])  # an end stands before
-                c = classes[u]
-                before += np.bincount(u[1:] * k + c[:-1], minlength=n * k).reshape(n, k)
-                after += np.bincount(u[:-1] * k + c[1:], minlength=n * k).reshape(n, k)
-                twice[:, 0] += np.bincount(u[1:][u[1:] == u[:-1]], minlength=n)
+            u = np.concatenate([[0], lexicon.value.unit[unpacked(batch.column(0), np.int32)[0]]])  # an end stands before
+            c = classes[u]
+            before += np.bincount(u[1:] * k + c[:-1], minlength=n * k).reshape(n, k)
+            after += np.bincount(u[:-1] * k + c[1:], minlength=n * k).reshape(n, k)
+            twice[:, 0] += np.bincount(u[1:][u[1:] == u[:-1]], minlength=n)
         rows = list(_chunks([before, after, twice]))
         yield pa.RecordBatch.from_pylist(rows, schema=out)
 
@@ -142,7 +188,7 @@ def contexts(unit_rows: DataFrame, classes: np.ndarray, k: int) -> tuple[np.ndar
             yield pd.DataFrame({"chunk": [int(key[0])], "counts": [sums.tobytes()]})
         return total
 
-    got = (unit_rows.mapInArrow(tidy(count), "chunk long, bin long, counts binary")
+    got = (train.select("codes").mapInArrow(tidy(count), "chunk long, bin long, counts binary")
            .groupBy("chunk", "bin").applyInPandas(add(np.int32), "chunk long, counts binary")
            .groupBy("chunk").applyInPandas(add(np.int64), "chunk long, counts binary").collect())
     before, after, twice = np.zeros((n, k)), np.zeros((n, k)), np.zeros(n)
@@ -172,127 +218,339 @@ def exchange(classes: np.ndarray, before: np.ndarray, after: np.ndarray, twice:
     for u in np.argsort(-total, kind="stable"):
         if u == 0 or not total[u]:
             continue
-        a, left, right, own = now[u], before[u], after[u], twice[u]
+        a, left, right, own = now[u], before[u].copy(), after[u].copy(), twice[u]
+        left[classes[u]] -= own  # where a unit follows itself, the class beside it moves with it
+        right[classes[u]] -= own
         pairs[:, a] -= left
         pairs[a, :] -= right
-        pairs[a, a] += own
-        row, col = pairs.sum(1), pairs.sum(0)
+        pairs[a, a] -= own
+        row, col = pairs.sum(1) + left, pairs.sum(0) + right
         base = _xlogx(pairs)
         gain = (_xlogx(pairs + right[None, :]) - base).sum(1) + (_xlogx(pairs + left[:, None]) - base).sum(0)
         same = pairs[diagonal, diagonal]
-        gain += (_xlogx(same + left + right - own) - _xlogx(same + left) - _xlogx(same + right) + _xlogx(same))
-        gain -= _xlogx(row + right.sum()) - _xlogx(row) + _xlogx(col + left.sum()) - _xlogx(col)
+        gain += (_xlogx(same + left + right + own) - _xlogx(same + left) - _xlogx(same + right) + _xlogx(same))
+        gain -= _xlogx(row + right.sum() + own) - _xlogx(row) + _xlogx(col + left.sum() + own) - _xlogx(col)
         gain[0] = -np.inf
         b = int(np.argmax(gain))
         pairs[:, b] += left
         pairs[b, :] += right
-        pairs[b, b] -= own
+        pairs[b, b] += own
         now[u] = b
     return now
 
 
+def best_classes(pairs: np.ndarray, now: np.ndarray, left: np.ndarray, right: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """The class that gains most for each of many words, each moved alone out of its class ``now``.
+
+    ``left`` and ``right`` are words x classes, ``own`` says how often a word follows itself. Only the cells of the
+    transitions that a word's contexts change are looked at. Of equal gains the least class wins.
+    """
+    n, k = left.shape
+    word = np.arange(n)
+    left, right = left.copy(), right.copy()
+    left[word, now] -= own
+    right[word, now] -= own
+    gain = np.zeros((n, k))
+    for side, other, cells in ((right, left, pairs.T), (left, right, pairs)):
+        w, j = np.nonzero(side)
+        if not len(w):
+            continue
+        count, mine = side[w, j], now[w]
+        base = cells[j].copy()
+        base[np.arange(len(w)), mine] -= count
+        inside = np.flatnonzero(j == mine)
+        base[inside] -= other[w[inside]]
+        base[inside, mine[inside]] -= own[w[inside]]
+        first = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
+        gain[w[first]] += np.add.reduceat(_xlogx(base + count[:, None]) - _xlogx(base), first, axis=0)
+    same = np.tile(np.diag(pairs), (n, 1))
+    same[word, now] -= left[word, now] + right[word, now] + own
+    gain += _xlogx(same + left + right + own[:, None]) - _xlogx(same + left) - _xlogx(same + right) + _xlogx(same)
+    for mass, whole in ((right.sum(1) + own, pairs.sum(1)), (left.sum(1) + own, pairs.sum(0))):
+        rest = np.tile(whole, (n, 1))
+        rest[word, now] -= mass
+        gain -= _xlogx(rest + mass[:, None]) - _xlogx(rest)
+    gain[:, 0] = -np.inf
+    return gain.argmax(1)
+
+
+_SEEN = pa.schema([("word", pa.binary()), ("place", pa.int32()), ("context", pa.binary()), ("times", pa.binary())])
+_OWN = pa.schema([("word", pa.binary()), ("place", pa.int32()), ("n", pa.int64()), ("class", pa.int32())])
+
+
+def own_classes(train: DataFrame, lexicon: Broadcast, classes: np.ndarray, pairs: np.ndarray) -> DataFrame:
+    """(word, place, n, class) of every training word that is no unit of its own, each by its own contexts.
+
+    A task sends a word's counts as one row for every CONTEXTS contexts it has read, so a frequent word arrives as few rows;
+    rows of a word are added up as they stream by in the order of words.
+    """
+    k = len(pairs)
+    wide = 2 * k + 1
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lex = lexicon.value
+        head = len(lex.words)
+        outside: dict[bytes, int] = {}
+        keys: list[np.ndarray] = []
+
+        def rows() -> pa.RecordBatch:
+            key, times = np.unique(np.concatenate(keys), return_counts=True)
+            word, context = key // wide, (key % wide).astype(np.uint16)
+            first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+            stop = np.append(first[1:], len(key))
+            names = list(outside)
+            which = word[first]
+            return pa.RecordBatch.from_arrays(
+                [pa.array([lex.words[w] if w < head else names[w - head] for w in which.tolist()], pa.binary()),
+                 pa.array(np.where(which < head, which, -1).astype(np.int32)), packed(context, stop),
+                 packed(times.astype(np.uint32), stop)], schema=_SEEN)
+
+        for batch in batches:
+            code, stop = unpacked(batch.column(0), np.int32)
+            word = code.astype(np.int64)
+            tail = batch.column(1)
+            flat = tail.flatten()
+            doc = np.repeat(np.arange(len(tail)), np.diff(tail.offsets.to_numpy()))
+            spot = np.append(0, stop)[doc] + flat.field("at").to_numpy()
+            word[spot] = [head + outside.setdefault(w, len(outside)) for w in flat.field("word").to_pylist()]
+            unit = lex.unit[code]
+            c = classes[unit]
+            pick = np.flatnonzero(unit >= SINGLE)  # never an end, so there is a word after it
+            prior = pick - 1
+            at = word[pick] * wide
+            before = np.where(pick > 0, c[prior], 0)
+            again = (pick > 0) & (word[prior] == word[pick])
+            keys += [at + before, at + k + c[pick + 1], at[again] + 2 * k]
+            if sum(map(len, keys)) > CONTEXTS:
+                yield rows()
+                keys.clear()
+                outside.clear()
+        if sum(map(len, keys)):
+            yield rows()
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def chosen(words: list[bytes], place: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+            now = classes[SINGLE + np.array([group_of(w) for w in words], np.int64)]
+            best = best_classes(pairs, now, sums[:, :k], sums[:, k:2 * k], sums[:, 2 * k])
+            return pa.RecordBatch.from_arrays(
+                [pa.array(words, pa.binary()), pa.array(place), pa.array(sums[:, :k].sum(1).astype(np.int64)),
+                 pa.array(best.astype(np.int32))], schema=_OWN)
+
+        words, place, sums = [], np.zeros(0, np.int32), np.zeros((0, wide))  # the last word, which may go on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names = words + batch.column(0).to_pylist()
+            new = np.array([True, *(x != y for x, y in zip(names, names[1:]))])
+            group = np.cumsum(new) - 1
+            context, stop = unpacked(batch.column(2), np.uint16)
+            times = unpacked(batch.column(3), np.uint32)[0]
+            cell = np.repeat(group[len(words):], np.diff(np.append(0, stop))) * wide + context
+            total = np.bincount(cell, times, minlength=(group[-1] + 1) * wide).reshape(-1, wide)
+            total[:len(sums)] += sums
+            place = np.append(place, batch.column(1).to_numpy())[new]
+            words = [names[i] for i in np.flatnonzero(new)]
+            if len(words) > 1:
+                yield chosen(words[:-1], place[:-1], total[:-1])
+            words, place, sums = words[-1:], place[-1:], total[-1:]
+        if words:
+            yield chosen(words, place, sums)
+    met = (train.select("codes", "tail").mapInArrow(tidy(seen), "word binary, place int, context binary, times binary")
+           .repartition(F.col("word")).sortWithinPartitions("word"))
+    return stage(met.mapInArrow(tidy(settle), "word binary, place int, n long, class int"), "word-classes")
+
+
 @dataclass
 class Model:
     lexicon: Lexicon
-    classes: np.ndarray   # class of each unit
+    classes: np.ndarray   # class of each code: words of the head, then groups, for words unseen in training
     step: np.ndarray      # log10 weight of a class after a class, apart from the word's own count
     tokens: int           # N
     scale: float          # N + (V + 1) / 2
 
 
-def fit(train: DataFrame, classes: int = CLASSES, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
-    """Cluster and count the training texts; the model and the staged (word, n) table of the whole vocabulary."""
-    bounded_batches(train.sparkSession)
-    texts = texts_of(train).select("text")
-    counts = stage(word_counts(texts), "word-counts")
+@dataclass
+class Fitted:
+    model: Model
+    words: DataFrame      # word, n, class of the training words outside the head
+    coded: DataFrame      # the documents as codes
+    tails: DataFrame      # per document with words outside the head: transitions into and out of these, their counts
+
+
+_TAIL = pa.schema([("row", pa.int64()), ("held_out", pa.bool_()), ("word", pa.binary()), ("at", pa.int32()),
+                   ("left", pa.int32()), ("right", pa.int32()), ("other", pa.int32())])
+_STEPS = pa.schema([("row", pa.int64()), ("held_out", pa.bool_()), ("into", pa.binary()), ("out", pa.binary()),
+                    ("known", pa.int64()), ("words", pa.float64())])
+
+
+def tail_steps(coded: DataFrame, words: DataFrame, head: int, classes: np.ndarray, k: int) -> DataFrame:
+    """The transitions beside words outside the head, per document, once these words have met their classes."""
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            code, stop = unpacked(batch.column(2), np.int32)
+            tail = batch.column(3)
+            flat = tail.flatten()
+            doc = np.repeat(np.arange(len(tail)), np.diff(tail.offsets.to_numpy()))
+            at = flat.field("at").to_numpy()
+            spot = np.append(0, stop)[doc] + at
+            c = np.where(code < head, classes[code], -1).astype(np.int32)
+            for a in range(0, len(doc), 1 << 16):
+                i = slice(a, a + (1 << 16))
+                of = pa.array(doc[i])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(of), batch.column(1).take(of), flat.field("word")[i], pa.array(at[i]),
+                     pa.array(np.where(at[i] > 0, c[spot[i] - 1], 0).astype(np.int32)), pa.array(c[spot[i] + 1]),
+                     pa.array(classes[code[spot[i]]].astype(np.int32))], schema=_TAIL)
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t = batch.column(2)
+            flat = t.flatten()
+            doc = np.repeat(np.arange(len(t)), np.diff(t.offsets.to_numpy()))
+            at, left, right, c, n = (flat.field(x).to_numpy() for x in ("at", "left", "right", "class", "n"))
+            order = np.lexsort((at, doc))
+            left, right, c, n = left[order], right[order], c[order], n[order]
+            prior = np.where(left >= 0, left, np.append(0, c[:-1]))  # else the word outside the head just before
+            leave = right >= 0
+            stop = np.cumsum(np.bincount(doc, minlength=len(t)))
+            first = np.append(0, stop[:-1])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), packed((prior * k + c).astype(np.uint16), stop),
+                 packed((c * k + right)[leave].astype(np.uint16), np.cumsum(np.add.reduceat(leave.astype(np.int64), first))),
+                 pa.array(np.add.reduceat((n > 0).astype(np.int64), first)),
+                 pa.array(np.add.reduceat(np.log10(n + 0.5), first))], schema=_STEPS)
+    rows = coded.select("row", "held_out", "codes", "tail").where(F.size("tail") > 0)
+    met = rows.mapInArrow(tidy(listed), "row long, held_out boolean, word binary, at int, left int, right int, other int")
+    met = met.join(words, "word", "left").groupBy("row").agg(
+        F.first("held_out").alias("held_out"),
+        F.collect_list(F.struct("at", "left", "right", F.coalesce("class", "other").alias("class"),
+                                F.coalesce("n", F.lit(0).cast("long")).alias("n"))).alias("t"))
+    return stage(met.mapInArrow(tidy(joined), "row long, held_out boolean, into binary, out binary, known long, words double"),
+                 "tail-steps")
+
+
+def _head_steps(codes: pa.Array, head: int, classes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(transition into each word, whether neither side is outside the head, codes, where documents end)."""
+    code, stop = unpacked(codes, np.int32)
+    c, known = classes[code], code < head
+    return np.append(0, c[:-1]) * k + c, known & np.append(True, known[:-1]), code, stop
+
+
+def transitions(coded: DataFrame, tails: DataFrame, head: int, classes: np.ndarray, k: int) -> np.ndarray:
+    """Class before x class, over all training text; a task sends at most k * k rows, pre-aggregated once more."""
+    out = pa.schema([("cell", pa.int64()), ("n", pa.int64())])
+
+    def rows(total: np.ndarray) -> pa.RecordBatch:
+        cell = np.flatnonzero(total)
+        return pa.RecordBatch.from_arrays([pa.array(cell), pa.array(total[cell])], schema=out)
+
+    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(k * k, np.int64)
+        for batch in batches:
+            step, plain, _, _ = _head_steps(batch.column(0), head, classes, k)
+            total += np.bincount(step[plain], minlength=k * k)
+        yield rows(total)
+
+    def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(k * k, np.int64)
+        for batch in batches:
+            for column in batch.columns:
+                total += np.bincount(unpacked(column, np.uint16)[0], minlength=k * k)
+        yield rows(total)
+    both = (coded.where("not held_out").select("codes").mapInArrow(tidy(inside), "cell long, n long")
+            .union(tails.where("not held_out").select("into", "out").mapInArrow(tidy(beside), "cell long, n long")))
+    pairs = np.zeros(k * k)
+    for cell, n in both.groupBy("cell").agg(F.sum("n").alias("n")).collect():  # k * k rows
+        pairs[cell] = n
+    return pairs.reshape(k, k)
+
+
+def fit(docs: DataFrame, classes: int = CLASSES, rounds: int = ROUNDS) -> Fitted:
+    """Cluster and count the texts of rows not held out; all rows are encoded on the way (doc_id, text, held_out)."""
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    texts = texts_of(docs, "held_out")
+    counts = stage(word_counts(texts.where("not held_out").select("text")), "word-counts")
     whole = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, v = int(whole["n"]), int(whole["v"])
     rows = most_frequent(counts.where((F.octet_length("word") <= HEAD_BYTES) & (F.octet_length("word") > 0)), HEAD)
     ends = counts.where(F.octet_length("word") == 0).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     lexicon = Lexicon([END, *(bytes(r["word"]) for r in rows)], [int(ends), *(r["n"] for r in rows)])
-    shared = train.sparkSession.sparkContext.broadcast(lexicon)
-
-    def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                words = [w for t in part.column(0).to_pylist() for w in words_of(t)]
-                yield pa.RecordBatch.from_pydict({"units": [shared.value.units(words)[1].astype(np.uint16).tobytes()]},
-                                                 schema=pa.schema([("units", pa.binary())]))
-    unit_rows = stage(texts.mapInArrow(tidy(units), "units binary"), "units")
+    head = len(lexicon.words)
+    shared = spark.sparkContext.broadcast(lexicon)
+    coded = encoded(texts, shared)
+    train = coded.where("not held_out")
     place = np.concatenate([[0], 1 + np.arange(SINGLE + GROUPS - 1) % (classes - 1)])
     for r in range(rounds + 1):
-        before, after, twice = contexts(unit_rows, place, classes)
+        before, after, twice = contexts(train, shared, place, classes)
         if r < rounds:
             place = exchange(place, before, after, twice)
     pairs = np.zeros((classes, classes))
     np.add.at(pairs.T, place, before)
-    kinds = np.bincount(place[lexicon.unit], minlength=classes).astype(float)
-
-    def tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = np.zeros(GROUPS, np.int64)
-        for batch in batches:
-            for w in batch.column(0).to_pylist():
-                if w not in shared.value.place:
-                    found[group_of(w)] += 1
-        at = np.flatnonzero(found)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(found[at])], names=["g", "words"])
-    for g, words in (counts.select("word").mapInArrow(tidy(tails), "g long, words long").groupBy("g")
-                     .agg(F.sum("words").alias("words")).collect()):  # at most GROUPS rows
-        kinds[place[SINGLE + g]] += words
+    own = own_classes(train, shared, place, pairs)
+    of = place[lexicon.unit]
+    for at, c in own.where("place >= 0").select("place", "class").collect():  # at most HEAD rows
+        of[at] = c
+    words = own.where("place < 0").select("word", "n", "class")
+    tails = tail_steps(coded, words, head, of, classes)
+    pairs = transitions(coded, tails, head, of, classes)
+    kinds = np.bincount(of[:head], minlength=classes).astype(float)
+    for c, many in words.groupBy("class").agg(F.count("*").alias("many")).collect():  # a row a class
+        kinds[c] += many
     scale = n + 0.5 * (v + 1)
     size = pairs.sum(0)
     after_class = (pairs + PRIOR * (size + 0.5) / (n + 0.5 * classes)) / (pairs.sum(1, keepdims=True) + PRIOR)
     step = np.log10(WEIGHT * after_class / (size + 0.5 * (kinds + 1)) + (1 - WEIGHT) / scale)
-    return Model(lexicon, place, step, n, scale), counts
+    return Fitted(Model(lexicon, of, step, n, scale), words, coded, tails)
 
 
 _ROW = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()),
-                  ("known", pa.int64()), ("words", pa.float64()), ("steps", pa.float64()),
-                  ("tail", pa.list_(pa.struct([("word", pa.binary()), ("m", pa.int64())])))])
-_ROW_DDL = ("row long, doc_id long, held_out boolean, n_tokens long, known long, words double, steps double, "
-            "tail array<struct<word: binary, m: bigint>>")
+                  ("known", pa.int64()), ("words", pa.float64()), ("steps", pa.float64())])
+_BESIDE = pa.schema([("row", pa.int64()), ("tail_known", pa.int64()), ("tail_words", pa.float64()), ("tail_steps", pa.float64())])
 
 
-def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
+def score(fitted: Fitted) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 of the text)."""
-    bounded_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    model = fitted.model
+    k, head = len(model.step), len(model.lexicon.words)
+    weight, flat = np.log10(model.lexicon.counts + 0.5), model.step.ravel()
+    shared = fitted.coded.sparkSession.sparkContext.broadcast((model.classes, weight, model.lexicon.counts > 0, flat))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        row = TaskContext.get().partitionId() << 33
-        weight = np.log10(m.lexicon.counts + 0.5)
+    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes, weight, trained, flat = shared.value
         for batch in batches:
-            for part in slices(batch, "text"):
-                texts = [words_of(t) for t in part.column(1).to_pylist()]
-                words = [w for t in texts for w in t]
-                stop = np.cumsum([len(t) for t in texts])
-                start = np.append(0, stop[:-1])
-                place, unit, tail = m.lexicon.units(words)
-                c = m.classes[unit]
-                steps = m.step[np.append(0, c[:-1]), c]
-                head = place >= 0
-                own = np.where(head, weight[np.maximum(place, 0)], 0.0)
-                known = head & (m.lexicon.counts[np.maximum(place, 0)] > 0)
-                cut = np.searchsorted(tail, np.append(start, len(words)))
-                rest = [[{"word": w, "m": k} for w, k in Counter(words[i] for i in tail[a:b].tolist()).items()]
-                        for a, b in zip(cut[:-1], cut[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(row + np.arange(len(texts))), part.column(0), part.column(2), pa.array(stop - start),
-                     pa.array(np.add.reduceat(known.astype(np.int64), start)), pa.array(np.add.reduceat(own, start)),
-                     pa.array(np.add.reduceat(steps, start)), pa.array(rest, _ROW.field("tail").type)], schema=_ROW)
-                row += len(texts)
-    rows = stage(texts_of(docs, "held_out").select("doc_id", "text", "held_out").mapInArrow(tidy(run), _ROW_DDL), "scored")
-    tails = (rows.select("row", F.explode("tail").alias("t")).select("row", "t.word", "t.m").join(counts, "word", "left")
-             .groupBy("row").agg(F.sum(F.col("m") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("tail_words"),
-                                 F.sum(F.when(F.col("n") > 0, F.col("m")).otherwise(0)).alias("tail_known")))
+            if not batch.num_rows:
+                continue
+            step, plain, code, stop = _head_steps(batch.column(3), head, classes, k)
+            start = np.append(0, stop[:-1])
+            held, at = code < head, np.minimum(code, head - 1)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:3], pa.array(stop - start), pa.array(np.add.reduceat((held & trained[at]).astype(np.int64), start)),
+                 pa.array(np.add.reduceat(np.where(held, weight[at], 0.0), start)),
+                 pa.array(np.add.reduceat(np.where(plain, flat[step], 0.0), start))], schema=_ROW)
+
+    def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flat = shared.value[3]
+        for batch in batches:
+            total = np.zeros(batch.num_rows)
+            for column in batch.columns[3:]:
+                step, stop = unpacked(column, np.uint16)
+                sums = np.append(0.0, np.cumsum(flat[step]))
+                total += sums[stop] - sums[np.append(0, stop[:-1])[:len(stop)]]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(total)], schema=_BESIDE)
+    rows = fitted.coded.select("row", "doc_id", "held_out", "codes").mapInArrow(
+        tidy(inside), "row long, doc_id long, held_out boolean, n_tokens long, known long, words double, steps double")
+    tails = fitted.tails.select("row", "known", "words", "into", "out").mapInArrow(
+        tidy(beside), "row long, tail_known long, tail_words double, tail_steps double")
     whole = F.col("words") + F.coalesce("tail_words", F.lit(0.0))
-    return (rows.drop("tail").join(tails, "row", "left")
+    return (rows.join(tails, "row", "left")
             .select("doc_id", "held_out", "n_tokens",
                     (F.col("known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"),
                     F.lit(model.tokens).cast("long").alias("train_tokens"),
                     (whole - F.col("n_tokens") * float(np.log10(model.scale))).alias("base_score"),
-                    (whole + F.col("steps")).alias("score")))
+                    (whole + F.col("steps") + F.coalesce("tail_steps", F.lit(0.0))).alias("score")))
 
 
 def class_scores(docs: DataFrame, classes: int = CLASSES, rounds: int = ROUNDS) -> DataFrame:
@@ -302,6 +560,4 @@ def class_scores(docs: DataFrame, classes: int = CLASSES, rounds: int = ROUNDS)
     included. Null texts count as empty: one token, the end. Repeated rows count, and are scored, each on its own; a null
     held_out counts as false. Without training text every token is unknown. Extra columns are left behind.
     """
-    rows = docs.select("doc_id", "text", F.coalesce(F.col("held_out"), F.lit(False)).alias("held_out"))
-    model, counts = fit(rows.where("not held_out"), classes, rounds)
-    return score(rows, model, counts)
+    return score(fit(docs.select("doc_id", "text", F.coalesce(F.col("held_out"), F.lit(False)).alias("held_out")), classes, rounds))
