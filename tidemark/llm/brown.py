@@ -77,15 +77,18 @@ def most_frequent(counts: DataFrame, most: int) -> list:
     at each level (a table of at most 64 * 16 rows), and of the level below a share by hash, so about that many rows reach
     the driver from all tasks together."""
     level = F.floor(F.log2(F.col("n").cast("double")) * 16).cast("int")
-    held, wanted = 0, F.lit(False)
+    held, least, wanted = 0, None, F.lit(False)
     for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("words")).orderBy(F.desc("level")).collect():
         if held + r["words"] > most:
             share = (most - held) / r["words"]
-            wanted |= (level == r["level"]) & (F.pmod(F.xxhash64("word"), F.lit(1 << 20)) < int(share * (1 << 20)))
+            wanted = (F.col("level") == r["level"]) & (F.pmod(F.xxhash64("word"), F.lit(1 << 20)) < int(share * (1 << 20)))
             break
         held += r["words"]
-        wanted |= level == r["level"]
-    return sorted(counts.where(wanted).collect(), key=lambda r: (-r["n"], bytes(r["word"])))[:most]
+        least = r["level"]
+    if least is not None:
+        wanted |= F.col("level") >= least
+    rows = counts.withColumn("level", level).where(wanted).collect()
+    return sorted(rows, key=lambda r: (-r["n"], bytes(r["word"])))[:most]
 
 
 class Lexicon:
