@@ -197,6 +197,15 @@ def test_recall_and_scores(spark, ranges):
     assert hit / (10 * len(got)) >= 0.9
 
 
+def test_single_precision_components_give_the_same_rows(spark):
+    from pyspark.sql import functions as F
+    x = np.random.default_rng(5).normal(size=(300, 12)).astype(np.float32).astype(float)
+    x[0] = float(np.float32(3e38))  # squares and products leave single precision
+    both = vectors(spark, x), vectors(spark, x).withColumn("embedding", F.col("embedding").cast("array<float>"))
+    a, b = (sorted(map(tuple, prefix_forest.search(v, k=7, range_rows=50).collect())) for v in both)
+    assert a == b and len(a) == 15 * 7
+
+
 def test_copies_ties_and_unusable_vectors(spark):
     x = np.tile([[1.0, 0.0, 0.0]], (200, 1))
     bad = [(300, None), (320, [0.0, 0.0, 0.0]), (340, [1.0, None, 0.0]), (360, [float("nan"), 1.0, 0.0]), (380, [float("inf"), 0.0, 0.0]),

@@ -50,8 +50,10 @@ class Space:
 
 
 def _usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, v) of rows with an id and a vector of finite components, not all zero."""
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
+    """(vec_id, v) of rows with an id and a vector of finite components, not all zero. Single-precision components stay so
+    while they travel, which halves every exchange of vectors; tasks compute in double."""
+    kind = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return rows.where(F.col("vec_id").isNotNull() & (F.size("v") > 0) & finite & F.exists("v", lambda x: x != 0))
 
@@ -60,14 +62,18 @@ def _matrix(col: pa.Array, dim: int) -> np.ndarray:
     return col.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
+def _vectors(col: pa.Array, dim: int) -> np.ndarray:
+    return _matrix(col, dim).astype(np.float64, copy=False)
+
+
 def _coded(rows: DataFrame, space: Space) -> DataFrame:
     """Rows (vec_id, ids, v) with the codes of the vector as an indexed row and as a query."""
-    ddl = "vec_id long, ids array<long>, v array<double>, codes array<long>, probes array<long>"
+    ddl = f"vec_id long, ids array<long>, v {rows.schema['v'].dataType.simpleString()}, codes array<long>, probes array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                x = _matrix(b.column(2), space.dim)
+                x = _vectors(b.column(2), space.dim)
                 lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * space.trees),
                                                   pa.array(c.view(np.int64).ravel()))
                          for c in (space.index_codes(x), space.query_codes(x))]
@@ -100,7 +106,7 @@ def enough(index: DataFrame, queries: DataFrame, space: Space, k: int, target: f
         for b in batches:
             if not b.num_rows:
                 continue
-            x = _matrix(b.column(1), space.dim)
+            x = _vectors(b.column(1), space.dim)
             codes = _matrix(b.column(2), space.trees).view(np.uint64)
             best = np.zeros((len(q), len(x)), np.int64)
             for t in range(space.trees):
@@ -153,7 +159,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, trees: int = TREES,
     spark = vectors.sparkSession
     bounded_batches(spark)
     rows = stage(_usable(vectors), "vectors")
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     sizes = rows.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("dim")).first()
     if sizes is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -281,7 +287,7 @@ def _visit(entries: DataFrame, routed: DataFrame, ranges: DataFrame, dim: int, k
             return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
         codes = rows["code"].to_numpy().view(np.uint64)
         order = np.argsort(codes, kind="stable")
-        x = np.stack(rows["v"].to_numpy()[order])
+        x = np.stack(rows["v"].to_numpy()[order]).astype(np.float64, copy=False)
         ids = rows["ids"].to_numpy()[order]
         first = np.array([i[0] for i in ids], np.int64)
         lone = np.array([len(i) == 1 for i in ids])
@@ -292,6 +298,7 @@ def _visit(entries: DataFrame, routed: DataFrame, ranges: DataFrame, dim: int, k
         for q, v, a, b in zip(asked["query_id"].to_numpy(), asked["v"], lo, hi, strict=True):
             if a == b:
                 continue
+            v = v.astype(np.float64, copy=False)
             at = a + np.flatnonzero(~(lone[a:b] & (first[a:b] == q)))  # without the query's own rows
             if len(at) > k:
                 at = at[_contenders(x[a:b] @ v, size[a:b] * np.sqrt(v @ v), dim, k, at - a)]
