@@ -150,11 +150,13 @@ def _linked(sets: list[np.ndarray], sizes: np.ndarray, sides: np.ndarray | None,
     return linked
 
 
+#: What is verified together: a component, and two of its blocks.
+JOB = ["comp", "low", "high"]
 _LINK = pa.schema([("cid", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
 
 
 def _verify(rows: DataFrame, threshold: float) -> DataFrame:
-    """Links inside each job; rows (job, cross, side, cid, n, copies, grams), sorted by job within partitions."""
+    """Links inside each job; rows (JOB, cross, side, cid, n, copies, grams), sorted by job within partitions."""
     def job(parts: list[pa.Table]) -> dict:
         t = pa.concat_tables(parts)
         cid, at = np.unique(t["cid"].to_numpy(), return_index=True)
@@ -178,10 +180,10 @@ def _verify(rows: DataFrame, threshold: float) -> DataFrame:
         now = None
         for batch in batches:
             t = pa.Table.from_batches([batch])
-            jobs = t["job"].to_numpy()
-            edge = np.flatnonzero(np.append(True, jobs[1:] != jobs[:-1]))
+            jobs = np.column_stack([t[c].to_numpy() for c in JOB])
+            edge = np.flatnonzero(np.append(True, (jobs[1:] != jobs[:-1]).any(1)))
             for a, b in zip(edge, np.append(edge[1:], len(jobs)), strict=True):
-                if held and jobs[a] != now:
+                if held and (jobs[a] != now).any():
                     yield pa.RecordBatch.from_pydict(job(held), schema=_LINK)
                     held = []
                 held.append(t.slice(a, b - a))
@@ -227,7 +229,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRE
                     .agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("least"),
                          F.count("*").alias("copies"), F.first("bands").alias("bands"))
                     .select("key1", "key2", "n", F.col("least.doc_id").alias("set_id"), F.col("least.mark").alias("mark"),
-                            "copies", "bands", F.xxhash64("key1", "key2", "n").alias("cid")), "classes")
+                            "copies", "bands", F.monotonically_increasing_id().alias("cid")), "classes")
     keyed = classes.select("cid", F.posexplode("bands").alias("band", "h"))
     bucket = keyed.groupBy("band", "h").agg(F.min("cid").alias("root"), F.max("cid").alias("top")).where("root <> top")
     ties = keyed.join(bucket, ["band", "h"]).where("cid <> root").select(F.col("cid").alias("src"), F.col("root").alias("dst"))
@@ -243,10 +245,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRE
     block = F.pmod(F.xxhash64("cid", F.lit(1)), F.col("blocks"))
     pairs = (sets.withColumn("block", block)
              .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-             .select(F.xxhash64("comp", F.least("block", "other"), F.greatest("block", "other")).alias("job"),
+             .select("comp", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
                      (F.col("block") != F.col("other")).alias("cross"),
                      (F.col("block") > F.col("other")).cast("int").alias("side"), "cid", "n", "copies", "grams"))
-    links = stage(_verify(pairs.repartition(F.col("job")).sortWithinPartitions("job"), threshold), "links")
+    links = stage(_verify(pairs.repartition(*map(F.col, JOB)).sortWithinPartitions(*JOB), threshold), "links")
     tied = connected_components(links.select(F.col("cid").alias("src"), F.col("root").alias("dst")), name="linked")
     near = (links.groupBy("cid").agg(F.sum("links").alias("links")).join(tied, F.col("cid") == F.col("node"))
             .select("cid", "links", "component"))
