@@ -115,6 +115,31 @@ def test_near_duplicates_match_brute_force(spark, monkeypatch, block):
     assert got == {i: (links[i], label[i]) for i, _, _ in rows}
 
 
+def test_a_chain_of_texts_meets_in_buckets(spark, monkeypatch):
+    """Neighbours are similar, the ends have nothing in common, copies and a dense group hang on it: no set is shipped more
+    than about once per band, though the component has far more blocks than there are bands."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 7)
+    rng = random.Random(8)
+    stream = [f"c{i}" for i in range(2400)]
+    texts = [" ".join(stream[4 * i:4 * i + 64]) for i in range(400)]
+    for _ in range(20):  # near copies of one link of the chain
+        x = stream[800:864]
+        x[rng.randrange(5, 59)] = f"d{rng.randrange(1000)}"
+        texts.append(" ".join(x))
+    texts += texts[10:13] * 2
+    jobs = []
+    plan = ngram_join._jobs
+    monkeypatch.setattr(ngram_join, "_jobs", lambda *a: jobs.append(plan(*a)) or jobs[-1])
+    links, label = brute_links(texts)
+    rows = [(i, t, "en") for i, t in enumerate(texts)]
+    got = {r.doc_id: (r.n_links, r.class_id) for r in ngram_join.near_duplicates(make_docs(spark, rows)).collect()}
+    assert got == {i: (links[i], label[i]) for i, _, _ in rows}
+    made = jobs[0].collect()
+    bands, _ = ngram_join.bands_for()
+    assert {j.bucket >= 0 for r in made for j in r.jobs} == {True}
+    assert sum(j.blocks for r in made for j in r.jobs) < len(made) * bands * 1.5 < len(made) * (len(made) / 7)
+
+
 def test_near_duplicates_of_odd_rows(odd, nothing):
     rows = ngram_join.near_duplicates(odd).collect()
     assert len(rows) == len(odd_rows())

@@ -2,9 +2,10 @@
 
 Texts with the same n-gram set form one class, so copies cost one row. Band and row counts follow from the target recall at
 the threshold. Classes that share a band hash are tied to the least class of the bucket, and the components of these ties
-say which classes may be similar; a component's n-gram sets are verified together, a large one in pairs of blocks, so no
-task sees more than two blocks and no pair is ever written out: a task returns each class's number of links and one tie
-per class that spans the links.
+say which classes may be similar; a component's n-gram sets are verified together, a large one in pairs of blocks or, where
+that ships fewer sets, bucket by bucket (a long chain of texts that have little in common), so no task sees more than two
+blocks and no pair is ever written out: a task returns each class's number of links and one tie per class that spans the
+links.
 """
 
 from __future__ import annotations
@@ -150,13 +151,16 @@ def _linked(sets: list[np.ndarray], sizes: np.ndarray, sides: np.ndarray | None,
     return linked
 
 
-#: What is verified together: a component, and two of its blocks.
-JOB = ["comp", "low", "high"]
+#: What is verified together: two blocks of a component (band and bucket -1), or of one bucket of it.
+JOB = ["comp", "band", "bucket", "low", "high"]
 _LINK = pa.schema([("cid", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
 
 
 def _verify(rows: DataFrame, threshold: float) -> DataFrame:
-    """Links inside each job; rows (JOB, cross, side, cid, n, copies, grams), sorted by job within partitions."""
+    """Links inside each job; rows (JOB, cross, side, cid, n, copies, bands, grams), sorted by job within partitions.
+
+    Two classes that share several buckets are linked in the first of them alone.
+    """
     def job(parts: list[pa.Table]) -> dict:
         t = pa.concat_tables(parts)
         cid, at = np.unique(t["cid"].to_numpy(), return_index=True)
@@ -164,6 +168,12 @@ def _verify(rows: DataFrame, threshold: float) -> DataFrame:
         grams = t["grams"]
         linked = _linked([np.frombuffer(grams[int(i)].as_buffer(), np.uint64) for i in at], sizes,
                          sides if t["cross"][0].as_py() else None, threshold)
+        band = t["band"][0].as_py()
+        if band >= 0:
+            bands = np.stack([t["bands"][int(i)].values.to_numpy() for i in at])
+            for i, row in enumerate(linked):
+                others = np.flatnonzero(row)
+                row[others] = (bands[others] == bands[i]).argmax(1) == band
         label = np.arange(len(cid))
         while True:  # the least place reachable by links
             least = np.array([label[row].min(initial=len(cid)) for row in linked])
@@ -193,20 +203,51 @@ def _verify(rows: DataFrame, threshold: float) -> DataFrame:
     return rows.mapInArrow(tidy(run), "cid long, links long, root long")
 
 
+def _jobs(classes: DataFrame, comp: DataFrame) -> DataFrame:
+    """cid, comp, jobs (band, bucket, blocks) and, for jobs in buckets, bands of each class of a component (node, component).
+
+    A component of B blocks ships each set B times. Where its buckets ship fewer sets, its classes meet in the buckets that they
+    share, at most one job per band, so the cost of a component grows with its classes and not with their square.
+    """
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_GRAMS)).cast("long").alias("blocks")
+    member = classes.join(comp, F.col("cid") == F.col("node")).select("cid", "n", "bands", F.col("component").alias("comp"))
+    sized = stage(member.groupBy("comp").agg(F.count("*").alias("classes"), blocks), "components")
+    large = member.join(sized.where("blocks > 1").select("comp"), "comp", "left_semi")
+    placed = large.select("cid", "n", "comp", F.posexplode("bands").alias("band", "h"))
+    buckets = stage(placed.groupBy("comp", "band", "h").agg(F.count("*").alias("classes"), blocks).where("classes > 1")
+                    .withColumn("bucket", F.monotonically_increasing_id()), "buckets")
+    shipped = buckets.groupBy("comp").agg(F.sum(F.col("classes") * F.col("blocks")).alias("shipped"))
+    split = sized.join(shipped, "comp").where("shipped < classes * blocks").select("comp")
+    whole = (member.join(sized.join(split, "comp", "left_anti").select("comp", "blocks"), "comp")
+             .select("cid", "comp", F.array(F.struct(F.lit(-1).cast("long").alias("band"), F.lit(-1).cast("long").alias("bucket"),
+                                                     "blocks")).alias("jobs"),
+                     F.lit(None).cast("array<long>").alias("bands")))
+    job = F.struct(F.col("band").cast("long").alias("band"), "bucket", "blocks")
+    parts = (placed.join(split, "comp", "left_semi").join(buckets.drop("classes"), ["comp", "band", "h"])
+             .groupBy("cid", "comp").agg(F.collect_list(job).alias("jobs"))  # one per band at most
+             .join(classes.select("cid", "bands"), "cid"))
+    return whole.unionByName(parts)
+
+
+_CARRIED = {"cid": pa.int64(), "n": pa.int64(), "copies": pa.int64(), "comp": pa.int64(),
+            "jobs": pa.list_(pa.struct([("band", pa.int64()), ("bucket", pa.int64()), ("blocks", pa.int64())])),
+            "bands": pa.list_(pa.int64())}
+
+
 def _grams(docs: DataFrame, words: int) -> DataFrame:
     """cid, n, copies, job columns and the n-gram set of rows that carry a text."""
-    out = pa.schema([("cid", pa.int64()), ("n", pa.int64()), ("copies", pa.int64()), ("comp", pa.int64()),
-                     ("blocks", pa.int64()), ("grams", pa.binary())])
+    out = pa.schema([*_CARRIED.items(), ("grams", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 1 << 19):
                 grams, bounds = gram_sets(part.column(0).to_pylist(), words)
                 raw = [grams[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(1, 6)), pa.array(raw, pa.binary())],
-                                                 schema=out)
-    return (docs.select("text", "cid", "n", "copies", "comp", "blocks")
-            .mapInArrow(tidy(run), "cid long, n long, copies long, comp long, blocks long, grams binary"))
+                kept = [part.column(i + 1).cast(kind) for i, kind in enumerate(_CARRIED.values())]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(raw, pa.binary())], schema=out)
+    return (docs.select("text", *_CARRIED)
+            .mapInArrow(tidy(run), "cid long, n long, copies long, comp long, "
+                        "jobs array<struct<band: long, bucket: long, blocks: long>>, bands array<long>, grams binary"))
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
@@ -234,20 +275,16 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRE
     bucket = keyed.groupBy("band", "h").agg(F.min("cid").alias("root"), F.max("cid").alias("top")).where("root <> top")
     ties = keyed.join(bucket, ["band", "h"]).where("cid <> root").select(F.col("cid").alias("src"), F.col("root").alias("dst"))
     comp = stage(connected_components(stage(ties.distinct(), "ties"), name="candidates"), "candidates")
-    chosen = classes.select("cid", "n", "copies", "set_id", "mark").join(comp, F.col("cid") == F.col("node"))
-    sized = chosen.groupBy("component").agg(
-        F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_GRAMS)).cast("long").alias("blocks"))
     # One text per candidate class: that of its least document.
-    wanted = chosen.join(sized, "component").select("cid", "n", "copies", F.col("component").alias("comp"), "blocks",
-                                                    F.col("set_id").alias("want"), F.col("mark").alias("wanted_mark"))
+    wanted = _jobs(classes, comp).join(
+        classes.select("cid", "n", "copies", F.col("set_id").alias("want"), F.col("mark").alias("wanted_mark")), "cid")
     texts = wanted.join(base, F.col("want").eqNullSafe(F.col("doc_id")) & (F.col("wanted_mark") == F.col("mark")))
-    sets = _grams(texts, words)
-    block = F.pmod(F.xxhash64("cid", F.lit(1)), F.col("blocks"))
-    pairs = (sets.withColumn("block", block)
+    sets = _grams(texts, words).withColumn("job", F.explode("jobs")).select("*", "job.*")
+    pairs = (sets.withColumn("block", F.pmod(F.xxhash64("cid", F.lit(1)), F.col("blocks")))
              .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-             .select("comp", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
+             .select("comp", "band", "bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
                      (F.col("block") != F.col("other")).alias("cross"),
-                     (F.col("block") > F.col("other")).cast("int").alias("side"), "cid", "n", "copies", "grams"))
+                     (F.col("block") > F.col("other")).cast("int").alias("side"), "cid", "n", "copies", "bands", "grams"))
     links = stage(_verify(pairs.repartition(*map(F.col, JOB)).sortWithinPartitions(*JOB), threshold), "links")
     tied = connected_components(links.select(F.col("cid").alias("src"), F.col("root").alias("dst")), name="linked")
     near = (links.groupBy("cid").agg(F.sum("links").alias("links")).join(tied, F.col("cid") == F.col("node"))
