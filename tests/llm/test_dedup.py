@@ -55,6 +55,18 @@ def test_exact_dedup_with_a_normal_form(spark):
     assert got == {1: (2, 2, False), 2: (2, 2, True), 3: (3, 1, True)}
 
 
+def test_ranges_follow_the_number_of_texts(spark, monkeypatch):
+    asked = []
+    real = exact_dedup.repeated_fingerprints
+    monkeypatch.setattr(exact_dedup, "repeated_fingerprints", lambda f, prefix: asked.append(prefix) or real(f, prefix))
+    docs = make_docs(spark, [(i, f"text {i // 2}", "en") for i in range(600)])
+    for items in (1 << 22, 2):
+        monkeypatch.setattr(exact_dedup, "RANGE_ITEMS", items)
+        rows = exact_dedup.exact_dedup(docs).collect()
+        assert all(r.group_size == 2 and r.keep_id == r.doc_id // 2 * 2 + 1 for r in rows) and sum(r.kept for r in rows) == 300
+    assert asked[0] < asked[1] and 600 / 2 ** asked[1] <= 2
+
+
 def test_hot_copies(spark):
     docs = make_docs(spark, [(i, "same text" if i % 3 else f"own {i}", "en") for i in range(3000)], 7)
     rows = exact_dedup.exact_dedup(docs).where("group_size > 1").collect()

@@ -22,6 +22,8 @@ from tidemark.llm.common import one_of_each, stage, texts_of, tidy
 
 #: Fingerprints after which a task hands its filter over and starts the next.
 FILTER_ITEMS = 1 << 20
+#: Fingerprints of one range, which one task merges, if every text is another.
+RANGE_ITEMS = 1 << 22
 #: Least filled share for which a filter's quotient is chosen.
 LOAD = 0.75
 
@@ -132,7 +134,8 @@ def exact_dedup(docs: DataFrame, normalise: Callable[[Column], Column] | None =
     if normalise is not None:
         base = base.withColumn("text", normalise(F.col("text")))
     base = base.withColumn("fp", F.xxhash64("text"))
-    prefix = max(0, int(spark.conf.get("spark.sql.shuffle.partitions")).bit_length())
+    # A range for each shuffle partition at least, and so many that one holds RANGE_ITEMS texts at most, or little more.
+    prefix = max(int(spark.conf.get("spark.sql.shuffle.partitions")).bit_length(), (docs.count() // RANGE_ITEMS).bit_length())
     repeated = stage(repeated_fingerprints(base, prefix), "repeated-fingerprints").select("fp")
     # Byte verification: only texts whose fingerprint repeats, collapsed before the shuffle.
     groups = (base.join(repeated, "fp").groupBy("fp", "text")
