@@ -1,8 +1,15 @@
 """The corpus pipeline's stages on odd rows, and the registration of the queries."""
 import collections
+import random
 
 import corpus_pipeline
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
+import regex
+from tokenizers import Tokenizer
 
 from tests.llm.conftest import make_docs, odd_rows
 from tests.llm.test_dedup import brute_cut, brute_links, near_rows
@@ -52,7 +59,52 @@ def test_passage_stage_cuts_texts(spark, odd):
     assert all(r.n_chars == len(r.text) for r in got)
 
 
-def test_run_on_the_smallest_table(spark):
-    rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
-    assert rows and {"doc_id", "sequence_id", "offset"} <= set(rows[0].asDict())
-    assert all(len(r.ids) == 4 * r.length for r in rows)
+def planted(columns):
+    """The smallest table and, planted among it, copies, near copies, a passage that documents share, texts without letters."""
+    rng = random.Random(12)
+    rows = pq.read_table("/root/testdata/sf0.001/documents.parquet").to_pylist()
+    assert list(rows[0]) == columns
+    texts = [r["text"] for r in rows]
+    passage = " ".join(f"shared{i}" for i in range(60))
+    more = [texts[3], texts[3], texts[17], None, "", "12 34 !!", "\u00fc\u6771", passage]
+    for i in (20, 21, 22, 23):
+        words = texts[i].split()
+        words[rng.randrange(len(words))] = "changed"
+        more.append(" ".join(words))
+    more += [f"{t[:300]} {passage} {t[300:500]}" for t in texts[40:44]]
+    top = max(r["doc_id"] for r in rows)
+    return rows + [dict(rows[0], doc_id=top + 1 + i, text=t, lang=None) for i, t in enumerate(more)]
+
+
+def test_run_matches_brute_force(spark, tmp_path):
+    """The whole pipeline against plain loops: what stays, what is cut out of it, and its ids in gapless sequences."""
+    rows = planted(["doc_id", "text", "lang", "source", "n_chars"])
+    schema = pq.read_schema("/root/testdata/sf0.001/documents.parquet")
+    pq.write_table(pa.Table.from_pylist(rows, schema), str(tmp_path / "documents.parquet"))
+    docs = {r["doc_id"]: r["text"] for r in rows if regex.search(r"\p{L}", r["text"] or "")}
+    last = {t: i for i, t in sorted(docs.items())}
+    docs = {i: docs[i] for i in sorted(last.values())}
+    _, label = brute_links(list(docs.values()))
+    docs = {i: t for n, (i, t) in enumerate(docs.items()) if label[n] == n}
+    assert len(docs) < len(last) < len(rows) - 3
+    cut = brute_cut([t.encode() for t in docs.values()], 200)
+    assert sum(c[1] for c in cut) > 4 * 300
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = {i: [*tokenizer.encode(c[3].decode("utf-8", "ignore"), add_special_tokens=False).ids, 1]
+            for i, c in zip(docs, cut, strict=True)}
+
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    got, sequences = collections.defaultdict(list), collections.defaultdict(list)
+    for r in pieces:
+        ids = np.frombuffer(r.ids, "<u4").tolist()
+        assert len(ids) == r.length and r.doc_tokens == len(want[r.doc_id])
+        got[r.doc_id].append((r.start, ids))
+        sequences[r.sequence_id].append((r.offset, r.length))
+    for parts in got.values():
+        parts.sort()
+        assert [s for s, _ in parts] == [sum(len(x) for _, x in parts[:k]) for k in range(len(parts))]
+    assert {i: [x for _, ids in parts for x in ids] for i, parts in got.items()} == want
+    for parts in sequences.values():
+        parts.sort()
+        assert [o for o, _ in parts] == [sum(n for _, n in parts[:k]) for k in range(len(parts))]
+        assert sum(n for _, n in parts) <= 2048

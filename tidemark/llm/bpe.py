@@ -101,7 +101,11 @@ def decode(tokens: DataFrame, rank_file: str, pattern: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
-    """``encode`` and ``decode`` in one pass over the texts: doc_id, n_tokens, ids, decoded."""
+    """``encode`` and ``decode`` in one pass over the texts: doc_id, n_tokens, ids, decoded.
+
+    One row per document, repeated rows and null ids included. Null and empty texts have no ids and decode to no bytes, texts of
+    any length are encoded whole; an empty table gives no rows, extra columns are left behind.
+    """
     def fn(b: pa.RecordBatch) -> dict:
         enc = encoding(rank_file, pattern)
         ids = [encode_text(enc, t) for t in b.column(1).to_pylist()]
