@@ -63,10 +63,10 @@ def _apply(spark: SparkSession, cfg: TableLoad, df: DataFrame, newest_first: boo
         src = latest_per_key(df, cfg.merge_keys, order)
     # The upsert reads its source for the touched partitions, the key check
     # and the union: stage it once in the shared folder.
-    with io.staged(src) as src:
+    with io.staged_and_counted(src) as (src, rows):
         io.write_upsert(spark, cfg.target, src, cfg.merge_keys, cfg.partition_by, cfg.merge_within_partitions,
                         version=cfg.version or None)
-        return src.count()
+        return rows
 
 
 def load_day(spark: SparkSession, tables: list[TableLoad], day: dt.date) -> DataFrame:

@@ -44,11 +44,10 @@ def safe_replace(spark: SparkSession, path: str, new: DataFrame, pred: Column, p
     inside = F.coalesce(pred, F.lit(False))
     backup_path, backup_rows = io.create_backup(spark, current, pred, path, backup_suffix)
     try:
-        with io.staged(new) as staged:
+        with io.staged_and_counted(new) as (staged, expected):
             checks = qa.raise_on_failure(qa.replacement_gate(current.where(inside), staged, critical, tolerance_pct))
             io.write_replace_where(spark, path, staged, pred, partition_by)
             written = io.read_merged(spark, path).where(inside).count()
-            expected = staged.count()
         if written != expected:
             raise ValueError(f"post-replacement verification failed: {written} != {expected}")
         if compact_keys:

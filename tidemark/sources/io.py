@@ -16,7 +16,7 @@ import os
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -157,7 +157,6 @@ def append(df: DataFrame, path: str, partition_by: list[str] | None = None,
     """S-10: append; readers use ``mergeSchema`` so new columns show up (old
     rows read them as NULL). Returns the rows written, observed during the
     write itself (no second pass over the source)."""
-    from pyspark.sql import Observation
     obs = Observation()
     if partition_by and path_exists(df.sparkSession, path):
         df = as_spelled(df.sparkSession, path, df, partition_by)
@@ -195,23 +194,33 @@ def stage(df: DataFrame, name: str | None = None) -> DataFrame:
     return _staged_copy(df, name)[0]
 
 
-def _staged_copy(df: DataFrame, name: str | None = None) -> tuple[DataFrame, str]:
+def _staged_copy(df: DataFrame, name: str | None = None) -> tuple[DataFrame, str, int]:
+    """The copy, its path and its rows, counted while it is written."""
     spark = df.sparkSession
     path = os.path.join(checkpoint_dir(spark), "staging", name or f"stage-{uuid.uuid4().hex}")
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path, int(seen.get["rows"])
 
 
 @contextlib.contextmanager
-def staged(df: DataFrame) -> Iterator[DataFrame]:
-    """:func:`stage` for the length of a ``with`` block; the copy is removed when it ends, also on an error."""
-    copy, path = _staged_copy(df)
+def staged_and_counted(df: DataFrame) -> Iterator[tuple[DataFrame, int]]:
+    """:func:`stage` for the length of a ``with`` block, and the rows it has; the copy is removed when the block ends, also on
+    an error."""
+    copy, path, rows = _staged_copy(df)
     try:
-        yield copy
+        yield copy, rows
     finally:
         delete_path(df.sparkSession, path)
 
 
+@contextlib.contextmanager
+def staged(df: DataFrame) -> Iterator[DataFrame]:
+    """:func:`staged_and_counted` without the count."""
+    with staged_and_counted(df) as (copy, _):
+        yield copy
+
+
 def replace_where(target: DataFrame, new: DataFrame, pred: Column) -> DataFrame:
     """S-12 as a pure operator: rows of ``target`` outside ``pred`` plus all
     of ``new``. A row of ``new`` outside ``pred`` raises at execution, as a
@@ -282,13 +291,13 @@ def write_upsert(spark: SparkSession, path: str, source: DataFrame, keys: list[s
     decides is the target, not the order of the calls."""
     from tidemark.operators.merge import assert_unique_keys, not_older, upsert
     recover(spark, path)
-    source = assert_unique_keys(source, keys, "upsert source")
     if not path_exists(spark, path):
-        return publish(spark, path, source, partition_by, [])
+        return publish(spark, path, assert_unique_keys(source, keys, "upsert source"), partition_by, [])
     target = read_merged(spark, path)
     _check_columns(target, source)
     if version:
-        with staged(not_older(source, target, keys, version)) as current:
+        unique = assert_unique_keys(source, keys, "upsert source")
+        with staged(not_older(unique, target, keys, version)) as current:
             return write_upsert(spark, path, current, keys, partition_by, within_source_partitions)
     rows = with_folder(target)
     parts = source.select(*partition_by).distinct()
@@ -296,7 +305,8 @@ def write_upsert(spark: SparkSession, path: str, source: DataFrame, keys: list[s
     if not within_source_partitions:
         hit = hit.union(rows.join(source.select(*keys), keys, "left_semi").select(FOLDER))
     folders = touched_folders(spark, path, hit)
-    result = upsert(_affected(spark, path, target, folders, partition_by), source, keys, check_unique=False)
+    # the keys are checked here alone, in the plan that writes: a repeated key fails it before anything of the table changes
+    result = upsert(_affected(spark, path, target, folders, partition_by), source, keys)
     return publish(spark, path, result, partition_by, folders)
 
 
@@ -311,15 +321,17 @@ def export_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
 def create_backup(spark: SparkSession, source: DataFrame, pred: Column, base_path: str,
                   suffix: str | None = None) -> tuple[str, int]:
     """S-15: copy the rows matching ``pred`` to ``<base_path>_backup_<suffix>``
-    (suffix default ``%Y%m%d_%H%M%S``); returns (path, rows counted on the
-    written copy). A backup is never overwritten: an existing path is an
+    (suffix default ``%Y%m%d_%H%M%S``); returns (path, rows, counted while
+    they are written). A backup is never overwritten: an existing path is an
     error."""
     suffix = suffix or dt.datetime.now(dt.timezone.utc).strftime("%Y%m%d_%H%M%S")
     bpath = f"{base_path.rstrip('/')}_backup_{suffix}"
     if path_exists(spark, bpath):
         raise FileExistsError(f"there is a backup at {bpath} already")
-    source.where(F.coalesce(pred, F.lit(False))).write.mode("errorifexists").parquet(bpath)
-    return bpath, spark.read.parquet(bpath).count()
+    seen = Observation()
+    (source.where(F.coalesce(pred, F.lit(False))).observe(seen, F.count(F.lit(1)).alias("rows"))
+     .write.mode("errorifexists").parquet(bpath))
+    return bpath, int(seen.get["rows"])
 
 
 def restore_backup(spark: SparkSession, path: str, backup_path: str, pred: Column,
