@@ -373,3 +373,46 @@ def test_compact_sizes_files_from_bytes(spark, tmp_dir):
     assert 2 <= len(files1) < 8          # split by size, fewer than before
     assert len(glob.glob(f"{path}/year=2024/month=1/day=2/*.parquet")) == 8   # untouched
     assert spark.read.parquet(path).count() == 20000
+
+
+def _files_by_key(path, key):
+    """(least, largest) key of each file, in that order; every file must be sorted."""
+    import glob
+
+    import pyarrow.parquet as pq
+    out = []
+    for f in glob.glob(f"{path}/**/*.parquet", recursive=True):
+        k = pq.ParquetFile(f).read(columns=[key])[key].to_pylist()
+        assert k == sorted(k)
+        out.append((k[0], k[-1], len(k)))
+    return sorted(out)
+
+
+def test_compact_sorts_no_more_in_a_task_than_fits(spark, tmp_dir):
+    """400 MB of rows in one folder, which take 2 MB on disk: several sorted files, whose ranges do not overlap."""
+    path = os.path.join(tmp_dir, "w")
+    spark.range(0, 50_000, numPartitions=8).select(
+        ((F.col("id") * 7919) % 50_021).alias("k"), F.repeat(F.lit("x"), 8000).alias("wide"), F.lit(1).alias("p")).write.partitionBy("p").parquet(path)
+    assert io.compact(spark, path, F.lit(True), ["p"], ["k"]) == 50_000
+    files = _files_by_key(path, "k")
+    assert 2 <= len(files) < 8 and all(a[1] < b[0] for a, b in zip(files, files[1:]))
+    assert max(n for *_, n in files) < 0.75 * 50_000
+    got = spark.read.parquet(path).agg(F.countDistinct("k"), F.sum(F.length("wide"))).first()
+    assert tuple(got) == (50_000, 400_000_000)
+
+
+def test_compact_deals_out_rows_of_one_key(spark, tmp_dir):
+    """Rows that are equal in the partition and all keys, NULL ones too, do not meet in one task."""
+    import glob
+
+    import pyarrow.parquet as pq
+    path = os.path.join(tmp_dir, "h")
+    df = spark.range(0, 6000, numPartitions=4).select(
+        "id", F.lit(None).cast("long").alias("k"), F.when(F.col("id") % 2 == 0, F.lit("a")).alias("p"))
+    df.write.partitionBy("p").parquet(path)
+    assert io.compact(spark, path, F.lit(True), ["p"], ["k"], sorted_bytes=100_000) == 6000
+    sizes = [pq.ParquetFile(f).metadata.num_rows for f in glob.glob(f"{path}/p=*/*.parquet")]
+    assert len(sizes) >= 4 and max(sizes) < 3000
+    assert sorted(os.listdir(path))[-2:] == ["p=__HIVE_DEFAULT_PARTITION__", "p=a"]
+    got = _rows(spark.read.parquet(path), ("id", "k", "p"))
+    assert sorted(got) == [(i, None, None if i % 2 else "a") for i in range(6000)]

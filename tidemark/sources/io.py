@@ -31,6 +31,9 @@ SUPPORTED_FORMATS = ("parquet", "csv", "json", "orc", "text", "avro", "delta")
 PARQUET_BLOCK_SIZE = 128 * 1024 * 1024
 PARQUET_PAGE_SIZE = 1024 * 1024
 
+#: Memory of the rows that one task of a compaction sorts.
+SORTED_BYTES = 256 * 1024 * 1024
+
 
 # ------------------------------------------------------------------ reading
 
@@ -467,8 +470,21 @@ def extraction_manifest(df: DataFrame, source_system: str, source_database: str,
         F.lit(json.dumps(types, ensure_ascii=False)).alias("data_types_mapping"))
 
 
+def _memory_of(schema: T.StructType) -> Column:
+    """About the bytes a row takes in a sort: its null bits and the sorter's pointers, 8 bytes a column, and what strings and
+    nested values hold."""
+    size: Column = F.lit(48 + 8 * -(-len(schema) // 64) + 8 * len(schema)).cast("long")
+    for f in schema:
+        c = F.col("`" + f.name.replace("`", "``") + "`")
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            size = size + F.coalesce(F.octet_length(c) + 8, F.lit(0))
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):
+            size = size + F.coalesce(F.octet_length(F.to_json(F.struct(c))) * 4, F.lit(0))
+    return size
+
+
 def compact(spark: SparkSession, path: str, pred: Column, partition_by: list[str], keys: list[str],
-            target_file_bytes: int = 512 * 1024 * 1024) -> int:
+            target_file_bytes: int = 512 * 1024 * 1024, sorted_bytes: int = SORTED_BYTES) -> int:
     """S-25: rewrite every partition that holds a row matching ``pred``,
     clustered by ``keys``: range-partitioned and sorted, fewer and larger
     files. The predicate only chooses partitions; all their rows are
@@ -477,7 +493,9 @@ def compact(spark: SparkSession, path: str, pred: Column, partition_by: list[str
     The file count follows the size on disk (``_metadata.file_size`` of the
     files it reads, aggregated on the executors): about
     ``target_file_bytes`` per file and at least one per partition, so a
-    large day is never funnelled into one writer task."""
+    large day is never funnelled into one writer task. As a file is sorted
+    by the task that writes it, the count follows the rows' size in memory
+    too: about ``sorted_bytes`` per task, however well they compress."""
     recover(spark, path)
     folders = touched_folders(spark, path, with_folder(read_merged(spark, path)).where(F.coalesce(pred, F.lit(False))))
     if not folders:
@@ -485,7 +503,7 @@ def compact(spark: SparkSession, path: str, pred: Column, partition_by: list[str
     rows = read_folders(spark, path, folders)
     files = rows.select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_size").alias("s")).distinct()
     size = int(files.agg(F.coalesce(F.sum("s"), F.lit(0))).first()[0])
-    n = max(len(folders), -(-size // int(target_file_bytes)))
+    count, memory = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(_memory_of(rows.schema)), F.lit(0))).first()
+    n = max(len(folders), -(-size // int(target_file_bytes)), -(-int(memory) // int(sorted_bytes)))
     whole = read_spelled(spark, path, folders, partition_by, rows.schema)
-    clustered = whole.repartitionByRange(n, *partition_by, *keys).sortWithinPartitions(*partition_by, *keys)
-    return publish(spark, path, clustered, partition_by, folders, expect=rows.count())
+    return publish(spark, path, whole, partition_by, folders, expect=int(count), clustered=(n, keys))

@@ -272,20 +272,36 @@ def staging(spark: SparkSession, path: str) -> Iterator[str]:
             delete_path(spark, staged)
 
 
+def _ranges(rows: DataFrame, n: int, by: list[str], partition_by: list[str]) -> DataFrame:
+    """``rows`` dealt to ``n`` ranges of ``by``; rows that are equal in it are dealt out too, by their place in the input.
+
+    A NULL partition becomes an empty name, which is written to the same folder: without NULL the order that the rows are
+    sorted in is the one the writer asks for, and they are sorted once.
+    """
+    named = rows.withColumns({p: F.coalesce(p, F.lit("")) for p in partition_by})
+    return named.withColumn("_place", F.monotonically_increasing_id()).repartitionByRange(n, *by, "_place").drop("_place")
+
+
 def publish(spark: SparkSession, path: str, result: DataFrame, partition_by: list[str], replaced: list[str],
-            expect: int | None = None) -> int:
+            expect: int | None = None, clustered: tuple[int, list[str]] | None = None) -> int:
     """Replace the folders ``replaced`` of the table by ``result``; a folder without rows left is gone afterwards.
 
     ``result`` is written once, into a folder the table's readers skip, and counted during that write; nothing of the table
     changes if the write fails or the count is not ``expect``, and no row is lost if a move fails (:func:`swap`). Returns the
-    rows written.
+    rows written. ``clustered``: the number of ranges of folders and keys that the rows are dealt to, one task each, and the
+    keys, by which every file is sorted.
     """
     root = path.rstrip("/")
     recover(spark, root)
     seen = Observation()
     with staging(spark, root) as stage:
-        (as_spelled(spark, root, result, partition_by).observe(seen, F.count(F.lit(1)).alias("rows"))
-         .write.partitionBy(*partition_by).parquet(stage))
+        written = as_spelled(spark, root, result, partition_by)
+        if clustered:
+            written = _ranges(written, clustered[0], [*partition_by, *clustered[1]], partition_by)
+        written = written.observe(seen, F.count(F.lit(1)).alias("rows"))  # after the ranges, which read the rows twice
+        if clustered:
+            written = written.sortWithinPartitions(*partition_by, *clustered[1])
+        written.write.partitionBy(*partition_by).parquet(stage)
         rows = int(seen.get["rows"])
         if expect is not None and rows != expect:
             raise ValueError(f"rewrite of {len(replaced)} partitions has {rows} rows, expected {expect}")
