@@ -295,3 +295,49 @@ def test_no_training_text(odd, nothing):
     assert {(r.doc_id, r.n_tokens, r.n_known, r.train_tokens) for r in got} == {(1, 1, 0, 0), (4, 4, 0, 0)}
     assert all(r.base_score == 0 for r in got)  # 0.5 / 0.5
     assert brown.class_scores(nothing.withColumn("held_out", F.lit(True)), classes=4, rounds=1).count() == 0
+
+
+def test_what_the_class_model_ships_is_small(spark, monkeypatch):
+    """Context counts are packed, and a word outside the head crosses the exchanges as numbers, not as lists of rows."""
+    from types import SimpleNamespace
+
+    monkeypatch.setattr(brown, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 3)))
+    rng = np.random.default_rng(4)
+    counts = rng.poisson(0.2, (3000, 65)).astype(np.int64)
+    counts[7, 3] = (1 << 40) + 5
+    rows = list(brown._chunks([counts[:, :32], counts[:, 32:64], counts[:, 64:]]))
+    assert sum(len(r["counts"]) for r in rows) < counts.size / 4  # less than two bits a cell
+    first = brown.unsqueezed(rows[0]["counts"], brown.CHUNK * 65)
+    assert (first == np.concatenate([counts[:1024, :32].ravel(), counts[:1024, 32:64].ravel(), counts[:1024, 64]])).all()
+
+    monkeypatch.undo()
+    monkeypatch.setattr(brown, "HEAD", 20)
+    plans, stage = [], brown.stage
+
+    def seen(df, name):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return stage(df, name)
+    monkeypatch.setattr(brown, "stage", seen)
+    docs = make_docs(spark, [(i, t, "en") for i, t in enumerate(some_texts())]).selectExpr("doc_id", "text", "doc_id % 7 = 3 as held_out")
+    assert brown.class_scores(docs, classes=5, rounds=1).count() == len(some_texts())
+    plan = dict(plans)["tail-steps"]
+    assert "collect_list" not in plan and "MapInArrow" in plan
+
+
+def test_a_frequent_context_and_a_long_document(spark, monkeypatch):
+    """A context met more often than a byte holds, in one task; a document whose words outside the head fill many batches."""
+    monkeypatch.setattr(brown, "SINGLE", 2)
+    monkeypatch.setattr(brown, "HEAD", 3)
+    texts = ["a x " * 1500 + "b y " * 700 + "x x", "a y", "", "zz " * 9000, "a " * 4000 + "q r s", "q r"]
+    train = [tokens(t) for t in texts]
+    count = collections.Counter(w for t in train for w in t)
+    docs = make_docs(spark, [(i, t, "en") for i, t in enumerate(texts)], 2).selectExpr("doc_id", "text", "false as held_out")
+    k, fitted = 4, brown.fit(docs, classes=4, rounds=1)
+    of = class_of_words(fitted)
+    assert {bytes(r.word): r.n for r in fitted.words.collect()} == {w: n for w, n in count.items() if w not in fitted.model.lexicon.place}
+    pairs = class_pairs(train, of, k)
+    got = brown.transitions(fitted.coded, fitted.tails, len(fitted.model.lexicon.words), fitted.model.classes, k)
+    assert (got == pairs).all()
+    assert {r.row for r in fitted.tails.collect()} <= {r.row for r in fitted.coded.collect()}
+    n, scored = sum(count.values()), brown.score(fitted).collect()
+    assert {r.doc_id: (r.n_tokens, r.n_known, r.train_tokens) for r in scored} == {i: (len(t), len(t), n) for i, t in enumerate(train)}

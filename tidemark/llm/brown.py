@@ -158,12 +158,23 @@ def encoded(docs: DataFrame, lexicon: Broadcast) -> DataFrame:
     return stage(docs.select("doc_id", "text", "held_out").mapInArrow(tidy(run), _CODED_DDL), "coded")
 
 
+def squeezed(counts: np.ndarray) -> bytes:
+    """Counts as compressed planes of bytes: most are zero or small, so little but the lowest plane is left."""
+    return pa.compress(counts.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def unsqueezed(raw: bytes, n: int) -> np.ndarray:
+    """The ``n`` counts of :func:`squeezed`."""
+    planes = np.frombuffer(pa.decompress(raw, 8 * n, codec="zstd"), np.uint8).reshape(8, n)
+    return np.ascontiguousarray(planes.T).view("<i8").ravel()
+
+
 def _chunks(values: list[np.ndarray]) -> Iterator[dict]:
     for k in range(0, len(values[0]), CHUNK):
         part = [v[k:k + CHUNK] for v in values]
         if any(p.any() for p in part):
             yield {"chunk": k // CHUNK, "bin": TaskContext.get().partitionId() % BINS,
-                   "counts": np.concatenate([p.ravel() for p in part]).astype(np.int32).tobytes()}
+                   "counts": squeezed(np.concatenate([p.ravel() for p in part]))}
 
 
 def contexts(train: DataFrame, lexicon: Broadcast, classes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -182,23 +193,25 @@ def contexts(train: DataFrame, lexicon: Broadcast, classes: np.ndarray, k: int)
         rows = list(_chunks([before, after, twice]))
         yield pa.RecordBatch.from_pylist(rows, schema=out)
 
-    def add(kind: type):
-        def total(key: tuple, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            sums = 0
-            for p in parts:
-                for raw in p["counts"]:
-                    sums = sums + np.frombuffer(raw, kind).astype(np.int64)
-            yield pd.DataFrame({"chunk": [int(key[0])], "counts": [sums.tobytes()]})
-        return total
+    def cells(chunk: int) -> int:
+        return min(CHUNK, n - chunk * CHUNK) * (2 * k + 1)
+
+    def total(key: tuple, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        chunk = int(key[0])
+        sums = np.zeros(cells(chunk), np.int64)
+        for p in parts:
+            for raw in p["counts"]:
+                sums += unsqueezed(raw, len(sums))
+        yield pd.DataFrame({"chunk": [chunk], "counts": [squeezed(sums)]})
 
     got = (train.select("codes").mapInArrow(tidy(count), "chunk long, bin long, counts binary")
-           .groupBy("chunk", "bin").applyInPandas(add(np.int32), "chunk long, counts binary")
-           .groupBy("chunk").applyInPandas(add(np.int64), "chunk long, counts binary").collect())
+           .groupBy("chunk", "bin").applyInPandas(total, "chunk long, counts binary")
+           .groupBy("chunk").applyInPandas(total, "chunk long, counts binary").collect())
     before, after, twice = np.zeros((n, k)), np.zeros((n, k)), np.zeros(n)
     for r in got:  # a fixed number of chunks
         a = int(r["chunk"]) * CHUNK
         m = min(CHUNK, n - a)
-        flat = np.frombuffer(r["counts"], np.int64)
+        flat = unsqueezed(bytes(r["counts"]), cells(int(r["chunk"])))
         before[a:a + m] = flat[:m * k].reshape(m, k)
         after[a:a + m] = flat[m * k:2 * m * k].reshape(m, k)
         twice[a:a + m] = flat[2 * m * k:]
@@ -277,7 +290,7 @@ def best_classes(pairs: np.ndarray, now: np.ndarray, left: np.ndarray, right: np
     return gain.argmax(1)
 
 
-_SEEN = pa.schema([("word", pa.binary()), ("place", pa.int32()), ("context", pa.binary()), ("times", pa.binary())])
+_SEEN = pa.schema([("word", pa.binary()), ("seen", pa.binary())])
 _OWN = pa.schema([("word", pa.binary()), ("place", pa.int32()), ("n", pa.int64()), ("class", pa.int32())])
 
 
@@ -285,10 +298,12 @@ def own_classes(train: DataFrame, lexicon: Broadcast, classes: np.ndarray, pairs
     """(word, place, n, class) of every training word that is no unit of its own, each by its own contexts.
 
     A task sends a word's counts as one row for every CONTEXTS contexts it has read, so a frequent word arrives as few rows;
-    rows of a word are added up as they stream by in the order of words.
+    rows of a word are added up as they stream by in the order of words. A word of the head travels as a space, which no word
+    holds, and its place; counts travel as a context and a byte, again and again for a count beyond a byte.
     """
     k = len(pairs)
     wide = 2 * k + 1
+    cell = np.dtype([("context", np.uint8 if wide <= 256 else np.uint16), ("times", np.uint8)])
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = lexicon.value
@@ -298,15 +313,18 @@ def own_classes(train: DataFrame, lexicon: Broadcast, classes: np.ndarray, pairs
 
         def rows() -> pa.RecordBatch:
             key, times = np.unique(np.concatenate(keys), return_counts=True)
-            word, context = key // wide, (key % wide).astype(np.uint16)
+            rows_of = (times + 254) // 255
+            key = np.repeat(key, rows_of)
+            word, counted = key // wide, np.empty(len(key), cell)
+            counted["context"], counted["times"] = key % wide, 255
+            counted["times"][np.cumsum(rows_of) - 1] = times - 255 * (rows_of - 1)
             first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
             stop = np.append(first[1:], len(key))
             names = list(outside)
             which = word[first]
             return pa.RecordBatch.from_arrays(
-                [pa.array([lex.words[w] if w < head else names[w - head] for w in which.tolist()], pa.binary()),
-                 pa.array(np.where(which < head, which, -1).astype(np.int32)), packed(context, stop),
-                 packed(times.astype(np.uint32), stop)], schema=_SEEN)
+                [pa.array([b" " + w.to_bytes(4, "big") if w < head else names[w - head] for w in which.tolist()], pa.binary()),
+                 packed(counted, stop)], schema=_SEEN)
 
         for batch in batches:
             code, stop = unpacked(batch.column(0), np.int32)
@@ -332,33 +350,33 @@ def own_classes(train: DataFrame, lexicon: Broadcast, classes: np.ndarray, pairs
             yield rows()
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def chosen(words: list[bytes], place: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+        def chosen(words: list[bytes], sums: np.ndarray) -> pa.RecordBatch:
+            place = [int.from_bytes(w[1:], "big") if w[:1] == b" " else -1 for w in words]
+            words = [lexicon.value.words[p] if p >= 0 else w for w, p in zip(words, place)]
             now = classes[SINGLE + np.array([group_of(w) for w in words], np.int64)]
             best = best_classes(pairs, now, sums[:, :k], sums[:, k:2 * k], sums[:, 2 * k])
             return pa.RecordBatch.from_arrays(
-                [pa.array(words, pa.binary()), pa.array(place), pa.array(sums[:, :k].sum(1).astype(np.int64)),
+                [pa.array(words, pa.binary()), pa.array(place, pa.int32()), pa.array(sums[:, :k].sum(1).astype(np.int64)),
                  pa.array(best.astype(np.int32))], schema=_OWN)
 
-        words, place, sums = [], np.zeros(0, np.int32), np.zeros((0, wide))  # the last word, which may go on
+        words, sums = [], np.zeros((0, wide))  # the last word, which may go on
         for batch in batches:
             if not batch.num_rows:
                 continue
             names = words + batch.column(0).to_pylist()
             new = np.array([True, *(x != y for x, y in zip(names, names[1:]))])
             group = np.cumsum(new) - 1
-            context, stop = unpacked(batch.column(2), np.uint16)
-            times = unpacked(batch.column(3), np.uint32)[0]
-            cell = np.repeat(group[len(words):], np.diff(np.append(0, stop))) * wide + context
-            total = np.bincount(cell, times, minlength=(group[-1] + 1) * wide).reshape(-1, wide)
+            counted, stop = unpacked(batch.column(1), cell)
+            at = np.repeat(group[len(words):], np.diff(np.append(0, stop))) * wide + counted["context"]
+            total = np.bincount(at, counted["times"], minlength=(group[-1] + 1) * wide).reshape(-1, wide)
             total[:len(sums)] += sums
-            place = np.append(place, batch.column(1).to_numpy())[new]
             words = [names[i] for i in np.flatnonzero(new)]
             if len(words) > 1:
-                yield chosen(words[:-1], place[:-1], total[:-1])
-            words, place, sums = words[-1:], place[-1:], total[-1:]
+                yield chosen(words[:-1], total[:-1])
+            words, sums = words[-1:], total[-1:]
         if words:
-            yield chosen(words, place, sums)
-    met = (train.select("codes", "tail").mapInArrow(tidy(seen), "word binary, place int, context binary, times binary")
+            yield chosen(words, sums)
+    met = (train.select("codes", "tail").mapInArrow(tidy(seen), "word binary, seen binary")
            .repartition(F.col("word")).sortWithinPartitions("word"))
     return stage(met.mapInArrow(tidy(settle), "word binary, place int, n long, class int"), "word-classes")
 
@@ -380,56 +398,71 @@ class Fitted:
     tails: DataFrame      # per document with words outside the head: transitions into and out of these, their counts
 
 
-_TAIL = pa.schema([("row", pa.int64()), ("held_out", pa.bool_()), ("word", pa.binary()), ("at", pa.int32()),
-                   ("left", pa.int32()), ("right", pa.int32()), ("other", pa.int32())])
+_TAIL = pa.schema([("key", pa.int64()), ("word", pa.binary()), ("side", pa.int64())])
 _STEPS = pa.schema([("row", pa.int64()), ("held_out", pa.bool_()), ("into", pa.binary()), ("out", pa.binary()),
                     ("known", pa.int64()), ("words", pa.float64())])
+#: Bits of a class, or of a class and one more value, in a packed number.
+BITS = 9
 
 
 def tail_steps(coded: DataFrame, words: DataFrame, head: int, classes: np.ndarray, k: int) -> DataFrame:
-    """The transitions beside words outside the head, per document, once these words have met their classes."""
+    """The transitions beside words outside the head, per document, once these words have met their classes.
+
+    Such a word travels with its document's row and fold as one number, ``key``, and a second, ``side``: its position, the
+    classes before and after it (plus one; 0 for another word outside the head) and its own, its group's until it meets its
+    class. The words come back to their document as they were, key, side and count, and stream by in its order.
+    """
+    mask = (1 << BITS) - 1
+
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             code, stop = unpacked(batch.column(2), np.int32)
             tail = batch.column(3)
             flat = tail.flatten()
             doc = np.repeat(np.arange(len(tail)), np.diff(tail.offsets.to_numpy()))
-            at = flat.field("at").to_numpy()
+            at = flat.field("at").to_numpy().astype(np.int64)
             spot = np.append(0, stop)[doc] + at
-            c = np.where(code < head, classes[code], -1).astype(np.int32)
+            c = np.where(code < head, classes[code] + 1, 0).astype(np.int64)
+            left = np.where(at > 0, c[spot - 1], 1)  # an end, of class 0, stands before
+            side = ((at << BITS | left) << BITS | c[spot + 1]) << BITS | classes[code[spot]].astype(np.int64)
+            key = (batch.column(0).to_numpy() * 2 + batch.column(1).fill_null(True).to_numpy(zero_copy_only=False))[doc]
             for a in range(0, len(doc), 1 << 16):
                 i = slice(a, a + (1 << 16))
-                of = pa.array(doc[i])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(of), batch.column(1).take(of), flat.field("word")[i], pa.array(at[i]),
-                     pa.array(np.where(at[i] > 0, c[spot[i] - 1], 0).astype(np.int32)), pa.array(c[spot[i] + 1]),
-                     pa.array(classes[code[spot[i]]].astype(np.int32))], schema=_TAIL)
+                yield pa.RecordBatch.from_arrays([pa.array(key[i]), flat.field("word")[i], pa.array(side[i])], schema=_TAIL)
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            t = batch.column(2)
-            flat = t.flatten()
-            doc = np.repeat(np.arange(len(t)), np.diff(t.offsets.to_numpy()))
-            at, left, right, c, n = (flat.field(x).to_numpy() for x in ("at", "left", "right", "class", "n"))
-            order = np.lexsort((at, doc))
-            left, right, c, n = left[order], right[order], c[order], n[order]
+        def steps(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
+            key, side, n = (np.concatenate(x) for x in zip(*parts))
+            first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            stop = np.append(first[1:], len(key))
+            c, right, left = side & mask, (side >> BITS & mask) - 1, (side >> 2 * BITS & mask) - 1
             prior = np.where(left >= 0, left, np.append(0, c[:-1]))  # else the word outside the head just before
             leave = right >= 0
-            stop = np.cumsum(np.bincount(doc, minlength=len(t)))
-            first = np.append(0, stop[:-1])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), packed((prior * k + c).astype(np.uint16), stop),
+            return pa.RecordBatch.from_arrays(
+                [pa.array(key[first] >> 1), pa.array((key[first] & 1).astype(bool)), packed((prior * k + c).astype(np.uint16), stop),
                  packed((c * k + right)[leave].astype(np.uint16), np.cumsum(np.add.reduceat(leave.astype(np.int64), first))),
                  pa.array(np.add.reduceat((n > 0).astype(np.int64), first)),
                  pa.array(np.add.reduceat(np.log10(n + 0.5), first))], schema=_STEPS)
+
+        parts: list[list[np.ndarray]] = []  # of the last document, which may go on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            part = [c.to_numpy() for c in batch.columns]
+            key = part[0]
+            last = int(np.searchsorted(key, key[-1]))
+            if last or (parts and parts[0][0][-1] != key[-1]):
+                yield steps([*parts, [x[:last] for x in part]] if last else parts)
+                parts = []
+            parts.append([x[last:] for x in part])
+        if parts:
+            yield steps(parts)
     rows = coded.select("row", "held_out", "codes", "tail").where(F.size("tail") > 0)
-    met = rows.mapInArrow(tidy(listed), "row long, held_out boolean, word binary, at int, left int, right int, other int")
-    met = met.join(words, "word", "left").groupBy("row").agg(
-        F.first("held_out").alias("held_out"),
-        F.collect_list(F.struct("at", "left", "right", F.coalesce("class", "other").alias("class"),
-                                F.coalesce("n", F.lit(0).cast("long")).alias("n"))).alias("t"))
+    met = rows.mapInArrow(tidy(listed), "key long, word binary, side long").join(words, "word", "left")
+    side, group = F.col("side"), F.lit(mask).cast("long")
+    own = F.coalesce(F.col("class").cast("long"), side.bitwiseAND(group))
+    met = (met.select("key", (side - side.bitwiseAND(group) + own).alias("side"), F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+           .repartition("key").sortWithinPartitions("key", "side"))
     return stage(met.mapInArrow(tidy(joined), "row long, held_out boolean, into binary, out binary, known long, words double"),
                  "tail-steps")
 
