@@ -35,6 +35,8 @@ CLASSES, ROUNDS = 32, 4
 COUNTED, CONTEXTS = 1 << 19, 1 << 21
 #: Weight of the unigram class distribution in transitions, in tokens; weight of the class model beside plain unigrams.
 PRIOR, WEIGHT = 20.0, 0.95
+#: Counts of a context whose gains are looked up: most are that small.
+FEW = 8
 #: Units per row of a task's context counts; such rows are added up in so many bins first, then over the bins.
 CHUNK, BINS = 1024, 64
 
@@ -272,13 +274,22 @@ def best_classes(pairs: np.ndarray, now: np.ndarray, left: np.ndarray, right: np
         if not len(w):
             continue
         count, mine = side[w, j], now[w]
-        base = cells[j].copy()
-        base[np.arange(len(w)), mine] -= count
-        inside = np.flatnonzero(j == mine)
-        base[inside] -= other[w[inside]]
-        base[inside, mine[inside]] -= own[w[inside]]
+        change = np.empty((len(w), k))
+        plain = (count <= FEW) & (j != mine)  # all but the cell of its own class are as they are for any word
+        i = np.flatnonzero(plain)
+        few = np.arange(1, FEW + 1)[:, None, None]
+        change[i] = (_xlogx(cells + few) - _xlogx(cells))[count[i].astype(np.int64) - 1, j[i]]
+        rest = cells[j[i], mine[i]] - count[i]
+        change[i, mine[i]] = _xlogx(rest + count[i]) - _xlogx(rest)
+        i = np.flatnonzero(~plain)
+        base = cells[j[i]]
+        base[np.arange(len(i)), mine[i]] -= count[i]
+        inside = np.flatnonzero(j[i] == mine[i])
+        base[inside] -= other[w[i[inside]]]
+        base[inside, mine[i[inside]]] -= own[w[i[inside]]]
+        change[i] = _xlogx(base + count[i, None]) - _xlogx(base)
         first = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
-        gain[w[first]] += np.add.reduceat(_xlogx(base + count[:, None]) - _xlogx(base), first, axis=0)
+        gain[w[first]] += np.add.reduceat(change, first, axis=0)
     same = np.tile(np.diag(pairs), (n, 1))
     same[word, now] -= left[word, now] + right[word, now] + own
     gain += _xlogx(same + left + right + own[:, None]) - _xlogx(same + left) - _xlogx(same + right) + _xlogx(same)
